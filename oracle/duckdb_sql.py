@@ -293,5 +293,298 @@ WHERE big_sector NOT IN ('Section B')
 ORDER BY gap DESC NULLS LAST, sector LIMIT 15"""
 
 
+# ---------------------------------------------------------------- shares
+OCC_OUT = "(code outside the occupation table)"
+DIAG_OUT = "(code outside the diagnosis table)"
+
+
+def _composition(code_expr: str, dim_cte: str, outside: str) -> str:
+    return w(COV, COMPARAVEIS, f"""
+cat AS (SELECT event_date, {code_expr} AS code FROM events_fact),
+dim AS ({dim_cte}),
+total AS (SELECT code, count(*) AS n FROM cat WHERE event_date {PERIOD} GROUP BY 1),
+comp AS (
+  SELECT CAST(year(event_date) AS INTEGER) AS ano, code, count(*) AS n
+  FROM cat
+  WHERE year(event_date) IN ({Y0}, {Y1})
+    AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis)
+  GROUP BY 1, 2
+),
+tot AS (SELECT sum(n) FILTER (WHERE ano = {Y0}) AS T0, sum(n) FILTER (WHERE ano = {Y1}) AS T1 FROM comp),
+pct AS (SELECT code, sum(n) FILTER (WHERE ano = {Y0}) AS c0, sum(n) FILTER (WHERE ano = {Y1}) AS c1 FROM comp GROUP BY 1)""") + f"""
+SELECT t.code, coalesce(d.label, '{outside}') AS label, t.n AS events,
+       {pct("t.n", "sum(t.n) OVER ()")} AS pct_total,
+       {pct("sum(t.n) OVER (ORDER BY t.n DESC, t.code NULLS LAST)", "sum(t.n) OVER ()")} AS pct_cumulative,
+       coalesce({pct("coalesce(p.c0, 0)", "tot.T0")}, 0.0) AS pct_{Y0},
+       coalesce({pct("coalesce(p.c1, 0)", "tot.T1")}, 0.0) AS pct_{Y1},
+       coalesce({rq("100 * (coalesce(p.c1, 0) * tot.T0 - coalesce(p.c0, 0) * tot.T1)", "tot.T0 * tot.T1", 1)}, 0.0) AS change_pp
+FROM total t
+LEFT JOIN pct p ON p.code = t.code
+CROSS JOIN tot
+LEFT JOIN dim d ON d.code = t.code
+ORDER BY t.n DESC, t.code NULLS LAST
+LIMIT {S.top_n}"""
+
+
+# A6
+Q["occupation_share"] = _composition("occupation", "SELECT code, label FROM occupations", OCC_OUT)
+# A7 (K14: trim, left 3, upper; dots kept)
+Q["diagnosis_share"] = _composition(
+    "upper(left(trim(diag_raw), 3))",
+    "SELECT cat3 AS code, min(cat_label) AS label FROM diagnoses GROUP BY cat3", DIAG_OUT)
+
+_STACKED = w(COV, COMPARAVEIS, f"""
+cats AS (
+  SELECT CAST(year(event_date) AS INTEGER) AS ano,
+         year(event_date) IN ({Y0}, {Y1})
+           AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis) AS comparavel,
+         occupation,
+         upper(left(replace(trim(diag_raw), '.', ''), 3)) AS cid
+  FROM events_fact
+  WHERE event_date {PERIOD}
+),
+itens AS (
+  SELECT 'occupation' AS dimension, coalesce(occupation, 'NI') AS code, ano, comparavel FROM cats
+  UNION ALL
+  SELECT 'diagnosis', coalesce(cid, 'NI'), ano, comparavel FROM cats
+),
+total AS (
+  SELECT dimension, code, count(*) AS n,
+         sum(count(*)) OVER (PARTITION BY dimension) AS tot,
+         sum(count(*)) OVER (PARTITION BY dimension ORDER BY count(*) DESC, code) AS run,
+         row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, code) AS ranking
+  FROM itens GROUP BY dimension, code
+),
+comp AS (
+  SELECT dimension, code, ano, count(*) AS n,
+         sum(count(*)) OVER (PARTITION BY dimension, ano) AS Ty
+  FROM itens WHERE comparavel GROUP BY dimension, code, ano
+),
+pcts AS (
+  SELECT dimension, code,
+         max({pct("n", "Ty")}) FILTER (WHERE ano = {Y0}) AS p0,
+         max({pct("n", "Ty")}) FILTER (WHERE ano = {Y1}) AS p1
+  FROM comp GROUP BY dimension, code
+),
+descr AS (
+  SELECT 'occupation' AS dimension, code, max(label) AS descr FROM occupations GROUP BY code
+  UNION ALL
+  SELECT 'diagnosis', cat3, max(cat_label) FROM diagnoses GROUP BY cat3
+),
+stacked AS (
+  SELECT t.dimension, CAST(t.ranking AS BIGINT) AS ranking, t.code,
+         CASE WHEN t.code = 'NI' THEN 'not informed'
+              ELSE coalesce(d.descr, 'no description in reference table') END AS description,
+         t.n AS events,
+         {pct("t.n", "t.tot")} AS pct_total,
+         {pct("t.run", "t.tot")} AS pct_cumulative,
+         coalesce(p.p0, 0.0) AS pct_{Y0},
+         coalesce(p.p1, 0.0) AS pct_{Y1}
+  FROM total t
+  LEFT JOIN pcts p ON p.dimension = t.dimension AND p.code = t.code
+  LEFT JOIN descr d ON d.dimension = t.dimension AND d.code = t.code
+  WHERE t.ranking <= 30
+)""")
+
+# A8
+Q["composition_stacked"] = _STACKED + "\nSELECT * FROM stacked"
+# A31
+Q["not_informed_toggle"] = _STACKED + """
+SELECT * FROM stacked WHERE dimension = 'occupation' AND code <> 'NI' ORDER BY ranking LIMIT 15"""
+# A25
+Q["pareto_cut"] = _STACKED + """
+SELECT dimension,
+       coalesce(CAST(min(ranking) FILTER (WHERE pct_cumulative >= 50) AS VARCHAR), 'more than 30') AS items_to_50,
+       coalesce(CAST(min(ranking) FILTER (WHERE pct_cumulative >= 80) AS VARCHAR), 'more than 30') AS items_to_80,
+       CAST(count(*) FILTER (WHERE pct_cumulative < 50) + 1 AS BIGINT) AS items_below_50_plus_one
+FROM stacked GROUP BY dimension"""
+# A26
+Q["biggest_mover"] = _STACKED + f""",
+shown AS (SELECT * FROM stacked WHERE dimension = 'diagnosis' ORDER BY ranking LIMIT 15),
+ch AS (SELECT code, description, ranking,
+              CAST(round(pct_{Y1} * 10) - round(pct_{Y0} * 10) AS BIGINT) AS c10 FROM shown)
+(SELECT 'gain' AS direction, code, description, c10 / 10.0 AS change_pp FROM ch ORDER BY c10 DESC, ranking LIMIT 1)
+UNION ALL
+(SELECT 'loss', code, description, c10 / 10.0 FROM ch ORDER BY c10 ASC, ranking LIMIT 1)"""
+
+
+def _bucket(col: str, groups, other: str) -> str:
+    whens = " ".join(f"WHEN {col} IN ({', '.join(map(str, codes))}) THEN '{label}'" for label, codes in groups)
+    return f"CASE {whens} ELSE '{other}' END"
+
+
+# A11
+Q["status_share"] = w() + f"""
+SELECT {_bucket("status", S.status_groups, S.status_unknown)} AS "group",
+       count(*) AS notices,
+       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
+FROM notices WHERE event_date {PERIOD}
+GROUP BY 1"""
+
+_FLAG = ("CASE flag " + " ".join(f"WHEN '{c}' THEN '{l}'" for c, l in S.flag_labels)
+         + f" ELSE '{S.flag_unknown}' END")
+_A12 = f"""
+SELECT {_FLAG} AS flag_label,
+       count(*) AS notices,
+       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
+FROM notices
+WHERE status = {S.flag_status} AND event_date {PERIOD}
+GROUP BY flag"""
+# A12
+Q["followup_flag_share"] = w() + _A12
+# A32
+Q["no_followup_share"] = w() + f"""
+SELECT coalesce(sum(pct) FILTER (WHERE flag_label IN ('not issued', '{S.flag_unknown}')), 0.0) AS pct_without_followup
+FROM ({_A12})"""
+
+# A15
+Q["sector_counts_by_type"] = w() + f"""
+SELECT d.sector4 AS sector, d.label,
+       count(*) AS events,
+       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct_total,
+       count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_typical_like}') AS typical,
+       count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_commute}') AS commute,
+       count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_disease_like}') AS disease
+FROM events_fact f
+JOIN sectors d ON d.sector4 = f.sector
+WHERE f.event_date {PERIOD}
+GROUP BY d.sector4, d.label
+ORDER BY events DESC, sector
+LIMIT 15"""
+
+# A16
+Q["type_by_year"] = w(COV, COMPARAVEIS, f"""
+base AS (
+  SELECT CAST(year(event_date) AS INTEGER) AS ano, trim(kind) AS tipo, trim(death) AS obito
+  FROM events_fact
+  WHERE year(event_date) IN ({Y0}, {Y1})
+    AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis)
+)""") + f"""
+SELECT ano AS year, tipo AS kind, count(*) AS events,
+       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY ano)")} AS pct_in_year,
+       count(*) FILTER (WHERE obito ILIKE '{S.death_value}') AS deaths
+FROM base GROUP BY ano, tipo"""
+
+# A17
+Q["exposure_by_area"] = w() + f"""
+SELECT left(postcode, 5) AS area,
+       CAST(sum(jobs) AS BIGINT) AS jobs,
+       {pct("sum(jobs)", "sum(sum(jobs)) OVER ()")} AS pct_total,
+       count(*) FILTER (WHERE active_jobs > 0) AS active_units
+FROM exposure WHERE year = {R1}
+GROUP BY left(postcode, 5)
+ORDER BY jobs DESC, area
+LIMIT 15"""
+
+# A18
+Q["residence_share"] = w() + f"""
+SELECT coalesce(n.name, '{S.other_places}') AS place,
+       count(*) AS notices,
+       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
+FROM notices s LEFT JOIN named_places n ON n.code = s.residence
+WHERE s.event_date {PERIOD}
+GROUP BY coalesce(n.name, '{S.other_places}')"""
+
+# A19
+Q["profile_sex_age"] = w(COV, COMPARAVEIS, f"""
+base AS (
+  SELECT CAST(year(event_date) AS INTEGER) AS ano,
+         CASE WHEN trim(sex) ILIKE '{S.male_value}' THEN '{S.male_value}'
+              WHEN trim(sex) ILIKE '{S.female_value}' THEN '{S.female_value}'
+              ELSE 'not informed' END AS sexo,
+         CASE WHEN birth_year IS NULL THEN 'no information'
+              WHEN year(event_date) - birth_year < 25 THEN 'up to 24'
+              WHEN year(event_date) - birth_year < 35 THEN '25 to 34'
+              WHEN year(event_date) - birth_year < 45 THEN '35 to 44'
+              WHEN year(event_date) - birth_year < 55 THEN '45 to 54'
+              ELSE '55 or more' END AS faixa
+  FROM events_fact
+  WHERE year(event_date) IN ({Y0}, {Y1})
+    AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis)
+)""") + f"""
+SELECT ano AS year, sexo AS sex, faixa AS age_band, count(*) AS events,
+       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY ano)")} AS pct_in_year
+FROM base GROUP BY ano, sexo, faixa"""
+
+# A20
+Q["status_by_year"] = w() + f"""
+SELECT report_year AS year,
+       {_bucket("status", S.status_groups_yearly, S.status_unknown_yearly)} AS "group",
+       count(*) AS notices,
+       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY report_year)", 2)} AS pct_in_year
+FROM notices
+WHERE report_year IN ({", ".join(map(str, RY))})
+GROUP BY 1, 2"""
+
+# A21 (OR-join, K8 fan-out kept)
+Q["diagnosis_by_status"] = w() + f"""
+SELECT CAST(year(f.event_date) AS INTEGER) AS year,
+       {_bucket("f.status", S.status_groups_coarse, S.status_unknown_coarse)} AS "group",
+       coalesce(f.diag_code, 'N/I') AS code,
+       coalesce(d.sub_label, d.cat_label, 'not found') AS diagnosis,
+       count(*) AS cases,
+       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY year(f.event_date))", 2)} AS pct_in_year
+FROM events_fact f
+LEFT JOIN diagnoses d ON f.diag_code = d.sub OR f.diag_code = d.cat
+WHERE year(f.event_date) IN ({", ".join(map(str, RY))})
+GROUP BY year(f.event_date), 2, f.diag_code, d.sub_label, d.cat_label
+ORDER BY cases DESC, year, "group", code, diagnosis, d.cat_label NULLS LAST
+LIMIT 20"""
+
+_A22 = f"""
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE trim(kind) ILIKE '{S.kind_typical_one}') AS typical,
+       count(*) FILTER (WHERE trim(kind) = '{S.kind_commute}') AS commute,
+       count(*) FILTER (WHERE trim(kind) ILIKE '{S.kind_disease_like}') AS disease,
+       count(*) FILTER (WHERE death = '{S.death_value}') AS deaths,
+       count(*) FILTER (WHERE sex = '{S.male_value}') AS men,
+       count(*) FILTER (WHERE sex = '{S.female_value}') AS women
+FROM events_fact
+WHERE event_date {PERIOD}"""
+# A22
+Q["event_summary"] = w() + _A22
+# A23
+Q["summary_shares"] = w() + f"""
+SELECT total,
+       {pct("typical", "total")} AS pct_typical,
+       {pct("commute", "total")} AS pct_commute,
+       {pct("disease", "total")} AS pct_disease,
+       {pct("men", "total")} AS pct_men,
+       {pct("deaths", "total", 2)} AS pct_deaths
+FROM ({_A22})"""
+
+# A24
+Q["counts_by_section"] = w() + f"""
+SELECT d.section,
+       coalesce(CASE d.section WHEN 'A' THEN 'Section A' WHEN 'B' THEN 'Section B'
+                               WHEN 'C' THEN 'Section C' END, d.section) AS section_name,
+       count(*) AS events,
+       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
+FROM events_fact f JOIN sectors d ON d.sector4 = f.sector
+WHERE f.event_date {PERIOD}
+GROUP BY d.section
+ORDER BY events DESC, section
+LIMIT 8"""
+
+_SINAN = f"""
+sinan AS (
+  SELECT CAST(date_trunc('month', event_date) AS DATE) AS month, count(*) AS n
+  FROM notices WHERE event_date {PERIOD} GROUP BY 1
+)"""
+# A13
+Q["two_source_monthly"] = w(COV, _SINAN) + f"""
+SELECT strftime(c.month, '%Y-%m') AS month, c.n AS events, coalesce(s.n, 0) AS notices,
+       c.ok AS adequate,
+       CASE WHEN c.ok THEN {rq("coalesce(s.n, 0)", "c.n", 2)} END AS notices_per_event
+FROM cobertura c LEFT JOIN sinan s ON s.month = c.month"""
+# A14
+_R = "corr(CAST(c.n AS DOUBLE), CAST(coalesce(s.n, 0) AS DOUBLE))"
+Q["two_source_correlation"] = w(COV, _SINAN) + f"""
+SELECT count(*) AS months_used,
+       sign({_R}) * floor(abs({_R}) * 100.0 + 0.5) / 100.0 AS correlation
+FROM cobertura c LEFT JOIN sinan s ON s.month = c.month
+WHERE c.ok"""
+
+
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

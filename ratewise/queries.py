@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ratewise.plans import coverage as cv
 from ratewise.plans import rates as rt
@@ -92,3 +93,124 @@ QUERIES: dict[str, Query] = {
     "expected_vs_observed": q_expected_vs_observed,
     "gap_filtered": q_gap_filtered,
 }
+
+
+# ---------------------------------------------------------------- shares
+from ratewise.plans import shares as sh  # noqa: E402
+
+
+def q_occupation_share(spark, d):
+    return sh.composition_share(spark, fx.events_fact(spark, d), F.col("occupation"),
+                                fx.occupations(spark, d), S, "(code outside the occupation table)")
+
+
+def q_diagnosis_share(spark, d):
+    return sh.composition_share(spark, fx.events_fact(spark, d), sh.diagnosis_category_sql(),
+                                sh.diagnosis_categories(fx.diagnoses(spark, d)), S,
+                                "(code outside the diagnosis table)")
+
+
+def _stacked(spark, d):
+    return sh.composition_stacked_all(spark, fx.events_fact(spark, d), fx.occupations(spark, d),
+                                      fx.diagnoses(spark, d), S, top=30)
+
+
+def q_composition_stacked(spark, d):
+    return _stacked(spark, d)
+
+
+def q_not_informed_toggle(spark, d):
+    return sh.not_informed_toggle(_stacked(spark, d), "occupation", 15)
+
+
+def q_pareto_cut(spark, d):
+    return sh.pareto_cut(_stacked(spark, d), 30)
+
+
+def q_biggest_mover(spark, d):
+    return sh.biggest_mover(sh.not_informed_toggle(_stacked(spark, d), "diagnosis", 15, include_ni=True), S)
+
+
+def q_status_share(spark, d):
+    return sh.status_share(fx.notices(spark, d), S)
+
+
+def q_followup_flag_share(spark, d):
+    return sh.followup_flag_share(fx.notices(spark, d), S)
+
+
+def q_no_followup_share(spark, d):
+    return sh.no_followup_share(q_followup_flag_share(spark, d), ["not issued", S.flag_unknown])
+
+
+def q_sector_counts_by_type(spark, d):
+    return sh.sector_counts_by_type(fx.events_fact(spark, d), fx.sectors(spark, d), S, 15)
+
+
+def q_type_by_year(spark, d):
+    return sh.type_by_year(spark, fx.events_fact(spark, d), S)
+
+
+def q_exposure_by_area(spark, d):
+    return sh.exposure_by_area(fx.exposure(spark, d), max(S.rate_years), 15)
+
+
+def q_residence_share(spark, d):
+    return sh.residence_share(fx.notices(spark, d), fx.named_places(spark, d), S)
+
+
+def q_profile_sex_age(spark, d):
+    return sh.profile_sex_age(spark, fx.events_fact(spark, d), S)
+
+
+def q_status_by_year(spark, d):
+    return sh.status_by_year(fx.notices(spark, d), S, S.rate_years)
+
+
+def q_diagnosis_by_status(spark, d):
+    return sh.diagnosis_by_status(fx.events_fact(spark, d), fx.diagnoses(spark, d), S, S.rate_years, 20)
+
+
+def q_event_summary(spark, d):
+    return sh.event_summary(fx.events_fact(spark, d), S)
+
+
+def q_summary_shares(spark, d):
+    return sh.summary_shares(q_event_summary(spark, d))
+
+
+def q_counts_by_section(spark, d):
+    return sh.counts_by_section(fx.events_fact(spark, d), fx.sectors(spark, d), S, fx.section_names(), 8)
+
+
+def q_two_source_monthly(spark, d):
+    return sh.two_source_monthly(spark, fx.events_fact(spark, d), fx.notices(spark, d), S)
+
+
+def q_two_source_correlation(spark, d):
+    return sh.two_source_correlation(spark, fx.events_fact(spark, d), fx.notices(spark, d), S)
+
+
+QUERIES.update({
+    "occupation_share": q_occupation_share,
+    "diagnosis_share": q_diagnosis_share,
+    "composition_stacked": q_composition_stacked,
+    "not_informed_toggle": q_not_informed_toggle,
+    "pareto_cut": q_pareto_cut,
+    "biggest_mover": q_biggest_mover,
+    "status_share": q_status_share,
+    "followup_flag_share": q_followup_flag_share,
+    "no_followup_share": q_no_followup_share,
+    "sector_counts_by_type": q_sector_counts_by_type,
+    "type_by_year": q_type_by_year,
+    "exposure_by_area": q_exposure_by_area,
+    "residence_share": q_residence_share,
+    "profile_sex_age": q_profile_sex_age,
+    "status_by_year": q_status_by_year,
+    "diagnosis_by_status": q_diagnosis_by_status,
+    "event_summary": q_event_summary,
+    "summary_shares": q_summary_shares,
+    "counts_by_section": q_counts_by_section,
+    "two_source_monthly": q_two_source_monthly,
+    "two_source_correlation": q_two_source_correlation,
+})

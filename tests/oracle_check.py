@@ -87,7 +87,12 @@ def main(argv):
             df = qs[name](spark, sf_dir)
             print(f"[rows-only] {name}: {df.count()} rows")
             continue
-        r = compare(spark, con, name, qs[name], os_[name], sf_dir)
+        try:
+            r = compare(spark, con, name, qs[name], os_[name], sf_dir)
+        except Exception as e:  # report and go on
+            bad += 1
+            print("ERR ", name, str(e).splitlines()[0][:300])
+            continue
         good = r["cols"] and r["rows"] and r["values"]
         bad += not good
         print(("OK  " if good else "FAIL"), name, r["n_spark"], r["n_oracle"], f"{r['sec']}s")
