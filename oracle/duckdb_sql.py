@@ -586,5 +586,114 @@ FROM cobertura c LEFT JOIN sinan s ON s.month = c.month
 WHERE c.ok"""
 
 
+# ---------------------------------------------------------------- cleansing and checks
+from ratewise.functions.text import EDGE_WS  # noqa: E402
+
+Q["strip_text"] = f"""
+SELECT lang, count(*) AS docs,
+       count(*) FILTER (WHERE stripped <> text) AS changed,
+       CAST(sum(length(stripped)) AS BIGINT) AS chars_after
+FROM (SELECT lang, text, regexp_replace(text, '{EDGE_WS}', '', 'g') AS stripped FROM documents)
+GROUP BY lang"""
+
+_DEDUP = """
+SELECT * FROM lineitem
+QUALIFY row_number() OVER (
+  PARTITION BY l_orderkey, l_linenumber
+  ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC,
+           l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1"""
+Q["dedup_keep_last"] = _DEDUP
+Q["dedup_rate"] = f"""
+SELECT b.rows_before, a.rows_after, b.rows_before - a.rows_after AS removed,
+       {pct("b.rows_before - a.rows_after", "b.rows_before")} AS pct_removed
+FROM (SELECT count(*) AS rows_before FROM lineitem) b,
+     (SELECT count(*) AS rows_after FROM ({_DEDUP})) a"""
+
+Q["fill_forward"] = """
+SELECT event_id, user_id, event_type,
+       last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
+         OVER (PARTITION BY user_id ORDER BY event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase_value
+FROM events"""
+
+Q["decode_dictionary"] = """
+WITH dic(column_name, key, value) AS (VALUES
+  ('event_type', 'click', 'Click'), ('event_type', 'view', 'Page view'),
+  ('event_type', 'view', 'Page view (dup)'), ('event_type', 'purchase', 'Purchase'),
+  ('event_type', 'error', 'Error'), ('user_id', '1', 'first user'), ('user_id', '2', 'second user')),
+t AS (SELECT key, min(value) AS v FROM dic WHERE column_name = 'event_type' GROUP BY key),
+u AS (SELECT key, min(value) AS v FROM dic WHERE column_name = 'user_id' GROUP BY key)
+SELECT e.event_type, t.v AS event_type_label, u.v AS user_id_label, count(*) AS events
+FROM events e
+LEFT JOIN t ON t.key = e.event_type
+LEFT JOIN u ON u.key = CAST(e.user_id AS VARCHAR)
+GROUP BY 1, 2, 3"""
+
+Q["conform_codes"] = """
+WITH o AS (
+  SELECT trim(split_part(o_orderpriority, '-', 1)) AS p0,
+         nullif(rtrim(o_orderstatus || '..', '.'), 'P') AS status_dotted,
+         upper(left(lower(o_orderpriority), 4)) AS prio4,
+         replace(replace(substr(CAST(o_orderkey AS VARCHAR), 1, 2) || '.' || substr(CAST(o_orderkey AS VARCHAR), 3, 8), '.', ''), '-', '') AS k
+  FROM orders
+)
+SELECT CASE WHEN length(p0) < 3 THEN lpad(p0, 3, '0') ELSE p0 END AS priority_code,
+       status_dotted, prio4, left(left(k, 5), 3) AS class3,
+       count(*) AS orders, count(DISTINCT left(k, 4)) AS class4_keys
+FROM o GROUP BY 1, 2, 3, 4"""
+
+Q["parse_dates"] = """
+WITH t AS (
+  SELECT CASE WHEN o_orderstatus = 'P' THEN '31/02/' || CAST(year(o_orderdate) AS VARCHAR)
+              ELSE strftime(o_orderdate, '%d/%m/%Y') END AS txt
+  FROM orders
+),
+p AS (SELECT CAST(try_strptime(txt, '%d/%m/%Y') AS DATE) AS d FROM t)
+SELECT CAST(year(d) AS INTEGER) AS birth_year, count(*) AS rows,
+       count(*) FILTER (WHERE d IS NULL) AS invalid, min(d) AS first_date, max(d) AS last_date
+FROM p GROUP BY 1"""
+
+Q["key_check"] = """
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys,
+       count(*) FILTER (WHERE n > 1) AS duplicated_keys,
+       CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS surplus_rows
+FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
+
+Q["orphan_check"] = w() + f"""
+SELECT count(*) AS rows,
+       count(*) FILTER (WHERE f.occupation IS NOT NULL AND o.code IS NULL) AS orphan_rows,
+       count(DISTINCT f.occupation) FILTER (WHERE f.occupation IS NOT NULL AND o.code IS NULL) AS orphan_keys,
+       {pct("count(*) FILTER (WHERE f.occupation IS NOT NULL AND o.code IS NULL)", "count(*)", 2)} AS pct_orphan
+FROM events_fact f LEFT JOIN (SELECT DISTINCT code FROM occupations) o ON o.code = f.occupation"""
+
+Q["width_check"] = w() + """
+SELECT count(*) FILTER (WHERE length(diag_raw) > 5) AS diag_raw_too_long,
+       count(*) FILTER (WHERE length(occupation) > 7) AS occupation_too_long
+FROM events_fact"""
+
+Q["range_check"] = """
+SELECT count(l_extendedprice) AS non_null,
+       count(*) FILTER (WHERE l_extendedprice IS NOT NULL
+                          AND TRY_CAST(l_extendedprice AS DECIMAL(7, 2)) IS NULL) AS out_of_range
+FROM lineitem"""
+
+Q["empty_columns"] = w() + """
+SELECT column_name, non_null, non_null = 0 AS all_null FROM (
+  SELECT 'event_date' AS column_name, CAST(count(event_date) AS BIGINT) AS non_null FROM notices
+  UNION ALL SELECT 'report_year', count(report_year) FROM notices
+  UNION ALL SELECT 'status', count(status) FROM notices
+  UNION ALL SELECT 'flag', count(flag) FROM notices
+  UNION ALL SELECT 'residence', count(residence) FROM notices)"""
+
+Q["one_to_one"] = w() + """
+SELECT count(*) AS short_keys, count(*) FILTER (WHERE k > 1) AS ambiguous_keys
+FROM (SELECT cat3, count(DISTINCT cat) AS k FROM diagnoses GROUP BY cat3)"""
+
+Q["table_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
+    for t in ("region nation customer supplier part orders lineitem events documents "
+              "embeddings pages benchmark labels conversations").split())
+
+
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Python's str.strip() removes every Unicode whitespace; SQL btrim/Spark trim
 # remove only U+0020.  SF1 and SF2 are therefore two different functions.
-_WS_CLASS = r"[\t\n\x0B\f\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_EDGE_WS = "^" + _WS_CLASS + "+|" + _WS_CLASS + "+$"
+# Same class in Java regex and RE2 syntax (so the SQL oracle can reuse it).
+WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+EDGE_WS = r"\A" + WS_CLASS + r"+|" + WS_CLASS + r"+\z"
 
 
 def _c(c) -> Column:
@@ -22,7 +24,7 @@ def btrim_blanks(c) -> Column:
 
 def strip_ws(c) -> Column:
     """SF2: remove all leading/trailing whitespace (Python ``strip``)."""
-    return F.regexp_replace(_c(c), _EDGE_WS, "")
+    return F.regexp_replace(_c(c), EDGE_WS, "")
 
 
 def left(c, n: int) -> Column:

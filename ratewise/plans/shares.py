@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.exact import DEC, percent_half_up, ratio_half_up, round_double_half_up
+from ratewise.operators.joins import or_join_labels
 from ratewise.plans.coverage import comparable_months, coverage_from_counts
 from ratewise.sources.fixtures import Study
 
@@ -311,24 +312,6 @@ def status_by_year(notices: DataFrame, s: Study, years) -> DataFrame:
         "year", "group", "notices", percent_half_up(F.col("notices"), F.col("_ytot"), 2).alias("pct_in_year"))
 
 
-def or_join_labels(agg: DataFrame, dim: DataFrame, code: str = "code") -> DataFrame:
-    """JN10 without a nested loop: ``agg LEFT JOIN dim ON code = sub OR code = cat``.
-
-    Two equi-joins give the matches (the second one skips dim rows already
-    matched through ``sub``), and a double anti-join keeps unmatched rows with
-    NULL labels.  A category-level code fans out to every subcategory row, as
-    the OR condition does (K8).
-    """
-    d = dim.select("sub", "cat", "sub_label", "cat_label")
-    by_sub = agg.join(d, agg[code] == d.sub).drop("sub", "cat")
-    by_cat = agg.join(d, (agg[code] == d.cat) & ~(agg[code].eqNullSafe(d.sub))).drop("sub", "cat")
-    none = (agg.join(d.select(F.col("sub").alias("_k")), agg[code] == F.col("_k"), "left_anti")
-               .join(d.select(F.col("cat").alias("_k")).distinct(), agg[code] == F.col("_k"), "left_anti")
-               .withColumn("sub_label", F.lit(None).cast("string"))
-               .withColumn("cat_label", F.lit(None).cast("string")))
-    return by_sub.unionByName(by_cat).unionByName(none)
-
-
 def diagnosis_by_status(events: DataFrame, diagnoses: DataFrame, s: Study, years, n: int = 20) -> DataFrame:
     """Year × coarse status × diagnosis code with OR-join labels, % in year."""
     agg = (events.where(F.year("event_date").isin(list(years)))

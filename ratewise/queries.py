@@ -214,3 +214,136 @@ QUERIES.update({
     "two_source_monthly": q_two_source_monthly,
     "two_source_correlation": q_two_source_correlation,
 })
+
+
+# ---------------------------------------------------------------- cleansing and checks
+from ratewise.functions import text as tx  # noqa: E402
+from ratewise.operators import clean as cl  # noqa: E402
+from ratewise.operators import joins as jn  # noqa: E402
+from ratewise.operators import quality as dq  # noqa: E402
+from ratewise.operators import windows as wn  # noqa: E402
+from ratewise.sources import tables as tb  # noqa: E402
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents "
+              "embeddings pages benchmark labels conversations").split()
+
+# EAV dictionary used by the decode query (fixed values: column, key, label);
+# 'view' appears twice on purpose (JN12) and 'signup' is left undecoded.
+EVENT_DICTIONARY = [
+    ("event_type", "click", "Click"),
+    ("event_type", "view", "Page view"),
+    ("event_type", "view", "Page view (dup)"),
+    ("event_type", "purchase", "Purchase"),
+    ("event_type", "error", "Error"),
+    ("user_id", "1", "first user"),
+    ("user_id", "2", "second user"),
+]
+
+
+def q_strip_text(spark, d):
+    docs = tb.scan_table(spark, d, "documents").select("lang", "text")
+    s = cl.strip_text(docs.withColumn("orig", F.col("text")), ["text"])
+    return s.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"),
+                                 F.count_if(F.col("text") != F.col("orig")).alias("changed"),
+                                 F.sum(F.length("text")).cast("bigint").alias("chars_after"))
+
+
+def q_dedup_keep_last(spark, d):
+    return wn.dedup_keep_last(tb.scan_table(spark, d, "lineitem"), LINE_KEY, LINE_ORDER)
+
+
+def q_dedup_rate(spark, d):
+    li = tb.scan_table(spark, d, "lineitem")
+    return wn.dedup_rate(li, wn.dedup_keep_last(li, LINE_KEY, LINE_ORDER))
+
+
+def q_fill_forward(spark, d):
+    ev = tb.scan_table(spark, d, "events").select(
+        "event_id", "user_id", "event_type",
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("last_purchase_value"))
+    return wn.fill_forward(ev, ["user_id"], "event_id", ["last_purchase_value"], chunk=1000)
+
+
+def q_decode_dictionary(spark, d):
+    dic = spark.createDataFrame(EVENT_DICTIONARY, "column_name string, key string, value string")
+    ev = tb.scan_table(spark, d, "events").select("event_type", "user_id")
+    out = jn.decode_dictionary(ev, dic, {"event_type": "event_type", "user_id": "user_id"})
+    return out.groupBy("event_type", "event_type_label", "user_id_label").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+def q_conform_codes(spark, d):
+    o = tb.scan_table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    o = (o.withColumn("priority_code", F.col("o_orderpriority"))
+          .withColumn("status_dotted", F.concat("o_orderstatus", F.lit("..")))
+          .withColumn("key_text", F.concat_ws(".", F.substring(F.col("o_orderkey").cast("string"), 1, 2),
+                                              F.substring(F.col("o_orderkey").cast("string"), 3, 8))))
+    o = cl.code_prefix(o, "priority_code")
+    o = cl.pad_code(o, "priority_code", 3)
+    o = cl.strip_category_dot(o, "status_dotted")
+    o = cl.normalise_diag(o.withColumn("prio4", F.lower("o_orderpriority")), "prio4")
+    o = cl.hierarchy_keys(o, "key_text")
+    o = cl.derive_class(o, "class5", "class3", 3)
+    o = cl.marker_to_null(o, ["status_dotted"], "P")
+    return o.groupBy("priority_code", "status_dotted", "prio4", "class3").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_distinct("class4").alias("class4_keys"))
+
+
+def q_parse_dates(spark, d):
+    o = tb.scan_table(spark, d, "orders").select("o_orderdate", "o_orderstatus")
+    txt = F.when(F.col("o_orderstatus") == "P",
+                 F.concat(F.lit("31/02/"), F.year("o_orderdate").cast("string"))) \
+           .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    p = cl.parse_dates(o.withColumn("txt", txt).withColumn("birth", txt), ["txt"])
+    p = cl.generalise_birth(p, "birth")
+    return p.groupBy("birth_year").agg(F.count(F.lit(1)).alias("rows"),
+                                       F.count_if(F.col("txt").isNull()).alias("invalid"),
+                                       F.min("txt").alias("first_date"), F.max("txt").alias("last_date"))
+
+
+def q_key_check(spark, d):
+    return dq.key_check(tb.scan_table(spark, d, "lineitem"), LINE_KEY)
+
+
+def q_orphan_check(spark, d):
+    return dq.orphans(fx.events_fact(spark, d), "occupation", fx.occupations(spark, d), "code")
+
+
+def q_width_check(spark, d):
+    return dq.width_check(fx.events_fact(spark, d), {"diag_raw": 5, "occupation": 7})
+
+
+def q_range_check(spark, d):
+    return dq.range_check(tb.scan_table(spark, d, "lineitem"), "l_extendedprice", "decimal(7,2)")
+
+
+def q_empty_columns(spark, d):
+    return dq.empty_columns(fx.notices(spark, d))
+
+
+def q_one_to_one(spark, d):
+    return dq.one_to_one(fx.diagnoses(spark, d), "cat3", "cat")
+
+
+def q_table_counts(spark, d):
+    return tb.table_counts(spark, d, ALL_TABLES)
+
+
+QUERIES.update({
+    "strip_text": q_strip_text,
+    "dedup_keep_last": q_dedup_keep_last,
+    "dedup_rate": q_dedup_rate,
+    "fill_forward": q_fill_forward,
+    "decode_dictionary": q_decode_dictionary,
+    "conform_codes": q_conform_codes,
+    "parse_dates": q_parse_dates,
+    "key_check": q_key_check,
+    "orphan_check": q_orphan_check,
+    "width_check": q_width_check,
+    "range_check": q_range_check,
+    "empty_columns": q_empty_columns,
+    "one_to_one": q_one_to_one,
+    "table_counts": q_table_counts,
+})
