@@ -3,9 +3,11 @@
 Both are written so that one hot key (a third of all rows under one key)
 does not end up sorted inside a single task:
 
-* ``dedup_keep_last`` is an aggregate (``max_by`` over the order key), so
-  every map task first reduces its share of a hot key to one row
-  (partial aggregation) before anything is shuffled.
+* ``dedup_keep_last`` is ``row_number() = 1`` over the identity key.  Spark
+  plans it as a WindowGroupLimit that runs twice: partially in every map
+  task *before* the shuffle (a hot key leaves each task as one row) and
+  finally after it.  ``dedup_keep_last_agg`` is the same result as a
+  ``max_by`` aggregate (sort-based, also partial before the shuffle).
 * ``fill_forward`` splits each group into ranges of the order key
   (``chunk``), fills inside each (group, chunk) with a window, then carries
   the last non-null value of earlier chunks through a second window over the
@@ -21,11 +23,18 @@ from pyspark.sql import functions as F
 def dedup_keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Keep, for each identity ``key``, the row with the greatest ``order`` tuple.
 
-    NULLs in the key compare equal (like pandas ``drop_duplicates``).  The
-    order tuple should be unique within a key (add an ingest position); if two
-    rows tie on it entirely, the greatest remaining column values win, so the
-    result is deterministic.
+    NULLs in the key compare equal (like pandas ``drop_duplicates``); NULLs
+    in the order sort lowest.  The order tuple should be unique within a key
+    (add an ingest position); remaining columns break any leftover tie, so
+    the result is deterministic.
     """
+    rest = [c for c in df.columns if c not in key and c not in order]
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order + rest])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def dedup_keep_last_agg(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Same result as ``dedup_keep_last`` through ``max_by`` (sort aggregate)."""
     rest = [c for c in df.columns if c not in key]
     ordk = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
     kept = (df.groupBy(*key)
@@ -33,17 +42,6 @@ def dedup_keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFram
     return kept.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def dedup_keep_last_window(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Same result through ``row_number() = 1`` (planned as WindowGroupLimit).
-
-    Simpler plan, but a hot key is sorted inside one task; kept for
-    comparison and for small inputs.
-    """
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order],
-                                         *[F.col(c).desc() for c in df.columns if c not in key and c not in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def dedup_rate(before: DataFrame, after: DataFrame) -> DataFrame:
     """DQ9: rows before and after dedup, removed and % removed."""
     from ratewise.functions.exact import percent_half_up

@@ -39,8 +39,13 @@ def coverage_from_counts(spark: SparkSession, monthly: DataFrame, start: str, en
     count as zero and take part in the median (K1).
     """
     cal = calendar(spark, start, end)
-    dense = (monthly.join(F.broadcast(cal), "month", "right")
-                    .select("month", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    lo = F.trunc(F.lit(start).cast("date"), "month")
+    hi = F.trunc(F.lit(end).cast("date"), "month")
+    # restricted to the calendar, the counts have at most #months rows: a
+    # bounded broadcast side; the calendar itself is the probe side
+    inside = monthly.where((F.col("month") >= lo) & (F.col("month") <= hi))
+    dense = (cal.join(F.broadcast(inside), "month", "left")
+                .select("month", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
     med = dense.agg(F.percentile("n", 0.5).alias("median"))
     return (dense.crossJoin(F.broadcast(med))
                  .select("month", "n", (F.col("n") >= F.lit(fraction) * F.col("median")).alias("ok")))

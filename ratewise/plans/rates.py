@@ -7,8 +7,8 @@ last projection and rounded exactly with ``ratio_half_up``:
 
 Scale notes
 * the event fact is scanned once per query: it is reduced to
-  (month, sector) counts, and both the coverage frame and the per-sector
-  counts are derived from that one aggregate (the exchange is reused);
+  (month, sector) counts, cached (``shared``), and both the coverage frame
+  and the per-sector counts are derived from that one aggregate;
 * the exposure fact is reduced to (year, sector) sums by a partial/final
   aggregate before any join;
 * joined frames are bounded by #months × #sectors; the sector dimension,
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ratewise.functions.exact import DEC, percent_half_up, ratio_half_up
 from ratewise.functions.text import regex_contains_ci
 from ratewise.plans.coverage import adequate_months_per_year, coverage_from_counts
+from ratewise.plans.shared import shared
 from ratewise.sources.fixtures import Study
 
 
@@ -35,12 +36,17 @@ def _rate(events: Column, jobs: Column, months: Column, scale: int = 1) -> Colum
 
 
 def sector_month_counts(events: DataFrame, s: Study) -> DataFrame:
-    """(month, sector4, n, n_disease) — the one aggregate of the event fact."""
+    """(month, sector4, dis, n) — the one aggregate of the event fact.
+
+    Every attribute a later branch needs is a grouping key and there is a
+    single measure, so column pruning cannot turn the branches into
+    different aggregates: the fact is scanned and shuffled once per query.
+    """
     disease = F.btrim(F.col("kind")).ilike(s.kind_disease_like)
     return (events.select(F.trunc("event_date", "month").alias("month"),
                           F.col("sector").alias("sector4"), disease.alias("dis"))
-                  .groupBy("month", "sector4")
-                  .agg(F.count(F.lit(1)).alias("n"), F.count_if("dis").alias("n_disease")))
+                  .groupBy("month", "sector4", "dis")
+                  .agg(F.count(F.lit(1)).alias("n")))
 
 
 def exposure_by_sector_year(exposure: DataFrame, sectors: DataFrame, s: Study,
@@ -55,13 +61,14 @@ def exposure_by_sector_year(exposure: DataFrame, sectors: DataFrame, s: Study,
 
 
 def _yearly_sector_events(spark: SparkSession, events: DataFrame, s: Study):
-    base = sector_month_counts(events, s)
+    base = shared(sector_month_counts(events, s))
     monthly = base.groupBy("month").agg(F.sum("n").alias("n"))
     cov = coverage_from_counts(spark, monthly, s.calendar_start, s.calendar_end, s.adequate_fraction)
     ok = cov.where("ok").select("month")
     acc = (base.join(F.broadcast(ok), "month")
                .groupBy(F.year("month").alias("year"), "sector4")
-               .agg(F.sum("n").alias("events"), F.sum("n_disease").alias("diseases")))
+               .agg(F.sum("n").alias("events"),
+                    F.coalesce(F.sum(F.when(F.col("dis"), F.col("n"))), F.lit(0)).alias("diseases")))
     return cov, acc
 
 
@@ -135,8 +142,8 @@ def rose_count(ranking: DataFrame, s: Study) -> DataFrame:
 def overall_rate_by_year(spark: SparkSession, events: DataFrame, exposure: DataFrame,
                          s: Study) -> DataFrame:
     """A5: city-wide annualised rate per year (same coverage rule as A4)."""
-    base = events.select(F.trunc("event_date", "month").alias("month")).groupBy("month") \
-                 .agg(F.count(F.lit(1)).alias("n"))
+    base = shared(events.select(F.trunc("event_date", "month").alias("month")).groupBy("month")
+                        .agg(F.count(F.lit(1)).alias("n")))
     cov = coverage_from_counts(spark, base, s.calendar_start, s.calendar_end, s.adequate_fraction)
     months = adequate_months_per_year(cov)
     acc = cov.where("ok").groupBy(F.year("month").alias("year")).agg(F.sum("n").cast("bigint").alias("events"))

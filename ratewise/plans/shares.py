@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ratewise.functions.exact import DEC, percent_half_up, ratio_half_up, round_double_half_up
 from ratewise.operators.joins import or_join_labels
 from ratewise.plans.coverage import comparable_months, coverage_from_counts
+from ratewise.plans.shared import shared
 from ratewise.sources.fixtures import Study
 
 
@@ -49,7 +50,7 @@ def _month_base(events: DataFrame, s: Study, keys: dict[str, Column]) -> DataFra
     """One aggregate of the fact: (month, in_period, *keys) → n."""
     cols = [F.trunc("event_date", "month").alias("month"), _period(s).alias("in_period")]
     cols += [c.alias(k) for k, c in keys.items()]
-    return events.select(*cols).groupBy("month", "in_period", *keys).agg(F.count(F.lit(1)).alias("n"))
+    return shared(events.select(*cols).groupBy("month", "in_period", *keys).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _comparables(spark: SparkSession, base: DataFrame, s: Study) -> DataFrame:
@@ -122,16 +123,22 @@ def diagnosis_categories(diagnoses: DataFrame) -> DataFrame:
 def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations: DataFrame,
                             diagnoses: DataFrame, s: Study, top: int = 30) -> DataFrame:
     """Occupation and diagnosis composition in one frame, NULL → 'NI', ranked per dimension."""
-    base = _month_base(events, s, {"occ": F.coalesce(F.col("occupation"), F.lit("NI")),
-                                   "diag": F.coalesce(diagnosis_category_dotless(), F.lit("NI"))})
-    comp_m = _comparables(spark, base, s)
-    cats = _is_comparable(base.where("in_period"), comp_m, s)
-    # SO1 without a second scan: each aggregated row feeds both dimensions
-    items = (cats.select(F.year("month").alias("year"), "comparable", "n",
-                         F.explode(F.array(F.struct(F.lit("occupation").alias("dimension"), F.col("occ").alias("code")),
-                                           F.struct(F.lit("diagnosis").alias("dimension"), F.col("diag").alias("code"))))
-                          .alias("it"))
-                 .select("it.dimension", "it.code", "year", "comparable", "n"))
+    # SO1 without a second scan: every event feeds both dimensions; the
+    # explode runs before the partial aggregation, so the cached aggregate
+    # has #months × (#occupations + #categories) rows, not their product
+    pairs = F.explode(F.array(
+        F.struct(F.lit("occupation").alias("dimension"),
+                 F.coalesce(F.col("occupation"), F.lit("NI")).alias("code")),
+        F.struct(F.lit("diagnosis").alias("dimension"),
+                 F.coalesce(diagnosis_category_dotless(), F.lit("NI")).alias("code"))))
+    base = shared(events.select(F.trunc("event_date", "month").alias("month"), _period(s).alias("in_period"),
+                                pairs.alias("it"))
+                        .groupBy("month", "in_period", F.col("it.dimension").alias("dimension"),
+                                 F.col("it.code").alias("code"))
+                        .agg(F.count(F.lit(1)).alias("n")))
+    comp_m = _comparables(spark, base.where(F.col("dimension") == "occupation"), s)
+    items = (_is_comparable(base.where("in_period"), comp_m, s)
+             .select("dimension", "code", F.year("month").alias("year"), "comparable", "n"))
     total = items.groupBy("dimension", "code").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("code").asc())
     total = (with_total(total, "n", ["dimension"], "_tot")
