@@ -578,7 +578,8 @@ SELECT strftime(c.month, '%Y-%m') AS month, c.n AS events, coalesce(s.n, 0) AS n
        CASE WHEN c.ok THEN {rq("coalesce(s.n, 0)", "c.n", 2)} END AS notices_per_event
 FROM cobertura c LEFT JOIN sinan s ON s.month = c.month"""
 # A14
-_R = "corr(CAST(c.n AS DOUBLE), CAST(coalesce(s.n, 0) AS DOUBLE))"
+_R = ("CASE WHEN var_pop(c.n) > 0 AND var_pop(coalesce(s.n, 0)) > 0 "
+      "THEN corr(CAST(c.n AS DOUBLE), CAST(coalesce(s.n, 0) AS DOUBLE)) END")
 Q["two_source_correlation"] = w(COV, _SINAN) + f"""
 SELECT count(*) AS months_used,
        sign({_R}) * floor(abs({_R}) * 100.0 + 0.5) / 100.0 AS correlation

@@ -49,3 +49,23 @@ def round_double_half_up(x: Column, scale: int) -> Column:
     """Half-away-from-zero rounding of a double (used for correlations only)."""
     p = float(10 ** scale)
     return F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)) / F.lit(p)
+
+
+def pearson_of_counts(x: Column, y: Column) -> Column:
+    """Pearson r of two integer series as an aggregate; NULL when either is constant.
+
+    Spark's ``corr`` fails under ANSI mode when a variance is zero; SQL
+    engines return NULL there.  With integer inputs the centred sums are
+    exact in decimal(38,0):
+
+        r = (nΣxy − ΣxΣy) / sqrt((nΣx² − (Σx)²) (nΣy² − (Σy)²))
+    """
+    n = F.count(x).cast(DEC)
+    xd, yd = x.cast(DEC), y.cast(DEC)
+    sx, sy = F.sum(xd), F.sum(yd)
+    sxy, sxx, syy = F.sum(xd * yd), F.sum(xd * xd), F.sum(yd * yd)
+    cxy = n * sxy - sx * sy
+    cxx = n * sxx - sx * sx
+    cyy = n * syy - sy * sy
+    return F.when((cxx > 0) & (cyy > 0),
+                  cxy.cast("double") / F.sqrt(cxx.cast("double") * cyy.cast("double")))

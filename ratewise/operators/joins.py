@@ -15,21 +15,22 @@ def or_join_labels(facts: DataFrame, dim: DataFrame, code: str = "code",
     matched through ``sub`` so no pair is produced twice.  Rows matching
     neither side survive with NULL labels (double anti-join).  A category
     code matches every subcategory row of the category, exactly as the OR
-    condition does (K8).  ``prefer_exact=True`` keeps one label per fact row
-    instead: the subcategory row if the code is a subcategory, else the first
-    category label — no fan-out.
+    condition does (K8).  ``prefer_exact=True`` keeps one row per fact row
+    instead: the subcategory's labels if the code is a subcategory, else only
+    the category label — no fan-out.
     """
     lab = list(labels)
     d = dim.select(F.col(sub).alias("_sub"), F.col(cat).alias("_cat"), *lab)
     if prefer_exact:
+        sub_l, cat_l = lab
         by_sub = d.select("_sub", *lab).dropDuplicates(["_sub"])
-        by_cat = (d.groupBy("_cat").agg(*[F.min(c).alias(c) for c in lab]))
+        by_cat = d.groupBy(F.col("_cat").alias("_kc")).agg(F.min(cat_l).alias("_k_cat"))
         x = facts.join(by_sub, facts[code] == F.col("_sub"), "left")
-        y = by_cat.select(F.col("_cat"), *[F.col(c).alias(f"_k_{c}") for c in lab])
-        x = x.join(y, x[code] == F.col("_cat"), "left")
+        x = x.join(by_cat, x[code] == F.col("_kc"), "left")
+        hit = F.col("_sub").isNotNull()
         return x.select(*facts.columns,
-                        *[F.when(F.col("_sub").isNotNull(), F.col(c)).otherwise(F.col(f"_k_{c}")).alias(c)
-                          for c in lab])
+                        F.when(hit, F.col(sub_l)).alias(sub_l),
+                        F.when(hit, F.col(cat_l)).otherwise(F.col("_k_cat")).alias(cat_l))
     by_sub = facts.join(d, facts[code] == F.col("_sub")).drop("_sub", "_cat")
     by_cat = facts.join(d, (facts[code] == F.col("_cat")) & ~facts[code].eqNullSafe(F.col("_sub"))) \
                   .drop("_sub", "_cat")

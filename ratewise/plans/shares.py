@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratewise.functions.exact import DEC, percent_half_up, ratio_half_up, round_double_half_up
+from ratewise.functions.exact import DEC, pearson_of_counts, percent_half_up, ratio_half_up, round_double_half_up
 from ratewise.operators.joins import or_join_labels
 from ratewise.plans.coverage import comparable_months, coverage_from_counts
 from ratewise.plans.shared import shared
@@ -392,5 +392,5 @@ def two_source_correlation(spark: SparkSession, events: DataFrame, notices: Data
     """Months used and Pearson r of the two monthly series over adequate months."""
     m = two_source_monthly(spark, events, notices, s).where("adequate")
     return m.agg(F.count(F.lit(1)).alias("months_used"),
-                 round_double_half_up(F.corr(F.col("events").cast("double"), F.col("notices").cast("double")), 2)
+                 round_double_half_up(pearson_of_counts(F.col("events"), F.col("notices")), 2)
                  .alias("correlation"))
