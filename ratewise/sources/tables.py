@@ -33,9 +33,10 @@ def scan_many_ordered(spark: SparkSession, path, schema: T.StructType, **opts) -
     The reference concatenates files sorted by name and keeps the last
     duplicate, so the order of rows matters.  Spark reads files in parallel in
     no particular order; the order is therefore made explicit as columns:
-    ``_file`` (file name, sorts like the reference's sorted list) and
-    ``_pos`` (byte offset of the split plus a per-split row counter), which
-    together give a total order consistent with (file, line) within a split.
+    ``_file`` (file name, sorts like the reference's sorted list),
+    ``_split`` (byte offset of the split inside the file) and ``_row`` (a
+    counter increasing with the row order inside a split); together they give
+    a total order consistent with (file, line).
     """
     df = scan_csv(spark, path, schema, **opts)
     return (df.withColumn("_file", F.col("_metadata.file_name"))
@@ -70,9 +71,15 @@ def land(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str]
         w.format(fmt).save(path)
 
 
-def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SK3: append rows to an existing table (batching = output partitions)."""
-    df.write.mode("append").format(fmt).save(path)
+def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
+    """SK3: append rows to an existing table (batching = output partitions).
+
+    ``partition_by`` must repeat the table's partition columns.
+    """
+    w = df.write.mode("append").format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(path)
 
 
 def publish(tables: dict[str, DataFrame], root: str, depends_on: dict[str, list[str]],
