@@ -60,8 +60,8 @@ def exposure_by_sector_year(exposure: DataFrame, sectors: DataFrame, s: Study,
                 .groupBy("year", "sector4").agg(F.sum("jobs").alias("jobs")))
 
 
-def _yearly_sector_events(spark: SparkSession, events: DataFrame, s: Study):
-    base = shared(sector_month_counts(events, s))
+def _yearly_sector_events(spark: SparkSession, events: DataFrame, s: Study, base: DataFrame | None = None):
+    base = base if base is not None else shared(sector_month_counts(events, s))
     monthly = base.groupBy("month").agg(F.sum("n").alias("n"))
     cov = coverage_from_counts(spark, monthly, s.calendar_start, s.calendar_end, s.adequate_fraction)
     ok = cov.where("ok").select("month")
@@ -73,9 +73,9 @@ def _yearly_sector_events(spark: SparkSession, events: DataFrame, s: Study):
 
 
 def sector_rate_table(spark: SparkSession, events: DataFrame, exposure: DataFrame,
-                      sectors: DataFrame, s: Study) -> DataFrame:
+                      sectors: DataFrame, s: Study, base: DataFrame | None = None) -> DataFrame:
     """A4 without the ranking cut: one row per qualifying sector, all columns."""
-    cov, acc = _yearly_sector_events(spark, events, s)
+    cov, acc = _yearly_sector_events(spark, events, s, base)
     months = adequate_months_per_year(cov)
     jobs = exposure_by_sector_year(exposure, sectors, s)
     rates = (jobs.join(F.broadcast(months), "year")
@@ -114,10 +114,10 @@ def sector_rate_table(spark: SparkSession, events: DataFrame, exposure: DataFram
 
 
 def sector_rate_ranking(spark: SparkSession, events: DataFrame, exposure: DataFrame,
-                        sectors: DataFrame, s: Study) -> DataFrame:
+                        sectors: DataFrame, s: Study, base: DataFrame | None = None) -> DataFrame:
     """A4: top sectors by last-year annualised rate per 1000 jobs."""
     last = max(s.rate_years)
-    t = sector_rate_table(spark, events, exposure, sectors, s)
+    t = sector_rate_table(spark, events, exposure, sectors, s, base)
     return t.orderBy(F.col(f"rate_{last}").desc_nulls_first(), F.col("sector").asc()).limit(s.top_n)
 
 
@@ -140,10 +140,15 @@ def rose_count(ranking: DataFrame, s: Study) -> DataFrame:
 
 
 def overall_rate_by_year(spark: SparkSession, events: DataFrame, exposure: DataFrame,
-                         s: Study) -> DataFrame:
-    """A5: city-wide annualised rate per year (same coverage rule as A4)."""
-    base = shared(events.select(F.trunc("event_date", "month").alias("month")).groupBy("month")
-                        .agg(F.count(F.lit(1)).alias("n")))
+                         s: Study, monthly: DataFrame | None = None) -> DataFrame:
+    """A5: city-wide annualised rate per year (same coverage rule as A4).
+
+    ``monthly`` may pass an existing (month, n) reduction of the same fact
+    (every event counted once, any sector) so the fact is not read again.
+    """
+    base = monthly if monthly is not None else shared(
+        events.select(F.trunc("event_date", "month").alias("month")).groupBy("month")
+              .agg(F.count(F.lit(1)).alias("n")))
     cov = coverage_from_counts(spark, base, s.calendar_start, s.calendar_end, s.adequate_fraction)
     months = adequate_months_per_year(cov)
     acc = cov.where("ok").groupBy(F.year("month").alias("year")).agg(F.sum("n").cast("bigint").alias("events"))
@@ -161,9 +166,11 @@ def ratio_to_overall(spark: SparkSession, events: DataFrame, exposure: DataFrame
     Computed from the displayed (rounded to 0.1) rates, as the reference page does.
     """
     first, last = min(s.rate_years), max(s.rate_years)
-    top = sector_rate_ranking(spark, events, exposure, sectors, s).limit(1) \
+    base = shared(sector_month_counts(events, s))      # one read of the fact for both rates
+    top = sector_rate_ranking(spark, events, exposure, sectors, s, base).limit(1) \
         .select("sector", "label", F.col(f"rate_{last}").alias("top_rate"))
-    city = overall_rate_by_year(spark, events, exposure, s)
+    city = overall_rate_by_year(spark, events, exposure, s,
+                                monthly=base.groupBy("month").agg(F.sum("n").alias("n")))
     piv = city.agg(F.max(F.when(F.col("year") == last, F.col("rate"))).alias("city_rate"),
                    F.max(F.when(F.col("year") == first, F.col("rate"))).alias("city_first"))
     # rates carry one decimal: scale by 10 to integers, then exact ratio

@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """SC4: read one parquet table of a data folder."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
+def scan_table(spark: SparkSession, root: str, name: str, refresh: bool = False) -> DataFrame:
+    """SC4: read one parquet table of a data folder.
+
+    The DataFrame (file listing and footer schema) is kept per session and
+    path, the way a catalog table is registered once: inputs are immutable
+    snapshots.  ``refresh=True`` lists the files again.
+    """
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if refresh or key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
 
 
 def scan_csv(spark: SparkSession, path, schema: T.StructType, sep: str = ";",
