@@ -11,8 +11,9 @@ Scale notes
   and the per-sector counts are derived from that one aggregate;
 * the exposure fact is reduced to (year, sector) sums by a partial/final
   aggregate before any join;
-* joined frames are bounded by #months × #sectors; the sector dimension,
-  the calendar and the coverage frame are the broadcast sides.
+* joined frames are bounded by #months × #sectors; the calendar, the
+  coverage frame and one-row totals are broadcast by hint (bounded by
+  construction); the sector dimension is left to the planner's size check.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def exposure_by_sector_year(exposure: DataFrame, sectors: DataFrame, s: Study,
     if positive_only:
         ex = ex.where(F.col("jobs") > 0)
     per5 = ex.groupBy("year", "sector5").agg(F.sum("jobs").alias("jobs"))
-    return (per5.join(F.broadcast(sectors.select("sector5", "sector4")), "sector5")
+    return (per5.join(sectors.select("sector5", "sector4"), "sector5")
                 .groupBy("year", "sector4").agg(F.sum("jobs").alias("jobs")))
 
 
@@ -105,7 +106,7 @@ def sector_rate_table(spark: SparkSession, events: DataFrame, exposure: DataFram
     d = lambda c: c.cast(DEC)
     change = ratio_half_up(F.lit(12000).cast(DEC) * (d(e_l) * d(j_f) * d(m_f) - d(e_f) * d(j_l) * d(m_l)),
                            d(j_l) * d(m_l) * d(j_f) * d(m_f), 1)
-    out = per.join(F.broadcast(sectors.select("sector4", "label")), "sector4")
+    out = per.join(sectors.select("sector4", "label"), "sector4")
     cols = [F.col("sector4").alias("sector"), "label", F.col("jobs_last").cast("bigint").alias(f"jobs_{last}"),
             "events", "diseases"]
     cols += [_rate(F.col(f"_e{y}"), F.col(f"_j{y}"), F.col(f"_m{y}")).alias(f"rate_{y}") for y in s.rate_years]
@@ -215,7 +216,7 @@ def expected_vs_observed_table(events: DataFrame, exposure: DataFrame, sectors:
     E, J = F.col("E").cast(DEC), F.col("J").cast(DEC)
     return (jobs.crossJoin(F.broadcast(tot_e)).crossJoin(F.broadcast(tot_j))
                 .join(acc, "sector4", "left")
-                .join(F.broadcast(sectors.select("sector4", "label", "section")), "sector4")
+                .join(sectors.select("sector4", "label", "section"), "sector4")
                 .where(F.col("job_years") >= s.min_job_years)
                 .select(F.col("sector4").alias("sector"), "label", "section",
                         F.col("job_years").cast("bigint").alias("job_years"),

@@ -3,7 +3,9 @@
 Every operator reduces the fact to counts per (small) key first — a single
 scan with partial aggregation — and computes shares on that aggregate.
 Totals come from a one-row (or one-row-per-partition-key) aggregate joined
-back as the broadcast side, so no window ever spans raw rows, and the only
+back as the broadcast side; dimensions supplied by the caller get no hint
+(the planner broadcasts them only when their measured size is under the
+threshold), so no window ever spans raw rows, and the only
 ordered windows (cumulative share, ranking) run per dimension on the
 aggregated frame, whose size is bounded by the number of distinct codes.
 """
@@ -33,7 +35,9 @@ def with_total(df: DataFrame, n: str, by: list[str] | None = None, name: str = "
     """Attach sum(n) over the whole frame (or per ``by`` key) as ``name``.
 
     Equivalent to ``sum(n) OVER (PARTITION BY by)`` but computed as an
-    aggregate joined back, which never funnels the frame into one task.
+    aggregate joined back, which never funnels the frame into one task.  The
+    totals are broadcast: ``by`` must be a low-cardinality key (dimension,
+    year), so the total frame is bounded by construction.
     """
     if by:
         tot = df.groupBy(*by).agg(F.sum(n).alias(name))
@@ -155,7 +159,7 @@ def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations:
                           .withColumn("dimension", F.lit("diagnosis"))))
     out = (total.where(F.col("ranking") <= top)
                 .join(pct, ["dimension", "code"], "left")
-                .join(F.broadcast(descr), ["dimension", "code"], "left"))
+                .join(descr, ["dimension", "code"], "left"))
     return out.select(
         "dimension", F.col("ranking").cast("bigint").alias("ranking"), "code",
         F.when(F.col("code") == "NI", F.lit("not informed"))
@@ -242,7 +246,7 @@ def sector_counts_by_type(events: DataFrame, sectors: DataFrame, s: Study, n: in
     """Events per sector (inner join, K10), % of the matched total, three kinds."""
     per = (events.where(_period(s)).groupBy(F.col("sector").alias("sector4"))
                  .agg(F.count(F.lit(1)).alias("events"), *_kind_counts(s)))
-    j = per.join(F.broadcast(sectors.select("sector4", "label")), "sector4")
+    j = per.join(sectors.select("sector4", "label"), "sector4")
     return (with_total(j, "events", name="_tot")
             .select(F.col("sector4").alias("sector"), "label", "events",
                     percent_half_up(F.col("events"), F.col("_tot"), 1).alias("pct_total"),
@@ -282,7 +286,7 @@ def exposure_by_area(exposure: DataFrame, year: int, n: int = 15) -> DataFrame:
 def residence_share(notices: DataFrame, places: DataFrame, s: Study) -> DataFrame:
     """Named places, everything else bucketed, count and %."""
     per = notices.where(_period(s)).groupBy("residence").agg(F.count(F.lit(1)).alias("n"))
-    j = per.join(F.broadcast(places), per.residence == places.code, "left")
+    j = per.join(places, per.residence == places.code, "left")
     g = j.groupBy(F.coalesce("name", F.lit(s.other_places)).alias("place")).agg(F.sum("n").cast("bigint").alias("notices"))
     return with_total(g, "notices", name="_tot").select(
         "place", "notices", percent_half_up(F.col("notices"), F.col("_tot"), 1).alias("pct"))
@@ -366,7 +370,7 @@ def counts_by_section(events: DataFrame, sectors: DataFrame, s: Study, names: di
                       n: int = 8) -> DataFrame:
     """Events per top-level section with its display name (JN15), %, top n."""
     per = events.where(_period(s)).groupBy(F.col("sector").alias("sector4")).agg(F.count(F.lit(1)).alias("n"))
-    g = (per.join(F.broadcast(sectors.select("sector4", "section")), "sector4")
+    g = (per.join(sectors.select("sector4", "section"), "sector4")
             .groupBy("section").agg(F.sum("n").cast("bigint").alias("events")))
     m = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
     return (with_total(g, "events", name="_tot")
