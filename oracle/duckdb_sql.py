@@ -696,5 +696,19 @@ Q["table_counts"] = "\nUNION ALL\n".join(
               "embeddings pages benchmark labels conversations").split())
 
 
+Q["not_null_check"] = w() + """
+SELECT count(*) FILTER (WHERE event_date IS NULL) AS event_date_nulls,
+       count(*) FILTER (WHERE sector IS NULL) AS sector_nulls,
+       count(*) FILTER (WHERE occupation IS NULL) AS occupation_nulls,
+       count(*) FILTER (WHERE diag_code IS NULL) AS diag_code_nulls
+FROM events_fact"""
+
+Q["orphan_rows"] = w() + """
+SELECT f.event_id, f.occupation
+FROM events_fact f
+WHERE f.occupation IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM occupations o WHERE o.code = f.occupation)"""
+
+
 def oracle_queries() -> dict[str, str]:
     return dict(Q)

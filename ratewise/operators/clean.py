@@ -124,7 +124,46 @@ def build_events(raw: DataFrame, key: list[str], order: list[str], diag_col: str
 
 
 def build_sector_dim(sheet: DataFrame, levels: list[str], order: str, header_col: str,
-                     header_value: str, leaf_col: str, code_col: str) -> DataFrame:
-    """CL17 (sector dimension): hierarchy fill-down then 5/4-char keys."""
-    leaves = fill_hierarchy(sheet, levels, order, header_col, header_value, leaf_col)
-    return hierarchy_keys(leaves, code_col)
+                     header_value: str, leaf_col: str, code_col: str, name_col: str,
+                     top_col: str, pad_col: str | None = None, dotted_col: str | None = None,
+                     unknown: dict | None = None) -> DataFrame:
+    """CL17 (sector dimension) from a paginated hierarchy sheet.
+
+    Drops repeated header rows and title rows (text in ``top_col`` but no
+    ``name_col``) *before* the fill-down, so a title never leaks into the rows
+    below it; forward-fills ``levels`` in sheet order; keeps the leaf rows;
+    zero-pads ``pad_col`` to 2, removes dots from ``dotted_col``; derives the
+    5- and 4-character keys from ``code_col``; appends the unknown member.
+    """
+    body = sheet.where(F.col(name_col).isNotNull() | F.col(top_col).isNull())
+    leaves = fill_hierarchy(body, levels, order, header_col, header_value, leaf_col)
+    if pad_col:
+        leaves = pad_code(leaves, pad_col, 2)
+    if dotted_col:
+        leaves = leaves.withColumn(dotted_col, tx.remove_chars(dotted_col, "."))
+    out = hierarchy_keys(leaves, code_col)
+    return add_unknown_member(out, unknown) if unknown else out
+
+
+def build_occupations(raw: DataFrame, code_col: str, label_col: str,
+                      unknown_code: str = "999999", unknown_label: str = "not classified") -> DataFrame:
+    """CL17 (occupation dimension): rename to (code, label) and add the unknown member."""
+    dim = raw.select(F.col(code_col).alias("code"), F.col(label_col).alias("label"))
+    return add_unknown_member(dim, {"code": unknown_code, "label": unknown_label})
+
+
+def build_exposure(raw: DataFrame, drop: list[str], subclass_col: str, class_col: str) -> DataFrame:
+    """CL17 (exposure / movements): drop redundant columns, derive the 5-char class."""
+    return derive_class(raw.drop(*drop), subclass_col, class_col, 5)
+
+
+def build_notifications(raw: DataFrame, category_cols: list[str], date_cols: list[str],
+                        drop: list[str] | None = None) -> DataFrame:
+    """CL17 (notifications): lower-case names, drop empty columns, strip the
+    trailing dot of category-level codes, parse ISO dates (bad → NULL)."""
+    df = rename_snake(raw)
+    if drop:
+        df = df.drop(*drop)
+    for c in category_cols:
+        df = strip_category_dot(df, c)
+    return parse_dates(df, date_cols, fmt=None)

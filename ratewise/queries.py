@@ -347,3 +347,20 @@ QUERIES.update({
     "one_to_one": q_one_to_one,
     "table_counts": q_table_counts,
 })
+
+
+def q_not_null_check(spark, d):
+    """DQ2: NULLs in required columns of the event fact (quarantine sizes)."""
+    return dq.not_null_counts(fx.events_fact(spark, d), ["event_date", "sector", "occupation", "diag_code"])
+
+
+def q_orphan_rows(spark, d):
+    """DQ3 listing: events whose occupation code has no dimension row."""
+    return dq.orphan_rows(fx.events_fact(spark, d).select("event_id", "occupation"), "occupation",
+                          fx.occupations(spark, d), "code")
+
+
+QUERIES.update({
+    "not_null_check": q_not_null_check,
+    "orphan_rows": q_orphan_rows,
+})

@@ -61,21 +61,44 @@ def test_fill_forward_matches_pandas(spark, sf_dir, chunk):
     assert ((m.v_s == m.v_p) | (m.v_s.isna() & m.v_p.isna())).all()
 
 
-def test_fill_hierarchy_drops_headers_and_keeps_leaves(spark):
+def test_sector_dim_drops_headers_and_titles_before_fill(spark):
     sheet = spark.createDataFrame([
-        (1, "Section", "Division", "Class", None),
-        (2, "A", None, None, None),
-        (3, None, "01", None, None),
-        (4, None, None, "01.11-3", "Cereal"),
-        (5, "Section", "Division", "Class", None),       # repeated header
-        (6, None, None, "01.12-1", "Rice"),
-        (7, "B", "05", None, None),
-        (8, None, None, "05.00-3", "Coal"),
-    ], "pos int, section string, division string, class string, name string")
-    out = cl.build_sector_dim(sheet, ["section", "division"], "pos", "section", "Section", "name", "class")
-    got = sorted((r["class"], r.section, r.division, r.class5, r.class4) for r in out.collect())
-    assert got == [("01.11-3", "A", "01", "01113", "0111"), ("01.12-1", "A", "01", "01121", "0112"),
-                   ("05.00-3", "B", "05", "05003", "0500")]
+        (1, "Seção", "Divisão", "Grupo", "Classe", None),            # header
+        (2, "A", None, None, None, "Agriculture"),
+        (3, None, "1", None, None, "Crops"),
+        (4, None, None, "01.1", None, "Annual crops"),
+        (5, None, None, None, "01.11-3", "Cereal"),
+        (6, "2.2 - detailed structure", None, None, None, None),     # title row
+        (7, "Seção", "Divisão", "Grupo", "Classe", None),            # repeated header
+        (8, None, None, None, "01.12-1", "Rice"),
+        (9, "B", None, None, None, "Mining"),
+        (10, None, "5", None, None, "Coal"),
+        (11, None, None, "05.0", None, "Coal mining"),
+        (12, None, None, None, "05.00-3", "Coal"),
+    ], "pos int, section string, division string, grp string, class string, name string")
+    out = cl.build_sector_dim(sheet, ["section", "division", "grp"], "pos", "grp", "Grupo", "class",
+                              "class", "name", "section", pad_col="division", dotted_col="grp",
+                              unknown={"class5": "99999", "class4": "9999", "name": "not classified"})
+    got = sorted((r["class"] or "", r.section or "", r.division or "", r.grp or "", r.class5, r.class4)
+                 for r in out.collect())
+    assert got == [("", "", "", "", "99999", "9999"),
+                   ("01.11-3", "A", "01", "011", "01113", "0111"),
+                   ("01.12-1", "A", "01", "011", "01121", "0112"),
+                   ("05.00-3", "B", "05", "050", "05003", "0500")]
+
+
+def test_other_builders(spark):
+    occ = cl.build_occupations(spark.createDataFrame([("010105", "Officer")], "CODIGO string, TITULO string"),
+                               "CODIGO", "TITULO")
+    assert sorted(tuple(r) for r in occ.collect()) == [("010105", "Officer"), ("999999", "not classified")]
+    ex = cl.build_exposure(spark.createDataFrame([("8610101", "x", 3)], "sub string, descr string, jobs int"),
+                           ["descr"], "sub", "class5")
+    assert ex.columns == ["sub", "jobs", "class5"] and ex.first().class5 == "86101"
+    no = spark.createDataFrame([("V89.", "S62", "2023-05-01", "bad", None)],
+                               "CID_ACID string, CID_LESAO string, DT_ACID string, DT_NOTIFIC string, EVO_OUTR string")
+    b = cl.build_notifications(no, ["cid_acid", "cid_lesao"], ["dt_acid", "dt_notific"], drop=["evo_outr"]).first()
+    assert (b.cid_acid, b.cid_lesao, b.dt_acid, b.dt_notific) == ("V89", "S62", dt.date(2023, 5, 1), None)
+    assert "evo_outr" not in b.asDict()
 
 
 def test_decode_dictionary_distinct_and_unmatched(spark):
