@@ -289,7 +289,7 @@ FROM (SELECT *, section AS big0,
              coalesce(CASE section WHEN 'A' THEN 'Section A' WHEN 'B' THEN 'Section B'
                                    WHEN 'C' THEN 'Section C' END, section) AS big_sector
       FROM tabela)
-WHERE big_sector NOT IN ('Section B')
+WHERE (big_sector NOT IN ('Section B') OR big_sector IS NULL)
 ORDER BY gap DESC NULLS LAST, sector LIMIT 15"""
 
 

@@ -244,7 +244,8 @@ def gap_filtered(events: DataFrame, exposure: DataFrame, sectors: DataFrame, s:
         big = F.col("section")
     t = t.withColumn("big_sector", big)
     if exclude:
-        t = t.where(~F.col("big_sector").isin(list(exclude)))
+        # PF11: an exclusion list keeps rows whose value is NULL (pandas ~isin)
+        t = t.where(~F.col("big_sector").isin(list(exclude)) | F.col("big_sector").isNull())
     group = F.when(F.col("observed_over_expected") < 0.5, F.lit("below half")) \
              .when(F.col("observed_over_expected") >= 0.5, F.lit("half or more"))
     return (t.withColumn("group", group).drop("section")

@@ -321,3 +321,13 @@ def test_two_source_ratio_only_in_adequate_months(spark):
     assert rows["2023-03"].adequate is False and rows["2023-03"].notices_per_event is None
     c = sh.two_source_correlation(spark, ev, no, s).collect()[0]
     assert c.months_used == 2
+
+
+def test_pf11_exclusion_keeps_null_sections(spark):
+    s = Study(period_start="2023-01-01", period_end="2023-12-31", rate_years=(2023,), min_job_years=0)
+    ev = events(spark, many(D(2023, 3), 10, sector=1) + many(D(2023, 3), 5, sector=2))
+    ex = _exposure(spark, [(2023, 1, 1000, 0, "a"), (2023, 2, 1000, 0, "b")])
+    sec = spark.createDataFrame([(1, 1, "S1", "A"), (2, 2, "S2", None)],
+                                "sector4 int, sector5 int, label string, section string")
+    got = sorted((r.sector, r.big_sector) for r in rt.gap_filtered(ev, ex, sec, s, {"A": "Agro"}, ["Agro"], 10).collect())
+    assert got == [(2, None)]
