@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def scan_table(spark: SparkSession, root: str, name: str, refresh: bool = False) -> DataFrame:
@@ -20,10 +21,10 @@ def scan_table(spark: SparkSession, root: str, name: str, refresh: bool = False)
     snapshots.  ``refresh=True`` lists the files again.
     """
     path = f"{root.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if refresh or key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+    per_session = _SCANS.setdefault(spark, {})
+    if refresh or path not in per_session:
+        per_session[path] = spark.read.parquet(path)
+    return per_session[path]
 
 
 def scan_csv(spark: SparkSession, path, schema: T.StructType, sep: str = ";",
