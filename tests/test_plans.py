@@ -67,10 +67,12 @@ def raw_scan_below_without_aggregate(node) -> bool:
 
 
 def executed(spark, name, sf_dir):
+    """Run the query through its own QueryExecution and return the final adaptive plan."""
     df = E.queries()[name](spark, sf_dir)
-    df.write.format("noop").mode("overwrite").save()
-    qe = df._jdf.queryExecution()
-    return qe.executedPlan()
+    df.collect()                      # same QueryExecution as inspected below (sf0.001: small)
+    plan = df._jdf.queryExecution().executedPlan()
+    assert "isFinalPlan=true" in plan.toString().splitlines()[0], "adaptive plan not final"
+    return plan
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
