@@ -46,8 +46,8 @@ def dedup_rate(before: DataFrame, after: DataFrame) -> DataFrame:
     """DQ9: rows before and after dedup, removed and % removed."""
     from ratewise.functions.exact import percent_half_up
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    return (b.crossJoin(a)
+    a = after.agg(F.count(F.lit(1))).scalar()
+    return (b.withColumn("rows_after", a)
              .withColumn("removed", F.col("rows_before") - F.col("rows_after"))
              .withColumn("pct_removed", percent_half_up(F.col("removed"), F.col("rows_before"), 1)))
 

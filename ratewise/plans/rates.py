@@ -172,13 +172,14 @@ def ratio_to_overall(spark: SparkSession, events: DataFrame, exposure: DataFrame
         .select("sector", "label", F.col(f"rate_{last}").alias("top_rate"))
     city = overall_rate_by_year(spark, events, exposure, s,
                                 monthly=base.groupBy("month").agg(F.sum("n").alias("n")))
-    piv = city.agg(F.max(F.when(F.col("year") == last, F.col("rate"))).alias("city_rate"),
-                   F.max(F.when(F.col("year") == first, F.col("rate"))).alias("city_first"))
+    # one-row city rates as a scalar subquery (PF18), not a join
+    piv = city.agg(F.struct(F.max(F.when(F.col("year") == last, F.col("rate"))).alias("last"),
+                            F.max(F.when(F.col("year") == first, F.col("rate"))).alias("first"))).scalar()
     # rates carry one decimal: scale by 10 to integers, then exact ratio
     t10 = F.round(F.col("top_rate") * 10).cast("bigint")
     c10 = F.round(F.col("city_rate") * 10).cast("bigint")
     f10 = F.round(F.col("city_first") * 10).cast("bigint")
-    return top.crossJoin(F.broadcast(piv)).select(
+    return top.withColumns({"city_rate": piv.getField("last"), "city_first": piv.getField("first")}).select(
         "sector", "label", "top_rate", "city_rate",
         ratio_half_up(t10, c10, 1).alias("times_city"),
         ((c10 - f10).cast("double") / F.lit(10.0)).alias("city_change"))
@@ -209,13 +210,12 @@ def expected_vs_observed_table(events: DataFrame, exposure: DataFrame, sectors:
                  .groupBy(F.col("sector").alias("sector4")).agg(F.count(F.lit(1)).alias("events")))
     jobs = (exposure_by_sector_year(exposure, sectors, s)
             .groupBy("sector4").agg(F.sum("jobs").alias("job_years")))
-    tot_e = acc.agg(F.sum("events").alias("E"))
-    tot_j = jobs.agg(F.sum("job_years").alias("J"))
+    # grand totals (AG12) as scalar subqueries: evaluated once, no join
+    E = acc.agg(F.sum("events")).scalar().cast(DEC)
+    J = jobs.agg(F.sum("job_years")).scalar().cast(DEC)
     v = F.col("job_years").cast(DEC)
     a = F.coalesce(F.col("events"), F.lit(0)).cast(DEC)
-    E, J = F.col("E").cast(DEC), F.col("J").cast(DEC)
-    return (jobs.crossJoin(F.broadcast(tot_e)).crossJoin(F.broadcast(tot_j))
-                .join(acc, "sector4", "left")
+    return (jobs.join(acc, "sector4", "left")
                 .join(sectors.select("sector4", "label", "section"), "sector4")
                 .where(F.col("job_years") >= s.min_job_years)
                 .select(F.col("sector4").alias("sector"), "label", "section",

@@ -7,6 +7,15 @@ does not happen: each branch would scan and join the fact again.  The
 aggregate itself is bounded by (#months × #codes), so it is cached: the fact
 is read once per query and every branch reads the cached aggregate.  If an
 executor is lost, the missing cached blocks are recomputed from lineage.
+
+The bound is then measured, not assumed: the cached aggregate is counted
+(this also materialises it once, before the branches run concurrently) and
+its readers get ``ceil(rows / rows_per_partition)`` partitions.  A few
+thousand rows become one partition, so the joins and aggregations of the
+branches above it need no exchange at all (a single-partition child already
+satisfies every distribution); a large aggregate keeps as many partitions as
+its size needs.  The final aggregation that builds the cache still runs with
+the full shuffle parallelism: only its bounded output is narrowed.
 """
 
 from __future__ import annotations
@@ -14,7 +23,11 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+ROWS_PER_PARTITION = 1_000_000
+
 
-def shared(reduced: DataFrame) -> DataFrame:
+def shared(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """Cache a small aggregate that several branches of one query read."""
-    return reduced.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = reduced.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cached.count()
+    return cached.coalesce(max(1, -(-rows // rows_per_partition)))

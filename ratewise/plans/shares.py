@@ -42,8 +42,7 @@ def with_total(df: DataFrame, n: str, by: list[str] | None = None, name: str = "
     if by:
         tot = df.groupBy(*by).agg(F.sum(n).alias(name))
         return df.join(F.broadcast(tot), by)
-    tot = df.agg(F.sum(n).alias(name))
-    return df.crossJoin(F.broadcast(tot))
+    return df.withColumn(name, df.agg(F.sum(n)).scalar())
 
 
 def _period(s: Study) -> Column:
@@ -86,11 +85,11 @@ def composition_share(spark: SparkSession, events: DataFrame, code: Column, dim:
     y0, y1 = s.compare_years
     flagged = _is_comparable(base.where(F.year("month").isin(y0, y1)), comp_m, s).where("comparable")
     comp = flagged.groupBy(F.year("month").alias("year"), "code").agg(F.sum("n").alias("n"))
-    ytot = comp.groupBy().agg(F.sum(F.when(F.col("year") == y0, F.col("n"))).alias("T0"),
-                              F.sum(F.when(F.col("year") == y1, F.col("n"))).alias("T1"))
+    ytot = comp.agg(F.struct(F.sum(F.when(F.col("year") == y0, F.col("n"))).alias("T0"),
+                             F.sum(F.when(F.col("year") == y1, F.col("n"))).alias("T1"))).scalar()
     pct = (comp.groupBy("code").agg(F.sum(F.when(F.col("year") == y0, F.col("n"))).alias("c0"),
                                     F.sum(F.when(F.col("year") == y1, F.col("n"))).alias("c1"))
-               .crossJoin(F.broadcast(ytot)))
+               .withColumns({"T0": ytot.getField("T0"), "T1": ytot.getField("T1")}))
     w = Window.orderBy(F.col("n").desc(), F.col("code").asc_nulls_last()) \
               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = with_total(total, "n", name="_tot").withColumn("run", F.sum("n").over(w))

@@ -144,6 +144,22 @@ def test_strip_text_all_string_columns(spark):
     assert tuple(cl.strip_text(df).first()) == ("a b", 1, "x")
 
 
+def test_strip_ws_equals_python_strip_on_whole_documents(spark, sf_dir):
+    """SF2 over every whole document text, against Python ``str.strip`` (brute force)."""
+    docs = tb.scan_table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = {r.doc_id: r.t for r in docs.select("doc_id", tx.strip_ws("text").alias("t")).collect()}
+    want = {r.doc_id: (None if r.text is None else r.text.strip()) for r in docs.collect()}
+    assert got == want
+
+
+def test_strip_ws_every_whitespace_code_point(spark):
+    ws = tx.WHITESPACE
+    vals = [ws + "a" + ws + "b" + ws, "　x\x1c", "​ y ​", "", ws, None]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [r.t for r in df.select(tx.strip_ws("s").alias("t")).collect()]
+    assert got == [None if v is None else v.strip() for v in vals]
+
+
 def test_unknown_member_and_snake_names(spark):
     dim = spark.createDataFrame([("01", "Agro")], "CODE string, Title string")
     dim = cl.rename_snake(dim, {"Title": "label"})
