@@ -194,3 +194,17 @@ def test_quality_checks(spark):
     oo = dq.one_to_one(spark.createDataFrame([("0111", "01113"), ("0111", "01114"), ("0112", "01121")],
                                              "k4 string, k5 string"), "k4", "k5").first()
     assert (oo.short_keys, oo.ambiguous_keys) == (2, 1)
+
+
+def test_top_n_per_group_matches_pandas(spark, sf_dir):
+    """SL4/WN6: first n rows per group (explicit tie-break) against pandas."""
+    li = tb.scan_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    order = [F.col("l_quantity").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()]
+    got = sorted((r.l_suppkey, r.l_orderkey, r.l_linenumber, r.ranking)
+                 for r in wn.top_n_per_group(li, ["l_suppkey"], order, 3).collect())
+    pdf = li.toPandas().sort_values(["l_suppkey", "l_quantity", "l_orderkey", "l_linenumber"],
+                                    ascending=[True, False, True, True])
+    pdf["ranking"] = pdf.groupby("l_suppkey").cumcount() + 1
+    want = sorted((int(a), int(b), int(c), int(d)) for a, b, c, d in
+                  pdf[pdf.ranking <= 3][["l_suppkey", "l_orderkey", "l_linenumber", "ranking"]].itertuples(index=False))
+    assert got == want
