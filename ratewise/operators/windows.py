@@ -12,6 +12,9 @@ does not end up sorted inside a single task:
   (``chunk``), fills inside each (group, chunk) with a window, then carries
   the last non-null value of earlier chunks through a second window over the
   per-chunk summary, which has one row per (group, chunk) only.
+* ``running_sum`` (cumulative share, ranking) on a key set too large for one
+  task range-partitions the rows on the sort order, sums inside each range,
+  and adds the total of all earlier ranges from a one-row-per-range summary.
 """
 
 from __future__ import annotations
@@ -95,3 +98,36 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     """SL4/WN6: first n rows per group (row_number ≤ n → WindowGroupLimit)."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("ranking", F.row_number().over(w)).where(F.col("ranking") <= n)
+
+
+def running_sum(df: DataFrame, value, order: list[Column], out: str,
+                by: list[str] | None = None, ranges: int = 1) -> DataFrame:
+    """WN3/WN5: cumulative sum of ``value`` in ``order`` (within ``by``),
+    ROWS frame; ``order`` must be a total order (end it with a unique key).
+
+    ``ranges=1`` is one window per ``by`` group, for a frame whose size was
+    measured to fit one task.  With ``ranges > 1`` no group is sorted in one
+    task: the rows are range-partitioned on (by, order) into ``ranges``
+    ordered ranges (sampled bounds, so a large group is split across
+    ranges), each range computes a local running sum, and the offset of a
+    range is the prefix sum of the per-(group, range) totals of the earlier
+    ranges — a summary of at most #groups × ``ranges`` rows.
+    """
+    by = list(by or [])
+    v = F.col(value) if isinstance(value, str) else value
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if ranges <= 1:
+        return df.withColumn(out, F.sum(v).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)))
+    # the range id must be fixed once for both branches below: cache it
+    r = (df.repartitionByRange(ranges, *[F.col(b) for b in by], *order)
+           .withColumn("_range", F.spark_partition_id())
+           .withColumn("_v", v)
+           .persist())
+    local = r.withColumn("_local", F.sum("_v").over(
+        Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(*upto)))
+    per = r.groupBy(*by, "_range").agg(F.sum("_v").alias("_rt"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*by, "_range", F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_off"))
+    return (local.join(F.broadcast(offsets), [*by, "_range"])
+                 .withColumn(out, F.col("_off") + F.col("_local"))
+                 .drop("_range", "_v", "_local", "_off"))

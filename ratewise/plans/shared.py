@@ -26,8 +26,18 @@ from pyspark.sql import DataFrame
 ROWS_PER_PARTITION = 1_000_000
 
 
-def shared(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Cache a small aggregate that several branches of one query read."""
+def partitions_for(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Partitions needed for a frame of ``rows`` rows (at least one)."""
+    return max(1, -(-rows // rows_per_partition))
+
+
+def measured(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
+    """Cache an aggregate, count it, and return it sized to its rows, with the count."""
     cached = reduced.persist(StorageLevel.MEMORY_AND_DISK)
     rows = cached.count()
-    return cached.coalesce(max(1, -(-rows // rows_per_partition)))
+    return cached.coalesce(partitions_for(rows, rows_per_partition)), rows
+
+
+def shared(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Cache a small aggregate that several branches of one query read."""
+    return measured(reduced, rows_per_partition)[0]

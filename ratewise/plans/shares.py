@@ -5,20 +5,22 @@ scan with partial aggregation — and computes shares on that aggregate.
 Totals come from a one-row (or one-row-per-partition-key) aggregate joined
 back as the broadcast side; dimensions supplied by the caller get no hint
 (the planner broadcasts them only when their measured size is under the
-threshold), so no window ever spans raw rows, and the only
-ordered windows (cumulative share, ranking) run per dimension on the
-aggregated frame, whose size is bounded by the number of distinct codes.
+threshold), so no window ever spans raw rows.  The ordered computations
+(cumulative share, ranking) run on the per-code aggregate with
+``running_sum``: one window when the measured aggregate fits one task,
+range-partitioned pieces with carried offsets when it does not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.functions.exact import DEC, pearson_of_counts, percent_half_up, ratio_half_up, round_double_half_up
 from ratewise.operators.joins import or_join_labels
 from ratewise.plans.coverage import comparable_months, coverage_from_counts
-from ratewise.plans.shared import shared
+from ratewise.operators.windows import running_sum
+from ratewise.plans.shared import measured, partitions_for
 from ratewise.sources.fixtures import Study
 
 
@@ -49,11 +51,11 @@ def _period(s: Study) -> Column:
     return F.col("event_date").between(F.lit(s.period_start).cast("date"), F.lit(s.period_end).cast("date"))
 
 
-def _month_base(events: DataFrame, s: Study, keys: dict[str, Column]) -> DataFrame:
-    """One aggregate of the fact: (month, in_period, *keys) → n."""
+def _month_base(events: DataFrame, s: Study, keys: dict[str, Column]) -> tuple[DataFrame, int]:
+    """One aggregate of the fact: (month, in_period, *keys) → n, cached, with its row count."""
     cols = [F.trunc("event_date", "month").alias("month"), _period(s).alias("in_period")]
     cols += [c.alias(k) for k, c in keys.items()]
-    return shared(events.select(*cols).groupBy("month", "in_period", *keys).agg(F.count(F.lit(1)).alias("n")))
+    return measured(events.select(*cols).groupBy("month", "in_period", *keys).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _comparables(spark: SparkSession, base: DataFrame, s: Study) -> DataFrame:
@@ -79,7 +81,7 @@ def composition_share(spark: SparkSession, events: DataFrame, code: Column, dim:
     totals but never matches in the yearly shares or labels (K3, SQL USING
     semantics); yearly denominators include every code (K4).
     """
-    base = _month_base(events, s, {"code": code})
+    base, rows = _month_base(events, s, {"code": code})
     comp_m = _comparables(spark, base, s)
     total = base.where("in_period").groupBy("code").agg(F.sum("n").alias("n"))
     y0, y1 = s.compare_years
@@ -90,9 +92,9 @@ def composition_share(spark: SparkSession, events: DataFrame, code: Column, dim:
     pct = (comp.groupBy("code").agg(F.sum(F.when(F.col("year") == y0, F.col("n"))).alias("c0"),
                                     F.sum(F.when(F.col("year") == y1, F.col("n"))).alias("c1"))
                .withColumns({"T0": ytot.getField("T0"), "T1": ytot.getField("T1")}))
-    w = Window.orderBy(F.col("n").desc(), F.col("code").asc_nulls_last()) \
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = with_total(total, "n", name="_tot").withColumn("run", F.sum("n").over(w))
+    # cumulative share (WN3): `total` has at most `rows` rows (measured)
+    order = [F.col("n").desc(), F.col("code").asc_nulls_last()]
+    t = running_sum(with_total(total, "n", name="_tot"), "n", order, "run", ranges=partitions_for(rows))
     t = t.join(pct, "code", "left").join(dim.select("code", "label"), "code", "left")
     c0 = F.coalesce(F.col("c0"), F.lit(0)).cast(DEC)
     c1 = F.coalesce(F.col("c1"), F.lit(0)).cast(DEC)
@@ -134,19 +136,20 @@ def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations:
                  F.coalesce(F.col("occupation"), F.lit("NI")).alias("code")),
         F.struct(F.lit("diagnosis").alias("dimension"),
                  F.coalesce(diagnosis_category_dotless(), F.lit("NI")).alias("code"))))
-    base = shared(events.select(F.trunc("event_date", "month").alias("month"), _period(s).alias("in_period"),
-                                pairs.alias("it"))
-                        .groupBy("month", "in_period", F.col("it.dimension").alias("dimension"),
-                                 F.col("it.code").alias("code"))
-                        .agg(F.count(F.lit(1)).alias("n")))
+    base, rows = measured(events.select(F.trunc("event_date", "month").alias("month"),
+                                        _period(s).alias("in_period"), pairs.alias("it"))
+                                .groupBy("month", "in_period", F.col("it.dimension").alias("dimension"),
+                                         F.col("it.code").alias("code"))
+                                .agg(F.count(F.lit(1)).alias("n")))
     comp_m = _comparables(spark, base.where(F.col("dimension") == "occupation"), s)
     items = (_is_comparable(base.where("in_period"), comp_m, s)
              .select("dimension", "code", F.year("month").alias("year"), "comparable", "n"))
     total = items.groupBy("dimension", "code").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("code").asc())
-    total = (with_total(total, "n", ["dimension"], "_tot")
-             .withColumn("run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .withColumn("ranking", F.row_number().over(w)))
+    # cumulative share (WN5) and ranking (WN6) per dimension; (n, code) is a
+    # total order, so the running count of rows is the row number
+    order, k = [F.col("n").desc(), F.col("code").asc()], partitions_for(rows)
+    total = running_sum(with_total(total, "n", ["dimension"], "_tot"), "n", order, "run", ["dimension"], k)
+    total = running_sum(total, F.lit(1), order, "ranking", ["dimension"], k)
     y0, y1 = s.compare_years
     comp = items.where("comparable").groupBy("dimension", "code", "year").agg(F.sum("n").alias("n"))
     comp = with_total(comp, "n", ["dimension", "year"], "Ty")
@@ -254,7 +257,7 @@ def sector_counts_by_type(events: DataFrame, sectors: DataFrame, s: Study, n: in
 
 
 def _comparable_base(spark: SparkSession, events: DataFrame, s: Study, keys: dict[str, Column]) -> DataFrame:
-    base = _month_base(events, s, keys)
+    base, _ = _month_base(events, s, keys)
     comp_m = _comparables(spark, base, s)
     y0, y1 = s.compare_years
     return _is_comparable(base.where(F.year("month").isin(y0, y1)), comp_m, s).where("comparable")
