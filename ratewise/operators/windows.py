@@ -56,14 +56,20 @@ def dedup_rate(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
-                 chunk: int | None = None) -> DataFrame:
+                 chunk: int | None = None, levels: int = 1) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``order``
     within ``group`` (pandas ``ffill`` per group).  ``order`` must be unique
     within a group.
 
     With ``chunk`` (a width on a numeric ``order``), groups are split into
-    ranges ``order div chunk`` and the fill runs in two passes, so a hot group
-    is spread over many tasks.
+    ranges ``order div chunk``: each (group, range) is filled locally, and the
+    value carried into a range is the last non-NULL value of the earlier
+    ranges.  That carry is itself a forward fill over the one-row-per-range
+    summary (a NULL probe row is placed just before each range's summary
+    row, so the fill at the probe sees strictly earlier ranges only), and it
+    is computed the same chunked way, ``levels`` more times: every level
+    shrinks what one task holds of a hot group by about ``chunk`` / 2 (the
+    probes double the summary), and only the last level is a plain window.
     """
     if chunk is None:
         w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,13 +79,22 @@ def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
     d = df.withColumn("_chunk", part)
     win = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.select(*d.columns, *[F.last(F.col(c), ignorenulls=True).over(win).alias(f"_l_{c}") for c in cols])
-    # per (group, chunk): last non-null value of each column inside the chunk
-    summ = d.groupBy(*group, "_chunk").agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_s_{c}") for c in cols])
-    # value carried into a chunk = last non-null summary of strictly earlier chunks
-    wc = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*group, "_chunk",
-                        *[F.last(F.col(f"_s_{c}"), ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
+    # per (group, chunk): the fill at the chunk's last row = its last non-null
+    # value; read from `local`, so the data is shuffled once for both uses
+    summ = local.groupBy(*group, "_chunk").agg(*[
+        F.max_by(F.col(f"_l_{c}"), F.col(order)).alias(f"_c_{c}") for c in cols])
+    # value carried into a chunk = last non-null summary of strictly earlier
+    # chunks: each summary row becomes a NULL probe at 2·chunk and the value
+    # at 2·chunk+1, and that sequence is forward-filled
+    types = {f.name: f.dataType for f in df.schema.fields}
+    two = F.explode(F.array(
+        F.struct((F.col("_chunk") * 2).alias("_pos"), *[F.lit(None).cast(types[c]).alias(f"_c_{c}") for c in cols]),
+        F.struct((F.col("_chunk") * 2 + 1).alias("_pos"), *[F.col(f"_c_{c}") for c in cols])))
+    keyed = summ.select(*group, two.alias("_p")).select(*group, "_p.*")
+    filled = fill_forward(keyed, group, "_pos", [f"_c_{c}" for c in cols],
+                          chunk if levels > 0 else None, levels - 1)
+    carry = filled.where(F.col("_pos") % 2 == 0).select(
+        *group, F.shiftright("_pos", 1).alias("_chunk"), *[f"_c_{c}" for c in cols])
     out = local.join(carry, [*group, "_chunk"], "left")
     return out.select(*[F.coalesce(F.col(f"_l_{c}"), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
