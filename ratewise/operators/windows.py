@@ -128,16 +128,17 @@ def running_sum(df: DataFrame, value, order: list[Column], out: str,
     range is the prefix sum of the per-(group, range) totals of the earlier
     ranges — a summary of at most #groups × ``ranges`` rows.
     """
+    from ratewise.plans.shared import remember
     by = list(by or [])
     v = F.col(value) if isinstance(value, str) else value
     upto = (Window.unboundedPreceding, Window.currentRow)
     if ranges <= 1:
         return df.withColumn(out, F.sum(v).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)))
     # the range id must be fixed once for both branches below: cache it
-    r = (df.repartitionByRange(ranges, *[F.col(b) for b in by], *order)
-           .withColumn("_range", F.spark_partition_id())
-           .withColumn("_v", v)
-           .persist())
+    r = remember(df.repartitionByRange(ranges, *[F.col(b) for b in by], *order)
+                   .withColumn("_range", F.spark_partition_id())
+                   .withColumn("_v", v)
+                   .persist())
     local = r.withColumn("_local", F.sum("_v").over(
         Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(*upto)))
     per = r.groupBy(*by, "_range").agg(F.sum("_v").alias("_rt"))

@@ -7,6 +7,7 @@ does not happen: each branch would scan and join the fact again.  The
 aggregate itself is bounded by (#months × #codes), so it is cached: the fact
 is read once per query and every branch reads the cached aggregate.  If an
 executor is lost, the missing cached blocks are recomputed from lineage.
+``release()`` unpersists what the library cached, leaving other caches alone.
 
 The bound is then measured, not assumed: the cached aggregate is counted
 (this also materialises it once, before the branches run concurrently) and
@@ -31,9 +32,28 @@ def partitions_for(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> i
     return max(1, -(-rows // rows_per_partition))
 
 
+_CACHED: list[DataFrame] = []
+
+
+def remember(cached: DataFrame) -> DataFrame:
+    """Record a frame this library persisted, so ``release`` can drop it."""
+    _CACHED.append(cached)
+    return cached
+
+
+def release() -> int:
+    """Unpersist every aggregate cached by the library (not the caller's own
+    caches); returns how many were released.  Call it between analyses in a
+    long-lived session."""
+    n = len(_CACHED)
+    while _CACHED:
+        _CACHED.pop().unpersist(blocking=False)
+    return n
+
+
 def measured(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
     """Cache an aggregate, count it, and return it sized to its rows, with the count."""
-    cached = reduced.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = remember(reduced.persist(StorageLevel.MEMORY_AND_DISK))
     rows = cached.count()
     return cached.coalesce(partitions_for(rows, rows_per_partition)), rows
 

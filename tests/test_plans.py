@@ -94,3 +94,18 @@ def test_fact_scanned_once_in_rate_ranking(spark, sf_dir):
             scans.add(n.toString().split("\n")[0])
     # one distinct scan definition of lineitem (reached through the cached aggregate)
     assert len(scans) == 1, scans
+
+
+def test_release_drops_only_library_caches(spark, sf_dir):
+    """Aggregates cached by a query are released; a caller's own cache stays."""
+    from ratewise.plans import shared
+    shared.release()
+    own = spark.range(10).cache()
+    own.count()
+    E.queries()["occupation_share"](spark, sf_dir).collect()
+    cached = list(shared._CACHED)
+    assert cached and all(df.storageLevel.useMemory or df.storageLevel.useDisk for df in cached)
+    assert shared.release() == len(cached)
+    assert all(not (df.storageLevel.useMemory or df.storageLevel.useDisk) for df in cached)
+    assert own.storageLevel.useMemory
+    own.unpersist()
