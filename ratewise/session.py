@@ -23,6 +23,11 @@ BASE_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # PySpark otherwise records the Python call site of every Column function
+    # (several JVM round trips and a stack walk per call) to enrich error
+    # messages; with the exact-rounding expressions that is most of the
+    # driver-side plan-building time.  Errors still name the failing expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
