@@ -144,6 +144,8 @@ def running_sum(df: DataFrame, value, order: list[Column], out: str,
     per = r.groupBy(*by, "_range").agg(F.sum("_v").alias("_rt"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*by, "_range", F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), [*by, "_range"])
+    # offsets have #groups × ranges rows: no hint, the planner (AQE) broadcasts
+    # them when their measured size allows and shuffles otherwise
+    return (local.join(offsets, [*by, "_range"])
                  .withColumn(out, F.col("_off") + F.col("_local"))
                  .drop("_range", "_v", "_local", "_off"))
