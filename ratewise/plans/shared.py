@@ -52,7 +52,11 @@ def release() -> int:
 
 
 def measured(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
-    """Cache an aggregate, count it, and return it sized to its rows, with the count."""
+    """Cache an aggregate, count it, and return it sized to its rows, with the count.
+
+    The size only ever narrows (``coalesce``): an aggregate larger than its
+    partitions can hold at ``rows_per_partition`` keeps the partitions of the
+    final aggregation."""
     cached = remember(reduced.persist(StorageLevel.MEMORY_AND_DISK))
     rows = cached.count()
     return cached.coalesce(partitions_for(rows, rows_per_partition)), rows

@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 
@@ -109,3 +110,15 @@ def test_release_drops_only_library_caches(spark, sf_dir):
     assert all(not (df.storageLevel.useMemory or df.storageLevel.useDisk) for df in cached)
     assert own.storageLevel.useMemory
     own.unpersist()
+
+
+def test_measured_aggregate_sized_to_its_rows(spark):
+    """The cached aggregate is counted and given ceil(rows / rows_per_partition) partitions."""
+    from ratewise.plans import shared
+    agg = spark.range(0, 1000, numPartitions=8).groupBy((F.col("id") % 50).alias("k")).count()
+    one, rows = shared.measured(agg)
+    assert rows == 50 and one.rdd.getNumPartitions() == 1
+    three, rows = shared.measured(agg, rows_per_partition=20)    # never more than it has
+    assert rows == 50 and three.rdd.getNumPartitions() == 3
+    assert sorted(r.k for r in three.collect()) == list(range(50))
+    shared.release()
