@@ -167,10 +167,14 @@ def ratio_to_overall(spark: SparkSession, events: DataFrame, exposure: DataFrame
     Computed from the displayed (rounded to 0.1) rates, as the reference page does.
     """
     first, last = min(s.rate_years), max(s.rate_years)
-    base = shared(sector_month_counts(events, s))      # one read of the fact for both rates
-    top = sector_rate_ranking(spark, events, exposure, sectors, s, base).limit(1) \
+    base = shared(sector_month_counts(events, s))      # one read of the event fact for both rates
+    # one read of the exposure fact too: both rates only sum jobs per
+    # (year, sector) or per year over the rate years
+    jobs = shared(exposure.where(F.col("year").between(first, last))
+                          .groupBy("year", "sector5").agg(F.sum("jobs").alias("jobs")))
+    top = sector_rate_ranking(spark, events, jobs, sectors, s, base).limit(1) \
         .select("sector", "label", F.col(f"rate_{last}").alias("top_rate"))
-    city = overall_rate_by_year(spark, events, exposure, s,
+    city = overall_rate_by_year(spark, events, jobs, s,
                                 monthly=base.groupBy("month").agg(F.sum("n").alias("n")))
     # one-row city rates as a scalar subquery (PF18), not a join
     piv = city.agg(F.struct(F.max(F.when(F.col("year") == last, F.col("rate"))).alias("last"),
