@@ -113,7 +113,7 @@ def test_decode_dictionary_distinct_and_unmatched(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame(
-        [("7", "261160-Recife", "V89.", "01.11-3", " s602NU ", "{ñ class}"),
+        [("7", "261160-Harbour", "V89.", "01.11-3", " s602NU ", "{ñ class}"),
          ("0111", "123", "S62", "0111-2", "T10", "x"),
          ("01113", None, "A..", None, None, None)],
         "code string, mun string, cat string, cnae string, cid string, agent string")
@@ -169,7 +169,7 @@ def test_unknown_member_and_snake_names(spark):
 
 
 def test_geo_filter_variants(spark):
-    df = spark.createDataFrame([("261160-Recife", 261160), ("260790-X", 260790), (None, None)], "s string, n int")
+    df = spark.createDataFrame([("261160-Harbour", 261160), ("260790-X", 260790), (None, None)], "s string, n int")
     assert cl.geo_filter(df, "s", "261160", "prefix").count() == 1
     assert cl.geo_filter(df, "n", "261160", "cast").count() == 1
     assert cl.geo_filter(df, "n", 260790).count() == 1
