@@ -60,7 +60,7 @@ def zero_pad(c, n: int) -> Column:
 
 
 def before_sep(c, sep: str = "-") -> Column:
-    """SF8: text before the first separator, stripped (``"261160-Name"`` → ``"261160"``)."""
+    """SF8: text before the first separator, stripped (``"410001-Name"`` → ``"410001"``)."""
     return strip_ws(F.substring_index(_c(c), sep, 1))
 
 

@@ -27,7 +27,7 @@ def normalise_diag(df: DataFrame, col: str, width: int = 4) -> DataFrame:
 
 
 def code_prefix(df: DataFrame, col: str, sep: str = "-") -> DataFrame:
-    """CL4: ``"261160-Name"`` → ``"261160"``."""
+    """CL4: ``"410001-Name"`` → ``"410001"``."""
     return df.withColumn(col, tx.before_sep(col, sep))
 
 

@@ -113,7 +113,7 @@ def test_decode_dictionary_distinct_and_unmatched(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame(
-        [("7", "261160-Harbour", "V89.", "01.11-3", " s602NU ", "{ñ class}"),
+        [("7", "410001-Harbour", "V89.", "01.11-3", " s602NU ", "{ñ class}"),
          ("0111", "123", "S62", "0111-2", "T10", "x"),
          ("01113", None, "A..", None, None, None)],
         "code string, mun string, cat string, cnae string, cid string, agent string")
@@ -122,7 +122,7 @@ def test_text_functions(spark):
                      F.upper(tx.left(tx.strip_ws("cid"), 4)).alias("cid"),
                      tx.marker_to_null("agent", "{ñ class}").alias("agent")).collect())
     assert [tuple(r) for r in out] == [
-        ("00007", "261160", "V89", "01113", "S602", None),
+        ("00007", "410001", "V89", "01113", "S602", None),
         ("00111", "123", "S62", "01112", "T10", "x"),
         ("01113", None, "A", None, None, None)]
     over = spark.createDataFrame([("123456",)], "c string").select(tx.zero_pad("c", 4)).first()[0]
@@ -169,10 +169,10 @@ def test_unknown_member_and_snake_names(spark):
 
 
 def test_geo_filter_variants(spark):
-    df = spark.createDataFrame([("261160-Harbour", 261160), ("260790-X", 260790), (None, None)], "s string, n int")
-    assert cl.geo_filter(df, "s", "261160", "prefix").count() == 1
-    assert cl.geo_filter(df, "n", "261160", "cast").count() == 1
-    assert cl.geo_filter(df, "n", 260790).count() == 1
+    df = spark.createDataFrame([("410001-Harbour", 410001), ("410002-X", 410002), (None, None)], "s string, n int")
+    assert cl.geo_filter(df, "s", "410001", "prefix").count() == 1
+    assert cl.geo_filter(df, "n", "410001", "cast").count() == 1
+    assert cl.geo_filter(df, "n", 410002).count() == 1
 
 
 def test_quality_checks(spark):
