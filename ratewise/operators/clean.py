@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from ratewise.functions import text as tx
 from ratewise.operators.windows import dedup_keep_last, fill_hierarchy
 
+# Fixed values (must equal the source data's conventions):
+# the text a source writes in a coded field that was not classified.
+NOT_CLASSIFIED = "{ñ class}"
+
 
 def strip_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """CL1: strip all edge whitespace (SF2) in every string column (or ``cols``)."""
@@ -73,7 +77,7 @@ def strip_category_dot(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, tx.rstrip_char(col, "."))
 
 
-def marker_to_null(df: DataFrame, cols: list[str], marker: str = "{ñ class}") -> DataFrame:
+def marker_to_null(df: DataFrame, cols: list[str], marker: str = NOT_CLASSIFIED) -> DataFrame:
     """CL13 (opt-in): a 'not classified' marker becomes NULL."""
     return df.select(*[tx.marker_to_null(c, marker).alias(c) if c in cols else F.col(c) for c in df.columns])
 
