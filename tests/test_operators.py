@@ -223,3 +223,14 @@ def test_running_sum_matches_pandas(spark, sf_dir, ranges):
     flat = {r.l_partkey: r.run for r in wn.running_sum(per.where("g = 0"), F.lit(1), order, "run",
                                                         ranges=ranges).collect()}
     assert sorted(flat.values()) == list(range(1, len(flat) + 1))
+
+
+def test_identifiers_dropped_after_dedup(spark):
+    """CL8: identifiers are removed only after the keep-last dedup has used the rows."""
+    raw = spark.createDataFrame([(1, "s62", "E1", "10/01/2024", "a"), (1, "s62", "E2", "11/01/2024", "b"),
+                                 (2, "t10", "E3", "12/01/2024", "c")],
+                                "id int, cid string, employer string, d string, v string")
+    out = cl.build_events(raw, ["id", "cid"], ["v"], "cid", None, ["d"], ["employer"])
+    assert "employer" not in out.columns
+    got = sorted((r.id, r.cid, r.v, r.d) for r in out.collect())
+    assert got == [(1, "S62", "b", dt.date(2024, 1, 11)), (2, "T10", "c", dt.date(2024, 1, 12))]
