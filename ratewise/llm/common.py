@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +21,27 @@ from pyspark.sql import types as T
 _CHECKPOINT = "spark.checkpoint.dir"
 #: Scratch folder of each local application without the setting.
 _SCRATCH: dict[str, str] = {}
+#: Applications whose executors have this subpackage.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the executors' Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="llm-code-")) / "ratewise_llm.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in (here.parent / "__init__.py", *sorted(here.glob("*.py"))):
+            z.write(file, file.relative_to(here.parent.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, through Spark's reader (any store Spark reads)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +65,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, evaluates once."""
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -84,6 +104,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A NULL id travels as 0 with ``no_id`` set, because pandas would turn a
     column of integers with NULLs into floats.  ``restored`` undoes it.
     """
+    ship(docs.sparkSession)
     given = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return given.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"),
                         F.col("doc_id").isNull().alias("no_id"),

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewise.llm import packing, token_output, winnowing
+from ratewise.llm import minhash, packing, token_output, winnowing
 from ratewise.llm.common import read_table
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose 3-word shingle sets are 85 % alike."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"),
+                                   minhash.Similarity(words=3, percent=85)).drop("row_id")
+
+
 def op7_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of all documents and of their edited texts."""
     return winnowing.edited_fingerprints(read_table(spark, sf_dir, "documents"))
@@ -30,6 +36,7 @@ def op10_packed_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op6_minhash_near_dedup,
     op7_winnowing_fingerprints,
     op9_best_fit_packing,
     op10_packed_token_output,
