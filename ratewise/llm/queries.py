@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewise.llm import minhash, packing, token_output, winnowing
-from ratewise.llm.common import read_table
+from ratewise.llm import decontam, minhash, packing, quality, token_output, winnowing
+from ratewise.llm.common import read_table, remainder
+
+
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry quality scores of all documents."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.score_documents(docs, quality.training_labels(labels)).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within the item's error budget."""
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontam.find_items(docs, items)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +49,8 @@ def op10_packed_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_quality_ranking,
+    op4_benchmark_decontamination,
     op6_minhash_near_dedup,
     op7_winnowing_fingerprints,
     op9_best_fit_packing,
