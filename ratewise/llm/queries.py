@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewise.llm import decontam, minhash, packing, quality, token_output, winnowing
+from ratewise.llm import decontam, line_dedup, minhash, packing, quality, token_output, winnowing
 from ratewise.llm.common import read_table, remainder
 
 
@@ -33,6 +33,12 @@ def op7_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier line equals or nearly equals."""
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_kept", "text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1,024 tokens."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
@@ -53,6 +59,7 @@ QUERIES = {f.__name__: f for f in (
     op4_benchmark_decontamination,
     op6_minhash_near_dedup,
     op7_winnowing_fingerprints,
+    op8_line_dedup,
     op9_best_fit_packing,
     op10_packed_token_output,
 )}
