@@ -108,11 +108,13 @@ def _near(lines: DataFrame, max_edits: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines taken out of the text, and the columns ``n_lines`` and ``n_kept``."""
+    """``docs`` with the repeated lines taken out of the text, and the columns ``n_lines``, ``n_kept``
+    (lines before and after) and ``n_new`` (lines long enough to compare that stayed, NULL where there were none)."""
     spark = docs.sparkSession
     if min_chars <= max_edits:
         raise ValueError("min_chars must be over max_edits")
-    d, tie, n_lines, n_kept, keep = spare_names(docs, "line_doc", "line_tie", "n_lines", "n_kept", "line_keep")
+    d, tie, n_lines, n_kept, n_new, keep = spare_names(
+        docs, "line_doc", "line_tie", "n_lines", "n_kept", "n_new", "line_keep")
     place = [d, tie]
     table, buckets = f"llm_lines_{uuid.uuid4().hex}", partitions(spark)
     docs.withColumns({d: F.coalesce(col(id_col).cast("long"), F.lit(_LAST_ID)), tie: F.xxhash64(col(text_col))}) \
@@ -170,4 +172,6 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
         *[F.when(col(text_col).isNotNull(), F.array_join(F.transform(staying, lambda x: x["line"]), "\n")).alias(c)
           if c == text_col else col(c) for c in docs.columns],
         F.when(col(text_col).isNull(), 0).otherwise(F.size(split)).alias(n_lines),
-        F.when(col(text_col).isNull(), 0).otherwise(left).alias(n_kept))
+        F.when(col(text_col).isNull(), 0).otherwise(left).alias(n_kept),
+        F.when(F.exists(split, lambda x: F.length(x) >= min_chars),
+               F.size(F.filter(staying, lambda x: F.length(x["line"]) >= min_chars))).alias(n_new))

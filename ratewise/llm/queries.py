@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewise.llm import decontam, line_dedup, minhash, packing, quality, token_output, winnowing
+from ratewise.llm import (
+    decontam, edit_counts, line_dedup, minhash, packing, preference, quality, token_output, winnowing)
 from ratewise.llm.common import read_table, remainder
 
 
@@ -16,12 +17,27 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation against its reply-swapped twin."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return preference.format_pairs(*preference.swapped_replies(turns)).select(
+        F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt",
+        "chosen", preference.mask_text("chosen_mask").alias("chosen_mask"),
+        "rejected", preference.mask_text("rejected_mask").alias("rejected_mask"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds within the item's error budget."""
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontam.find_items(docs, items)
 
 
+def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("edits", edit_counts.sample_edits())
+    return edit_counts.count_edits(docs)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents whose 3-word shingle sets are 85 % alike."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"),
@@ -56,7 +72,9 @@ def op10_packed_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_ranking,
+    op3_preference_formatting,
     op4_benchmark_decontamination,
+    op5_edit_aware_counts,
     op6_minhash_near_dedup,
     op7_winnowing_fingerprints,
     op8_line_dedup,
@@ -64,4 +82,4 @@ QUERIES = {f.__name__: f for f in (
     op10_packed_token_output,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_preference_formatting": preference.ORACLE}
