@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.llm import (
-    decontam, edit_counts, line_dedup, minhash, packing, preference, quality, token_output, winnowing)
+    decontam, edit_counts, line_dedup, maxent_lm, minhash, packing, preference, quality, token_output, winnowing)
 from ratewise.llm.common import read_table, remainder
 
 
@@ -17,6 +17,11 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_maxent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the hashed maximum-entropy model."""
+    return maxent_lm.score_corpus(read_table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of every conversation against its reply-swapped twin."""
     turns = read_table(spark, sf_dir, "conversations")
@@ -72,6 +77,7 @@ def op10_packed_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_ranking,
+    op2_maxent_language_model,
     op3_preference_formatting,
     op4_benchmark_decontamination,
     op5_edit_aware_counts,
