@@ -119,7 +119,8 @@ class Ranking:
         """0..1: the chance to win against a document at the threshold, shifted so that a tie is ``DECISION``."""
         if not self.weights.any():
             return np.full(len(x), NEUTRAL)
-        z = self.raw(x) - self.threshold + np.log(DECISION / (1 - DECISION))
+        # rounded, so that equal texts score alike wherever they stand in a batch
+        z = np.round(self.raw(x) - self.threshold, 9) + np.log(DECISION / (1 - DECISION))
         out = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         return np.where(z >= np.log(DECISION / (1 - DECISION)), np.maximum(out, DECISION), out)
 
