@@ -138,12 +138,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
     def verdicts(rows: DataFrame) -> DataFrame:
         """Per document its lines' flags in their order."""
-        return rows.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("pos", keep))).alias(keep)) \
+        return rows.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct("pos", keep))).alias(keep)) \
             .withColumn(keep, F.col(keep)[keep])
 
     # Distinct long lines with their texts, where the texts lie.
     starts = hashed.where("not short").join(first, ["h1", "h2"]).where(at == F.col("first")).select(*place, "pos", "h1")
-    chosen = starts.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("pos", "h1"))).alias("chosen"))
+    chosen = starts.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("chosen"))
 
     def texts(chosen: DataFrame) -> DataFrame:
         """(h1, line) of the chosen places (pos, h1) of each document."""
@@ -155,7 +155,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     wanted = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     places = first.select("h1", "first").join(wanted, "h1")
     few = places.select("first.*", "h1").groupBy(*place) \
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "h1"))).alias("chosen"))
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("chosen"))
     known = materialise(texts(few).join(places, "h1"), "line-candidates")
     side = lambda x: known.select(F.col("h1").alias(x), F.col("line").alias(f"{x}_line"), F.col("first").alias(f"{x}_first"))
     near = pairs.join(side("a"), "a").join(side("b"), "b") \
