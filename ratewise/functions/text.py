@@ -9,19 +9,15 @@ from pyspark.sql import functions as F
 # remove only U+0020.  SF1 and SF2 are therefore two different functions.
 # The whitespace set is derived by rule (every code point Python calls space).
 WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
-# The same set as a Java/RE2 regex class, for SQL engines (the DuckDB oracle).
-WS_CLASS = (r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-EDGE_WS = r"\A" + WS_CLASS + r"+|" + WS_CLASS + r"+\z"
 
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def quoted(name: str) -> str:
+    """A column's exact name for ``F.col``: dots and spaces are part of it."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def btrim_blanks(c) -> Column:
-    """SF1: remove leading/trailing U+0020 only (SQL ``btrim``)."""
-    return F.btrim(_c(c))
+def _c(c) -> Column:
+    return F.col(quoted(c)) if isinstance(c, str) else c
 
 
 def strip_ws(c) -> Column:
@@ -70,5 +66,5 @@ def marker_to_null(c, marker: str) -> Column:
 
 
 def regex_contains_ci(c, term: str) -> Column:
-    """PF10: case-insensitive regex search, NULL counts as no match."""
-    return F.coalesce(_c(c).rlike("(?i)" + term), F.lit(False))
+    """PF10: regex search that ignores case, accented letters' too; NULL counts as no match."""
+    return F.coalesce(_c(c).rlike("(?iu)" + term), F.lit(False))

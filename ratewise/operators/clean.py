@@ -22,7 +22,7 @@ NOT_CLASSIFIED = "{ñ class}"
 def strip_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """CL1: strip all edge whitespace (SF2) in every string column (or ``cols``)."""
     targets = set(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
-    return df.select(*[tx.strip_ws(c).alias(c) if c in targets else F.col(c) for c in df.columns])
+    return df.select(*[tx.strip_ws(c).alias(c) if c in targets else F.col(tx.quoted(c)) for c in df.columns])
 
 
 def normalise_diag(df: DataFrame, col: str, width: int = 4) -> DataFrame:
@@ -40,18 +40,27 @@ def pad_code(df: DataFrame, col: str, width: int) -> DataFrame:
     return df.withColumn(col, tx.zero_pad(col, width))
 
 
+def _to_date(col: str, fmt: str | None) -> F.Column:
+    """Text → date, NULL for anything that is no date.
+
+    With ``fmt`` one-digit days and months are read too (a pattern letter takes
+    one digit or more); without, ISO text with or without separators.
+    """
+    text = F.nullif(F.btrim(F.col(tx.quoted(col))), F.lit(""))
+    if fmt:
+        return F.try_to_date(text, fmt.replace("dd", "d").replace("MM", "M"))
+    compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
+    return F.coalesce(compact, F.try_to_date(text))
+
+
 def parse_dates(df: DataFrame, cols: list[str], fmt: str | None = "dd/MM/yyyy") -> DataFrame:
     """CL6: text → date, invalid or empty → NULL (never an error)."""
-    def conv(c):
-        s = F.nullif(F.btrim(F.col(c)), F.lit(""))
-        return F.try_to_date(s, fmt) if fmt else F.try_to_date(s)
-    return df.select(*[conv(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[_to_date(c, fmt).alias(c) if c in cols else F.col(tx.quoted(c)) for c in df.columns])
 
 
 def generalise_birth(df: DataFrame, col: str, out: str = "birth_year", fmt: str = "dd/MM/yyyy") -> DataFrame:
     """CL7: keep only the year of a birth date; the exact date is dropped."""
-    d = F.try_to_date(F.nullif(F.btrim(F.col(col)), F.lit("")), fmt)
-    return df.withColumn(out, F.year(d)).drop(col)
+    return df.withColumn(out, F.year(_to_date(col, fmt))).drop(col)
 
 
 def drop_identifiers(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -79,7 +88,8 @@ def strip_category_dot(df: DataFrame, col: str) -> DataFrame:
 
 def marker_to_null(df: DataFrame, cols: list[str], marker: str = NOT_CLASSIFIED) -> DataFrame:
     """CL13 (opt-in): a 'not classified' marker becomes NULL."""
-    return df.select(*[tx.marker_to_null(c, marker).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[tx.marker_to_null(c, marker).alias(c) if c in cols else F.col(tx.quoted(c))
+                       for c in df.columns])
 
 
 def derive_class(df: DataFrame, col: str, out: str, width: int = 5) -> DataFrame:
@@ -89,7 +99,7 @@ def derive_class(df: DataFrame, col: str, out: str, width: int = 5) -> DataFrame
 
 def geo_filter(df: DataFrame, col: str, code: str, how: str = "equal") -> DataFrame:
     """CL16: place filter; ``equal``, ``prefix`` (NULL drops) or ``cast`` (compare as text)."""
-    c = F.col(col)
+    c = F.col(tx.quoted(col))
     if how == "prefix":
         return df.where(c.startswith(code))
     if how == "cast":
@@ -106,12 +116,17 @@ def rename_snake(df: DataFrame, mapping: dict[str, str] | None = None, lower: bo
 
 def build_events(raw: DataFrame, key: list[str], order: list[str], diag_col: str,
                  birth_col: str | None, date_cols: list[str], identifiers: list[str],
-                 place_col: str | None = None, normalise_first: bool = False) -> DataFrame:
+                 place_col: str | None = None, normalise_first: bool = False,
+                 sector_col: str | None = None, sector_width: int = 4,
+                 rename: dict[str, str] | None = None) -> DataFrame:
     """CL17 (event fact): strip → dedup keep-last → normalise diagnosis →
-    parse dates → generalise birth date → drop identifiers.
+    zero-pad the sector code → parse dates → generalise birth date → drop
+    identifiers → rename.
 
-    ``normalise_first=True`` is the alternative that normalises the diagnosis
-    before dedup, so rows differing only in case or suffix collapse (K21).
+    Column arguments are the raw names (dots and spaces allowed); ``rename``
+    maps raw to final names.  ``normalise_first=True`` is the alternative that
+    normalises the diagnosis before dedup, so rows differing only in case or
+    suffix collapse (K21).
     """
     df = strip_text(raw)
     if normalise_first:
@@ -121,10 +136,13 @@ def build_events(raw: DataFrame, key: list[str], order: list[str], diag_col: str
         df = normalise_diag(df, diag_col)
     if place_col:
         df = code_prefix(df, place_col)
+    if sector_col:
+        df = pad_code(df, sector_col, sector_width)
     df = parse_dates(df, date_cols)
     if birth_col:
         df = generalise_birth(df, birth_col)
-    return drop_identifiers(df, identifiers + [c for c in order if c.startswith("_")])
+    df = drop_identifiers(df, identifiers + [c for c in order if c.startswith("_")])
+    return df.withColumnsRenamed(rename or {})
 
 
 def build_sector_dim(sheet: DataFrame, levels: list[str], order: str, header_col: str,
@@ -156,9 +174,23 @@ def build_occupations(raw: DataFrame, code_col: str, label_col: str,
     return add_unknown_member(dim, {"code": unknown_code, "label": unknown_label})
 
 
-def build_exposure(raw: DataFrame, drop: list[str], subclass_col: str, class_col: str) -> DataFrame:
-    """CL17 (exposure / movements): drop redundant columns, derive the 5-char class."""
-    return derive_class(raw.drop(*drop), subclass_col, class_col, 5)
+def build_diagnoses(raw: DataFrame, sub: str, sub_label: str, cat: str, cat_label: str) -> DataFrame:
+    """CL17 (diagnosis dimension): the two levels with their labels, and the 3-character category."""
+    cols = {"sub": sub, "sub_label": sub_label, "cat": cat, "cat_label": cat_label}
+    out = strip_text(raw).select(*[F.col(tx.quoted(c)).alias(n) for n, c in cols.items()])
+    return out.withColumn("cat3", F.upper(tx.left("cat", 3)))
+
+
+def build_exposure(raw: DataFrame, drop: list[str], subclass_col: str, class_col: str,
+                   width: int = 7) -> DataFrame:
+    """CL17 (exposure): drop the description columns, zero-pad the subclass, derive the 5-char class."""
+    return derive_class(pad_code(raw.drop(*drop), subclass_col, width), subclass_col, class_col, 5)
+
+
+def build_movements(raw: DataFrame, drop: list[str], subclass_col: str, class_col: str,
+                    coded_cols: list[str], marker: str = NOT_CLASSIFIED, width: int = 7) -> DataFrame:
+    """CL17 (movements): as the exposure, with the 'not classified' marker as NULL in the coded columns."""
+    return build_exposure(marker_to_null(strip_text(raw), coded_cols, marker), drop, subclass_col, class_col, width)
 
 
 def build_notifications(raw: DataFrame, category_cols: list[str], date_cols: list[str],
@@ -167,7 +199,12 @@ def build_notifications(raw: DataFrame, category_cols: list[str], date_cols: lis
     trailing dot of category-level codes, parse ISO dates (bad → NULL)."""
     df = rename_snake(raw)
     if drop:
-        df = df.drop(*drop)
+        df = df.drop(*[c.lower() for c in drop])
     for c in category_cols:
         df = strip_category_dot(df, c)
     return parse_dates(df, date_cols, fmt=None)
+
+
+def build_notifications_two(raw: DataFrame, date_cols: list[str], drop: list[str]) -> DataFrame:
+    """CL17 (second notification set): lower-case names, its two unused columns dropped, ISO dates."""
+    return build_notifications(raw, [], date_cols, drop)

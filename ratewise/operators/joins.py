@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratewise.functions.text import quoted
+
 
 def or_join_labels(facts: DataFrame, dim: DataFrame, code: str = "code",
                    sub: str = "sub", cat: str = "cat", labels=("sub_label", "cat_label"),
                    prefer_exact: bool = False) -> DataFrame:
     """JN10: ``facts LEFT JOIN dim ON code = sub OR code = cat`` without a nested loop.
 
-    Matches come from two hash equi-joins; the second skips dim rows already
-    matched through ``sub`` so no pair is produced twice.  Rows matching
-    neither side survive with NULL labels (double anti-join).  A category
-    code matches every subcategory row of the category, exactly as the OR
-    condition does (K8).  ``prefer_exact=True`` keeps one row per fact row
+    Every dim row is listed under its subcategory and its category code (once
+    when they are equal), and one left equi-join on that list gives the pairs of
+    the OR condition; ``facts`` is read once, and rows matching neither keep
+    NULL labels.  A category code matches every subcategory row of the
+    category, exactly as the OR condition does (K8).  ``prefer_exact=True`` keeps one row per fact row
     instead: the subcategory's labels if the code is a subcategory, else only
     the category label — no fan-out.
     """
@@ -31,32 +33,34 @@ def or_join_labels(facts: DataFrame, dim: DataFrame, code: str = "code",
         return x.select(*facts.columns,
                         F.when(hit, F.col(sub_l)).alias(sub_l),
                         F.when(hit, F.col(cat_l)).otherwise(F.col("_k_cat")).alias(cat_l))
-    by_sub = facts.join(d, facts[code] == F.col("_sub")).drop("_sub", "_cat")
-    by_cat = facts.join(d, (facts[code] == F.col("_cat")) & ~facts[code].eqNullSafe(F.col("_sub"))) \
-                  .drop("_sub", "_cat")
-    none = (facts.join(d.select(F.col("_sub").alias("_k")).distinct(), facts[code] == F.col("_k"), "left_anti")
-                 .join(d.select(F.col("_cat").alias("_k")).distinct(), F.col(code) == F.col("_k"), "left_anti"))
-    for c in lab:
-        none = none.withColumn(c, F.lit(None).cast("string"))
-    return by_sub.unionByName(by_cat).unionByName(none)
+    keys = d.select(F.explode(F.array_distinct(F.array_compact(F.array("_sub", "_cat")))).alias("_key"), *lab)
+    return facts.join(keys, facts[code] == F.col("_key"), "left").drop("_key")
 
 
 def decode_dictionary(df: DataFrame, dictionary: DataFrame, columns: dict[str, str],
                       suffix: str = "_label", name_col: str = "column_name",
-                      key_col: str = "key", value_col: str = "value") -> DataFrame:
+                      key_col: str = "key", value_col: str = "value",
+                      broadcast_rows: int = 200_000) -> DataFrame:
     """CL15/JN11: decode code columns through an EAV dictionary.
 
     ``columns`` maps a column of ``df`` to its name in the dictionary.  Each
     column gets one left join with the dictionary rows of that name, made
     distinct on the key first (JN12) so repeated dictionary rows cannot fan
-    out.  Unmatched codes decode to NULL.  The join strategy is left to the
-    planner: dictionaries are small and are broadcast when their measured
-    size allows, and shuffled otherwise.
+    out.  Unmatched codes decode to NULL.
+
+    A code column has few values, so shuffling the fact on it would make a few
+    hot tasks.  The dictionary's rows are counted (at most ``broadcast_rows`` + 1
+    of them are looked at); up to ``broadcast_rows`` it is broadcast and the fact
+    stays where it is.  A larger dictionary is joined without a hint, by a
+    shuffle with skew splitting.
     """
+    wanted = dictionary.where(F.col(name_col).isin(sorted(set(columns.values()))))
+    small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
     out = df
     for col, name in columns.items():
-        d = (dictionary.where(F.col(name_col) == name)
-                       .groupBy(F.col(key_col).alias("_key"))
-                       .agg(F.min(value_col).alias(col + suffix)))
-        out = out.join(d, out[col].cast("string") == F.col("_key"), "left").drop("_key")
+        d = (wanted.where(F.col(name_col) == name)
+                   .groupBy(F.col(key_col).alias("_key"))
+                   .agg(F.min(value_col).alias(col + suffix)))
+        out = out.join(F.broadcast(d) if small else d, out[quoted(col)].cast("string") == F.col("_key"), "left") \
+                 .drop("_key")
     return out

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.functions.exact import percent_half_up
+from ratewise.functions.text import quoted
 
 
 def key_check(df: DataFrame, key: list[str]) -> DataFrame:
@@ -67,9 +68,9 @@ def range_check(df: DataFrame, col: str, type_name: str) -> DataFrame:
 
 def empty_columns(df: DataFrame) -> DataFrame:
     """DQ6: non-NULL count per column, one row per column (0 = all NULL)."""
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("non_null"))
-                      for c in df.columns])
+    counts = df.agg(*[F.count(F.col(quoted(c))).alias(f"n{k}") for k, c in enumerate(df.columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{k}").cast("bigint").alias("non_null"))
+                      for k, c in enumerate(df.columns)])
     return counts.select(F.explode(pairs).alias("p")).select("p.column_name", "p.non_null") \
                  .withColumn("all_null", F.col("non_null") == 0)
 

@@ -12,9 +12,9 @@ does not end up sorted inside a single task:
   (``chunk``), fills inside each (group, chunk) with a window, then carries
   the last non-null value of earlier chunks through a second window over the
   per-chunk summary, which has one row per (group, chunk) only.
-* ``running_sum`` (cumulative share, ranking) on a key set too large for one
-  task range-partitions the rows on the sort order, sums inside each range,
-  and adds the total of all earlier ranges from a one-row-per-range summary.
+* ``running_sum`` (cumulative share, ranking) range-partitions the rows on
+  the sort order, sums inside each range, and adds the total of all earlier
+  ranges from a one-row-per-range summary.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewise.functions.text import quoted
+
 
 def dedup_keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Keep, for each identity ``key``, the row with the greatest ``order`` tuple.
@@ -32,7 +34,8 @@ def dedup_keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFram
     the result is deterministic.
     """
     rest = [c for c in df.columns if c not in key and c not in order]
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order + rest])
+    w = Window.partitionBy(*[F.col(quoted(c)) for c in key]) \
+        .orderBy(*[F.col(quoted(c)).desc_nulls_last() for c in order + rest])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -55,11 +58,18 @@ def dedup_rate(before: DataFrame, after: DataFrame) -> DataFrame:
              .withColumn("pct_removed", percent_half_up(F.col("removed"), F.col("rows_before"), 1)))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[quoted(k)].eqNullSafe(renamed[quoted(f"_r_{k}")]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
                  chunk: int | None = None, levels: int = 1) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``order``
-    within ``group`` (pandas ``ffill`` per group).  ``order`` must be unique
-    within a group.
+    within ``group`` (pandas ``ffill`` per group; a NULL group is a group).
+    ``order`` must be unique within a group.
 
     With ``chunk`` (a width on a numeric ``order``), groups are split into
     ranges ``order div chunk``: each (group, range) is filled locally, and the
@@ -70,40 +80,49 @@ def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
     is computed the same chunked way, ``levels`` more times: every level
     shrinks what one task holds of a hot group by about ``chunk`` / 2 (the
     probes double the summary), and only the last level is a plain window.
+
+    The summary takes whole rows of the local fill, so both uses have the same
+    columns and the planner reuses one shuffle: the source is read once.
     """
+    c_ = lambda name: F.col(quoted(name))
     if chunk is None:
-        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*[F.last(F.col(c), ignorenulls=True).over(w).alias(c) if c in cols else F.col(c)
+        w = Window.partitionBy(*map(c_, group)).orderBy(c_(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*[F.last(c_(c), ignorenulls=True).over(w).alias(c) if c in cols else c_(c)
                            for c in df.columns])
-    part = F.floor(F.col(order) / F.lit(chunk)).cast("bigint")
-    d = df.withColumn("_chunk", part)
-    win = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.select(*d.columns, *[F.last(F.col(c), ignorenulls=True).over(win).alias(f"_l_{c}") for c in cols])
-    # per (group, chunk): the fill at the chunk's last row = its last non-null
-    # value; read from `local`, so the data is shuffled once for both uses
-    summ = local.groupBy(*group, "_chunk").agg(*[
-        F.max_by(F.col(f"_l_{c}"), F.col(order)).alias(f"_c_{c}") for c in cols])
+    places = range(len(cols))
+    part = f"_chunk{levels}"                       # names of this level: the levels nest
+    own = lambda k: f"_l{levels}_{k}"              # noqa: E731
+    carried = lambda k: f"_c{levels}_{k}"          # noqa: E731
+    d = df.withColumn(part, F.floor(c_(order) / F.lit(chunk)).cast("bigint"))
+    win = Window.partitionBy(*map(c_, group), part).orderBy(c_(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select(*map(c_, d.columns), *[F.last(c_(cols[k]), ignorenulls=True).over(win).alias(own(k))
+                                            for k in places])
+    summ = local.groupBy(*map(c_, group), part) \
+        .agg(F.max_by(F.struct(*map(c_, local.columns)), c_(order)).alias("_last")) \
+        .select(*map(c_, group), part, *[F.col(f"_last.{own(k)}").alias(carried(k)) for k in places])
     # value carried into a chunk = last non-null summary of strictly earlier
     # chunks: each summary row becomes a NULL probe at 2·chunk and the value
     # at 2·chunk+1, and that sequence is forward-filled
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = {f.name: f.dataType for f in summ.schema.fields}
     two = F.explode(F.array(
-        F.struct((F.col("_chunk") * 2).alias("_pos"), *[F.lit(None).cast(types[c]).alias(f"_c_{c}") for c in cols]),
-        F.struct((F.col("_chunk") * 2 + 1).alias("_pos"), *[F.col(f"_c_{c}") for c in cols])))
-    keyed = summ.select(*group, two.alias("_p")).select(*group, "_p.*")
-    filled = fill_forward(keyed, group, "_pos", [f"_c_{c}" for c in cols],
+        F.struct((F.col(part) * 2).alias("_pos"), *[F.lit(None).cast(types[carried(k)]).alias(carried(k)) for k in places]),
+        F.struct((F.col(part) * 2 + 1).alias("_pos"), *[F.col(carried(k)) for k in places])))
+    keyed = summ.select(*map(c_, group), two.alias("_p")).select(*map(c_, group), "_p.*")
+    filled = fill_forward(keyed, group, "_pos", [carried(k) for k in places],
                           chunk if levels > 0 else None, levels - 1)
     carry = filled.where(F.col("_pos") % 2 == 0).select(
-        *group, F.shiftright("_pos", 1).alias("_chunk"), *[f"_c_{c}" for c in cols])
-    out = local.join(carry, [*group, "_chunk"], "left")
-    return out.select(*[F.coalesce(F.col(f"_l_{c}"), F.col(f"_c_{c}")).alias(c) if c in cols else F.col(c)
-                        for c in df.columns])
+        *map(c_, group), F.shiftright("_pos", 1).alias(part), *[carried(k) for k in places])
+    out = null_safe_join(local, carry, [*group, part], "left")
+    return out.select(*[F.coalesce(F.col(own(cols.index(c))), F.col(carried(cols.index(c)))).alias(c) if c in cols
+                        else c_(c) for c in df.columns])
 
 
 def fill_hierarchy(df: DataFrame, levels: list[str], order: str, header_col: str, header_value: str,
-                   leaf_col: str, group: list[str] | None = None, chunk: int | None = None) -> DataFrame:
+                   leaf_col: str, group: list[str] | None = None, chunk: int | None = 10_000) -> DataFrame:
     """CL9: drop repeated header rows (PF14, NULL kept), forward-fill the
-    hierarchy levels in file order, keep only leaf rows (PF13)."""
+    hierarchy levels in file order, keep only leaf rows (PF13).  ``order`` is a
+    row number; ranges of ``chunk`` of it are filled apart, so a sheet of any
+    length is never one task's work."""
     body = df.where(~F.col(header_col).eqNullSafe(F.lit(header_value)))
     filled = fill_forward(body, group or [], order, levels, chunk)
     return filled.where(F.col(leaf_col).isNotNull())
@@ -116,36 +135,31 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
 
 
 def running_sum(df: DataFrame, value, order: list[Column], out: str,
-                by: list[str] | None = None, ranges: int = 1) -> DataFrame:
+                by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """WN3/WN5: cumulative sum of ``value`` in ``order`` (within ``by``),
     ROWS frame; ``order`` must be a total order (end it with a unique key).
 
-    ``ranges=1`` is one window per ``by`` group, for a frame whose size was
-    measured to fit one task.  With ``ranges > 1`` no group is sorted in one
-    task: the rows are range-partitioned on (by, order) into ``ranges``
-    ordered ranges (sampled bounds, so a large group is split across
-    ranges), each range computes a local running sum, and the offset of a
-    range is the prefix sum of the per-(group, range) totals of the earlier
-    ranges — a summary of at most #groups × ``ranges`` rows.
+    No group is sorted in one task: the rows are range-partitioned on
+    (by, order) (sampled bounds, so a large group is split across ranges), each
+    range computes a local running sum, and the offset of a range is the prefix
+    sum of the per-(group, range) totals of the earlier ranges, a summary of at
+    most #groups x #ranges rows.  NULL is a group like any other.  ``ranges``
+    defaults to the session's shuffle partitions, which the adaptive planner
+    coalesces to the data's size.
     """
-    from ratewise.plans.shared import remember
+    from ratewise.plans.shared import shared
     by = list(by or [])
     v = F.col(value) if isinstance(value, str) else value
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if ranges <= 1:
-        return df.withColumn(out, F.sum(v).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)))
-    # the range id must be fixed once for both branches below: cache it
-    r = remember(df.repartitionByRange(ranges, *[F.col(b) for b in by], *order)
-                   .withColumn("_range", F.spark_partition_id())
-                   .withColumn("_v", v)
-                   .persist())
+    keys = [*[F.col(b) for b in by], *order]
+    pieces = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    # the range id must be fixed once for both branches below
+    r = shared(pieces.withColumn("_range", F.spark_partition_id()).withColumn("_v", v))
     local = r.withColumn("_local", F.sum("_v").over(
         Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(*upto)))
     per = r.groupBy(*by, "_range").agg(F.sum("_v").alias("_rt"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*by, "_range", F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_off"))
-    # offsets have #groups × ranges rows: no hint, the planner (AQE) broadcasts
-    # them when their measured size allows and shuffles otherwise
-    return (local.join(offsets, [*by, "_range"])
-                 .withColumn(out, F.col("_off") + F.col("_local"))
-                 .drop("_range", "_v", "_local", "_off"))
+    return (null_safe_join(local, offsets, [*by, "_range"])
+            .withColumn(out, F.col("_off") + F.col("_local"))
+            .drop("_range", "_v", "_local", "_off"))

@@ -106,7 +106,7 @@ def sector_rate_table(spark: SparkSession, events: DataFrame, exposure: DataFram
     d = lambda c: c.cast(DEC)
     change = ratio_half_up(F.lit(12000).cast(DEC) * (d(e_l) * d(j_f) * d(m_f) - d(e_f) * d(j_l) * d(m_l)),
                            d(j_l) * d(m_l) * d(j_f) * d(m_f), 1)
-    out = per.join(sectors.select("sector4", "label"), "sector4")
+    out = per.join(sectors.select("sector4", "label").distinct(), "sector4")
     cols = [F.col("sector4").alias("sector"), "label", F.col("jobs_last").cast("bigint").alias(f"jobs_{last}"),
             "events", "diseases"]
     cols += [_rate(F.col(f"_e{y}"), F.col(f"_j{y}"), F.col(f"_m{y}")).alias(f"rate_{y}") for y in s.rate_years]
@@ -210,17 +210,18 @@ def expected_vs_observed_table(events: DataFrame, exposure: DataFrame, sectors:
     overall rate = all events in the period (any sector, K9) / all exposure that
     joins the sector dimension; expected = job-years × overall rate.
     """
-    acc = (events.where(_in_period("event_date", s))
+    # both aggregates serve the join and the grand totals: each fact is read once
+    acc = shared(events.where(_in_period("event_date", s))
                  .groupBy(F.col("sector").alias("sector4")).agg(F.count(F.lit(1)).alias("events")))
-    jobs = (exposure_by_sector_year(exposure, sectors, s)
-            .groupBy("sector4").agg(F.sum("jobs").alias("job_years")))
+    jobs = shared(exposure_by_sector_year(exposure, sectors, s)
+                  .groupBy("sector4").agg(F.sum("jobs").alias("job_years")))
     # grand totals (AG12) as scalar subqueries: evaluated once, no join
     E = acc.agg(F.sum("events")).scalar().cast(DEC)
     J = jobs.agg(F.sum("job_years")).scalar().cast(DEC)
     v = F.col("job_years").cast(DEC)
     a = F.coalesce(F.col("events"), F.lit(0)).cast(DEC)
     return (jobs.join(acc, "sector4", "left")
-                .join(sectors.select("sector4", "label", "section"), "sector4")
+                .join(sectors.select("sector4", "label", "section").distinct(), "sector4")
                 .where(F.col("job_years") >= s.min_job_years)
                 .select(F.col("sector4").alias("sector"), "label", "section",
                         F.col("job_years").cast("bigint").alias("job_years"),

@@ -3,65 +3,44 @@
 Several operators read one aggregate of a large fact from several branches
 (coverage, totals, comparison-year shares).  Catalyst pushes a different
 filter into each branch, so the branches no longer match and exchange reuse
-does not happen: each branch would scan and join the fact again.  The
-aggregate itself is bounded by (#months × #codes), so it is cached: the fact
-is read once per query and every branch reads the cached aggregate.  If an
-executor is lost, the missing cached blocks are recomputed from lineage.
-``release()`` unpersists what the library cached, leaving other caches alone.
-
-The bound is then measured, not assumed: the cached aggregate is counted
-(this also materialises it once, before the branches run concurrently) and
-its readers get ``ceil(rows / rows_per_partition)`` partitions.  A few
-thousand rows become one partition, so the joins and aggregations of the
-branches above it need no exchange at all (a single-partition child already
-satisfies every distribution); a large aggregate keeps as many partitions as
-its size needs.  The final aggregation that builds the cache still runs with
-the full shuffle parallelism: only its bounded output is narrowed.
+does not happen: each branch would scan and join the fact again.  ``shared``
+marks the aggregate (months x codes rows, not fact rows) to be cached when the
+query that reads it runs: nothing runs while the plan is built, the fact is
+read once, and the adaptive planner coalesces the cached partitions to the
+aggregate's size.  Lost blocks are recomputed from lineage.
+
+A session keeps one entry per distinct aggregate, so calling a query again
+reuses it and adds none.  ``release()`` unpersists them and leaves the caller's
+own caches alone.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
-
-ROWS_PER_PARTITION = 1_000_000
-
-
-def partitions_for(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
-    """Partitions needed for a frame of ``rows`` rows (at least one)."""
-    return max(1, -(-rows // rows_per_partition))
+import weakref
 
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
-_CACHED: list[DataFrame] = []
+_SHARED: "weakref.WeakKeyDictionary[SparkSession, dict[int, list[DataFrame]]]" = weakref.WeakKeyDictionary()
 
 
-def remember(cached: DataFrame) -> DataFrame:
-    """Record a frame this library persisted, so ``release`` can drop it."""
-    _CACHED.append(cached)
-    return cached
+def shared(reduced: DataFrame) -> DataFrame:
+    """``reduced``, cached on first use for all branches that read it."""
+    known = _SHARED.setdefault(reduced.sparkSession, {}).setdefault(reduced.semanticHash(), [])
+    for frame in known:
+        if frame.sameSemantics(reduced):
+            return frame if frame.columns == reduced.columns else reduced
+    known.append(reduced.persist(StorageLevel.MEMORY_AND_DISK))
+    return reduced
 
 
 def release() -> int:
-    """Unpersist every aggregate cached by the library (not the caller's own
-    caches); returns how many were released.  Call it between analyses in a
-    long-lived session."""
-    n = len(_CACHED)
-    while _CACHED:
-        _CACHED.pop().unpersist(blocking=False)
+    """Unpersist every aggregate the library cached; returns how many.  Call it between analyses."""
+    n = 0
+    for entries in list(_SHARED.values()):
+        for frames in entries.values():
+            for frame in frames:
+                frame.unpersist(blocking=False)
+                n += 1
+        entries.clear()
     return n
-
-
-def measured(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[DataFrame, int]:
-    """Cache an aggregate, count it, and return it sized to its rows, with the count.
-
-    The size only ever narrows (``coalesce``): an aggregate larger than its
-    partitions can hold at ``rows_per_partition`` keeps the partitions of the
-    final aggregation."""
-    cached = remember(reduced.persist(StorageLevel.MEMORY_AND_DISK))
-    rows = cached.count()
-    return cached.coalesce(partitions_for(rows, rows_per_partition)), rows
-
-
-def shared(reduced: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Cache a small aggregate that several branches of one query read."""
-    return measured(reduced, rows_per_partition)[0]

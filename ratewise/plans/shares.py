@@ -2,13 +2,11 @@
 
 Every operator reduces the fact to counts per (small) key first — a single
 scan with partial aggregation — and computes shares on that aggregate.
-Totals come from a one-row (or one-row-per-partition-key) aggregate joined
-back as the broadcast side; dimensions supplied by the caller get no hint
-(the planner broadcasts them only when their measured size is under the
-threshold), so no window ever spans raw rows.  The ordered computations
-(cumulative share, ranking) run on the per-code aggregate with
-``running_sum``: one window when the measured aggregate fits one task,
-range-partitioned pieces with carried offsets when it does not.
+Totals come from an aggregate joined back (or a scalar subquery); they and
+dimensions supplied by the caller get no hint (the planner broadcasts them only
+when their measured size is under the threshold), so no window ever spans raw
+rows.  The ordered computations (cumulative share, ranking) run on the per-code
+aggregate with ``running_sum``: range-partitioned pieces with carried offsets.
 """
 
 from __future__ import annotations
@@ -17,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.functions.exact import DEC, pearson_of_counts, percent_half_up, ratio_half_up, round_double_half_up
+from ratewise.operators.clean import geo_filter
 from ratewise.operators.joins import or_join_labels
 from ratewise.plans.coverage import comparable_months, coverage_from_counts
-from ratewise.operators.windows import running_sum
-from ratewise.plans.shared import measured, partitions_for
+from ratewise.operators.windows import null_safe_join, running_sum
+from ratewise.plans.shared import shared
 from ratewise.sources.fixtures import Study
 
 
@@ -36,14 +35,14 @@ def bucket(col: Column, groups, other: str) -> Column:
 def with_total(df: DataFrame, n: str, by: list[str] | None = None, name: str = "_total") -> DataFrame:
     """Attach sum(n) over the whole frame (or per ``by`` key) as ``name``.
 
-    Equivalent to ``sum(n) OVER (PARTITION BY by)`` but computed as an
-    aggregate joined back, which never funnels the frame into one task.  The
-    totals are broadcast: ``by`` must be a low-cardinality key (dimension,
-    year), so the total frame is bounded by construction.
+    Equivalent to ``sum(n) OVER (PARTITION BY by)``, NULL keys included, but
+    computed as an aggregate joined back, which never funnels the frame into one
+    task.  ``df`` is an aggregate, shared by both uses; the planner broadcasts
+    the totals only when their measured size is small.
     """
+    df = shared(df)
     if by:
-        tot = df.groupBy(*by).agg(F.sum(n).alias(name))
-        return df.join(F.broadcast(tot), by)
+        return null_safe_join(df, df.groupBy(*by).agg(F.sum(n).alias(name)), by)
     return df.withColumn(name, df.agg(F.sum(n)).scalar())
 
 
@@ -51,11 +50,11 @@ def _period(s: Study) -> Column:
     return F.col("event_date").between(F.lit(s.period_start).cast("date"), F.lit(s.period_end).cast("date"))
 
 
-def _month_base(events: DataFrame, s: Study, keys: dict[str, Column]) -> tuple[DataFrame, int]:
-    """One aggregate of the fact: (month, in_period, *keys) → n, cached, with its row count."""
+def _month_base(events: DataFrame, s: Study, keys: dict[str, Column]) -> DataFrame:
+    """One aggregate of the fact: (month, in_period, *keys) → n, read by all branches."""
     cols = [F.trunc("event_date", "month").alias("month"), _period(s).alias("in_period")]
     cols += [c.alias(k) for k, c in keys.items()]
-    return measured(events.select(*cols).groupBy("month", "in_period", *keys).agg(F.count(F.lit(1)).alias("n")))
+    return shared(events.select(*cols).groupBy("month", "in_period", *keys).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _comparables(spark: SparkSession, base: DataFrame, s: Study) -> DataFrame:
@@ -81,7 +80,7 @@ def composition_share(spark: SparkSession, events: DataFrame, code: Column, dim:
     totals but never matches in the yearly shares or labels (K3, SQL USING
     semantics); yearly denominators include every code (K4).
     """
-    base, rows = _month_base(events, s, {"code": code})
+    base = _month_base(events, s, {"code": code})
     comp_m = _comparables(spark, base, s)
     total = base.where("in_period").groupBy("code").agg(F.sum("n").alias("n"))
     y0, y1 = s.compare_years
@@ -92,9 +91,9 @@ def composition_share(spark: SparkSession, events: DataFrame, code: Column, dim:
     pct = (comp.groupBy("code").agg(F.sum(F.when(F.col("year") == y0, F.col("n"))).alias("c0"),
                                     F.sum(F.when(F.col("year") == y1, F.col("n"))).alias("c1"))
                .withColumns({"T0": ytot.getField("T0"), "T1": ytot.getField("T1")}))
-    # cumulative share (WN3): `total` has at most `rows` rows (measured)
+    # cumulative share (WN3)
     order = [F.col("n").desc(), F.col("code").asc_nulls_last()]
-    t = running_sum(with_total(total, "n", name="_tot"), "n", order, "run", ranges=partitions_for(rows))
+    t = running_sum(with_total(total, "n", name="_tot"), "n", order, "run")
     t = t.join(pct, "code", "left").join(dim.select("code", "label"), "code", "left")
     c0 = F.coalesce(F.col("c0"), F.lit(0)).cast(DEC)
     c1 = F.coalesce(F.col("c1"), F.lit(0)).cast(DEC)
@@ -126,8 +125,9 @@ def diagnosis_categories(diagnoses: DataFrame) -> DataFrame:
 
 
 def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations: DataFrame,
-                            diagnoses: DataFrame, s: Study, top: int = 30) -> DataFrame:
-    """Occupation and diagnosis composition in one frame, NULL → 'NI', ranked per dimension."""
+                            diagnoses: DataFrame, s: Study, top: int | None = 30) -> DataFrame:
+    """Occupation and diagnosis composition in one frame, NULL → 'NI', ranked per dimension
+    (the first ``top`` of each, or all)."""
     # SO1 without a second scan: every event feeds both dimensions; the
     # explode runs before the partial aggregation, so the cached aggregate
     # has #months × (#occupations + #categories) rows, not their product
@@ -136,7 +136,7 @@ def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations:
                  F.coalesce(F.col("occupation"), F.lit("NI")).alias("code")),
         F.struct(F.lit("diagnosis").alias("dimension"),
                  F.coalesce(diagnosis_category_dotless(), F.lit("NI")).alias("code"))))
-    base, rows = measured(events.select(F.trunc("event_date", "month").alias("month"),
+    base = shared(events.select(F.trunc("event_date", "month").alias("month"),
                                         _period(s).alias("in_period"), pairs.alias("it"))
                                 .groupBy("month", "in_period", F.col("it.dimension").alias("dimension"),
                                          F.col("it.code").alias("code"))
@@ -147,9 +147,9 @@ def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations:
     total = items.groupBy("dimension", "code").agg(F.sum("n").alias("n"))
     # cumulative share (WN5) and ranking (WN6) per dimension; (n, code) is a
     # total order, so the running count of rows is the row number
-    order, k = [F.col("n").desc(), F.col("code").asc()], partitions_for(rows)
-    total = running_sum(with_total(total, "n", ["dimension"], "_tot"), "n", order, "run", ["dimension"], k)
-    total = running_sum(total, F.lit(1), order, "ranking", ["dimension"], k)
+    order = [F.col("n").desc(), F.col("code").asc()]
+    total = running_sum(with_total(total, "n", ["dimension"], "_tot"), "n", order, "run", ["dimension"])
+    total = running_sum(total, F.lit(1), order, "ranking", ["dimension"])
     y0, y1 = s.compare_years
     comp = items.where("comparable").groupBy("dimension", "code", "year").agg(F.sum("n").alias("n"))
     comp = with_total(comp, "n", ["dimension", "year"], "Ty")
@@ -159,7 +159,7 @@ def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations:
     descr = (occupations.groupBy("code").agg(F.max("label").alias("descr")).withColumn("dimension", F.lit("occupation"))
              .unionByName(diagnoses.groupBy(F.col("cat3").alias("code")).agg(F.max("cat_label").alias("descr"))
                           .withColumn("dimension", F.lit("diagnosis"))))
-    out = (total.where(F.col("ranking") <= top)
+    out = ((total.where(F.col("ranking") <= top) if top else total)
                 .join(pct, ["dimension", "code"], "left")
                 .join(descr, ["dimension", "code"], "left"))
     return out.select(
@@ -181,13 +181,22 @@ def not_informed_toggle(stacked: DataFrame, dimension: str, n: int, include_ni:
     return d.orderBy("ranking").limit(n)
 
 
-def pareto_cut(stacked: DataFrame, listed: int = 30) -> DataFrame:
+def headline_rows(stacked: DataFrame) -> DataFrame:
+    """SL7: per dimension the first row that is not 'not informed'."""
+    first = stacked.where(F.col("code") != "NI").groupBy("dimension") \
+        .agg(F.min_by(F.struct(*stacked.columns), "ranking").alias("r"))
+    return first.select("r.*")
+
+
+def pareto_cut(stacked: DataFrame, listed: int | None = 30) -> DataFrame:
     """Per dimension, the smallest rank reaching 50 % / 80 % cumulative share
-    ('more than N' when the listed rows never reach it), and the alternative
-    formula count(cumulative < 50) + 1 (K20)."""
+    ('more than N' when the ``listed`` rows never reach it; over all rows, with
+    ``listed=None``, the rank itself), and the alternative formula
+    count(cumulative < 50) + 1 (K20)."""
     def cut(p: float) -> Column:
         r = F.min(F.when(F.col("pct_cumulative") >= p, F.col("ranking")))
-        return F.coalesce(r.cast("string"), F.lit(f"more than {listed}"))
+        r = r.cast("string")
+        return F.coalesce(r, F.lit(f"more than {listed}")) if listed else r
     return stacked.groupBy("dimension").agg(
         cut(50.0).alias("items_to_50"), cut(80.0).alias("items_to_80"),
         (F.count_if(F.col("pct_cumulative") < 50.0) + 1).cast("bigint").alias("items_below_50_plus_one"))
@@ -248,7 +257,7 @@ def sector_counts_by_type(events: DataFrame, sectors: DataFrame, s: Study, n: in
     """Events per sector (inner join, K10), % of the matched total, three kinds."""
     per = (events.where(_period(s)).groupBy(F.col("sector").alias("sector4"))
                  .agg(F.count(F.lit(1)).alias("events"), *_kind_counts(s)))
-    j = per.join(sectors.select("sector4", "label"), "sector4")
+    j = per.join(sectors.select("sector4", "label").distinct(), "sector4")
     return (with_total(j, "events", name="_tot")
             .select(F.col("sector4").alias("sector"), "label", "events",
                     percent_half_up(F.col("events"), F.col("_tot"), 1).alias("pct_total"),
@@ -257,7 +266,7 @@ def sector_counts_by_type(events: DataFrame, sectors: DataFrame, s: Study, n: in
 
 
 def _comparable_base(spark: SparkSession, events: DataFrame, s: Study, keys: dict[str, Column]) -> DataFrame:
-    base, _ = _month_base(events, s, keys)
+    base = _month_base(events, s, keys)
     comp_m = _comparables(spark, base, s)
     y0, y1 = s.compare_years
     return _is_comparable(base.where(F.year("month").isin(y0, y1)), comp_m, s).where("comparable")
@@ -315,9 +324,15 @@ def profile_sex_age(spark: SparkSession, events: DataFrame, s: Study) -> DataFra
         "year", "sex", "age_band", "events", percent_half_up(F.col("events"), F.col("_ytot"), 1).alias("pct_in_year"))
 
 
-def status_by_year(notices: DataFrame, s: Study, years) -> DataFrame:
-    """Second status mapping × report year, % within year (2 decimals)."""
-    g = (notices.where(F.col("report_year").isin(list(years)))
+def _at_place(df: DataFrame, place_col: str | None, place: str | None) -> DataFrame:
+    """K7: only the rows of one place, compared as text; all rows without a column."""
+    return geo_filter(df, place_col, place, "cast") if place_col else df
+
+
+def status_by_year(notices: DataFrame, s: Study, years, place_col: str | None = None,
+                   place: str | None = None) -> DataFrame:
+    """Second status mapping × report year, % within year (2 decimals), for all or one place."""
+    g = (_at_place(notices, place_col, place).where(F.col("report_year").isin(list(years)))
                 .groupBy(F.col("report_year").alias("year"),
                          bucket(F.col("status"), s.status_groups_yearly, s.status_unknown_yearly).alias("group"))
                 .agg(F.count(F.lit(1)).alias("notices")))
@@ -325,9 +340,10 @@ def status_by_year(notices: DataFrame, s: Study, years) -> DataFrame:
         "year", "group", "notices", percent_half_up(F.col("notices"), F.col("_ytot"), 2).alias("pct_in_year"))
 
 
-def diagnosis_by_status(events: DataFrame, diagnoses: DataFrame, s: Study, years, n: int = 20) -> DataFrame:
-    """Year × coarse status × diagnosis code with OR-join labels, % in year."""
-    agg = (events.where(F.year("event_date").isin(list(years)))
+def diagnosis_by_status(events: DataFrame, diagnoses: DataFrame, s: Study, years, n: int = 20,
+                        place_col: str | None = None, place: str | None = None) -> DataFrame:
+    """Year × coarse status × diagnosis code with OR-join labels, % in year, for all or one place."""
+    agg = (_at_place(events, place_col, place).where(F.year("event_date").isin(list(years)))
                  .groupBy(F.year("event_date").alias("year"),
                           bucket(F.col("status"), s.status_groups_coarse, s.status_unknown_coarse).alias("group"),
                           F.col("diag_code").alias("code"))
@@ -372,7 +388,7 @@ def counts_by_section(events: DataFrame, sectors: DataFrame, s: Study, names: di
                       n: int = 8) -> DataFrame:
     """Events per top-level section with its display name (JN15), %, top n."""
     per = events.where(_period(s)).groupBy(F.col("sector").alias("sector4")).agg(F.count(F.lit(1)).alias("n"))
-    g = (per.join(sectors.select("sector4", "section"), "sector4")
+    g = (per.join(sectors.select("sector4", "section").distinct(), "sector4")
             .groupBy("section").agg(F.sum("n").cast("bigint").alias("events")))
     m = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
     return (with_total(g, "events", name="_tot")

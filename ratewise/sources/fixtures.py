@@ -13,7 +13,6 @@ sector dimension             sectors       nation ⋈ region
 second event source          notices       orders ⋈ customer
 diagnosis dimension (2 lvl)  diagnoses     distinct (p_type, p_brand) of part
 occupation dimension         occupations   distinct p_brand of part
-mixed-level code fact        coded         part
 """
 
 from __future__ import annotations
@@ -49,7 +48,7 @@ class Study:
     death_value: str = "R"
     male_value: str = "Male"
     female_value: str = "Female"
-    # status bucket mappings
+    # Fixed values (the status codes' groups, which results depend on; SURVEY K6):
     status_groups: tuple = field(default=(
         ("formal", (1, 4, 5)), ("unregistered", (2, 3, 10)),
         ("other", (6, 7, 8, 9, 11, 12))))
@@ -64,6 +63,7 @@ class Study:
     flag_labels: tuple = (("F", "issued"), ("X", "not issued"), ("N/A", "not applicable"))
     flag_unknown: str = "no information"
     other_places: str = "other places"
+    known_occupations_below: int = 20       # fixture: brands from this number on are orphans
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -101,14 +101,21 @@ def events_fact(spark: SparkSession, root: str) -> DataFrame:
               ))
 
 
+def sector5(nation: F.Column, part: F.Column) -> F.Column:
+    """The exposure fact's finer sector key: three of them in each sector, none equal to a sector4 key."""
+    return (F.lit(1000) + nation * 3 + F.pmod(part, F.lit(3))).cast("int")
+
+
 def exposure(spark: SparkSession, root: str) -> DataFrame:
     """Exposure fact (one row per establishment-year analogue)."""
     o = _read(spark, root, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
     c = _read(spark, root, "customer").select("c_custkey", "c_nationkey", "c_name")
-    jobs = F.floor(F.col("o_totalprice") / 1000).cast("bigint")
+    # every twelfth nation from 5 on has no jobs, so some events find no exposure
+    jobs = F.when(F.col("c_nationkey") % 12 == 5, F.lit(0)) \
+            .otherwise(F.floor(F.col("o_totalprice") / 1000)).cast("bigint")
     return (o.join(c, o.o_custkey == c.c_custkey)
              .select(F.year("o_orderdate").alias("year"),
-                     F.col("c_nationkey").alias("sector5"),
+                     sector5(F.col("c_nationkey"), F.col("o_custkey")).alias("sector5"),
                      jobs.alias("jobs"),
                      F.when(F.col("o_orderstatus") != "F", jobs).otherwise(F.lit(0).cast("bigint"))
                       .alias("active_jobs"),
@@ -121,10 +128,10 @@ def sectors(spark: SparkSession, root: str) -> DataFrame:
     n = _read(spark, root, "nation")
     r = _read(spark, root, "region")
     return (n.join(r, n.n_regionkey == r.r_regionkey)
-             .select(F.col("n_nationkey").alias("sector4"),
-                     F.col("n_nationkey").alias("sector5"),
+             .select(F.col("n_nationkey").alias("sector4"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_part"),
                      F.col("n_name").alias("label"),
-                     F.char(F.lit(65) + F.col("r_regionkey")).alias("section")))
+                     F.char(F.lit(65) + F.col("r_regionkey")).alias("section"))
+             .select("sector4", sector5(F.col("sector4"), F.col("_part")).alias("sector5"), "label", "section"))
 
 
 def section_names() -> dict[str, str]:
@@ -163,18 +170,10 @@ def diagnoses(spark: SparkSession, root: str) -> DataFrame:
                     F.concat(F.lit("category "), F.lower("p_type")).alias("cat_label"))
 
 
-def occupations(spark: SparkSession, root: str) -> DataFrame:
-    """Occupation dimension: brands whose number is below 20 (others are orphans)."""
+def occupations(spark: SparkSession, root: str, s: Study = Study()) -> DataFrame:
+    """Occupation dimension: brands with a number below the study's limit (others are orphans)."""
     p = _read(spark, root, "part").select("p_brand").distinct()
-    return (p.where(F.substring("p_brand", 7, 2).cast("int") < 20)
+    return (p.where(F.substring("p_brand", 7, 2).cast("int") < s.known_occupations_below)
              .select(F.col("p_brand").alias("code"),
                      F.concat(F.lit("occupation "), F.lower("p_brand")).alias("label")))
 
-
-def coded(spark: SparkSession, root: str) -> DataFrame:
-    """Fact with mixed-level diagnosis codes: category, subcategory or NULL."""
-    p = _read(spark, root, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    return p.select(F.col("p_partkey").alias("id"),
-                    F.when(F.col("p_size") % 4 == 0, F.col("p_type"))
-                     .when(F.col("p_size") % 4 == 1, F.lit(None).cast("string"))
-                     .otherwise(F.concat_ws("/", "p_type", "p_brand")).alias("code"))

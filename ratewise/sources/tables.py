@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import weakref
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,53 +11,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """SC4: read one parquet table of a data folder, as its files are now."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-def scan_table(spark: SparkSession, root: str, name: str, refresh: bool = False) -> DataFrame:
-    """SC4: read one parquet table of a data folder.
-
-    The DataFrame (file listing and footer schema) is kept per session and
-    path, the way a catalog table is registered once: inputs are immutable
-    snapshots.  ``refresh=True`` lists the files again.
-    """
-    path = f"{root.rstrip('/')}/{name}.parquet"
-    per_session = _SCANS.setdefault(spark, {})
-    if refresh or path not in per_session:
-        per_session[path] = spark.read.parquet(path)
-    return per_session[path]
+CORRUPT = "_corrupt_record"
 
 
 def scan_csv(spark: SparkSession, path, schema: T.StructType, sep: str = ";",
-             encoding: str = "ISO-8859-1", header: bool = True) -> DataFrame:
+             encoding: str = "ISO-8859-1", header: bool = True, multi_line: bool = True,
+             corrupt: str | None = CORRUPT) -> DataFrame:
     """SC1: delimited read with an explicit schema.
 
     Codes are declared as strings in ``schema`` so leading zeros survive; the
-    schema is never inferred (integers with gaps would drift to double).
+    schema is never inferred (integers with gaps would drift to double).  A
+    quoted field may hold the separator, doubled quotes and, with
+    ``multi_line``, line breaks (such files are not split; turn it off for
+    large files without line breaks in fields).  A row that doesn't fit the
+    schema keeps its whole text in the ``corrupt`` column, which is NULL
+    otherwise; ``corrupt=None`` makes such a row an error.
     """
-    return (spark.read.schema(schema)
-            .option("sep", sep).option("encoding", encoding)
-            .option("header", str(header).lower()).option("mode", "PERMISSIVE")
-            .csv(path))
+    reader = (spark.read.option("sep", sep).option("encoding", encoding)
+              .option("header", str(header).lower()).option("enforceSchema", "true")
+              .option("quote", '"').option("escape", '"').option("multiLine", str(multi_line).lower()))
+    if corrupt is None:
+        return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+    return (reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+            .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])).csv(path))
 
 
 def scan_many_ordered(spark: SparkSession, path, schema: T.StructType, **opts) -> DataFrame:
     """SC2: many files read as one frame, with an ingest-order key.
 
-    The reference concatenates files sorted by name and keeps the last
+    The reference concatenates files sorted by path and keeps the last
     duplicate, so the order of rows matters.  Spark reads files in parallel in
     no particular order; the order is therefore made explicit as columns:
-    ``_file`` (file name, sorts like the reference's sorted list),
+    ``_file`` (the whole path, so equal names in two folders stay apart),
     ``_split`` (byte offset of the split inside the file) and ``_row`` (a
     counter increasing with the row order inside a split); together they give
     a total order consistent with (file, line).
     """
     df = scan_csv(spark, path, schema, **opts)
-    return (df.withColumn("_file", F.col("_metadata.file_name"))
+    return (df.withColumn("_file", F.col("_metadata.file_path"))
               .withColumn("_split", F.col("_metadata.file_block_start"))
               .withColumn("_row", F.monotonically_increasing_id()))
 
 
+def scan_years(spark: SparkSession, path_of, years, schema: T.StructType, year_col: str = "year",
+               **opts) -> DataFrame:
+    """SC3: one file (or folder) per year, ``path_of(year)``, stacked with the year as a column."""
+    return union_all([scan_csv(spark, path_of(y), schema, **opts).withColumn(year_col, F.lit(int(y)))
+                      for y in years])
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``); a local session
+    without the setting gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ratewise-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """SO2/SO4/SC3: stack same-shape frames by column name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -6,7 +6,7 @@ the last copy of each duplicate (CL2).  As a stream:
 * a file-source ``readStream`` picks up new CSV files in the landing folder
   (explicit schema, latin1, ``;``), one micro-batch at a time;
 * ``foreachBatch`` stamps every row with its ingest position
-  (micro-batch id, file name, split offset, row counter) and appends the batch
+  (micro-batch id, file path, split offset, row counter) and appends the batch
   to a bronze parquet table;
 * ``current_view`` re-applies keep-last over the bronze table with that
   ingest order, so a row from a later file (or later batch) replaces an
@@ -45,7 +45,7 @@ def start_landing(spark: SparkSession, landing: str, bronze: str, checkpoint: st
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = (reader.csv(landing)
-                 .withColumn("_file", F.col("_metadata.file_name"))
+                 .withColumn("_file", F.col("_metadata.file_path"))
                  .withColumn("_split", F.col("_metadata.file_block_start")))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
