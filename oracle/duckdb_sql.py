@@ -1,714 +1,496 @@
-"""Independent DuckDB SQL for every registered query.
-
-Each statement follows the written SQL of the analysis it checks (CTE by CTE),
-not the Spark plan, so the two implementations only share the data binding
-and the rounding convention:
-
-* fixture binding: the same role views as ``ratewise.sources.fixtures``;
-* rounding: round(a/b, s) half away from zero with 128-bit integers, then one
-  division by 10^s as DOUBLE (see ``ratewise.functions.exact``).
+"""DuckDB SQL for every registered query, written from the operator definitions.
+
+The statements share nothing with the Spark code but the meaning of the test
+tables: constants, the data binding and the rounding rule are stated here again.
+Facts are reduced to one small table per purpose (events per month and sector,
+events per month and code, jobs per year and sector), and the statements work on
+those.  ``VIEWS`` holds the named pieces; ``sql`` puts in front of a statement
+those it needs.
 """
 
 from __future__ import annotations
 
-from ratewise.sources.fixtures import Study
-
-S = Study()
-Y0, Y1 = S.compare_years
-R0, R1 = min(S.rate_years), max(S.rate_years)
-RY = S.rate_years
-
-
-def rq(a: str, b: str, s: int) -> str:
-    """SQL text: round((a)/(b), s) half away from zero, exact; NULL if b <= 0."""
-    A = f"CAST(({a}) AS HUGEINT)"
-    B = f"CAST(({b}) AS HUGEINT)"
-    q = f"((2 * {10 ** s} * abs({A}) + {B}) // (2 * {B}))"
-    return (f"(CASE WHEN {B} > 0 THEN CAST(CASE WHEN {A} < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
-            f" / {float(10 ** s)} END)")
-
-
-def pct(part: str, total: str, s: int = 1) -> str:
-    return rq(f"100 * ({part})", total, s)
-
-
-BIND = f"""
-events_fact AS (
-  SELECT l.l_orderkey * 8 + l.l_linenumber AS event_id,
-         CAST(l.l_shipdate AS DATE) AS event_date,
-         s.s_nationkey AS sector,
-         nullif(p.p_brand, 'Brand#7') AS occupation,
-         lower(substr(p.p_type, 1, 2)) || CASE WHEN l.l_linenumber = 1 THEN '.' ELSE '' END
-           || substr(p.p_type, 3, 1) || CAST(l.l_linenumber AS VARCHAR) || ' ' AS diag_raw,
-         p.p_type || ' ' AS kind,
-         l.l_returnflag AS death,
-         CASE WHEN l.l_linestatus = 'O' THEN 'Male' ELSE 'Female' END AS sex,
-         CAST(year(CAST(l.l_shipdate AS DATE)) AS INTEGER) - (18 + p.p_size) AS birth_year,
-         l.l_linenumber AS status,
-         CASE WHEN p.p_size % 4 = 0 THEN p.p_type WHEN p.p_size % 4 = 1 THEN NULL
-              ELSE p.p_type || '/' || p.p_brand END AS diag_code
-  FROM lineitem l
-  JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  JOIN part p ON l.l_partkey = p.p_partkey
-),
-exposure AS (
-  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS year,
-         c.c_nationkey AS sector5,
-         CAST(floor(o.o_totalprice / 1000) AS BIGINT) AS jobs,
-         CASE WHEN o.o_orderstatus <> 'F' THEN CAST(floor(o.o_totalprice / 1000) AS BIGINT) ELSE 0 END AS active_jobs,
-         lpad(CAST(c.c_nationkey AS VARCHAR), 2, '0') || right(c.c_name, 6) AS postcode
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-),
-sectors AS (
-  SELECT n.n_nationkey AS sector4, n.n_nationkey AS sector5, n.n_name AS label,
-         chr(CAST(65 + r.r_regionkey AS INTEGER)) AS section
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-),
-notices AS (
-  SELECT CAST(o.o_orderdate AS DATE) AS event_date,
-         CAST(year(o.o_orderdate) AS INTEGER) AS report_year,
-         CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS status,
-         nullif(o.o_orderstatus, 'P') AS flag,
-         CAST(c.c_nationkey AS VARCHAR) AS residence
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-),
-named_places AS (
-  SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS name FROM nation WHERE n_regionkey = 1
-),
-diagnoses AS (
-  SELECT p_type || '/' || p_brand AS sub, p_type AS cat, upper(substr(p_type, 1, 3)) AS cat3,
-         'sub ' || lower(p_brand) || ' of ' || lower(p_type) AS sub_label,
-         'category ' || lower(p_type) AS cat_label
-  FROM (SELECT DISTINCT p_type, p_brand FROM part)
-),
-occupations AS (
-  SELECT p_brand AS code, 'occupation ' || lower(p_brand) AS label
-  FROM (SELECT DISTINCT p_brand FROM part)
-  WHERE CAST(substr(p_brand, 7, 2) AS INTEGER) < 20
-),
-coded AS (
-  SELECT p_partkey AS id,
-         CASE WHEN p_size % 4 = 0 THEN p_type WHEN p_size % 4 = 1 THEN NULL
-              ELSE p_type || '/' || p_brand END AS code
-  FROM part
-)"""
-
-COV = f"""
-meses AS (
-  SELECT CAST(unnest(generate_series(DATE '{S.calendar_start}', DATE '{S.calendar_end}', INTERVAL 1 MONTH)) AS DATE) AS month
-),
-mensal AS (
-  SELECT m.month, count(f.event_id) AS n
-  FROM meses m
-  LEFT JOIN events_fact f ON CAST(date_trunc('month', f.event_date) AS DATE) = m.month
-  GROUP BY m.month
-),
-cobertura AS (
-  SELECT month, n,
-         n >= {S.adequate_fraction} * (SELECT quantile_cont(n, 0.5) FROM mensal) AS ok
-  FROM mensal
-)"""
-
-COMPARAVEIS = f"""
-comparaveis AS (
-  SELECT CAST(month(month) AS INTEGER) AS mes_do_ano
-  FROM cobertura
-  WHERE year(month) IN ({Y0}, {Y1})
-  GROUP BY 1
-  HAVING bool_and(ok) AND count(*) = 2
-)"""
-
-PERIOD = f"BETWEEN DATE '{S.period_start}' AND DATE '{S.period_end}'"
-
-
-def w(*ctes: str) -> str:
-    return "WITH " + ",".join((BIND,) + ctes)
-
-
-Q: dict[str, str] = {}
-
-# A1
-Q["coverage_monthly"] = w(COV) + """
-SELECT strftime(month, '%Y-%m') AS month, n AS events, ok AS adequate
-FROM cobertura"""
-
-# A2
-Q["adequate_months_per_year"] = w(COV) + """
-SELECT CAST(year(month) AS INTEGER) AS year, count(*) FILTER (WHERE ok) AS adequate_months
-FROM cobertura GROUP BY 1"""
-
-# A3
-Q["comparable_months"] = w(COV, COMPARAVEIS) + """
-SELECT mes_do_ano AS month_of_year FROM comparaveis"""
-
-# A33
-Q["coverage_summary"] = w(COV) + """
-SELECT CAST(year(month) AS VARCHAR) AS scope, count(*) FILTER (WHERE ok) AS adequate_months,
-       count(*) AS months, count(*) - count(*) FILTER (WHERE ok) AS inadequate_months
-FROM cobertura GROUP BY 1
+import re
+
+# Study constants.
+CALENDAR = ("1995-01-01", "2001-12-01")
+SPAN = "BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'"
+RATE_YEARS = (1998, 1999, 2000)
+FIRST, LAST = 1995, 2001
+TOP = 20
+
+# Fixed values (the status codes' groups, which results depend on).
+GROUPS = {"formal": (1, 4, 5), "unregistered": (2, 3, 10), "other": (6, 7, 8, 9, 11, 12)}
+GROUPS_YEARLY = {"formal": (1,), "informal": (2, 3, 4), "other ties": (5, 6, 7)}
+GROUPS_COARSE = {"formal": (1,), "informal": (2, 3, 4)}
+
+VIEWS: dict[str, str] = {}
+QUERIES: dict[str, str] = {}
+
+
+def sql(body: str) -> str:
+    """``body`` behind the views it uses, directly or through others."""
+    needed: list[str] = []
+    seen: set[str] = set()
+
+    def need(text: str) -> None:
+        for name in VIEWS:
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
+                need(VIEWS[name])
+                needed.append(name)
+
+    need(body)
+    return ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" if needed else "") + body.strip()
+
+
+def ratio(over: str, under: str, digits: int) -> str:
+    """over / under rounded half away from zero in whole numbers; NULL unless under is positive."""
+    a, b, unit = f"CAST(({over}) AS HUGEINT)", f"CAST(({under}) AS HUGEINT)", 10 ** digits
+    return (f"CASE WHEN {b} > 0 THEN CAST(sign({a}) * ((abs({a}) * {2 * unit} + {b}) // ({b} * 2)) AS DOUBLE)"
+            f" / {unit}.0 END")
+
+
+def percent(part: str, whole: str, digits: int = 1) -> str:
+    return ratio(f"100 * ({part})", whole, digits)
+
+
+def grouped(column: str, groups: dict[str, tuple], other: str) -> str:
+    arms = " ".join(f"WHEN {column} IN ({', '.join(map(str, codes))}) THEN '{label}'" for label, codes in groups.items())
+    return f"CASE {arms} ELSE '{other}' END"
+
+
+# ------------------------------------------------------------------ the roles of the test tables
+VIEWS["ev"] = """
+  SELECT l_orderkey * 8 + l_linenumber AS event_id, l_shipdate::DATE AS day,
+    date_trunc('month', l_shipdate)::DATE AS month, year(l_shipdate)::INTEGER AS yr,
+    l_shipdate::DATE """ + SPAN + """ AS inside,
+    s_nationkey AS sector, CASE WHEN p_brand <> 'Brand#7' THEN p_brand END AS occupation,
+    concat(lower(p_type[1:2]), CASE l_linenumber WHEN 1 THEN '.' ELSE '' END, p_type[3:3], l_linenumber, ' ') AS diagnosis,
+    concat(p_type, ' ') AS kind, l_returnflag AS death, l_linenumber AS status,
+    CASE l_linestatus WHEN 'O' THEN 'Male' ELSE 'Female' END AS sex,
+    year(l_shipdate)::INTEGER - 18 - p_size AS birth_year,
+    CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN NULL ELSE concat(p_type, '/', p_brand) END AS mixed_code
+  FROM lineitem, supplier, part WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey"""
+VIEWS["ex"] = """
+  SELECT year(o_orderdate)::INTEGER AS yr, 1000 + c_nationkey * 3 + o_custkey % 3 AS unit,
+    CASE WHEN c_nationkey % 12 = 5 THEN 0 ELSE floor(o_totalprice / 1000)::BIGINT END AS jobs,
+    o_orderstatus <> 'F' AS active,
+    concat(lpad(c_nationkey::VARCHAR, 2, '0'), right(c_name, 6)) AS postcode
+  FROM orders, customer WHERE o_custkey = c_custkey"""
+VIEWS["sector"] = "SELECT n_nationkey AS sector, n_name AS label, chr(65 + n_regionkey) AS section FROM nation"
+VIEWS["unit_sector"] = """
+  SELECT 1000 + n_nationkey * 3 + k AS unit, n_nationkey AS sector FROM nation, (VALUES (0), (1), (2)) AS three(k)"""
+VIEWS["note"] = """
+  SELECT o_orderdate::DATE AS day, year(o_orderdate)::INTEGER AS yr, o_orderpriority[1:1]::INTEGER AS status,
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS flag, c_nationkey::VARCHAR AS residence
+  FROM orders, customer WHERE o_custkey = c_custkey"""
+VIEWS["diag_dim"] = """
+  SELECT concat(p_type, '/', p_brand) AS sub, p_type AS cat, upper(p_type[1:3]) AS cat3,
+    concat('sub ', lower(p_brand), ' of ', lower(p_type)) AS sub_label, concat('category ', lower(p_type)) AS cat_label
+  FROM part GROUP BY ALL"""
+VIEWS["occ_dim"] = """
+  SELECT p_brand AS code, concat('occupation ', lower(p_brand)) AS label FROM part
+  WHERE p_brand[7:8]::INTEGER < 20 GROUP BY ALL"""
+
+# ------------------------------------------------------------------ coverage
+VIEWS["by_month"] = "SELECT month, count(*) AS n FROM ev GROUP BY month"
+VIEWS["calendar"] = f"""
+  SELECT unnest(generate_series(DATE '{CALENDAR[0]}', DATE '{CALENDAR[1]}', INTERVAL 1 MONTH))::DATE AS month"""
+VIEWS["dense"] = """
+  SELECT calendar.month, ifnull((SELECT n FROM by_month WHERE by_month.month = calendar.month), 0)::BIGINT AS n
+  FROM calendar"""
+VIEWS["cover"] = "SELECT month, n, 2 * n >= (SELECT median(n) FROM dense) AS good FROM dense"
+#: Calendar months (1-12) that are good in both comparison years.
+VIEWS["paired"] = f"""
+  SELECT month(month) AS m FROM cover WHERE good AND year(month) IN ({FIRST}, {LAST}) GROUP BY 1 HAVING count(*) = 2"""
+
+QUERIES["coverage_monthly"] = "SELECT strftime(month, '%Y-%m') AS month, n AS events, good AS adequate FROM cover"
+QUERIES["adequate_months_per_year"] = """
+SELECT year(month)::INTEGER AS year, count(*) FILTER (good) AS adequate_months FROM cover GROUP BY 1"""
+QUERIES["comparable_months"] = "SELECT m::INTEGER AS month_of_year FROM paired"
+QUERIES["coverage_summary"] = """
+SELECT ifnull(year(month)::VARCHAR, 'all') AS scope, count(*) FILTER (good) AS adequate_months, count(*) AS months,
+  count(*) FILTER (NOT good) AS inadequate_months
+FROM cover GROUP BY GROUPING SETS ((year(month)), ())"""
+
+# ------------------------------------------------------------------ rates
+#: One row per sector: jobs of each rate year, events and diseases of its good months.
+VIEWS["sector_jobs"] = "SELECT sector, " + ", ".join(
+    f"sum(jobs) FILTER (yr = {y}) AS j{y}" for y in RATE_YEARS) + """
+  FROM ex JOIN unit_sector USING (unit) GROUP BY sector"""
+VIEWS["sector_events"] = "SELECT sector, " + ", ".join(
+    f"count(*) FILTER (yr = {y}) AS e{y}, count(*) FILTER (yr = {y} AND trim(kind) ILIKE 'E%') AS d{y}" for y in RATE_YEARS) + """
+  FROM ev SEMI JOIN (SELECT month FROM cover WHERE good) AS fine USING (month) GROUP BY sector"""
+VIEWS["good_months"] = "SELECT " + ", ".join(
+    f"count(*) FILTER (good AND year(month) = {y}) AS m{y}" for y in RATE_YEARS) + " FROM cover"
+_A, _B, _C = RATE_YEARS
+
+
+def _sum(prefix: str) -> str:
+    return " + ".join(f"ifnull({prefix}{y}, 0)" for y in RATE_YEARS)
+
+
+def _rate(y: int) -> str:
+    return ratio(f"12000 * ifnull(e{y}, 0)::HUGEINT", f"j{y}::HUGEINT * m{y}", 1)
+
+
+VIEWS["rate_table"] = f"""
+  SELECT sector, label, j{_C}::BIGINT AS jobs_{_C}, ({_sum('e')})::BIGINT AS events, ({_sum('d')})::BIGINT AS diseases,
+    {", ".join(f"{_rate(y)} AS rate_{y}" for y in RATE_YEARS)},
+    {ratio(f"12000 * (ifnull(e{_C}, 0)::HUGEINT * j{_A} * m{_A} - ifnull(e{_A}, 0)::HUGEINT * j{_C} * m{_C})",
+           f"j{_C}::HUGEINT * m{_C} * j{_A} * m{_A}", 1)} AS change_{_A}_{_C}
+  FROM sector_jobs JOIN sector USING (sector) LEFT JOIN sector_events USING (sector), good_months
+  WHERE least({", ".join(f"ifnull(j{y}, 0)" for y in RATE_YEARS)}) >= 2000 AND {_sum('e')} >= 30"""
+VIEWS["rate_top"] = f"SELECT * FROM rate_table ORDER BY rate_{_C} DESC NULLS FIRST, sector LIMIT {TOP}"
+VIEWS["city"] = f"""
+  SELECT yr AS year, adequate_months, jobs, events,
+    {ratio("12000 * events::HUGEINT", "jobs::HUGEINT * adequate_months", 1)} AS rate
+  FROM (SELECT yr, sum(jobs)::BIGINT AS jobs FROM ex WHERE yr IN {RATE_YEARS} GROUP BY yr)
+  JOIN (SELECT year(month)::INTEGER AS yr, count(*) FILTER (good) AS adequate_months,
+          (sum(n) FILTER (good))::BIGINT AS events FROM cover GROUP BY 1) USING (yr)
+  WHERE events IS NOT NULL"""
+
+QUERIES["sector_rate_table"] = "SELECT * FROM rate_table"
+QUERIES["sector_rate_ranking"] = "SELECT * FROM rate_top"
+QUERIES["silver_rate_ranking"] = "SELECT * FROM rate_top"
+QUERIES["overall_rate_by_year"] = "SELECT * FROM city"
+QUERIES["rose_count"] = f"SELECT count(*) AS shown, count(*) FILTER (rate_{_C} > rate_{_A}) AS rose FROM rate_top"
+QUERIES["ranking_search"] = f"""
+SELECT *, rate_{_C} - rate_{_A} AS change FROM rate_table WHERE label ILIKE '%nation_1%' AND label LIKE '%\\_%' ESCAPE '\\'
+ORDER BY rate_{_B} DESC NULLS LAST, sector LIMIT 10"""
+QUERIES["ratio_to_overall"] = f"""
+SELECT sector, label, rate_{_C} AS top_rate, late.rate AS city_rate,
+  {ratio(f"round(rate_{_C} * 10)", "round(late.rate * 10)", 1)} AS times_city,
+  (round(late.rate * 10)::BIGINT - round(early.rate * 10)::BIGINT) / 10.0::DOUBLE AS city_change
+FROM (FROM rate_top ORDER BY rate_{_C} DESC NULLS FIRST, sector LIMIT 1), city AS late, city AS early
+WHERE late.year = {_C} AND early.year = {_A}"""
+QUERIES["unmatched_event_share"] = f"""
+SELECT sum(n)::BIGINT AS events, ifnull(sum(n) FILTER (NOT working), 0)::BIGINT AS in_sector_without_jobs,
+  {percent("ifnull(sum(n) FILTER (NOT working), 0)", "sum(n)", 2)} AS pct
+FROM (SELECT count(*) AS n, ifnull(sector IN (
+        SELECT unit_sector.sector FROM unit_sector JOIN ex USING (unit) WHERE yr IN {RATE_YEARS} AND jobs > 0), false) AS working
+      FROM ev WHERE inside GROUP BY ev.sector)"""
+VIEWS["job_years"] = "SELECT sector, (" + _sum("j") + ")::BIGINT AS jobs FROM sector_jobs WHERE " + \
+    " OR ".join(f"j{y} IS NOT NULL" for y in RATE_YEARS)
+VIEWS["sector_period"] = "SELECT sector, count(*) AS n FROM ev WHERE inside GROUP BY sector"
+VIEWS["gap_table"] = f"""
+  SELECT sector, label, section, jobs AS job_years, ifnull(n, 0)::BIGINT AS events,
+    {ratio("1000 * ifnull(n, 0)", "jobs", 2)} AS per_thousand,
+    {ratio("jobs::HUGEINT * all_n", "all_jobs", 0)} AS expected,
+    {ratio("jobs::HUGEINT * all_n - ifnull(n, 0)::HUGEINT * all_jobs", "all_jobs", 0)} AS gap,
+    {ratio("ifnull(n, 0)::HUGEINT * all_jobs", "jobs::HUGEINT * all_n", 2)} AS observed_over_expected
+  FROM job_years JOIN sector USING (sector) LEFT JOIN sector_period USING (sector),
+    (SELECT sum(jobs) AS all_jobs FROM job_years), (SELECT sum(n) AS all_n FROM sector_period)
+  WHERE jobs >= 3000"""
+QUERIES["expected_vs_observed_table"] = "SELECT * FROM gap_table"
+QUERIES["expected_vs_observed"] = f"""
+SELECT * EXCLUDE (section) FROM gap_table ORDER BY gap DESC NULLS FIRST, sector LIMIT {TOP}"""
+QUERIES["gap_filtered"] = """
+SELECT * EXCLUDE (section), CASE WHEN section IN ('A', 'B', 'C') THEN 'Section ' || section ELSE section END AS big_sector,
+  CASE WHEN observed_over_expected < 0.5 THEN 'below half' WHEN observed_over_expected >= 0.5 THEN 'half or more' END AS "group"
+FROM gap_table WHERE section IS DISTINCT FROM 'B' ORDER BY gap DESC NULLS LAST, sector LIMIT 15"""
+
+# ------------------------------------------------------------------ shares
+def _codes(name: str, code: str) -> None:
+    """Per code: events of the period, and of the paired months of both comparison years."""
+    VIEWS[name] = f"""
+  SELECT {code} AS code, count(*) FILTER (inside) AS n,
+    count(*) FILTER (yr = {FIRST} AND month(month) IN (FROM paired)) AS c0,
+    count(*) FILTER (yr = {LAST} AND month(month) IN (FROM paired)) AS c1
+  FROM ev GROUP BY 1"""
+
+
+_codes("occ_counts", "occupation")
+_codes("diag_counts", "upper(trim(diagnosis)[1:3])")
+_codes("occ_filled", "ifnull(occupation, 'NI')")
+_codes("diag_filled", "ifnull(upper(replace(trim(diagnosis), '.', '')[1:3]), 'NI')")
+
+
+def _share(counts: str, names: str, outside: str) -> str:
+    """Codes without a code keep their total and have no yearly share."""
+    c0, c1 = ("CASE WHEN code IS NULL THEN 0 ELSE " + c + " END" for c in ("c0", "c1"))
+    return f"""
+SELECT code, ifnull((SELECT min(label) FROM ({names}) AS d WHERE d.code = c.code), '{outside}') AS label, n AS events,
+  {percent("n", "every")} AS pct_total,
+  {percent(f"(SELECT sum(o.n) FROM {counts} AS o WHERE o.n > c.n OR o.n = c.n AND (o.code <= c.code OR c.code IS NULL))", "every")} AS pct_cumulative,
+  ifnull({percent(c0, "t0")}, 0.0) AS pct_{FIRST}, ifnull({percent(c1, "t1")}, 0.0) AS pct_{LAST},
+  ifnull({ratio(f"100 * ({c1}::HUGEINT * t0 - {c0}::HUGEINT * t1)", "t0::HUGEINT * t1", 1)}, 0.0) AS change_pp
+FROM {counts} AS c, (SELECT sum(n) AS every, sum(c0) AS t0, sum(c1) AS t1 FROM {counts})
+WHERE n > 0 ORDER BY n DESC, code NULLS LAST LIMIT {TOP}"""
+
+
+QUERIES["occupation_share"] = _share("occ_counts", "FROM occ_dim", "(code outside the occupation table)")
+QUERIES["diagnosis_share"] = _share("diag_counts", "SELECT cat3 AS code, cat_label AS label FROM diag_dim",
+                                    "(code outside the diagnosis table)")
+
+
+def _stack(counts: str, dimension: str, names: str) -> str:
+    """All codes of one dimension in rank order; paired months count inside the period only."""
+    return f"""
+  SELECT '{dimension}' AS dimension, row_number() OVER (ORDER BY n DESC, code) AS ranking, code,
+    CASE code WHEN 'NI' THEN 'not informed' ELSE
+      ifnull((SELECT max(label) FROM ({names}) AS d WHERE d.code = c.code), 'no description in reference table') END AS description,
+    n AS events, {percent("n", "sum(n) OVER ()")} AS pct_total,
+    sum(n) OVER (ORDER BY n DESC, code) AS run, sum(n) OVER () AS every,
+    ifnull({percent("c0", "sum(c0) OVER ()")}, 0.0) AS pct_{FIRST}, ifnull({percent("c1", "sum(c1) OVER ()")}, 0.0) AS pct_{LAST}
+  FROM {counts} AS c WHERE n > 0"""
+
+
+VIEWS["stack_all"] = _stack("occ_filled", "occupation", "FROM occ_dim") + "\n  UNION ALL" + \
+    _stack("diag_filled", "diagnosis", "SELECT cat3 AS code, cat_label AS label FROM diag_dim")
+VIEWS["stack"] = f"""
+  SELECT dimension, ranking, code, description, events, pct_total, {percent("run", "every")} AS pct_cumulative,
+    pct_{FIRST}, pct_{LAST} FROM stack_all"""
+VIEWS["stack_30"] = "SELECT * FROM stack WHERE ranking <= 30"
+QUERIES["composition_stacked"] = "SELECT * FROM stack_30"
+QUERIES["not_informed_toggle"] = """
+SELECT * FROM stack_30 WHERE dimension = 'occupation' AND code <> 'NI' ORDER BY ranking LIMIT 15"""
+QUERIES["headline_rows"] = """
+SELECT arg_min(COLUMNS(* EXCLUDE (dimension)), ranking), dimension FROM stack_30 WHERE code <> 'NI' GROUP BY dimension"""
+QUERIES["headline_rows"] = """
+SELECT stack_30.* FROM stack_30 JOIN (SELECT dimension, min(ranking) AS ranking FROM stack_30 WHERE code <> 'NI' GROUP BY 1)
+USING (dimension, ranking)"""
+_reach = lambda rows, p: f"(SELECT min(ranking) FROM {rows} AS r WHERE r.dimension = x.dimension AND r.pct_cumulative >= {p})"
+QUERIES["pareto_cut"] = f"""
+SELECT dimension, ifnull({_reach("stack_30", 50)}::VARCHAR, 'more than 30') AS items_to_50,
+  ifnull({_reach("stack_30", 80)}::VARCHAR, 'more than 30') AS items_to_80,
+  (SELECT count(*) + 1 FROM stack_30 AS r WHERE r.dimension = x.dimension AND pct_cumulative < 50) AS items_below_50_plus_one
+FROM (SELECT DISTINCT dimension FROM stack_30) AS x"""
+QUERIES["pareto_exact"] = f"""
+SELECT dimension, {_reach("stack", 50)}::VARCHAR AS items_to_50, {_reach("stack", 80)}::VARCHAR AS items_to_80,
+  (SELECT count(*) + 1 FROM stack AS r WHERE r.dimension = x.dimension AND pct_cumulative < 50) AS items_below_50_plus_one
+FROM (SELECT DISTINCT dimension FROM stack) AS x"""
+VIEWS["moves"] = f"""
+  SELECT code, description, ranking, round(pct_{LAST} * 10)::BIGINT - round(pct_{FIRST} * 10)::BIGINT AS tenths
+  FROM stack WHERE dimension = 'diagnosis' AND ranking <= 15"""
+QUERIES["biggest_mover"] = """
+(SELECT 'gain' AS direction, code, description, tenths / 10.0::DOUBLE AS change_pp FROM moves ORDER BY tenths DESC, ranking LIMIT 1)
 UNION ALL
-SELECT 'all', count(*) FILTER (WHERE ok), count(*), count(*) - count(*) FILTER (WHERE ok)
-FROM cobertura"""
-
-_A4_CTES = (COV, f"""
-meses_ok4 AS (
-  SELECT CAST(year(month) AS INTEGER) AS year, count(*) FILTER (WHERE ok) AS m
-  FROM cobertura GROUP BY 1
-),
-acidentes4 AS (
-  SELECT CAST(year(f.event_date) AS INTEGER) AS year, f.sector AS sector4,
-         count(*) AS e,
-         count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_disease_like}') AS dis
-  FROM events_fact f
-  JOIN cobertura c ON c.month = CAST(date_trunc('month', f.event_date) AS DATE) AND c.ok
-  GROUP BY 1, 2
-),
-vinculos4 AS (
-  SELECT r.year, d.sector4, sum(r.jobs) AS j
-  FROM exposure r JOIN sectors d ON d.sector5 = r.sector5
-  WHERE r.year BETWEEN {R0} AND {R1}
-  GROUP BY 1, 2
-),
-taxas4 AS (
-  SELECT v.year, v.sector4, v.j, m.m, coalesce(a.e, 0) AS e, coalesce(a.dis, 0) AS dis
-  FROM vinculos4 v
-  JOIN meses_ok4 m ON m.year = v.year
-  LEFT JOIN acidentes4 a ON a.year = v.year AND a.sector4 = v.sector4
-  WHERE v.j > 0
-),
-per AS (
-  SELECT d.sector4, d.label,
-         max(t.j) FILTER (WHERE t.year = {R1}) AS jl,
-         sum(t.e) AS e, sum(t.dis) AS dis,
-         {", ".join(f"max(t.e) FILTER (WHERE t.year = {y}) AS e{y}, max(t.j) FILTER (WHERE t.year = {y}) AS j{y}, max(t.m) FILTER (WHERE t.year = {y}) AS m{y}" for y in RY)}
-  FROM taxas4 t JOIN sectors d ON d.sector4 = t.sector4
-  GROUP BY d.sector4, d.label
-  HAVING count(*) = {len(RY)} AND min(t.j) >= {S.min_jobs_per_year} AND sum(t.e) >= {S.min_events}
-),
-tabela AS (
-  SELECT sector4 AS sector, label, CAST(jl AS BIGINT) AS jobs_{R1},
-         CAST(e AS BIGINT) AS events, CAST(dis AS BIGINT) AS diseases,
-         {", ".join(rq(f"12000 * e{y}", f"j{y} * m{y}", 1) + f" AS rate_{y}" for y in RY)},
-         {rq(f"12000 * (e{R1} * j{R0} * m{R0} - e{R0} * j{R1} * m{R1})", f"j{R1} * m{R1} * j{R0} * m{R0}", 1)} AS change_{R0}_{R1}
-  FROM per
-)""")
-
-# A4
-Q["sector_rate_ranking"] = w(*_A4_CTES) + f"""
-SELECT * FROM tabela ORDER BY rate_{R1} DESC NULLS FIRST, sector LIMIT {S.top_n}"""
-
-# A5
-_A5 = w(COV, f"""
-meses_ok AS (
-  SELECT CAST(year(month) AS INTEGER) AS year, count(*) FILTER (WHERE ok) AS m
-  FROM cobertura GROUP BY 1
-),
-acidentes AS (
-  SELECT CAST(year(f.event_date) AS INTEGER) AS year, count(*) AS e
-  FROM events_fact f
-  JOIN cobertura c ON c.month = CAST(date_trunc('month', f.event_date) AS DATE) AND c.ok
-  GROUP BY 1
-),
-vinculos AS (
-  SELECT year, sum(jobs) AS j FROM exposure WHERE year BETWEEN {R0} AND {R1} GROUP BY 1
-),
-cidade AS (
-  SELECT v.year, m.m AS adequate_months, CAST(v.j AS BIGINT) AS jobs, a.e AS events,
-         {rq("12000 * a.e", "v.j * m.m", 1)} AS rate
-  FROM vinculos v JOIN meses_ok m ON m.year = v.year JOIN acidentes a ON a.year = v.year
-)""")
-Q["overall_rate_by_year"] = _A5 + "\nSELECT * FROM cidade"
-
-# A28
-Q["ratio_to_overall"] = _A5 + f""",
-{_A4_CTES[1].strip()},
-topo AS (SELECT sector, label, rate_{R1} AS top_rate FROM tabela ORDER BY rate_{R1} DESC NULLS FIRST, sector LIMIT 1),
-c AS (SELECT max(rate) FILTER (WHERE year = {R1}) AS city_rate, max(rate) FILTER (WHERE year = {R0}) AS city_first FROM cidade)
-SELECT sector, label, top_rate, city_rate,
-       {rq("CAST(round(top_rate * 10) AS BIGINT)", "CAST(round(city_rate * 10) AS BIGINT)", 1)} AS times_city,
-       CAST(CAST(round(city_rate * 10) AS BIGINT) - CAST(round(city_first * 10) AS BIGINT) AS DOUBLE) / 10.0 AS city_change
-FROM topo CROSS JOIN c"""
-
-# A27 (over the A4 ranking)
-Q["rose_count"] = w(*_A4_CTES) + f""",
-ranking AS (SELECT * FROM tabela ORDER BY rate_{R1} DESC NULLS FIRST, sector LIMIT {S.top_n})
-SELECT count(*) AS shown, count(*) FILTER (WHERE rate_{R1} > rate_{R0}) AS rose FROM ranking"""
-
-# Search term 'NATION_1' (regex, case-insensitive), ranked by the middle year, top 10
-Q["ranking_search"] = w(*_A4_CTES) + f"""
-SELECT *, rate_{R1} - rate_{R0} AS change FROM tabela
-WHERE coalesce(regexp_matches(label, '(?i)nation_1'), false)
-ORDER BY rate_{RY[1]} DESC NULLS LAST, sector LIMIT 10"""
-
-# A9
-Q["unmatched_event_share"] = w(f"""
-vinculos AS (
-  SELECT DISTINCT d.sector4
-  FROM exposure r JOIN sectors d ON d.sector5 = r.sector5
-  WHERE r.year BETWEEN {R0} AND {R1} AND r.jobs > 0
-)""") + f"""
-SELECT count(*) AS events,
-       count(*) FILTER (WHERE v.sector4 IS NULL) AS in_sector_without_jobs,
-       {pct("count(*) FILTER (WHERE v.sector4 IS NULL)", "count(*)", 2)} AS pct
-FROM events_fact f LEFT JOIN vinculos v ON v.sector4 = f.sector
-WHERE f.event_date {PERIOD}"""
-
-_A10 = w(f"""
-acidentes AS (
-  SELECT sector AS sector4, count(*) AS a FROM events_fact WHERE event_date {PERIOD} GROUP BY sector
-),
-vinculos AS (
-  SELECT d.sector4, sum(r.jobs) AS v
-  FROM exposure r JOIN sectors d ON d.sector5 = r.sector5
-  WHERE r.year BETWEEN {R0} AND {R1}
-  GROUP BY d.sector4
-),
-geral AS (SELECT (SELECT sum(a) FROM acidentes) AS E, (SELECT sum(v) FROM vinculos) AS J),
-tabela AS (
-  SELECT v.sector4 AS sector, d.label, d.section, CAST(v.v AS BIGINT) AS job_years,
-         CAST(coalesce(a.a, 0) AS BIGINT) AS events,
-         {rq("1000 * coalesce(a.a, 0)", "v.v", 2)} AS per_thousand,
-         {rq("v.v * g.E", "g.J", 0)} AS expected,
-         {rq("v.v * g.E - coalesce(a.a, 0) * g.J", "g.J", 0)} AS gap,
-         {rq("coalesce(a.a, 0) * g.J", "v.v * g.E", 2)} AS observed_over_expected
-  FROM vinculos v CROSS JOIN geral g
-  LEFT JOIN acidentes a ON a.sector4 = v.sector4
-  JOIN sectors d ON d.sector4 = v.sector4
-  WHERE v.v >= {S.min_job_years}
-)""")
-
-# A10
-Q["expected_vs_observed"] = _A10 + f"""
-SELECT * EXCLUDE (section) FROM tabela ORDER BY gap DESC NULLS FIRST, sector LIMIT {S.top_n}"""
-
-# Sections named through a map (unmapped letters keep themselves), hide 'Section B', top 15
-Q["gap_filtered"] = _A10 + """
-SELECT * EXCLUDE (section, big0), CASE WHEN observed_over_expected < 0.5 THEN 'below half'
-                  WHEN observed_over_expected >= 0.5 THEN 'half or more' END AS "group"
-FROM (SELECT *, section AS big0,
-             coalesce(CASE section WHEN 'A' THEN 'Section A' WHEN 'B' THEN 'Section B'
-                                   WHEN 'C' THEN 'Section C' END, section) AS big_sector
-      FROM tabela)
-WHERE (big_sector NOT IN ('Section B') OR big_sector IS NULL)
-ORDER BY gap DESC NULLS LAST, sector LIMIT 15"""
-
-
-# ---------------------------------------------------------------- shares
-OCC_OUT = "(code outside the occupation table)"
-DIAG_OUT = "(code outside the diagnosis table)"
-
-
-def _composition(code_expr: str, dim_cte: str, outside: str) -> str:
-    return w(COV, COMPARAVEIS, f"""
-cat AS (SELECT event_date, {code_expr} AS code FROM events_fact),
-dim AS ({dim_cte}),
-total AS (SELECT code, count(*) AS n FROM cat WHERE event_date {PERIOD} GROUP BY 1),
-comp AS (
-  SELECT CAST(year(event_date) AS INTEGER) AS ano, code, count(*) AS n
-  FROM cat
-  WHERE year(event_date) IN ({Y0}, {Y1})
-    AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis)
-  GROUP BY 1, 2
-),
-tot AS (SELECT sum(n) FILTER (WHERE ano = {Y0}) AS T0, sum(n) FILTER (WHERE ano = {Y1}) AS T1 FROM comp),
-pct AS (SELECT code, sum(n) FILTER (WHERE ano = {Y0}) AS c0, sum(n) FILTER (WHERE ano = {Y1}) AS c1 FROM comp GROUP BY 1)""") + f"""
-SELECT t.code, coalesce(d.label, '{outside}') AS label, t.n AS events,
-       {pct("t.n", "sum(t.n) OVER ()")} AS pct_total,
-       {pct("sum(t.n) OVER (ORDER BY t.n DESC, t.code NULLS LAST)", "sum(t.n) OVER ()")} AS pct_cumulative,
-       coalesce({pct("coalesce(p.c0, 0)", "tot.T0")}, 0.0) AS pct_{Y0},
-       coalesce({pct("coalesce(p.c1, 0)", "tot.T1")}, 0.0) AS pct_{Y1},
-       coalesce({rq("100 * (coalesce(p.c1, 0) * tot.T0 - coalesce(p.c0, 0) * tot.T1)", "tot.T0 * tot.T1", 1)}, 0.0) AS change_pp
-FROM total t
-LEFT JOIN pct p ON p.code = t.code
-CROSS JOIN tot
-LEFT JOIN dim d ON d.code = t.code
-ORDER BY t.n DESC, t.code NULLS LAST
-LIMIT {S.top_n}"""
-
-
-# A6
-Q["occupation_share"] = _composition("occupation", "SELECT code, label FROM occupations", OCC_OUT)
-# A7 (K14: trim, left 3, upper; dots kept)
-Q["diagnosis_share"] = _composition(
-    "upper(left(trim(diag_raw), 3))",
-    "SELECT cat3 AS code, min(cat_label) AS label FROM diagnoses GROUP BY cat3", DIAG_OUT)
-
-_STACKED = w(COV, COMPARAVEIS, f"""
-cats AS (
-  SELECT CAST(year(event_date) AS INTEGER) AS ano,
-         year(event_date) IN ({Y0}, {Y1})
-           AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis) AS comparavel,
-         occupation,
-         upper(left(replace(trim(diag_raw), '.', ''), 3)) AS cid
-  FROM events_fact
-  WHERE event_date {PERIOD}
-),
-itens AS (
-  SELECT 'occupation' AS dimension, coalesce(occupation, 'NI') AS code, ano, comparavel FROM cats
-  UNION ALL
-  SELECT 'diagnosis', coalesce(cid, 'NI'), ano, comparavel FROM cats
-),
-total AS (
-  SELECT dimension, code, count(*) AS n,
-         sum(count(*)) OVER (PARTITION BY dimension) AS tot,
-         sum(count(*)) OVER (PARTITION BY dimension ORDER BY count(*) DESC, code) AS run,
-         row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, code) AS ranking
-  FROM itens GROUP BY dimension, code
-),
-comp AS (
-  SELECT dimension, code, ano, count(*) AS n,
-         sum(count(*)) OVER (PARTITION BY dimension, ano) AS Ty
-  FROM itens WHERE comparavel GROUP BY dimension, code, ano
-),
-pcts AS (
-  SELECT dimension, code,
-         max({pct("n", "Ty")}) FILTER (WHERE ano = {Y0}) AS p0,
-         max({pct("n", "Ty")}) FILTER (WHERE ano = {Y1}) AS p1
-  FROM comp GROUP BY dimension, code
-),
-descr AS (
-  SELECT 'occupation' AS dimension, code, max(label) AS descr FROM occupations GROUP BY code
-  UNION ALL
-  SELECT 'diagnosis', cat3, max(cat_label) FROM diagnoses GROUP BY cat3
-),
-stacked AS (
-  SELECT t.dimension, CAST(t.ranking AS BIGINT) AS ranking, t.code,
-         CASE WHEN t.code = 'NI' THEN 'not informed'
-              ELSE coalesce(d.descr, 'no description in reference table') END AS description,
-         t.n AS events,
-         {pct("t.n", "t.tot")} AS pct_total,
-         {pct("t.run", "t.tot")} AS pct_cumulative,
-         coalesce(p.p0, 0.0) AS pct_{Y0},
-         coalesce(p.p1, 0.0) AS pct_{Y1}
-  FROM total t
-  LEFT JOIN pcts p ON p.dimension = t.dimension AND p.code = t.code
-  LEFT JOIN descr d ON d.dimension = t.dimension AND d.code = t.code
-  WHERE t.ranking <= 30
-)""")
-
-# A8
-Q["composition_stacked"] = _STACKED + "\nSELECT * FROM stacked"
-# A31
-Q["not_informed_toggle"] = _STACKED + """
-SELECT * FROM stacked WHERE dimension = 'occupation' AND code <> 'NI' ORDER BY ranking LIMIT 15"""
-# A25
-Q["pareto_cut"] = _STACKED + """
-SELECT dimension,
-       coalesce(CAST(min(ranking) FILTER (WHERE pct_cumulative >= 50) AS VARCHAR), 'more than 30') AS items_to_50,
-       coalesce(CAST(min(ranking) FILTER (WHERE pct_cumulative >= 80) AS VARCHAR), 'more than 30') AS items_to_80,
-       CAST(count(*) FILTER (WHERE pct_cumulative < 50) + 1 AS BIGINT) AS items_below_50_plus_one
-FROM stacked GROUP BY dimension"""
-# A26
-Q["biggest_mover"] = _STACKED + f""",
-shown AS (SELECT * FROM stacked WHERE dimension = 'diagnosis' ORDER BY ranking LIMIT 15),
-ch AS (SELECT code, description, ranking,
-              CAST(round(pct_{Y1} * 10) - round(pct_{Y0} * 10) AS BIGINT) AS c10 FROM shown)
-(SELECT 'gain' AS direction, code, description, c10 / 10.0 AS change_pp FROM ch ORDER BY c10 DESC, ranking LIMIT 1)
-UNION ALL
-(SELECT 'loss', code, description, c10 / 10.0 FROM ch ORDER BY c10 ASC, ranking LIMIT 1)"""
-
-
-def _bucket(col: str, groups, other: str) -> str:
-    whens = " ".join(f"WHEN {col} IN ({', '.join(map(str, codes))}) THEN '{label}'" for label, codes in groups)
-    return f"CASE {whens} ELSE '{other}' END"
-
-
-# A11
-Q["status_share"] = w() + f"""
-SELECT {_bucket("status", S.status_groups, S.status_unknown)} AS "group",
-       count(*) AS notices,
-       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
-FROM notices WHERE event_date {PERIOD}
-GROUP BY 1"""
-
-_FLAG = ("CASE flag " + " ".join(f"WHEN '{c}' THEN '{l}'" for c, l in S.flag_labels)
-         + f" ELSE '{S.flag_unknown}' END")
-_A12 = f"""
-SELECT {_FLAG} AS flag_label,
-       count(*) AS notices,
-       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
-FROM notices
-WHERE status = {S.flag_status} AND event_date {PERIOD}
-GROUP BY flag"""
-# A12
-Q["followup_flag_share"] = w() + _A12
-# A32
-Q["no_followup_share"] = w() + f"""
-SELECT coalesce(sum(pct) FILTER (WHERE flag_label IN ('not issued', '{S.flag_unknown}')), 0.0) AS pct_without_followup
-FROM ({_A12})"""
-
-# A15
-Q["sector_counts_by_type"] = w() + f"""
-SELECT d.sector4 AS sector, d.label,
-       count(*) AS events,
-       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct_total,
-       count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_typical_like}') AS typical,
-       count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_commute}') AS commute,
-       count(*) FILTER (WHERE trim(f.kind) ILIKE '{S.kind_disease_like}') AS disease
-FROM events_fact f
-JOIN sectors d ON d.sector4 = f.sector
-WHERE f.event_date {PERIOD}
-GROUP BY d.sector4, d.label
-ORDER BY events DESC, sector
-LIMIT 15"""
-
-# A16
-Q["type_by_year"] = w(COV, COMPARAVEIS, f"""
-base AS (
-  SELECT CAST(year(event_date) AS INTEGER) AS ano, trim(kind) AS tipo, trim(death) AS obito
-  FROM events_fact
-  WHERE year(event_date) IN ({Y0}, {Y1})
-    AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis)
-)""") + f"""
-SELECT ano AS year, tipo AS kind, count(*) AS events,
-       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY ano)")} AS pct_in_year,
-       count(*) FILTER (WHERE obito ILIKE '{S.death_value}') AS deaths
-FROM base GROUP BY ano, tipo"""
-
-# A17
-Q["exposure_by_area"] = w() + f"""
-SELECT left(postcode, 5) AS area,
-       CAST(sum(jobs) AS BIGINT) AS jobs,
-       {pct("sum(jobs)", "sum(sum(jobs)) OVER ()")} AS pct_total,
-       count(*) FILTER (WHERE active_jobs > 0) AS active_units
-FROM exposure WHERE year = {R1}
-GROUP BY left(postcode, 5)
-ORDER BY jobs DESC, area
-LIMIT 15"""
-
-# A18
-Q["residence_share"] = w() + f"""
-SELECT coalesce(n.name, '{S.other_places}') AS place,
-       count(*) AS notices,
-       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
-FROM notices s LEFT JOIN named_places n ON n.code = s.residence
-WHERE s.event_date {PERIOD}
-GROUP BY coalesce(n.name, '{S.other_places}')"""
-
-# A19
-Q["profile_sex_age"] = w(COV, COMPARAVEIS, f"""
-base AS (
-  SELECT CAST(year(event_date) AS INTEGER) AS ano,
-         CASE WHEN trim(sex) ILIKE '{S.male_value}' THEN '{S.male_value}'
-              WHEN trim(sex) ILIKE '{S.female_value}' THEN '{S.female_value}'
-              ELSE 'not informed' END AS sexo,
-         CASE WHEN birth_year IS NULL THEN 'no information'
-              WHEN year(event_date) - birth_year < 25 THEN 'up to 24'
-              WHEN year(event_date) - birth_year < 35 THEN '25 to 34'
-              WHEN year(event_date) - birth_year < 45 THEN '35 to 44'
-              WHEN year(event_date) - birth_year < 55 THEN '45 to 54'
-              ELSE '55 or more' END AS faixa
-  FROM events_fact
-  WHERE year(event_date) IN ({Y0}, {Y1})
-    AND CAST(month(event_date) AS INTEGER) IN (SELECT mes_do_ano FROM comparaveis)
-)""") + f"""
-SELECT ano AS year, sexo AS sex, faixa AS age_band, count(*) AS events,
-       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY ano)")} AS pct_in_year
-FROM base GROUP BY ano, sexo, faixa"""
-
-# A20
-Q["status_by_year"] = w() + f"""
-SELECT report_year AS year,
-       {_bucket("status", S.status_groups_yearly, S.status_unknown_yearly)} AS "group",
-       count(*) AS notices,
-       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY report_year)", 2)} AS pct_in_year
-FROM notices
-WHERE report_year IN ({", ".join(map(str, RY))})
-GROUP BY 1, 2"""
-
-# A21 (OR-join, K8 fan-out kept)
-Q["diagnosis_by_status"] = w() + f"""
-SELECT CAST(year(f.event_date) AS INTEGER) AS year,
-       {_bucket("f.status", S.status_groups_coarse, S.status_unknown_coarse)} AS "group",
-       coalesce(f.diag_code, 'N/I') AS code,
-       coalesce(d.sub_label, d.cat_label, 'not found') AS diagnosis,
-       count(*) AS cases,
-       {pct("count(*)", "sum(count(*)) OVER (PARTITION BY year(f.event_date))", 2)} AS pct_in_year
-FROM events_fact f
-LEFT JOIN diagnoses d ON f.diag_code = d.sub OR f.diag_code = d.cat
-WHERE year(f.event_date) IN ({", ".join(map(str, RY))})
-GROUP BY year(f.event_date), 2, f.diag_code, d.sub_label, d.cat_label
-ORDER BY cases DESC, year, "group", code, diagnosis, d.cat_label NULLS LAST
-LIMIT 20"""
-
-_A22 = f"""
-SELECT count(*) AS total,
-       count(*) FILTER (WHERE trim(kind) ILIKE '{S.kind_typical_one}') AS typical,
-       count(*) FILTER (WHERE trim(kind) = '{S.kind_commute}') AS commute,
-       count(*) FILTER (WHERE trim(kind) ILIKE '{S.kind_disease_like}') AS disease,
-       count(*) FILTER (WHERE death = '{S.death_value}') AS deaths,
-       count(*) FILTER (WHERE sex = '{S.male_value}') AS men,
-       count(*) FILTER (WHERE sex = '{S.female_value}') AS women
-FROM events_fact
-WHERE event_date {PERIOD}"""
-# A22
-Q["event_summary"] = w() + _A22
-# A23
-Q["summary_shares"] = w() + f"""
-SELECT total,
-       {pct("typical", "total")} AS pct_typical,
-       {pct("commute", "total")} AS pct_commute,
-       {pct("disease", "total")} AS pct_disease,
-       {pct("men", "total")} AS pct_men,
-       {pct("deaths", "total", 2)} AS pct_deaths
-FROM ({_A22})"""
-
-# A24
-Q["counts_by_section"] = w() + f"""
-SELECT d.section,
-       coalesce(CASE d.section WHEN 'A' THEN 'Section A' WHEN 'B' THEN 'Section B'
-                               WHEN 'C' THEN 'Section C' END, d.section) AS section_name,
-       count(*) AS events,
-       {pct("count(*)", "sum(count(*)) OVER ()")} AS pct
-FROM events_fact f JOIN sectors d ON d.sector4 = f.sector
-WHERE f.event_date {PERIOD}
-GROUP BY d.section
-ORDER BY events DESC, section
-LIMIT 8"""
-
-_SINAN = f"""
-sinan AS (
-  SELECT CAST(date_trunc('month', event_date) AS DATE) AS month, count(*) AS n
-  FROM notices WHERE event_date {PERIOD} GROUP BY 1
-)"""
-# A13
-Q["two_source_monthly"] = w(COV, _SINAN) + f"""
-SELECT strftime(c.month, '%Y-%m') AS month, c.n AS events, coalesce(s.n, 0) AS notices,
-       c.ok AS adequate,
-       CASE WHEN c.ok THEN {rq("coalesce(s.n, 0)", "c.n", 2)} END AS notices_per_event
-FROM cobertura c LEFT JOIN sinan s ON s.month = c.month"""
-# A14
-_R = ("CASE WHEN var_pop(c.n) > 0 AND var_pop(coalesce(s.n, 0)) > 0 "
-      "THEN corr(CAST(c.n AS DOUBLE), CAST(coalesce(s.n, 0) AS DOUBLE)) END")
-Q["two_source_correlation"] = w(COV, _SINAN) + f"""
-SELECT count(*) AS months_used,
-       sign({_R}) * floor(abs({_R}) * 100.0 + 0.5) / 100.0 AS correlation
-FROM cobertura c LEFT JOIN sinan s ON s.month = c.month
-WHERE c.ok"""
-
-
-# ---------------------------------------------------------------- cleansing and checks
-from ratewise.functions.text import EDGE_WS  # noqa: E402
-
-Q["strip_text"] = f"""
-SELECT lang, count(*) AS docs,
-       count(*) FILTER (WHERE stripped <> text) AS changed,
-       CAST(sum(length(stripped)) AS BIGINT) AS chars_after
-FROM (SELECT lang, text, regexp_replace(text, '{EDGE_WS}', '', 'g') AS stripped FROM documents)
+(SELECT 'loss', code, description, tenths / 10.0::DOUBLE FROM moves ORDER BY tenths, ranking LIMIT 1)"""
+
+
+def _parts(table: str, group: str, alias: str, measure: str, by: str = "", digits: int = 1, pct: str = "pct") -> str:
+    """Rows per group and their share of the whole, or of each ``by``."""
+    first = f"{by}, " if by else ""
+    over = f"PARTITION BY {by.split(' AS ')[-1]}" if by else ""
+    return f"""
+SELECT * , {percent(measure, f"sum({measure}) OVER ({over})", digits)} AS {pct}
+FROM (SELECT {first}{group} AS {alias}, count(*) AS {measure} FROM {table} GROUP BY ALL)"""
+
+
+VIEWS["note_period"] = f"SELECT * FROM note WHERE day {SPAN}"
+QUERIES["status_share"] = _parts("note_period", grouped("status", GROUPS, "unknown"), '"group"', "notices")
+VIEWS["flags"] = f"""
+  SELECT CASE flag WHEN 'F' THEN 'issued' WHEN 'X' THEN 'not issued' WHEN 'N/A' THEN 'not applicable'
+      ELSE 'no information' END AS flag_label, notices, {percent("notices", "sum(notices) OVER ()")} AS pct
+  FROM (SELECT flag, count(*) AS notices FROM note_period WHERE status = 1 GROUP BY flag)"""
+QUERIES["followup_flag_share"] = "SELECT * FROM flags"
+QUERIES["no_followup_share"] = """
+SELECT ifnull(sum(pct) FILTER (flag_label IN ('not issued', 'no information')), 0.0) AS pct_without_followup FROM flags"""
+VIEWS["kinds"] = """
+  SELECT sector, label, count(*) AS events, count(*) FILTER (trim(kind) ILIKE 'S%') AS typical,
+    count(*) FILTER (trim(kind) ILIKE 'PROMO') AS commute, count(*) FILTER (trim(kind) ILIKE 'E%') AS disease
+  FROM ev JOIN sector USING (sector) WHERE inside GROUP BY ALL"""
+QUERIES["sector_counts_by_type"] = f"""
+SELECT *, {percent("events", "(SELECT sum(events) FROM kinds)")} AS pct_total FROM kinds ORDER BY events DESC, sector LIMIT 15"""
+VIEWS["paired_events"] = f"SELECT * FROM ev WHERE yr IN ({FIRST}, {LAST}) AND month(month) IN (FROM paired)"
+QUERIES["type_by_year"] = f"""
+SELECT *, {percent("events", "sum(events) OVER (PARTITION BY year)")} AS pct_in_year
+FROM (SELECT yr AS year, trim(kind) AS kind, count(*) AS events, count(*) FILTER (trim(death) ILIKE 'R') AS deaths
+      FROM paired_events GROUP BY ALL)"""
+QUERIES["exposure_by_area"] = f"""
+SELECT *, {percent("jobs", "sum(jobs) OVER ()")} AS pct_total
+FROM (SELECT postcode[1:5] AS area, sum(jobs)::BIGINT AS jobs, count(*) FILTER (active AND jobs > 0) AS active_units
+      FROM ex WHERE yr = {_C} GROUP BY 1) ORDER BY jobs DESC, area LIMIT 15"""
+QUERIES["residence_share"] = _parts(
+    "note_period LEFT JOIN (SELECT n_nationkey::VARCHAR AS residence, n_name FROM nation WHERE n_regionkey = 1) USING (residence)",
+    "ifnull(n_name, 'other places')", "place", "notices")
+QUERIES["profile_sex_age"] = f"""
+SELECT *, {percent("events", "sum(events) OVER (PARTITION BY year)")} AS pct_in_year
+FROM (SELECT yr AS year, sex, CASE WHEN birth_year IS NULL THEN 'no information' ELSE
+        ['up to 24', '25 to 34', '35 to 44', '45 to 54', '55 or more'][
+          1 + (yr - birth_year >= 25)::INT + (yr - birth_year >= 35)::INT + (yr - birth_year >= 45)::INT
+          + (yr - birth_year >= 55)::INT] END AS age_band, count(*) AS events
+      FROM paired_events GROUP BY ALL)"""
+VIEWS["note_rate_years"] = f"SELECT * FROM note WHERE yr IN {RATE_YEARS}"
+VIEWS["note_place"] = "SELECT * FROM note_rate_years WHERE residence = '3'"
+_yearly = grouped("status", GROUPS_YEARLY, "not informed")
+QUERIES["status_by_year"] = _parts("note_rate_years", _yearly, '"group"', "notices", "yr AS year", 2, "pct_in_year")
+QUERIES["status_by_year_place"] = _parts("note_place", _yearly, '"group"', "notices", "yr AS year", 2, "pct_in_year")
+
+
+def _by_status(place: str) -> str:
+    return f"""
+SELECT year, "group", ifnull(code, 'N/I') AS code, ifnull(ifnull(sub_label, cat_label), 'not found') AS diagnosis, cases,
+  {percent("cases", "sum(cases) OVER (PARTITION BY year)", 2)} AS pct_in_year
+FROM (SELECT yr AS year, {grouped("status", GROUPS_COARSE, "other or not informed")} AS "group", mixed_code AS code,
+        sub_label, cat_label, count(*) AS cases
+      FROM ev LEFT JOIN diag_dim ON mixed_code IN (sub, cat) WHERE yr IN {RATE_YEARS} {place} GROUP BY ALL)
+ORDER BY cases DESC, year, "group", code, diagnosis, cat_label NULLS LAST LIMIT 20"""
+
+
+QUERIES["diagnosis_by_status"] = _by_status("")
+QUERIES["diagnosis_by_status_place"] = _by_status("AND sector = 3")
+VIEWS["totals"] = """
+  SELECT count(*) AS total, count(*) FILTER (trim(kind) ILIKE 'S_ALL') AS typical,
+    count(*) FILTER (trim(kind) = 'PROMO') AS commute, count(*) FILTER (trim(kind) ILIKE 'E%') AS disease,
+    count(*) FILTER (death = 'R') AS deaths, count(*) FILTER (sex = 'Male') AS men, count(*) FILTER (sex = 'Female') AS women
+  FROM ev WHERE inside"""
+QUERIES["event_summary"] = "SELECT * FROM totals"
+QUERIES["summary_shares"] = "SELECT total, " + ", ".join(
+    f"{percent(c, 'total', 2 if c == 'deaths' else 1)} AS pct_{c}" for c in ("typical", "commute", "disease", "men", "deaths")) + \
+    " FROM totals"
+QUERIES["counts_by_section"] = _parts(
+    "ev JOIN sector USING (sector) WHERE inside", "section", "section", "events") \
+    .replace("SELECT * ,", "SELECT *, CASE WHEN section IN ('A', 'B', 'C') THEN 'Section ' || section ELSE section END AS section_name,") \
+    + " ORDER BY events DESC, section LIMIT 8"
+VIEWS["both_sources"] = """
+  SELECT month, n, good, (SELECT count(*) FROM note_period WHERE date_trunc('month', day) = cover.month) AS m FROM cover"""
+QUERIES["two_source_monthly"] = f"""
+SELECT strftime(month, '%Y-%m') AS month, n AS events, m AS notices, good AS adequate,
+  CASE WHEN good THEN {ratio("m", "n", 2)} END AS notices_per_event FROM both_sources"""
+QUERIES["two_source_correlation"] = """
+SELECT count(*) AS months_used, round(corr(n, m), 2) AS correlation FROM both_sources WHERE good"""
+
+# ------------------------------------------------------------------ cleansing and checks
+#: White space at the ends of a text, by code point.
+_EDGE = "[" + "".join(f"\\x{{{c:X}}}" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "]"
+QUERIES["strip_text"] = f"""
+SELECT lang, count(*) AS docs, count(*) FILTER (inner_text <> padded) AS changed, count(*) FILTER (inner_text <> text) AS beyond,
+  sum(length(inner_text))::BIGINT AS chars_after
+FROM (SELECT lang, text, padded, regexp_replace(regexp_replace(padded, '^{_EDGE}+', ''), '{_EDGE}+$', '') AS inner_text
+      FROM (SELECT lang, text, concat(chr(9), chr(160), text, chr(8195), chr(10)) AS padded FROM documents))
 GROUP BY lang"""
-
-_DEDUP = """
-SELECT * FROM lineitem
-QUALIFY row_number() OVER (
-  PARTITION BY l_orderkey, l_linenumber
-  ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC,
-           l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1"""
-Q["dedup_keep_last"] = _DEDUP
-Q["dedup_rate"] = f"""
-SELECT b.rows_before, a.rows_after, b.rows_before - a.rows_after AS removed,
-       {pct("b.rows_before - a.rows_after", "b.rows_before")} AS pct_removed
-FROM (SELECT count(*) AS rows_before FROM lineitem) b,
-     (SELECT count(*) AS rows_after FROM ({_DEDUP})) a"""
-
-Q["fill_forward"] = """
-SELECT event_id, user_id, event_type,
-       last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
-         OVER (PARTITION BY user_id ORDER BY event_id
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase_value
-FROM events"""
-
-Q["decode_dictionary"] = """
-WITH dic(column_name, key, value) AS (VALUES
-  ('event_type', 'click', 'Click'), ('event_type', 'view', 'Page view'),
-  ('event_type', 'view', 'Page view (dup)'), ('event_type', 'purchase', 'Purchase'),
-  ('event_type', 'error', 'Error'), ('user_id', '1', 'first user'), ('user_id', '2', 'second user')),
-t AS (SELECT key, min(value) AS v FROM dic WHERE column_name = 'event_type' GROUP BY key),
-u AS (SELECT key, min(value) AS v FROM dic WHERE column_name = 'user_id' GROUP BY key)
-SELECT e.event_type, t.v AS event_type_label, u.v AS user_id_label, count(*) AS events
-FROM events e
-LEFT JOIN t ON t.key = e.event_type
-LEFT JOIN u ON u.key = CAST(e.user_id AS VARCHAR)
-GROUP BY 1, 2, 3"""
-
-Q["conform_codes"] = """
-WITH o AS (
-  SELECT trim(split_part(o_orderpriority, '-', 1)) AS p0,
-         nullif(rtrim(o_orderstatus || '..', '.'), 'P') AS status_dotted,
-         upper(left(lower(o_orderpriority), 4)) AS prio4,
-         replace(replace(substr(CAST(o_orderkey AS VARCHAR), 1, 2) || '.' || substr(CAST(o_orderkey AS VARCHAR), 3, 8), '.', ''), '-', '') AS k
-  FROM orders
-)
-SELECT CASE WHEN length(p0) < 3 THEN lpad(p0, 3, '0') ELSE p0 END AS priority_code,
-       status_dotted, prio4, left(left(k, 5), 3) AS class3,
-       count(*) AS orders, count(DISTINCT left(k, 4)) AS class4_keys
-FROM o GROUP BY 1, 2, 3, 4"""
-
-Q["parse_dates"] = """
-WITH t AS (
-  SELECT CASE WHEN o_orderstatus = 'P' THEN '31/02/' || CAST(year(o_orderdate) AS VARCHAR)
-              ELSE strftime(o_orderdate, '%d/%m/%Y') END AS txt
-  FROM orders
-),
-p AS (SELECT CAST(try_strptime(txt, '%d/%m/%Y') AS DATE) AS d FROM t)
-SELECT CAST(year(d) AS INTEGER) AS birth_year, count(*) AS rows,
-       count(*) FILTER (WHERE d IS NULL) AS invalid, min(d) AS first_date, max(d) AS last_date
-FROM p GROUP BY 1"""
-
-Q["key_check"] = """
-SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys,
-       count(*) FILTER (WHERE n > 1) AS duplicated_keys,
-       CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS surplus_rows
-FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
-
-Q["orphan_check"] = w() + f"""
-SELECT count(*) AS rows,
-       count(*) FILTER (WHERE f.occupation IS NOT NULL AND o.code IS NULL) AS orphan_rows,
-       count(DISTINCT f.occupation) FILTER (WHERE f.occupation IS NOT NULL AND o.code IS NULL) AS orphan_keys,
-       {pct("count(*) FILTER (WHERE f.occupation IS NOT NULL AND o.code IS NULL)", "count(*)", 2)} AS pct_orphan
-FROM events_fact f LEFT JOIN (SELECT DISTINCT code FROM occupations) o ON o.code = f.occupation"""
-
-Q["width_check"] = w() + """
-SELECT count(*) FILTER (WHERE length(diag_raw) > 5) AS diag_raw_too_long,
-       count(*) FILTER (WHERE length(occupation) > 7) AS occupation_too_long
-FROM events_fact"""
-
-Q["range_check"] = """
-SELECT count(l_extendedprice) AS non_null,
-       count(*) FILTER (WHERE l_extendedprice IS NOT NULL
-                          AND TRY_CAST(l_extendedprice AS DECIMAL(7, 2)) IS NULL) AS out_of_range
-FROM lineitem"""
-
-Q["empty_columns"] = w() + """
-SELECT column_name, non_null, non_null = 0 AS all_null FROM (
-  SELECT 'event_date' AS column_name, CAST(count(event_date) AS BIGINT) AS non_null FROM notices
-  UNION ALL SELECT 'report_year', count(report_year) FROM notices
-  UNION ALL SELECT 'status', count(status) FROM notices
-  UNION ALL SELECT 'flag', count(flag) FROM notices
-  UNION ALL SELECT 'residence', count(residence) FROM notices)"""
-
-Q["one_to_one"] = w() + """
-SELECT count(*) AS short_keys, count(*) FILTER (WHERE k > 1) AS ambiguous_keys
-FROM (SELECT cat3, count(DISTINCT cat) AS k FROM diagnoses GROUP BY cat3)"""
-
-Q["table_counts"] = "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
-    for t in ("region nation customer supplier part orders lineitem events documents "
-              "embeddings pages benchmark labels conversations").split())
-
-
-Q["not_null_check"] = w() + """
-SELECT count(*) FILTER (WHERE event_date IS NULL) AS event_date_nulls,
-       count(*) FILTER (WHERE sector IS NULL) AS sector_nulls,
-       count(*) FILTER (WHERE occupation IS NULL) AS occupation_nulls,
-       count(*) FILTER (WHERE diag_code IS NULL) AS diag_code_nulls
-FROM events_fact"""
-
-Q["orphan_rows"] = w() + """
-SELECT f.event_id, f.occupation
-FROM events_fact f
-WHERE f.occupation IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM occupations o WHERE o.code = f.occupation)"""
+VIEWS["last_lines"] = """
+  SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem
+  ORDER BY l_orderkey, l_linenumber, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC,
+    l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC"""
+QUERIES["dedup_keep_last"] = "SELECT * FROM last_lines"
+QUERIES["dedup_rate"] = f"""
+SELECT rows_before, rows_after, rows_before - rows_after AS removed, {percent("rows_before - rows_after", "rows_before")} AS pct_removed
+FROM (SELECT count(*) AS rows_before, count(DISTINCT (l_orderkey, l_linenumber)) AS rows_after FROM lineitem)"""
+QUERIES["fill_forward"] = """
+SELECT event_id, user_id, event_type, (SELECT arg_max(p.value, p.event_id) FROM events AS p
+  WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.event_id <= e.event_id) AS last_purchase_value
+FROM events AS e"""
+#: Codes a to h of the decode query: label 'a:3' for key 3 of column a, keys 7 and 8 without a label.
+QUERIES["decode_dictionary"] = "SELECT " + ", ".join(
+    f"CASE WHEN code_{c} < 7 THEN '{c}:' || code_{c} END AS code_{c}_label" for c in "abcdefgh") + """, event_type,
+  CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Page view' WHEN 'purchase' THEN 'Purchase' WHEN 'error' THEN 'Error'
+  END AS event_type_label, count(*) AS events
+FROM (SELECT event_type, """ + ", ".join(f"(event_id // {k + 1}) % 9 AS code_{c}" for k, c in enumerate("abcdefgh")) + """ FROM events)
+GROUP BY ALL"""
+QUERIES["conform_codes"] = """
+SELECT lpad(o_orderpriority[1:1], 3, '0') AS priority_code,
+  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status_dotted,
+  upper(o_orderpriority[1:4]) AS prio4, digits[1:3] AS class3, count(*) AS orders, count(DISTINCT digits[1:4]) AS class4_keys
+FROM (SELECT *, o_orderkey::VARCHAR AS digits FROM orders) GROUP BY ALL"""
+QUERIES["parse_dates"] = """
+SELECT CASE o_orderstatus WHEN 'P' THEN NULL ELSE year(o_orderdate)::INTEGER END AS birth_year, count(*) AS rows,
+  count(*) FILTER (o_orderstatus = 'P') AS invalid, min(o_orderdate::DATE) FILTER (o_orderstatus <> 'P') AS first_date,
+  max(o_orderdate::DATE) FILTER (o_orderstatus <> 'P') AS last_date
+FROM orders GROUP BY 1"""
+QUERIES["parse_iso_dates"] = """
+SELECT o_orderstatus AS form, count(*) AS rows, count(*) FILTER (o_orderstatus = 'P') AS invalid,
+  min(o_orderdate::DATE) FILTER (o_orderstatus <> 'P') AS first_date, max(o_orderdate::DATE) FILTER (o_orderstatus <> 'P') AS last_date
+FROM orders GROUP BY 1"""
+VIEWS["line_keys"] = "SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber"
+QUERIES["key_check"] = """
+SELECT sum(n)::BIGINT AS rows, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicated_keys,
+  (sum(n) - count(*))::BIGINT AS surplus_rows FROM line_keys"""
+VIEWS["orphan_events"] = "SELECT event_id, occupation FROM ev WHERE occupation NOT IN (SELECT code FROM occ_dim)"
+QUERIES["orphan_check"] = f"""
+SELECT rows, orphan_rows, orphan_keys, {percent("orphan_rows", "rows", 2)} AS pct_orphan
+FROM (SELECT count(*) AS rows FROM ev),
+  (SELECT count(*) AS orphan_rows, count(DISTINCT occupation) AS orphan_keys FROM orphan_events)"""
+QUERIES["orphan_rows"] = "SELECT * FROM orphan_events"
+QUERIES["width_check"] = """
+SELECT count(*) FILTER (length(diagnosis) >= 6) AS diag_raw_too_long, count(*) FILTER (length(occupation) >= 8) AS occupation_too_long
+FROM ev"""
+QUERIES["range_check"] = """
+SELECT count(*) AS non_null, count(*) FILTER (round(l_extendedprice, 2) >= 100000) AS out_of_range FROM lineitem"""
+QUERIES["empty_columns"] = """
+UNPIVOT (SELECT count(day) AS event_date, count(yr) AS report_year, count(status) AS status, count(flag) AS flag,
+  count(residence) AS residence, 0::BIGINT AS "never.filled" FROM note)
+ON COLUMNS(*) INTO NAME column_name VALUE non_null"""
+QUERIES["empty_columns"] = f"SELECT *, non_null = 0 AS all_null FROM ({QUERIES['empty_columns'].strip()})"
+QUERIES["one_to_one"] = """
+SELECT count(*) AS short_keys, count(*) FILTER (brands > 1) AS ambiguous_keys
+FROM (SELECT count(DISTINCT p_brand) AS brands FROM part GROUP BY p_brand[1:7])"""
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations")
+QUERIES["table_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES)
+QUERIES["not_null_check"] = """
+SELECT count(*) - count(day) AS event_date_nulls, count(*) - count(sector) AS sector_nulls,
+  count(*) - count(occupation) AS occupation_nulls, count(*) - count(mixed_code) AS diag_code_nulls FROM ev"""
+QUERIES["quarantine_split"] = """
+SELECT CASE WHEN occupation IS NULL OR mixed_code IS NULL THEN 'rejected' ELSE 'accepted' END AS part, count(*) AS rows,
+  sum(event_id)::BIGINT AS key_sum FROM ev GROUP BY 1"""
+
+# ------------------------------------------------------------------ files, places, dimensions, builders
+QUERIES["csv_scan"] = """
+SELECT doc_id, lpad(doc_id::VARCHAR, 8, '0') AS code, concat('say "', lang, '"; ', chr(10), source) AS note, md5(text) AS text_md5,
+  NULL::VARCHAR AS _corrupt_record FROM documents"""
+QUERIES["ordered_files"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'OLD' END AS segment FROM customer"""
+QUERIES["yearly_files"] = """
+SELECT year(o_orderdate)::INTEGER AS year, count(*) AS orders, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+FROM orders WHERE year(o_orderdate) IN (1998, 1999, 2000) GROUP BY 1"""
+QUERIES["land_tables"] = """
+SELECT form, count(*) AS rows, sum(c_custkey)::BIGINT AS key_sum, count(DISTINCT c_name) AS names
+FROM customer, (VALUES ('csv'), ('parquet'), ('partitioned')) AS f(form) GROUP BY form"""
+QUERIES["append_table"] = """
+SELECT c_mktsegment, count(*) AS rows, min(c_custkey) AS first_key, max(c_custkey) AS last_key FROM customer GROUP BY 1"""
+QUERIES["publish_tables"] = """
+SELECT 0 AS place, 'nation' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 1, 'customer', count(*) FROM customer
+UNION ALL SELECT 2, 'orders', count(*) FROM orders"""
+QUERIES["rename_columns"] = """
+SELECT s_suppkey AS supplier_id, s_name AS "supplier name", s_nationkey AS nation, s_acctbal AS "account.balance" FROM supplier"""
+QUERIES["place_filters"] = """
+SELECT 'equal' AS form, count(*) AS rows, min(c_custkey) AS first_key FROM customer WHERE c_nationkey = 3
+UNION ALL SELECT 'prefix', count(*), min(c_custkey) FROM customer WHERE c_nationkey::VARCHAR LIKE '1%'
+UNION ALL SELECT 'cast', count(*), min(c_custkey) FROM customer WHERE c_nationkey::VARCHAR = '12'"""
+QUERIES["label_search"] = """
+SELECT count(*) AS labels, min(n_nationkey) AS first_key FROM nation WHERE n_nationkey % 5 = 2"""
+#: A sheet from part: a header every 37 rows, the upper level on every 50th row only, no leaf every 11 rows.
+VIEWS["sheet"] = """
+  SELECT p_partkey AS line, CASE WHEN p_partkey % 37 = 0 THEN 'Header' WHEN p_partkey % 50 = 1 THEN concat('S', p_partkey // 50) END AS top,
+    CASE WHEN p_partkey % 11 > 0 THEN concat(lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0'), '.', p_partkey % 9 + 1, '1-', p_partkey % 7) END AS leaf,
+    p_name AS name FROM part"""
+VIEWS["filled_sheet"] = """
+  SELECT line, (SELECT arg_max(u.top, u.line) FROM sheet AS u WHERE u.line <= s.line AND u.top <> 'Header') AS top, leaf, name
+  FROM sheet AS s WHERE top IS DISTINCT FROM 'Header' AND leaf IS NOT NULL"""
+QUERIES["fill_hierarchy"] = "SELECT * FROM filled_sheet"
+QUERIES["build_sector_dim"] = """
+SELECT line, top, leaf, name, replace(replace(leaf, '.', ''), '-', '')[1:5] AS class5,
+  replace(replace(leaf, '.', ''), '-', '')[1:4] AS class4 FROM filled_sheet
+UNION ALL SELECT NULL, NULL, NULL, 'not classified', '00000', '0000'"""
+QUERIES["unknown_member"] = """
+SELECT p_brand AS code, lower(p_brand) AS label FROM part GROUP BY 1 UNION ALL SELECT '999999', 'not classified'"""
+QUERIES["stack_shapes"] = """
+SELECT c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer
+UNION ALL SELECT s_name, s_nationkey, NULL FROM supplier"""
+QUERIES["drop_identifiers"] = "SELECT c_custkey, c_nationkey FROM customer"
+QUERIES["build_events"] = """
+SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS event_date, concat(upper(l_returnflag), l_linestatus, '1', l_linenumber) AS diagnosis,
+  lpad((l_partkey % 1000)::VARCHAR, 4, '0') AS sector, (l_suppkey % 30)::VARCHAR AS place, 1940 + (l_partkey % 50)::INTEGER AS birth_year
+FROM last_lines"""
+QUERIES["build_exposure"] = """
+SELECT o_orderkey, year(o_orderdate)::INTEGER AS year, lpad((o_custkey % 10000)::VARCHAR, 7, '0') AS subclass,
+  lpad((o_custkey % 10000)::VARCHAR, 7, '0')[1:5] AS class FROM orders"""
+QUERIES["build_movements"] = """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status,
+  lpad((o_custkey % 10000)::VARCHAR, 7, '0') AS subclass, lpad((o_custkey % 10000)::VARCHAR, 7, '0')[1:5] AS class FROM orders"""
+QUERIES["build_notifications"] = """
+SELECT o_orderkey, o_orderpriority[1:1] || 'A' AS code, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS day FROM orders"""
+QUERIES["build_notifications_two"] = """
+SELECT o_orderkey, o_orderdate::DATE AS day FROM orders"""
+QUERIES["build_diagnoses"] = """
+SELECT sub, sub_label, cat, cat_label, cat3 FROM diag_dim"""
 
 
 def oracle_queries() -> dict[str, str]:
-    return dict(Q)
+    """Name → SQL."""
+    return {name: sql(body) for name, body in QUERIES.items()}

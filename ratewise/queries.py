@@ -123,6 +123,30 @@ def q_not_informed_toggle(spark, d):
     return sh.not_informed_toggle(_stacked(spark, d), "occupation", 15)
 
 
+def _stacked_whole(spark, d):
+    return sh.composition_stacked_all(spark, fx.events_fact(spark, d), fx.occupations(spark, d),
+                                      fx.diagnoses(spark, d), S, top=None)
+
+
+def q_headline_rows(spark, d):
+    return sh.headline_rows(_stacked(spark, d))
+
+
+def q_pareto_exact(spark, d):
+    """The ranks that reach 50 % and 80 %, over all codes."""
+    return sh.pareto_cut(_stacked_whole(spark, d), None)
+
+
+def q_sector_rate_table(spark, d):
+    """A4 whole: all qualifying sectors."""
+    return rt.sector_rate_table(spark, fx.events_fact(spark, d), fx.exposure(spark, d), fx.sectors(spark, d), S)
+
+
+def q_expected_vs_observed_table(spark, d):
+    """A10 whole: all sectors with enough job-years."""
+    return rt.expected_vs_observed_table(fx.events_fact(spark, d), fx.exposure(spark, d), fx.sectors(spark, d), S)
+
+
 def q_pareto_cut(spark, d):
     return sh.pareto_cut(_stacked(spark, d), 30)
 
@@ -171,6 +195,15 @@ def q_diagnosis_by_status(spark, d):
     return sh.diagnosis_by_status(fx.events_fact(spark, d), fx.diagnoses(spark, d), S, S.rate_years, 20)
 
 
+def q_status_by_year_place(spark, d):
+    """K7: report year and one place."""
+    return sh.status_by_year(fx.notices(spark, d), S, S.rate_years, "residence", "3")
+
+
+def q_diagnosis_by_status_place(spark, d):
+    return sh.diagnosis_by_status(fx.events_fact(spark, d), fx.diagnoses(spark, d), S, S.rate_years, 20, "sector", "3")
+
+
 def q_event_summary(spark, d):
     return sh.event_summary(fx.events_fact(spark, d), S)
 
@@ -197,6 +230,12 @@ QUERIES.update({
     "composition_stacked": q_composition_stacked,
     "not_informed_toggle": q_not_informed_toggle,
     "pareto_cut": q_pareto_cut,
+    "pareto_exact": q_pareto_exact,
+    "headline_rows": q_headline_rows,
+    "sector_rate_table": q_sector_rate_table,
+    "expected_vs_observed_table": q_expected_vs_observed_table,
+    "status_by_year_place": q_status_by_year_place,
+    "diagnosis_by_status_place": q_diagnosis_by_status_place,
     "biggest_mover": q_biggest_mover,
     "status_share": q_status_share,
     "followup_flag_share": q_followup_flag_share,
@@ -229,24 +268,26 @@ LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 ALL_TABLES = ("region nation customer supplier part orders lineitem events documents "
               "embeddings pages benchmark labels conversations").split()
 
-# EAV dictionary used by the decode query (fixed values: column, key, label);
-# 'view' appears twice on purpose (JN12) and 'signup' is left undecoded.
+# EAV dictionary of the decode query (fixed values: column, key, label); 'view' appears twice
+# on purpose (JN12) and 'signup' is left undecoded.  Columns a to h decode keys 0 to 6.
 EVENT_DICTIONARY = [
     ("event_type", "click", "Click"),
     ("event_type", "view", "Page view"),
     ("event_type", "view", "Page view (dup)"),
     ("event_type", "purchase", "Purchase"),
     ("event_type", "error", "Error"),
-    ("user_id", "1", "first user"),
-    ("user_id", "2", "second user"),
 ]
+CODE_COLUMNS = [f"code_{c}" for c in "abcdefgh"]
 
 
 def q_strip_text(spark, d):
-    docs = tb.scan_table(spark, d, "documents").select("lang", "text")
-    s = cl.strip_text(docs.withColumn("orig", F.col("text")), ["text"])
+    """Texts with white space of several kinds put around them, stripped again."""
+    docs = tb.scan_table(spark, d, "documents").select("lang", F.col("text").alias("inner"), F.concat(
+        F.lit("\t\u00a0"), F.col("text"), F.lit("\u2003\n")).alias("text"))
+    s = cl.strip_text(docs.withColumn("padded", F.col("text")), ["text"])
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"),
-                                 F.count_if(F.col("text") != F.col("orig")).alias("changed"),
+                                 F.count_if(F.col("text") != F.col("padded")).alias("changed"),
+                                 F.count_if(F.col("text") != F.col("inner")).alias("beyond"),
                                  F.sum(F.length("text")).cast("bigint").alias("chars_after"))
 
 
@@ -267,11 +308,14 @@ def q_fill_forward(spark, d):
 
 
 def q_decode_dictionary(spark, d):
-    dic = spark.createDataFrame(EVENT_DICTIONARY, "column_name string, key string, value string")
-    ev = tb.scan_table(spark, d, "events").select("event_type", "user_id")
-    out = jn.decode_dictionary(ev, dic, {"event_type": "event_type", "user_id": "user_id"})
-    return out.groupBy("event_type", "event_type_label", "user_id_label").agg(
-        F.count(F.lit(1)).alias("events"))
+    """Nine columns of the event fact through one dictionary."""
+    entries = EVENT_DICTIONARY + [(c, str(k), f"{c[-1]}:{k}") for c in CODE_COLUMNS for k in range(7)]
+    dic = spark.createDataFrame(entries, "column_name string, key string, value string")
+    ev = tb.scan_table(spark, d, "events").select("event_type", *[
+        F.expr(f"(event_id div {k + 1}) % 9").alias(c) for k, c in enumerate(CODE_COLUMNS)])
+    names = ["event_type", *CODE_COLUMNS]
+    out = jn.decode_dictionary(ev, dic, {c: c for c in names})
+    return out.groupBy("event_type", *[f"{c}_label" for c in names]).agg(F.count(F.lit(1)).alias("events"))
 
 
 def q_conform_codes(spark, d):
@@ -279,14 +323,15 @@ def q_conform_codes(spark, d):
     o = (o.withColumn("priority_code", F.col("o_orderpriority"))
           .withColumn("status_dotted", F.concat("o_orderstatus", F.lit("..")))
           .withColumn("key_text", F.concat_ws(".", F.substring(F.col("o_orderkey").cast("string"), 1, 2),
-                                              F.substring(F.col("o_orderkey").cast("string"), 3, 8))))
+                                              F.expr("substring(cast(o_orderkey as string), 3)"))))
     o = cl.code_prefix(o, "priority_code")
     o = cl.pad_code(o, "priority_code", 3)
     o = cl.strip_category_dot(o, "status_dotted")
     o = cl.normalise_diag(o.withColumn("prio4", F.lower("o_orderpriority")), "prio4")
     o = cl.hierarchy_keys(o, "key_text")
     o = cl.derive_class(o, "class5", "class3", 3)
-    o = cl.marker_to_null(o, ["status_dotted"], "P")
+    o = o.withColumn("status_dotted", F.when(F.col("status_dotted") == "P", cl.NOT_CLASSIFIED).otherwise(F.col("status_dotted")))
+    o = cl.marker_to_null(o, ["status_dotted"])
     return o.groupBy("priority_code", "status_dotted", "prio4", "class3").agg(
         F.count(F.lit(1)).alias("orders"), F.count_distinct("class4").alias("class4_keys"))
 
@@ -320,11 +365,13 @@ def q_range_check(spark, d):
 
 
 def q_empty_columns(spark, d):
-    return dq.empty_columns(fx.notices(spark, d))
+    """The second source with a column that nothing fills, its name with a dot."""
+    return dq.empty_columns(fx.notices(spark, d).withColumn("never.filled", F.lit(None).cast("string")))
 
 
 def q_one_to_one(spark, d):
-    return dq.one_to_one(fx.diagnoses(spark, d), "cat3", "cat")
+    """Seven characters of a brand stand for several brands ('Brand#1' for 'Brand#1' and 'Brand#17')."""
+    return dq.one_to_one(tb.scan_table(spark, d, "part").withColumn("prefix", F.substring("p_brand", 1, 7)), "prefix", "p_brand")
 
 
 def q_table_counts(spark, d):
@@ -364,3 +411,241 @@ QUERIES.update({
     "not_null_check": q_not_null_check,
     "orphan_rows": q_orphan_rows,
 })
+
+
+# ---------------------------------------------------------------- files, places, dimensions, builders
+from pyspark.sql import types as T  # noqa: E402
+
+from ratewise.sources import silver as sv  # noqa: E402
+
+
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _as_csv(df, path: str) -> str:
+    """Write a table as ';' CSV with doubled quotes, as the sources come."""
+    df.write.option("header", "true").option("sep", ";").option("quote", '"').option("escape", '"') \
+        .option("encoding", "UTF-8").option("quoteAll", "true").csv(path)
+    return path
+
+
+def q_csv_scan(spark, d):
+    """SC1: documents written as CSV and read back, with line breaks, quotes and separators in fields."""
+    docs = tb.scan_table(spark, d, "documents").select(
+        "doc_id", F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("code"),
+        F.concat(F.lit('say "'), "lang", F.lit('"; \n'), "source").alias("note"), "text")
+    path = _as_csv(docs, tb.scratch_path(spark, "csv-scan"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *_strings("code", "note", "text").fields])
+    back = tb.scan_csv(spark, path, schema, encoding="UTF-8")
+    return back.select("doc_id", "code", "note", F.md5(F.col("text").cast("binary")).alias("text_md5"), tb.CORRUPT)
+
+
+def q_ordered_files(spark, d):
+    """SC2: two folders with files of the same rows; the later path's copy of a row stands."""
+    cust = tb.scan_table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    root = tb.scratch_path(spark, "ordered-files")
+    _as_csv(cust.withColumn("segment", F.lit("OLD")), f"{root}/2001-01")
+    _as_csv(cust.where("c_custkey % 2 = 0"), f"{root}/2001-02")
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), *_strings("segment").fields])
+    both = tb.scan_many_ordered(spark, [f"{root}/2001-02", f"{root}/2001-01"], schema, encoding="UTF-8")
+    return wn.dedup_keep_last(both, ["c_custkey"], ["_file", "_split", "_row"]).select("c_custkey", "segment")
+
+
+def q_yearly_files(spark, d):
+    """SC3: one folder per year, stacked with the year as a column."""
+    orders = tb.scan_table(spark, d, "orders")
+    root = tb.scratch_path(spark, "yearly-files")
+    for y in S.rate_years:
+        _as_csv(orders.where(F.year("o_orderdate") == y).select("o_orderkey", "o_orderstatus"), f"{root}/{y}")
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), *_strings("o_orderstatus").fields])
+    back = tb.scan_years(spark, lambda y: f"{root}/{y}", S.rate_years, schema, encoding="UTF-8")
+    return back.groupBy("year").agg(F.count(F.lit(1)).alias("orders"), F.min("o_orderkey").alias("first_key"),
+                                    F.max("o_orderkey").alias("last_key"))
+
+
+def q_land_tables(spark, d):
+    """SK1: one source landed as CSV, as parquet and partitioned."""
+    cust = tb.scan_table(spark, d, "customer")
+    root = tb.scratch_path(spark, "landed")
+    tb.land(cust, f"{root}/csv", "csv")
+    tb.land(cust, f"{root}/parquet")
+    tb.land(cust, f"{root}/partitioned", partition_by=["c_mktsegment"])
+    forms = {"csv": spark.read.option("header", "true").csv(f"{root}/csv"),
+             "parquet": spark.read.parquet(f"{root}/parquet"), "partitioned": spark.read.parquet(f"{root}/partitioned")}
+    return tb.union_all([f.agg(F.lit(name).alias("form"), F.count(F.lit(1)).alias("rows"),
+                               F.sum(F.col("c_custkey").cast("bigint")).alias("key_sum"),
+                               F.count_distinct("c_name").alias("names")) for name, f in forms.items()])
+
+
+def q_append_table(spark, d):
+    """SK3: a table landed in two batches."""
+    cust = tb.scan_table(spark, d, "customer")
+    path = tb.scratch_path(spark, "appended")
+    tb.land(cust.where("c_custkey % 3 = 0"), path)
+    tb.append(cust.where("c_custkey % 3 <> 0"), path)
+    return spark.read.parquet(path).groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("c_custkey").alias("first_key"), F.max("c_custkey").alias("last_key"))
+
+
+def q_publish_tables(spark, d):
+    """SK2: refreshing a dimension rewrites the tables that depend on it, in order."""
+    names = ("region", "nation", "customer", "orders")
+    tables = {n: tb.scan_table(spark, d, n) for n in names}
+    depends = {"customer": ["nation"], "orders": ["customer"]}
+    path = tb.scratch_path(spark, "published")
+    written = tb.publish(tables, path, depends, selected=["nation"])
+    return tb.union_all([spark.read.parquet(f"{path}/{n}").agg(
+        F.lit(k).alias("place"), F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows")) for k, n in enumerate(written)])
+
+
+def q_silver_rate_ranking(spark, d):
+    """A4 over the silver tables."""
+    path = tb.scratch_path(spark, "silver")
+    sv.publish_silver(spark, d, path)
+    role = lambda n: sv.read_role(spark, path, n)
+    return rt.sector_rate_ranking(spark, role("events_fact"), role("exposure"), role("sectors"), S)
+
+
+def q_rename_columns(spark, d):
+    """PF1, PF2: names by a map (blanks and dots allowed), lower-cased."""
+    return cl.rename_snake(tb.scan_table(spark, d, "supplier"), {
+        "s_suppkey": "SUPPLIER_ID", "s_name": "Supplier Name", "s_nationkey": "NATION", "s_acctbal": "Account.Balance"})
+
+
+def q_place_filters(spark, d):
+    """PF7, PF8, CL16: the three forms of a place filter."""
+    cust = tb.scan_table(spark, d, "customer").withColumn("place.code", F.col("c_nationkey").cast("string"))
+    forms = {"equal": cl.geo_filter(cust, "c_nationkey", 3), "prefix": cl.geo_filter(cust, "place.code", "1", "prefix"),
+             "cast": cl.geo_filter(cust, "c_nationkey", "12", "cast")}
+    return tb.union_all([f.agg(F.lit(n).alias("form"), F.count(F.lit(1)).alias("rows"),
+                               F.min("c_custkey").alias("first_key")) for n, f in forms.items()])
+
+
+def q_label_search(spark, d):
+    """PF10: an accented label found by a term in lower case."""
+    labels = tb.scan_table(spark, d, "nation").withColumn(
+        "label", F.when(F.col("n_nationkey") % 5 == 2, "CONSTRU\u00c7\u00c3O CIVIL").otherwise("COM\u00c9RCIO"))
+    return labels.where(tx.regex_contains_ci("label", "constru\u00e7\u00e3o")).agg(
+        F.count(F.lit(1)).alias("labels"), F.min("n_nationkey").alias("first_key"))
+
+
+def _sheet(spark, d):
+    """A sheet from part: headers, an upper level on some rows only, rows without a leaf."""
+    p = tb.scan_table(spark, d, "part")
+    key = F.col("p_partkey")
+    top = F.when(key % 37 == 0, "Header").when(key % 50 == 1, F.concat(F.lit("S"), F.expr("p_partkey div 50")))
+    leaf = F.when(key % 11 > 0, F.concat(F.lpad((key % 90 + 10).cast("string"), 2, "0"), F.lit("."), key % 9 + 1,
+                                         F.lit("1-"), key % 7))
+    return p.select(key.alias("line"), top.alias("top"), leaf.alias("leaf"), F.col("p_name").alias("name"))
+
+
+def q_fill_hierarchy(spark, d):
+    """PF14, CL9: headers dropped, the upper level filled down, leaves kept."""
+    return wn.fill_hierarchy(_sheet(spark, d), ["top"], "line", "top", "Header", "leaf", chunk=100)
+
+
+def q_build_sector_dim(spark, d):
+    return cl.build_sector_dim(_sheet(spark, d), ["top"], "line", "top", "Header", "leaf", "leaf", "name", "top",
+                               unknown={"name": "not classified", "class5": "00000", "class4": "0000"})
+
+
+def q_unknown_member(spark, d):
+    """CL11, SO3, CL17 (occupations): the sentinel row."""
+    raw = tb.scan_table(spark, d, "part").select("p_brand", F.lower("p_brand").alias("title")).distinct()
+    return cl.build_occupations(raw, "p_brand", "title")
+
+
+def q_stack_shapes(spark, d):
+    """SO4: two tables of different shapes by column name."""
+    cust = tb.scan_table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"),
+                                                      F.col("c_mktsegment").alias("segment"))
+    return tb.union_all([cust, tb.scan_table(spark, d, "supplier").select(
+        F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))])
+
+
+def q_drop_identifiers(spark, d):
+    """CL8: identifiers go after the dedup that may need them."""
+    return cl.drop_identifiers(tb.scan_table(spark, d, "customer"), ["c_name", "c_acctbal", "c_mktsegment"])
+
+
+def q_parse_iso_dates(spark, d):
+    """SF10: ISO dates with and without separators; what is no date is NULL."""
+    o = tb.scan_table(spark, d, "orders")
+    form = F.col("o_orderstatus")
+    text = F.when(form == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).when(form == "O", F.date_format("o_orderdate", "yyyyMMdd")) \
+        .otherwise(F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-31")))
+    p = cl.parse_dates(o.select(form.alias("form"), text.alias("day")), ["day"], fmt=None)
+    return p.groupBy("form").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("day").isNull()).alias("invalid"),
+                                 F.min("day").alias("first_date"), F.max("day").alias("last_date"))
+
+
+def q_quarantine_split(spark, d):
+    """DQ2: the rows that pass and those that don't."""
+    parts = dq.split_not_null(fx.events_fact(spark, d), ["occupation", "diag_code"])
+    return tb.union_all([f.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("rows"),
+                               F.sum("event_id").cast("bigint").alias("key_sum"))
+                         for n, f in zip(("accepted", "rejected"), parts)])
+
+
+def q_build_events(spark, d):
+    """CL17: the event fact from raw text columns, names with dots and blanks."""
+    li = tb.scan_table(spark, d, "lineitem")
+    raw = li.select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("_1"), F.col("l_partkey").alias("_2"),
+        F.col("l_suppkey").alias("_3"), F.col("l_extendedprice").alias("_4"), F.col("l_quantity").alias("_5"),
+        F.col("l_discount").alias("_6"), F.col("l_tax").alias("_7"), F.col("l_returnflag").alias("_8"),
+        F.col("l_linestatus").alias("_9"),
+        F.date_format("l_shipdate", "d/M/yyyy").alias("Event Date"),
+        F.concat(F.lit(" "), F.lower("l_returnflag"), "l_linestatus", F.lit("1"), "l_linenumber", F.lit("xx\t")).alias("CID.10"),
+        (F.col("l_partkey") % 1000).cast("string").alias("CNAE2.0"),
+        F.concat((F.col("l_suppkey") % 30).cast("string"), F.lit("-Place")).alias("Place.1"),
+        F.concat(F.lit("1/2/"), (F.lit(1940) + F.col("l_partkey") % 50).cast("string")).alias("Birth"),
+        F.lit("secret").alias("Employer Id"))
+    return cl.build_events(raw, ["l_orderkey", "l_linenumber"], [f"_{k}" for k in range(1, 10)], "CID.10", "Birth",
+                           ["Event Date"], ["Employer Id"], "Place.1", sector_col="CNAE2.0",
+                           rename={"Event Date": "event_date", "CID.10": "diagnosis", "CNAE2.0": "sector", "Place.1": "place"})
+
+
+def _subclass(o):
+    return o.select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status"),
+                    (F.col("o_custkey") % 10000).cast("string").alias("subclass"), F.lit("text").alias("description"))
+
+
+def q_build_exposure(spark, d):
+    return cl.build_exposure(_subclass(tb.scan_table(spark, d, "orders")), ["description", "status"], "subclass", "class")
+
+
+def q_build_movements(spark, d):
+    raw = _subclass(tb.scan_table(spark, d, "orders")).withColumn(
+        "status", F.when(F.col("status") == "P", F.concat(F.lit(cl.NOT_CLASSIFIED), F.lit(" "))).otherwise(F.col("status")))
+    return cl.build_movements(raw, ["description", "year"], "subclass", "class", ["status"])
+
+
+def _notification(o):
+    return o.select(F.col("o_orderkey").alias("O_ORDERKEY"), F.concat(F.substring("o_orderpriority", 1, 1), F.lit("A.")).alias("CODE"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("DAY"), F.col("o_orderstatus").alias("STATUS"),
+                    F.lit(None).cast("string").alias("EMPTY"))
+
+
+def q_build_notifications(spark, d):
+    raw = _notification(tb.scan_table(spark, d, "orders"))
+    raw = raw.withColumn("DAY", F.when(F.col("STATUS") == "P", "not a day").otherwise(F.col("DAY")))
+    return cl.build_notifications(raw, ["code"], ["day"], ["EMPTY", "STATUS"])
+
+
+def q_build_notifications_two(spark, d):
+    return cl.build_notifications_two(_notification(tb.scan_table(spark, d, "orders")).drop("CODE"), ["day"], ["EMPTY", "STATUS"])
+
+
+def q_build_diagnoses(spark, d):
+    dim = fx.diagnoses(spark, d)
+    raw = dim.select(F.concat("sub", F.lit(" ")).alias("SUB.CAT"), F.col("sub_label").alias("sub label"), "cat", "cat_label")
+    return cl.build_diagnoses(raw, "SUB.CAT", "sub label", "cat", "cat_label")
+
+
+QUERIES.update({f.__name__[2:]: f for f in (
+    q_csv_scan, q_ordered_files, q_yearly_files, q_land_tables, q_append_table, q_publish_tables, q_silver_rate_ranking,
+    q_rename_columns, q_place_filters, q_label_search, q_fill_hierarchy, q_build_sector_dim, q_unknown_member, q_stack_shapes,
+    q_drop_identifiers, q_parse_iso_dates, q_quarantine_split, q_build_events, q_build_exposure, q_build_movements,
+    q_build_notifications, q_build_notifications_two, q_build_diagnoses)})
