@@ -14,7 +14,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from ratewise.queries import QUERIES
 
 WRAPPERS = ("executedPlan", "plan", "child")
 
@@ -59,14 +59,19 @@ def raw_scan_below_without_aggregate(node) -> bool:
 
 def executed(spark, name, sf_dir):
     """Run the query through its own QueryExecution and return the final adaptive plan."""
-    df = E.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     df.collect()                      # same QueryExecution as inspected below (sf0.001: small)
     plan = df._jdf.queryExecution().executedPlan()
-    assert "isFinalPlan=true" in plan.toString().splitlines()[0], "adaptive plan not final"
+    first = plan.toString().splitlines()[0]
+    assert "AdaptiveSparkPlan" not in first or "isFinalPlan=true" in first, "adaptive plan not final"
     return plan
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+# Queries whose result holds every column of a table (or that read their own scratch files).
+WHOLE_ROWS = {"dedup_keep_last", "dedup_rate", "build_events", "rename_columns"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shape(spark, sf_dir, name):
     plan = executed(spark, name, sf_dir)
     nodes = list(walk(plan))
@@ -82,43 +87,83 @@ def test_plan_shape(spark, sf_dir, name):
         if nm.startswith("Scan parquet"):
             read = n.requiredSchema().size()
             full = n.relation().dataSchema().size()
-            assert full <= 3 or read < full or name in ("dedup_keep_last", "dedup_rate"), \
+            assert full <= 3 or read < full or name in WHOLE_ROWS, \
                 f"{name}: scan reads every column of {n.relation().location().rootPaths()}"
 
 
-def test_fact_scanned_once_in_rate_ranking(spark, sf_dir):
-    """The event fact (lineitem ⋈ supplier ⋈ part) is computed once per query."""
-    plan = executed(spark, "sector_rate_ranking", sf_dir)
-    scans = set()
-    for n in walk(plan):
-        if n.nodeName().startswith("Scan parquet") and "lineitem" in n.toString():
-            scans.add(n.toString().split("\n")[0])
-    # one distinct scan definition of lineitem (reached through the cached aggregate)
-    assert len(scans) == 1, scans
+def reads(node, seen: set) -> list[str]:
+    """Parquet scans that run, by path: through subqueries and cached frames, each of those once,
+    and not through reused exchanges."""
+    name = node.nodeName()
+    if name.startswith("Reused"):
+        return []
+    if name.startswith("InMemoryTableScan"):
+        relation = node.relation()
+        key = relation.cacheBuilder().hashCode(), relation.cacheBuilder().toString()
+        if key in seen:
+            return []
+        seen.add(key)
+    found = [node.relation().location().rootPaths().mkString(",")] if name.startswith("Scan parquet") else []
+    subs = node.subqueries()
+    for k in [*kids(node), *[subs.apply(i) for i in range(subs.size())]]:
+        found += reads(k, seen)
+    return found
+
+
+# These write a table to files in parts first, or count a table next to its dedup.
+SEVERAL_READS = {"dedup_rate", "silver_rate_ranking", "quarantine_split"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_facts_are_read_once(spark, sf_dir, name):
+    if name in SEVERAL_READS:
+        pytest.skip("documented further read")
+    from ratewise.plans import shared
+    shared.release()
+    found = reads(executed(spark, name, sf_dir), set())
+    for fact in ("lineitem", "orders", "events"):
+        n = sum(f"/{fact}.parquet" in path for path in found)
+        # two roles of the driver's tables are bound to orders: exposure and the second source
+        assert n <= (2 if fact == "orders" and name.startswith("two_source") else 1), (fact, found)
+
+
+def test_decode_does_not_shuffle_the_fact(spark, sf_dir):
+    """No exchange between the fact scan and the first aggregate."""
+    plan = executed(spark, "decode_dictionary", sf_dir)
+
+    def exchange_above_scan(node) -> bool:
+        if is_aggregate(node):
+            return any(exchange_above_scan(k) for k in kids(node))
+        if node.nodeName() == "Exchange":
+            return raw_scan_below_without_aggregate(node.child())
+        return any(exchange_above_scan(k) for k in kids(node))
+    assert not exchange_above_scan(plan)
+
+
+def test_building_a_query_runs_nothing(spark, sf_dir):
+    """Operators are lazy: building the plans of the composition queries starts no job."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    for name in ("composition_stacked", "occupation_share", "expected_vs_observed", "fill_forward", "pareto_exact"):
+        QUERIES[name](spark, sf_dir).schema
+    jobs = tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 5 * 6     # footers of the input tables are read by jobs; no aggregate is
 
 
 def test_release_drops_only_library_caches(spark, sf_dir):
-    """Aggregates cached by a query are released; a caller's own cache stays."""
+    """Aggregates cached by a query are released; a caller's own cache stays; calling again adds none."""
     from ratewise.plans import shared
     shared.release()
     own = spark.range(10).cache()
     own.count()
-    E.queries()["occupation_share"](spark, sf_dir).collect()
-    cached = list(shared._CACHED)
-    assert cached and all(df.storageLevel.useMemory or df.storageLevel.useDisk for df in cached)
-    assert shared.release() == len(cached)
-    assert all(not (df.storageLevel.useMemory or df.storageLevel.useDisk) for df in cached)
+    frames = lambda: [f for e in shared._SHARED.values() for v in e.values() for f in v]
+    QUERIES["occupation_share"](spark, sf_dir).collect()
+    cached = frames()
+    assert cached and all(df.storageLevel.useMemory for df in cached)
+    QUERIES["occupation_share"](spark, sf_dir).collect()
+    assert len(frames()) == len(cached)
+    assert shared.release() == len(cached) and not frames()
+    assert all(not df.storageLevel.useMemory for df in cached)
     assert own.storageLevel.useMemory
     own.unpersist()
-
-
-def test_measured_aggregate_sized_to_its_rows(spark):
-    """The cached aggregate is counted and given ceil(rows / rows_per_partition) partitions."""
-    from ratewise.plans import shared
-    agg = spark.range(0, 1000, numPartitions=8).groupBy((F.col("id") % 50).alias("k")).count()
-    one, rows = shared.measured(agg)
-    assert rows == 50 and one.rdd.getNumPartitions() == 1
-    three, rows = shared.measured(agg, rows_per_partition=20)    # never more than it has
-    assert rows == 50 and three.rdd.getNumPartitions() == 3
-    assert sorted(r.k for r in three.collect()) == list(range(50))
-    shared.release()
