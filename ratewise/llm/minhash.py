@@ -44,7 +44,7 @@ from ratewise.llm.common import identified, materialise, partitions, restored, r
 from ratewise.llm.components import components
 from ratewise.llm.words import lowered, mix, shingle_set, word_hashes
 
-BLOCK = 256
+BLOCK = 1024
 SALTS = 16
 
 
