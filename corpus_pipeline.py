@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise.llm import decontam, line_dedup, minhash, packing, quality
-from ratewise.llm.common import materialise, read_table, spare_names
+from ratewise.llm.common import col, materialise, read_table, spare_names
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,10 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = line_dedup.dedup_lines(docs)
     _, _, n_new = out.columns[-3:]
-    out = out.where(F.col(n_new).isNull() | (F.col(n_new) > 0))
+    out = out.where(col(n_new).isNull() | (col(n_new) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*map(col, docs.columns))
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti") \
         .withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))) \
         .where(F.col(rank) == 1)
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return named.select(*map(col, docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,214 @@
+"""Operators 5, 9 and 10: token counts, packing and packed output."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ratewise.llm import bpe, edit_counts, fit_tree, packing, queries, token_output
+from tests.llm.conftest import ODD
+
+ODD_TEXTS = ["", "a", " ", "  x", "it's  'll don't\n\n\n", "漢字 \U0001f600é", "\t\t\n x", "<|endoftext|>", "a" * 3000,
+             "12 345!!! $$$", "   x", "\r\n\r\n", "ſ K ǆ", "\x00\x1f\x85"]
+
+
+@pytest.fixture(scope="module")
+def enc():
+    return bpe.encoder(bpe.default_path())
+
+
+def library():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(bpe.default_path())
+    t.encode_special_tokens = True
+    return t
+
+
+def test_ids_equal_the_library(enc, texts):
+    t = library()
+    for text in [*ODD_TEXTS, *texts.values()]:
+        assert enc.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def naive_best_fit(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fit = [i for i, c in enumerate(bins) if c >= n]
+        if fit:
+            bins[min(fit, key=lambda i: bins[i])] -= n
+        else:
+            bins.append(capacity - n)
+    return sorted(bins)
+
+
+def test_pack_counts_is_best_fit_decreasing():
+    rng = random.Random(1)
+    for _ in range(150):
+        capacity = rng.choice([1, 5, 16, 37, 100])
+        lengths = sorted(rng.randint(1, capacity) for _ in range(rng.randint(0, 150)))
+        runs = fit_tree.pack_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+        n = np.array(lengths, np.int64)
+        bins, offsets = fit_tree.place(runs, n, np.arange(len(n)) - np.searchsorted(n, n))
+        held = defaultdict(list)
+        for b, o, k in zip(bins.tolist(), offsets.tolist(), lengths):
+            held[b].append((o, k))
+        left = []
+        for rows in held.values():
+            end = 0
+            for o, k in sorted(rows):
+                assert o == end
+                end += k
+            left.append(capacity - end)
+        assert sorted(left) == naive_best_fit(lengths, capacity)
+
+
+def check_packing(rows, given, enc, capacity=1024):
+    """Pieces against the ids of the given (doc_id, text) rows; returns the number of sequences."""
+    wanted = defaultdict(int)
+    for doc_id, text in given:
+        ids = np.append(enc.ids(text).astype("<u4"), np.uint32(2)).astype("<u4")
+        first = len(ids) % capacity or min(capacity, len(ids))
+        edges = [0, *range(first, len(ids) + 1, capacity)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            wanted[doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    got = defaultdict(int)
+    places = defaultdict(list)
+    for r in rows:
+        got[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
+        places[r.sequence_id].append((r.offset, r.length))
+    assert got == wanted
+    for held in places.values():
+        end = 0
+        for o, k in sorted(held):
+            assert o == end
+            end += k
+        assert end <= capacity
+    assert len(places) == len(naive_best_fit([r.length for r in rows], capacity))
+
+
+def test_packing_query(spark, sf_dir, texts, enc):
+    check_packing(queries.op9_best_fit_packing(spark, sf_dir).collect(), texts.items(), enc)
+
+
+def test_packing_odd_rows(odd, none, enc):
+    check_packing(packing.pack_documents(odd).collect(), ODD, enc)
+    assert packing.pack_documents(none).collect() == []
+
+
+def check_matrices(rows, given, enc, capacity=1024):
+    found = defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r.input_ids, "<u2")
+        positions = np.frombuffer(r.position_ids, "<u2")
+        assert len(ids) == len(positions) == capacity and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
+        for doc_id, piece, start, a, b in zip(r.doc_ids, r.pieces, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            assert positions[a:b].tolist() == list(range(b - a))
+            found[doc_id].append((start, piece, ids[a:b].tolist()))
+        assert not ids[r.n_tokens:].any()
+    wanted = defaultdict(list)
+    for doc_id, text in given:
+        wanted[doc_id] += [*enc.ids(text).tolist(), 2]
+    assert set(found) == set(wanted)
+    for doc_id, parts in found.items():
+        joined = [i for _, _, ids in sorted(parts, key=lambda p: (p[0], p[1])) for i in ids]
+        assert sorted(joined) == sorted(wanted[doc_id])
+        if len({p[0] for p in parts}) == len(parts):
+            assert joined == wanted[doc_id]
+    assert len({r.sequence_id for r in rows}) == len(rows)
+
+
+def test_matrices_round_trip(documents, texts, odd, none, enc, monkeypatch):
+    rows = token_output.write_packed(documents).collect()
+    check_matrices(rows, texts.items(), enc)
+    tokens = sum(r.n_tokens for r in rows)
+    assert len(rows) <= 1.02 * tokens / 1024 + 1
+    check_matrices(token_output.write_packed(odd).collect(), ODD, enc)
+    assert token_output.write_packed(none).collect() == []
+
+
+def test_matrices_in_rounds(texts, enc):
+    packer = token_output._Packer(64, 0, "<u2")
+    rows = []
+    for doc_id, text in texts.items():
+        ids = np.append(enc.ids(text), 2).astype("<u2")[:60]
+        packer.add((doc_id, 0, 0, ids))
+        if packer.tokens > 500:
+            rows += packer.sequences(False)
+    rows += packer.sequences(True)
+    assert sorted(p[0] for row in rows for p in row) == sorted(texts)
+    assert all(sum(len(p[3]) for p in row) <= 64 for row in rows)
+
+
+def test_output_query(spark, sf_dir, documents):
+    rows = queries.op10_packed_token_output(spark, sf_dir).collect()
+    written = {r.sequence_id: r for r in token_output.write_packed(documents).collect()}
+    assert len(rows) == len(written)
+    for r in rows:
+        assert r.input_ids_crc32 == zlib.crc32(written[r.sequence_id].input_ids)
+        assert r.position_ids_crc32 == zlib.crc32(written[r.sequence_id].position_ids)
+        assert r.bytes_per_id == 2 and r.cu_seqlens == written[r.sequence_id].cu_seqlens
+
+
+def test_edits_equal_a_full_encoding(enc, texts):
+    rng = random.Random(2)
+    counter = edit_counts.Counter(bpe.default_path())
+    parts = ["a", " ", "  ", "\n", "'s", "x1", "9", "é", "!!", "\t", "   ", "don't", " the", "ü"]
+    some = list(texts.values())
+    for k in range(400):
+        text = rng.choice(some)[:4000] if k % 3 == 0 else "".join(rng.choices(parts, k=rng.choice([0, 3, 40, 400])))
+        tree = edit_counts.SegmentTree(counter, text)
+        assert tree.n_tokens == len(enc.ids(text))
+        for _ in range(4):
+            start, length = rng.randint(0, len(text) + 2), rng.choice([0, 1, 2, 30, len(text)])
+            insert = "".join(rng.choices(parts, k=rng.randint(0, 8)))
+            tree.edit(start, length, insert)
+            at = min(start, len(text))
+            text = text[:at] + insert + text[at + length:]
+            assert tree.text() == text and tree.n_tokens == len(enc.ids(text)) and tree.n_chars == len(text)
+
+
+def test_edits_touch_a_small_region(texts):
+    tree = edit_counts.SegmentTree(edit_counts.Counter(bpe.default_path()), "some words of text " * 5000)
+    tree.edit(40_000, 3, "zzz")
+    assert tree.resplit < 40
+
+
+def edited(text, doc_id):
+    text = text or ""
+    for start, length, insert in ((len(text) // 4, 0, text[:16]), (len(text) // 2, 24, ""),
+                                  (len(text) * 3 // 4, 8, " " + ("" if doc_id is None else str(doc_id)))):
+        start = min(start, len(text))
+        text = text[:start] + insert + text[start + length:]
+    return text
+
+
+def check_edits(rows, given, enc):
+    wanted = sorted((str(i), len(enc.ids(t)), len(enc.ids(edited(t, i))), hashlib.sha256(edited(t, i).encode()).hexdigest())
+                    for i, t in given)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_tokens_edited, r.edited_sha256) for r in rows) == wanted
+
+
+def test_edit_query(spark, sf_dir, texts, enc):
+    check_edits(queries.op5_edit_aware_counts(spark, sf_dir).collect(), texts.items(), enc)
+
+
+def test_edit_odd_rows(spark, odd, none, enc):
+    plan = odd.withColumn("edits", edit_counts.sample_edits())
+    check_edits(edit_counts.count_edits(plan).collect(), ODD, enc)
+    assert edit_counts.count_edits(none.withColumn("edits", edit_counts.sample_edits())).collect() == []
+    # edits as rows: out of range, NULL parts, none at all
+    rows = spark.createDataFrame([(1, 1, -5, 3, "ab"), (1, 2, 10 ** 6, 5, None), (3, 1, 0, 0, "new")],
+                                 "doc_id long, seq int, start long, length long, insert string")
+    got = {r.doc_id: r for r in edit_counts.count_edits(
+        edit_counts.with_edits(odd.select("doc_id", "text"), rows)).collect()}
+    assert got[3].n_tokens_edited == len(enc.ids("new")) and got[7].n_tokens_edited == got[7].n_tokens
+    assert got[1].n_tokens_edited == len(enc.ids("ab" + ODD[0][1][3:]))
+    bare = odd.select("doc_id", "text").withColumn("edits", F.lit(None).cast(
+        "array<struct<start: bigint, length: bigint, insert: string>>"))
+    assert all(r.n_tokens == r.n_tokens_edited for r in edit_counts.count_edits(bare).collect())
