@@ -8,14 +8,14 @@ Shorter lines always stay.
 Near lines are found by the pigeonhole principle: a line of length l is split
 into max_edits + 1 segments, and a line within max_edits of it holds one of them
 unchanged, at a place that the edits left and right of it allow.  So a line is
-indexed under (length, segment number, segment), and probes, for each length
-from its own down to max_edits less, the few substrings that can match each
-segment.  Pairs that meet and whose letter counts differ by what so many edits
+indexed under (segment number, segment), and probes, for each length from its
+own down to max_edits less, the few substrings that can match each segment.  Pairs that meet and whose letter counts differ by what so many edits
 can explain are confirmed with the banded distance ``levenshtein(a, b, max)``.
 
 What moves: the texts are written once, bucketed by document, so that line
-texts and verdicts meet without shuffling texts again; the joins in between
-carry hashes.  Lines are named by 128-bit hashes for equality and 64-bit hashes
+texts and verdicts meet without shuffling or sorting texts again (the flags of a
+document's lines are the hashed side of those joins); the joins in between carry
+hashes.  Lines are named by 128-bit hashes for equality and 64-bit hashes
 in the edit join.  A line that a third of all rows share is pre-aggregated to
 its first occurrence before the shuffle; joins on lines leave skewed keys to
 the adaptive skew join.
@@ -29,6 +29,7 @@ order; extra columns stay as they are; an empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ from ratewise.llm.common import col, fresh_path, materialise, partitions, spare_
 MAX_EDITS = 2
 MIN_CHARS = 32
 #: Letters whose counts are compared before the distance (any set works; frequent ones tell most).
-LETTERS = "etanis"
+LETTERS = "etaoinsr"
 _LAST_ID = 2 ** 63 - 1
+#: Added to the length in rows that probe but aren't indexed; over any line's length.
+_PROBE_ONLY = 1 << 40
 
 
 def probes(max_edits: int) -> list[tuple[int, int, int]]:
@@ -57,53 +60,62 @@ def probes(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment ``i`` of a line of ``length``."""
-    start = F.floor(length * i / parts).cast("int")
-    return start, F.floor(length * (i + 1) / parts).cast("int") - start
-
-
-def _key(line: Column, length: Column, i: int, shift: int, parts: int) -> Column:
-    start, size = _segment(length, i, parts)
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + (shift + 1), size))
+def _key(line: Column, i: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(F.lit(i), F.substring(line, start + 1, size))
 
 
 def _letters(line: Column) -> Column:
     """Counts of ``LETTERS`` modulo 256, a byte each in a long."""
     packed = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 256
         packed = packed.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
     return packed
 
 
-def _letters_apart(a: Column, b: Column) -> Column:
-    """Sum of the differences of the letter counts."""
-    def count(x: Column, k: int) -> Column:
-        return F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
-    out = F.lit(0).cast("long")
+def _explained(a: Column, b: Column, max_edits: int) -> Column:
+    """Whether so many edits can explain the letter counts: an edit adds one letter at most and takes one at most."""
+    more = fewer = F.lit(0)
     for k in range(len(LETTERS)):
-        d = F.abs(count(a, k) - count(b, k))
-        out = out + F.least(d, 256 - d)
-    return out
+        d = (F.shiftright(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(255)) + 128) \
+            .bitwiseAND(F.lit(255)) - 128
+        more, fewer = more + F.greatest(d, F.lit(0)), fewer + F.greatest(-d, F.lit(0))
+    return (more <= max_edits) & (fewer <= max_edits)
 
 
 def _near(lines: DataFrame, max_edits: int) -> DataFrame:
-    """Pairs (a, b) of line hashes that share a segment and may be near; from (h1, line) of distinct lines."""
+    """Pairs (a, b) of line hashes that share a segment and may be near; from (h1, line) of distinct lines.
+
+    Keys don't hold the length: the size of a segment says it up to a few
+    characters, so a substring that serves several lengths is sent once.
+    """
     parts = max_edits + 1
-    n = F.length("line")
-    base = lines.select("h1", "line", n.alias("n"), _letters(F.col("line")).alias("letters"))
-    index = base.select("h1", "n", "letters", F.explode(F.array(
-        *[_key(F.col("line"), F.col("n"), i, 0, parts) for i in range(parts)])).alias("key"))
-    probe = base.select("h1", "n", "letters", F.explode(F.array(
-        *[F.struct(F.lit(less).alias("less"), _key(F.col("line"), F.col("n") - less, i, shift, parts).alias("key"))
-          for less, i, shift in probes(max_edits)])).alias("p")) \
-        .select(F.col("h1").alias("p_h1"), F.col("letters").alias("p_letters"), "p.key",
-                (F.col("p.less") == 0).alias("same_length"))
-    meet = (index["key"] == probe["key"]) & (index["h1"] != probe["p_h1"]) \
-        & (~probe["same_length"] | (index["h1"] < probe["p_h1"])) \
-        & (_letters_apart(index["letters"], probe["p_letters"]) <= 2 * max_edits)
-    return index.join(probe, meet).select(F.col("h1").alias("a"), F.col("p_h1").alias("b")).distinct()
+    line, n = F.col("line"), F.col("n")
+    size = F.length("line").cast("int")
+    base = lines.select("h1", "line", _letters(line).alias("letters"), size.alias("n")).select(
+        "*", *[F.expr(f"(n - {less}) * {i} div {parts}").cast("int").alias(f"e{less}_{i}")
+               for less in range(parts) for i in range(parts + 1)])
+    places: list[tuple[int, Column, Column]] = []
+    spots = []
+    for less, i, shift in probes(max_edits):
+        start = F.col(f"e{less}_{i}") + shift
+        size = F.col(f"e{less}_{i + 1}") - F.col(f"e{less}_{i}")
+        again = [(s == start) & (z == size) for k, s, z in places if k == i]
+        reach = n.cast("long") if (less, shift) == (0, 0) else n.cast("long") + _PROBE_ONLY
+        spot = F.struct(_key(line, i, start, size).alias("key"), reach.alias("reach"))
+        spots.append(F.when(~reduce(lambda x, y: x | y, again), spot) if again else spot)
+        places.append((i, start, size))
+    # A line's own segments serve as index and as probe; ``reach`` is its length, and out of reach in
+    # rows that only probe.  Both sides of the join are thus the same rows, shuffled once.
+    rows = base.select("h1", "letters", F.explode(F.array(*spots)).alias("s")).where("s is not null") \
+        .select("h1", "letters", "s.key", "s.reach")
+    index, probe = rows.alias("i"), rows.alias("p")
+    length = F.col("p.reach").bitwiseAND(F.lit(_PROBE_ONLY - 1))
+    meet = (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1")) \
+        & (F.col("i.reach") <= length) & (F.col("i.reach") >= length - max_edits) \
+        & ((F.col("i.reach") != length) | (F.col("i.h1") < F.col("p.h1"))) \
+        & _explained(F.col("i.letters"), F.col("p.letters"), max_edits)
+    return index.join(probe, meet).select(F.col("i.h1").alias("a"), F.col("p.h1").alias("b")).distinct()
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
@@ -147,9 +159,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
     def texts(chosen: DataFrame) -> DataFrame:
         """(h1, line) of the chosen places (pos, h1) of each document."""
-        return stored.select(*place, split.alias("lines")).join(chosen, place) \
-            .select("lines", F.explode("chosen").alias("c")) \
-            .select("c.h1", F.element_at("lines", F.col("c.pos") + 1).alias("line"))
+        return stored.select(*place, split.alias("lines")).join(chosen.hint("shuffle_hash"), place) \
+            .select(F.explode(F.transform("chosen", lambda c: F.struct(
+                c["h1"].alias("h1"), F.get("lines", c["pos"]).alias("line")))).alias("c")).select("c.*")
 
     pairs = materialise(_near(texts(chosen), max_edits), "line-pairs")
     wanted = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
@@ -166,7 +178,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
         .select(*place, "pos", (F.col(keep) & F.col("late").isNull()).alias(keep))
 
     staying = F.filter(F.arrays_zip(split.alias("line"), F.col(keep).alias("keep")), lambda x: x["keep"])
-    out = stored.join(verdicts(kept), place, "left")
+    out = stored.join(verdicts(kept).hint("shuffle_hash"), place, "left")
     left = F.size(staying)
     return out.select(
         *[F.when(col(text_col).isNotNull(), F.array_join(F.transform(staying, lambda x: x["line"]), "\n")).alias(c)
