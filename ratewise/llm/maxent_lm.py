@@ -54,7 +54,7 @@ WORD_ROWS = 256
 MINIBATCH = 4_096
 ROUNDS = 2
 RATE = 0.25
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 _END_CLASS = CLASSES - 1
 #: Ids of the end of a text and of the places before its start (no word hash has 0 or 16).
@@ -72,7 +72,7 @@ def token_ids(text: str | None) -> np.ndarray:
         last = data[ends - 1].astype(np.uint64)
         before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
         tail = mix(last << np.uint64(8) | before) & _TAIL
-        hashes = word_hashes(data) & ~_TAIL
+        hashes = word_hashes(data, (starts, ends)) & ~_TAIL
         out[:-1] = np.where(hashes <= np.uint64(START), np.uint64(32), hashes) | tail
     out[-1] = END
     return out
@@ -183,42 +183,55 @@ class Reader:
         return Batch(ids, rank, doc, klass, column, rows, word_rows)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
-
-
-def _class_probabilities(m: Model, rows: np.ndarray) -> np.ndarray:
+def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
+    """Logits of the classes; the priors are at most 0, which keeps exp() in range."""
     logits = m.by_class[rows[0]]
     for r in rows[1:]:
         logits += m.by_class[r]
-    logits += m.class_log.astype(np.float32)
-    return _softmax(logits)
+    logits += (m.class_log - m.class_log.max()).astype(np.float32)
+    return logits
 
 
-def _word_probabilities(m: Model, c: int, rows: np.ndarray) -> np.ndarray:
+def _word_logits(m: Model, c: int, rows: np.ndarray) -> np.ndarray:
+    """Logits of the members of a class."""
     lo, hi = m.edges[c], m.edges[c + 1]
-    logits = m.by_word[rows[0], lo:hi] + m.by_word[rows[1], lo:hi]
-    logits += m.word_log[lo:hi].astype(np.float32)
-    return _softmax(logits)
+    logits = m.by_word[rows[0], lo:hi]
+    logits += m.by_word[rows[1], lo:hi]
+    logits += (m.word_log[lo:hi] - m.word_log[lo:hi].max()).astype(np.float32)
+    return logits
+
+
+def _total(odds: np.ndarray) -> np.ndarray:
+    return np.maximum(odds @ np.ones(odds.shape[1], np.float32), np.float32(1e-30))
+
+
+def _log10_of(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log10 of the softmax at one column of each row."""
+    own = logits[np.arange(len(logits)), chosen].astype(np.float64)
+    np.exp(logits, out=logits)
+    return (own - np.log(_total(logits).astype(np.float64))) / _LN10
+
+
+def _error(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The loss's gradient by the logits: the softmax less 1 at the chosen column."""
+    np.exp(logits, out=logits)
+    logits *= (1 / _total(logits))[:, None]
+    logits[np.arange(len(logits)), chosen] -= 1
+    return logits
 
 
 def log_probabilities(m: Model, b: Batch) -> np.ndarray:
     """log10 P(class | context) of every token, times P(word | class, context) of the model's words."""
     out = np.empty(len(b.ids))
-    for lo in range(0, len(b.ids), 1 << 14):
-        s = slice(lo, lo + (1 << 14))
-        p = _class_probabilities(m, b.rows[:, s])
-        out[s] = np.log10(np.maximum(p[np.arange(len(p)), b.klass[s]], 1e-30))
+    for lo in range(0, len(b.ids), 1 << 13):
+        s = slice(lo, lo + (1 << 13))
+        out[s] = _log10_of(_class_logits(m, b.rows[:, s]), b.klass[s])
     for c in range(HEAD_CLASSES):
         if m.edges[c + 1] - m.edges[c] > 1:
             at = np.flatnonzero(b.klass == c)
-            for lo in range(0, len(at), 1 << 13):
-                part = at[lo:lo + (1 << 13)]
-                p = _word_probabilities(m, c, b.word_rows[:, part])
-                out[part] += np.log10(np.maximum(p[np.arange(len(part)), b.column[part] - m.edges[c]], 1e-30))
+            for lo in range(0, len(at), 1 << 12):
+                part = at[lo:lo + (1 << 12)]
+                out[part] += _log10_of(_word_logits(m, c, b.word_rows[:, part]), b.column[part] - m.edges[c])
     return out
 
 
@@ -233,34 +246,31 @@ class Trainer:
 
     def _update(self, k: int, rows: np.ndarray, gradient: np.ndarray, lo: int, hi: int) -> None:
         """Add the gradients of equal rows up and step against them; ``rows`` repeats the gradient's length."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # tables have at most 2**16 rows: a radix sort
         ordered = rows[order]
-        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         total = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
         row = ordered[first]
         weights, squares = (self.m.by_class, self.m.by_word)[k], self.squares[k]
         squares[row, lo:hi] += total * total
         weights[row, lo:hi] -= RATE * total / np.sqrt(squares[row, lo:hi])
-        self.used[k][row] += np.diff(first, append=len(rows))
+        self.used[k][row] += np.concatenate((first[1:], [len(rows)])) - first
 
     def learn(self, b: Batch) -> None:
         m = self.m
         for lo in range(0, len(b.ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
             rows, klass = b.rows[:, s], b.klass[s]
-            p = _class_probabilities(m, rows)
-            p[np.arange(len(p)), klass] -= 1
-            self._update(0, rows.ravel(), p, 0, CLASSES)
-            order = np.argsort(klass, kind="stable")
+            self._update(0, rows.ravel(), _error(_class_logits(m, rows), klass), 0, CLASSES)
+            order = np.argsort(klass.astype(np.uint8), kind="stable")
             edges = np.searchsorted(klass[order], np.arange(HEAD_CLASSES + 1))
             for c in range(HEAD_CLASSES):
                 at = order[edges[c]:edges[c + 1]]
                 if not len(at) or m.edges[c + 1] - m.edges[c] < 2:
                     continue
                 word_rows = b.word_rows[:, s][:, at]
-                p = _word_probabilities(m, c, word_rows)
-                p[np.arange(len(at)), b.column[s][at] - m.edges[c]] -= 1
-                self._update(1, word_rows.ravel(), p, m.edges[c], m.edges[c + 1])
+                error = _error(_word_logits(m, c, word_rows), b.column[s][at] - m.edges[c])
+                self._update(1, word_rows.ravel(), error, m.edges[c], m.edges[c + 1])
 
     def changes(self, block: int = 1 << 14) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(table, first row, changes times use, use) of blocks of rows that were used."""

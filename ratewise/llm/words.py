@@ -47,10 +47,10 @@ def _power(base: int, exponent: int) -> np.uint64:
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the words in a byte array."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    edge = np.ones(len(data) + 2, bool)
+    np.take(_SPACE, data, out=edge[1:-1])
+    change = np.flatnonzero(edge[1:] != edge[:-1])  # into a word and out of it in turn
+    return change[::2], change[1::2]
 
 
 def lowered(text: str | None) -> np.ndarray:
@@ -61,9 +61,9 @@ def lowered(text: str | None) -> np.ndarray:
     return _LOWER[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
-    starts, ends = word_bounds(data)
+def word_hashes(data: np.ndarray, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, in order (``bounds`` if the words' bounds are known)."""
+    starts, ends = bounds or word_bounds(data)
     if not len(starts):
         return np.empty(0, np.uint64)
     n = len(data)
@@ -71,7 +71,9 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     for lo in range(0, n, _PIECE):
         hi = min(lo + _PIECE, n)
-        total[lo + 1:hi + 1] = _CODE[data[lo:hi]] * forward[:hi - lo] * _power(_BASE, lo)
+        part = np.multiply(_CODE[data[lo:hi]], forward[:hi - lo], out=total[lo + 1:hi + 1])
+        if lo:
+            part *= _power(_BASE, lo)
     np.add.accumulate(total, out=total)
     raw = total[ends] - total[starts]
     origin = back[starts % _PIECE]
