@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.llm import bpe, fit_tree
-from ratewise.llm.common import identified, materialise, partitions, restored, schema
+from ratewise.llm.common import col, identified, materialise, partitions, restored, schema
 
 CAPACITY = 1024
 END_ID = 2
@@ -88,16 +88,14 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     inside = Window.partitionBy("length", "_bucket").orderBy("row_id", "piece")
     ranked = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(offsets, ["length", "_bucket"]) \
         .withColumn("_rank", F.col("_before") + F.col("_in"))
-    names = pieces.columns
-    out = schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-                 + ", sequence_id long, offset long")
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bins, offset = fit_tree.place(runs, batch["length"].to_numpy(np.int64), batch["_rank"].to_numpy(np.int64))
-            yield batch[names].assign(sequence_id=bins, offset=offset)
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        bins, offset = fit_tree.place(runs, length.to_numpy(np.int64), rank.to_numpy(np.int64))
+        return pd.DataFrame({"sequence_id": bins, "offset": offset})
 
-    return ranked.select(*names, "_rank").mapInPandas(assign, out)
+    return ranked.select(*map(col, pieces.columns), placed("length", "_rank").alias("_place")) \
+        .select("*", "_place.*").drop("_place")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
