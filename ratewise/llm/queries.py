@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratewise.llm import (
     decontam, edit_counts, line_dedup, maxent_lm, minhash, packing, preference, quality, token_output, winnowing)
 from ratewise.llm.common import read_table, remainder
+from ratewise.llm.oracle_sql import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,3 @@ QUERIES = {f.__name__: f for f in (
     op9_best_fit_packing,
     op10_packed_token_output,
 )}
-
-ORACLE_SQL: dict[str, str] = {"op3_preference_formatting": preference.ORACLE}
