@@ -247,8 +247,6 @@ QUERIES["composition_stacked"] = "SELECT * FROM stack_30"
 QUERIES["not_informed_toggle"] = """
 SELECT * FROM stack_30 WHERE dimension = 'occupation' AND code <> 'NI' ORDER BY ranking LIMIT 15"""
 QUERIES["headline_rows"] = """
-SELECT arg_min(COLUMNS(* EXCLUDE (dimension)), ranking), dimension FROM stack_30 WHERE code <> 'NI' GROUP BY dimension"""
-QUERIES["headline_rows"] = """
 SELECT stack_30.* FROM stack_30 JOIN (SELECT dimension, min(ranking) AS ranking FROM stack_30 WHERE code <> 'NI' GROUP BY 1)
 USING (dimension, ranking)"""
 _reach = lambda rows, p: f"(SELECT min(ranking) FROM {rows} AS r WHERE r.dimension = x.dimension AND r.pct_cumulative >= {p})"
