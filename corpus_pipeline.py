@@ -23,8 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has (operator 8).
 
-    A document all of whose comparable lines are repeated holds nothing new and
-    goes; one without comparable lines stays.  ``n_chars`` follows the text.
+    A document goes when every line of it, short ones too, equals or nearly equals
+    an earlier one: it holds nothing new.  ``n_chars`` follows the text.
     """
     out = line_dedup.dedup_lines(docs)
     _, _, n_new = out.columns[-3:]

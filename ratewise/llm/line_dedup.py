@@ -3,7 +3,7 @@
 Lines of at least ``min_chars`` characters are compared.  A line goes when an
 earlier line equals it, or is within ``max_edits`` edits (Levenshtein) of it;
 earlier means by (doc_id, place in the document) of the first occurrence.
-Shorter lines always stay.
+Shorter lines and lines of blanks always stay.
 
 Near lines are found by the pigeonhole principle: a line of length l is split
 into max_edits + 1 segments, and a line within max_edits of it holds one of them
@@ -95,20 +95,24 @@ def _near(lines: DataFrame, max_edits: int) -> DataFrame:
     base = lines.select("h1", "line", _letters(line).alias("letters"), size.alias("n")).select(
         "*", *[F.expr(f"(n - {less}) * {i} div {parts}").cast("int").alias(f"e{less}_{i}")
                for less in range(parts) for i in range(parts + 1)])
+    combos = probes(max_edits)
     places: list[tuple[int, Column, Column]] = []
-    spots = []
-    for less, i, shift in probes(max_edits):
+    keys = []
+    for less, i, shift in combos:
         start = F.col(f"e{less}_{i}") + shift
         size = F.col(f"e{less}_{i + 1}") - F.col(f"e{less}_{i}")
         again = [(s == start) & (z == size) for k, s, z in places if k == i]
-        reach = n.cast("long") if (less, shift) == (0, 0) else n.cast("long") + _PROBE_ONLY
-        spot = F.struct(_key(line, i, start, size).alias("key"), reach.alias("reach"))
-        spots.append(F.when(~reduce(lambda x, y: x | y, again), spot) if again else spot)
+        key = _key(line, i, start, size)
+        keys.append(F.when(~reduce(lambda x, y: x | y, again), key) if again else key)
         places.append((i, start, size))
     # A line's own segments serve as index and as probe; ``reach`` is its length, and out of reach in
     # rows that only probe.  Both sides of the join are thus the same rows, shuffled once.
-    rows = base.select("h1", "letters", F.explode(F.array(*spots)).alias("s")).where("s is not null") \
-        .select("h1", "letters", "s.key", "s.reach")
+    names = [f"k{k}" for k in range(len(combos))]
+    own = [k for k, (less, _, shift) in enumerate(combos) if (less, shift) == (0, 0)]
+    reach = n.cast("long") + F.when(F.col("k").isin(own), F.lit(0)).otherwise(F.lit(_PROBE_ONLY))
+    rows = base.select("h1", "letters", "n", *[k.alias(c) for c, k in zip(names, keys)]) \
+        .select("h1", "letters", "n", F.posexplode(F.array(*names)).alias("k", "key")).where("key is not null") \
+        .select("h1", "letters", "key", reach.alias("reach"))
     index, probe = rows.alias("i"), rows.alias("p")
     length = F.col("p.reach").bitwiseAND(F.lit(_PROBE_ONLY - 1))
     meet = (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1")) \
@@ -121,7 +125,8 @@ def _near(lines: DataFrame, max_edits: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and the columns ``n_lines``, ``n_kept``
-    (lines before and after) and ``n_new`` (lines long enough to compare that stayed, NULL where there were none)."""
+    (lines before and after) and ``n_new`` (lines, short ones too, that no earlier line equals or nearly
+    equals; NULL where there are only blank lines)."""
     spark = docs.sparkSession
     if min_chars <= max_edits:
         raise ValueError("min_chars must be over max_edits")
@@ -135,26 +140,25 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     stored = spark.table(table)
     split = F.split(col(text_col), "\n", -1)
 
-    # Every line's hash; a line too short to compare is its own first occurrence.
-    short = F.length("line") < min_chars
+    # Every line's hash and its first occurrence.
     lines = stored.select(*place, F.posexplode(split).alias("pos", "line"))
     hashed = materialise(lines.select(
-        *place, "pos", F.when(short, F.xxhash64(*place, "pos")).otherwise(F.xxhash64("line")).alias("h1"),
-        F.when(short, F.lit(0)).otherwise(F.xxhash64(F.lit(1), "line")).alias("h2"), short.alias("short")), "line-hashes")
-    first = materialise(hashed.where("not short").groupBy("h1", "h2").agg(F.min(F.struct(*place, "pos")).alias("first")),
-                        "line-firsts")
+        *place, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
+        (F.length("line") < min_chars).alias("short"), (F.btrim("line") == "").alias("blank")), "line-hashes")
+    written = hashed.where("not blank")
+    first = materialise(written.groupBy("h1", "h2").agg(F.min(F.struct(*place, "pos")).alias("first")), "line-firsts")
     at = F.struct(*place, "pos")
-    flagged = hashed.where("not short").join(first, ["h1", "h2"]) \
-        .select(*place, "pos", "h1", (at == F.col("first")).alias(keep)) \
-        .unionByName(hashed.where("short").select(*place, "pos", "h1", F.lit(True).alias(keep)))
+    flagged = written.join(first, ["h1", "h2"]).select(*place, "pos", "h1", "short", (at == F.col("first")).alias("new")) \
+        .unionByName(hashed.where("blank").select(*place, "pos", "h1", F.lit(True).alias("short"),
+                                                  F.lit(None).cast("boolean").alias("new")))
 
     def verdicts(rows: DataFrame) -> DataFrame:
-        """Per document its lines' flags in their order."""
-        return rows.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct("pos", keep))).alias(keep)) \
-            .withColumn(keep, F.col(keep)[keep])
+        """Per document its lines' flags (keep, new) in their order."""
+        return rows.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct(
+            "pos", (F.col("new") | F.col("short")).alias("keep"), "new"))).alias(keep))
 
     # Distinct long lines with their texts, where the texts lie.
-    starts = hashed.where("not short").join(first, ["h1", "h2"]).where(at == F.col("first")).select(*place, "pos", "h1")
+    starts = written.where("not short").join(first, ["h1", "h2"]).where(at == F.col("first")).select(*place, "pos", "h1")
     chosen = starts.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("chosen"))
 
     def texts(chosen: DataFrame) -> DataFrame:
@@ -174,16 +178,16 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
         .where(F.levenshtein("a_line", "b_line", max_edits) >= 0)
     late = materialise(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
                                    .alias("h1")).distinct(), "line-late")
-    kept = flagged.join(late.withColumn("late", F.lit(True)), "h1", "left") \
-        .select(*place, "pos", (F.col(keep) & F.col("late").isNull()).alias(keep))
+    judged = flagged.join(late.withColumn("late", F.lit(True)), "h1", "left") \
+        .select(*place, "pos", "short", (F.col("new") & F.col("late").isNull()).alias("new"))
 
-    staying = F.filter(F.arrays_zip(split.alias("line"), F.col(keep).alias("keep")), lambda x: x["keep"])
-    out = stored.join(verdicts(kept).hint("shuffle_hash"), place, "left")
+    staying = F.filter(F.arrays_zip(split.alias("line"), F.col(keep).alias("flag")), lambda x: x["flag"]["keep"])
+    out = stored.join(verdicts(judged).hint("shuffle_hash"), place, "left")
     left = F.size(staying)
     return out.select(
         *[F.when(col(text_col).isNotNull(), F.array_join(F.transform(staying, lambda x: x["line"]), "\n")).alias(c)
           if c == text_col else col(c) for c in docs.columns],
         F.when(col(text_col).isNull(), 0).otherwise(F.size(split)).alias(n_lines),
         F.when(col(text_col).isNull(), 0).otherwise(left).alias(n_kept),
-        F.when(F.exists(split, lambda x: F.length(x) >= min_chars),
-               F.size(F.filter(staying, lambda x: F.length(x["line"]) >= min_chars))).alias(n_new))
+        F.when(F.exists(col(keep), lambda x: x["new"].isNotNull()),
+               F.size(F.filter(col(keep), lambda x: x["new"]))).alias(n_new))

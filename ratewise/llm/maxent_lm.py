@@ -397,27 +397,28 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, reader = model, Reader(model)
+        # by rank; the last entry is read for words outside the head (rank -1)
+        head_log, head_known = np.append(np.log10(m.head_counts + 1), 0.0), np.append(m.head_counts > 0, False)
         for batch in batches:
             for lo, hi, ids in _chunks(batch.text):
                 b = reader.read(ids)
                 n = hi - lo
-                known = b.rank >= 0
-                count = np.zeros(len(b.ids))
-                count[known] = m.head_counts[b.rank[known]]
-                own = np.where(known, np.log10(count + 1), 0.0)
+                own = head_log[b.rank]
                 model_log = log_probabilities(m, b)
                 tail = b.column < 0
                 model_log[tail] += own[tail] - m.tail_log10[b.klass[tail] - HEAD_CLASSES]
                 total = lambda x: np.bincount(b.doc, x, minlength=n)
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((b.ids[rare], b.doc[rare]))]
+                rare = np.flatnonzero(b.rank < 0)
+                rare = rare[np.argsort(b.ids[rare])]
+                doc = b.doc[rare]
+                order = rare[np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")]
                 doc, token = b.doc[order], b.ids[order].view(np.int64)
                 first = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(token, prepend=0)) if len(order) else order
                 times = np.diff(first, append=len(order)).astype(np.int32)
                 edges = np.searchsorted(doc[first], np.arange(n + 1))
                 part = batch.iloc[lo:hi]
                 out = part[["doc_id", "no_id", "row_id", "held_out"]].assign(
-                    n_tokens=np.bincount(b.doc, minlength=n), n_known=total(count > 0).astype(np.int64),
+                    n_tokens=np.bincount(b.doc, minlength=n), n_known=total(head_known[b.rank]).astype(np.int64),
                     base_score=total(own - m.floor), score=total(model_log),
                     rare=[token[first[x:y]] for x, y in zip(edges, edges[1:])],
                     times=[times[x:y] for x, y in zip(edges, edges[1:])])

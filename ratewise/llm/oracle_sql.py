@@ -33,7 +33,8 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL),
 firsts AS (
-  SELECT line, min(row(doc_id, pos)) AS at, length(line) AS n FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line),
+  SELECT line, min(row(doc_id, pos)) AS at, length(line) AS n FROM lines
+  WHERE length(line) >= {line_dedup.MIN_CHARS} AND trim(line) <> '' GROUP BY line),
 late AS (
   SELECT DISTINCT b.line FROM firsts a JOIN firsts b
     ON b.n IN ({", ".join(f"a.n + {k}" for k in range(-line_dedup.MAX_EDITS, line_dedup.MAX_EDITS + 1))})

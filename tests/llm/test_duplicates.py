@@ -202,26 +202,25 @@ def brute_lines(rows, max_edits, min_chars):
     first = {}
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         for pos, line in enumerate((text or "").split("\n")):
-            if len(line) >= min_chars:
+            if line.strip(" "):
                 first.setdefault(line, (doc_id is None, doc_id or 0, pos))
-    names = sorted(first, key=first.get)
+    names = sorted((x for x in first if len(x) >= min_chars), key=first.get)
     late = {b for i, b in enumerate(names) for a in names[:i]
             if abs(len(a) - len(b)) <= max_edits and distance(a, b) <= max_edits}
     out = Counter()
     for doc_id, text in rows:
         if text is None:
-            out[doc_id, None, 0, 0] += 1
+            out[doc_id, None, 0, 0, None] += 1
             continue
         lines = text.split("\n")
-        kept = [x for pos, x in enumerate(lines) if len(x) < min_chars
-                or x not in late and first[x] == (doc_id is None, doc_id or 0, pos)]
-        out[doc_id, "\n".join(kept), len(lines), len(kept)] += 1
+        new = [x not in late and first.get(x) == (doc_id is None, doc_id or 0, pos) for pos, x in enumerate(lines)]
+        kept = [x for x, n in zip(lines, new) if n or len(x) < min_chars or not x.strip(" ")]
+        out[doc_id, "\n".join(kept), len(lines), len(kept), sum(new) if text.replace("\n", "").strip(" ") else None] += 1
     return out
 
 
 def found_lines(df):
-    return Counter((r.doc_id, r.text, r.n_lines, r.n_kept)
-                   for r in df.select("doc_id", "text", *df.columns[-3:-1]).toDF("doc_id", "text", "n_lines", "n_kept").collect())
+    return Counter(tuple(r) for r in df.select("doc_id", "text", *df.columns[-3:]).collect())
 
 
 def test_probes_reach_every_match():
