@@ -9,8 +9,9 @@ finds the hits of all pieces in a pass over a text, and Myers' bit-parallel
 distance decides around each hit.
 
 Texts are compared lower-cased with runs of white space as one space.  The items
-are used in blocks of about ``BLOCK_CHARS`` characters, so what is sent to the
-tasks is bounded for any number of items; documents are never shuffled.
+are used in blocks of about ``BLOCK_CHARS`` characters, one after the other (each
+one's rows are written before the next begins), so what is sent to the tasks is
+bounded for any number of items; documents are never shuffled.
 
 Defined cases: NULL and empty texts hold nothing, NULL and empty items are held
 by nothing; repeated documents and items each count; extra columns are ignored;
@@ -19,6 +20,7 @@ empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.llm.common import col, pick, ship
+from ratewise.llm.common import col, materialise, pick, ship
 
 PER_EDIT = 14
 BLOCK_CHARS = 2_000_000
@@ -150,15 +152,16 @@ class Matcher:
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_chars`` characters, each read by a job of its own."""
+                block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """(items, whether there are more blocks than one) of each block of about ``block_chars``
+    characters, read by a job of its own, so the driver holds one at a time."""
     rows = pick(items, item_id=id_col, text=text_col).where("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = total // block_chars + 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
         found = [(int(r.item_id), normal(r.text)) for r in rows.where(block == k).collect()]
-        yield sorted(x for x in found if x[1])
+        yield sorted(x for x in found if x[1]), n > 1
 
 
 def matches(text: Column, block: list[tuple[int, str]], per_edit: int = PER_EDIT) -> Column:
@@ -176,20 +179,24 @@ def matches(text: Column, block: list[tuple[int, str]], per_edit: int = PER_EDIT
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_id_col: str = "item_id", item_text_col: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
+               item_id_col: str = "item_id", item_text_col: str = "text", per_edit: int = PER_EDIT,
+               block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end) for each document row and item that it holds;
     start and end are places in the text's normal form."""
     ship(docs.sparkSession)
-    found = [pick(docs, doc_id=id_col, text=text_col)
-             .select("doc_id", F.explode(matches(F.col("text"), block, per_edit)).alias("m"))
-             .select("doc_id", "m.*") for block in item_blocks(items, item_id_col, item_text_col)]
+    found = []
+    for block, several in item_blocks(items, item_id_col, item_text_col, block_chars):
+        rows = pick(docs, doc_id=id_col, text=text_col) \
+            .select("doc_id", F.explode(matches(F.col("text"), block, per_edit)).alias("m")).select("doc_id", "m.*")
+        found.append(materialise(rows, "decontam-found") if several else rows)
     return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-          item_text_col: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
+          item_text_col: str = "text", per_edit: int = PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     ship(docs.sparkSession)
-    for block in item_blocks(items, item_id_col, item_text_col):
+    for block, several in item_blocks(items, item_id_col, item_text_col, block_chars):
         docs = docs.where(F.size(matches(col(text_col), block, per_edit)) == 0)
+        docs = materialise(docs, "decontam-clean") if several else docs
     return docs

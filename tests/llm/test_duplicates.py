@@ -331,8 +331,11 @@ def test_decontamination_finds_all_edits_within_budget(spark):
         part = decontam.normal(dict(docs)[r.doc_id])[r.start:r.end]
         assert distance(part, decontam.normal(dict(items)[r.item_id])) == r.distance
     # several blocks of items give the same
-    small = [b for b in decontam.item_blocks(bench, block_chars=200)]
+    small = [b for b, _ in decontam.item_blocks(bench, block_chars=400)]
     assert len(small) > 1 and sorted(x for b in small for x in b) == sorted((i, decontam.normal(t)) for i, t in items)
+    again = decontam.find_items(df, bench, block_chars=400).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in again} == want and len(again) == len(want)
+    assert {r.doc_id for r in decontam.clean(df, bench, block_chars=400).collect()} == {i for i, _ in docs} - held
 
 
 def test_decontamination_query(spark, sf_dir, texts):
