@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from ratewise.queries import QUERIES
 

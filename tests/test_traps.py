@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
