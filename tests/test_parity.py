@@ -110,13 +110,17 @@ def test_k7_report_year_and_place_filter(spark):
     assert here == {(2000, "formal"): (1, 50.0), (2000, "informal"): (1, 50.0)}
 
 
-def test_k12_null_order_is_stated(spark):
-    """NULL codes come last among ties of the composition; a NULL rate comes first in the ranking."""
+def test_k12_null_order(spark, monkeypatch):
+    """Descending rates: NULL first in the ranking (as in SQL), last in the page's search; NULL codes
+    come last among ties of the composition."""
+    from ratewise.plans import rates
     s = fx.Study()
+    table = spark.createDataFrame([(1, "a", 2.0, 1.0, 5.0), (2, "b", 2.0, None, None), (3, "c", 2.0, 3.0, 7.0)],
+                                  "sector int, label string, rate_1998 double, rate_1999 double, rate_2000 double")
+    monkeypatch.setattr(rates, "sector_rate_table", lambda *a, **k: table)
+    assert [r.sector for r in rates.sector_rate_ranking(spark, None, None, None, s).collect()] == [2, 3, 1]
+    assert [r.sector for r in rates.ranking_search(spark, None, None, None, s, None, 1999, 5).collect()] == [3, 1, 2]
     ev = spark.createDataFrame([(dt.date(1998, 1, 1), c) for c in (None, "b", "a")], "event_date date, occupation string")
     dim = spark.createDataFrame([("a", "x")], "code string, label string")
     got = [r.code for r in sh.composition_share(spark, ev, F.col("occupation"), dim, s, "-").collect()]
     assert got == ["a", "b", None]
-    from ratewise.plans import rates
-    import inspect
-    assert "desc_nulls_first" in inspect.getsource(rates.sector_rate_ranking)
