@@ -25,8 +25,18 @@ _SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
+#: Session settings that bound what a Python worker holds of long texts: rows and bytes of an
+#: Arrow batch (Spark's defaults are 10,000 rows and 64 MiB).  A value set by the user stays.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+          "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the executors' Python workers, once per application."""
+    """Send this subpackage to the executors' Python workers, once per application, and bound
+    the batches they get."""
+    for key, (default, bounded) in _BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bounded)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
