@@ -1,6 +1,14 @@
-"""A hashed maximum-entropy language model with a class-factored softmax.
+"""A hashed maximum-entropy language model with a class-factored softmax, and pair counts of all words.
 
-P(word | context) = P(class | context) * P(word | class, context).
+P(word | context) = (c(before, word) + g(before) * Q(word | context)) / (c(before) + g(before)),
+
+with the counts c of the training texts and Q the maximum-entropy model, which
+has a fixed size and is the prior that the counts of the pairs, which grow with
+the corpus, are mixed with.  g, the prior's weight, is ``PRIOR`` * c ** ``POWER`` for the
+``HEAD`` most frequent words and ``RARE_PRIOR`` for all others.  The count of the
+place before a text's start is the number of texts, as the end's is.
+
+Q(word | context) = P(class | context) * P(word | class, context).
 
 * Classes: the most frequent words, in order, are dealt to classes of near-equal
   weight; all other words, unseen ones too, belong to tail classes by a hash of
@@ -20,10 +28,11 @@ the changes are averaged on the cluster, each feature's by how often a task met
 it.  The texts are dealt to ``ROUNDS`` rounds by a hash, each round starting
 from the average of the one before, so every training text is used once.
 
-Scoring goes through the texts in batches of tokens; word counts beyond the
-``HEAD`` most frequent words (whose table is sent to the tasks, a fixed number of
-rows) come from a join of the rare words with the whole count table.  Words are
-named by 64-bit hashes.
+Scoring goes through the texts in batches of tokens; word and pair counts beyond
+the ``HEAD`` most frequent ones (whose tables are sent to the tasks, a fixed number
+of rows) come from joins of the rare words and pairs with the whole count tables.
+Words and pairs are named by 64-bit hashes.  A training text's own pairs count,
+as its own words do.
 
 Defined cases: NULL and empty texts have the end token alone; repeated rows
 count and are scored row by row; a NULL doc_id counts as the text '' for the
@@ -55,6 +64,9 @@ MINIBATCH = 4_096
 ROUNDS = 2
 RATE = 0.25
 CHUNK = 1 << 17
+PRIOR = 4.0
+POWER = 0.75
+RARE_PRIOR = 4.0
 
 _END_CLASS = CLASSES - 1
 #: Ids of the end of a text and of the places before its start (no word hash has 0 or 16).
@@ -78,6 +90,15 @@ def token_ids(text: str | None) -> np.ndarray:
     return out
 
 
+def pair_ids(texts: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of every token with the one before it in its text."""
+    tokens = np.concatenate(texts)
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum([0] + [len(t) for t in texts[:-1]])] = START
+    return mix(mix(before) + tokens + np.uint64(0x54))
+
+
 class Lookup:
     """Ranks of known ids: open addressing in a sparse table, all probes of a batch together."""
 
@@ -309,6 +330,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                        .groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
 
 
+def count_pairs(docs: DataFrame, model: Model) -> DataFrame:
+    """(pair, token, n) of the texts of ``docs``; token is the pair's word where the head lacks it, and ``END`` elsewhere."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Lookup(model.head)
+        for batch in batches:
+            for _, _, ids in _chunks(batch.text):
+                pair, first, n = np.unique(pair_ids(ids), return_index=True, return_counts=True)
+                token = np.concatenate(ids)[first]
+                token[find(token) >= 0] = END
+                yield pd.DataFrame({"pair": pair.view(np.int64), "token": token.view(np.int64), "n": n})
+
+    return materialise(docs.select("text").mapInPandas(run, "pair long, token long, n long")
+                       .groupBy("pair", "token").agg(F.sum("n").alias("n")), "lm-pairs")
+
+
 def initial_model(counts: DataFrame) -> Model:
     """Class layout and priors from the count table; ``HEAD`` rows come to the driver."""
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -388,17 +425,25 @@ def train(docs: DataFrame, model: Model) -> Model:
 
 
 _SCORED = ("doc_id long, no_id boolean, row_id long, held_out boolean, n_tokens long, n_known long, "
-           "base_score double, score double, rare array<long>, times array<int>")
+           "base_score double, score double, rare array<long>, times array<int>, pairs array<long>, "
+           "priors array<float>")
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Scores of ``docs`` (doc_id, no_id, row_id, held_out, text)."""
     columns = [f.name for f in schema(_SCORED)]
+    known = F.col("token") == F.lit(END)
+    top = pairs.where(known).orderBy(F.desc("n"), "pair").limit(HEAD).toPandas()
+    top_ids, top_log = top.pair.to_numpy(np.int64).view(np.uint64), np.log(top.n.to_numpy(np.float64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, reader = model, Reader(model)
+        m, reader, find = model, Reader(model), Lookup(top_ids)
         # by rank; the last entry is read for words outside the head (rank -1)
         head_log, head_known = np.append(np.log10(m.head_counts + 1), 0.0), np.append(m.head_counts > 0, False)
+        prior = PRIOR * np.maximum(m.head_counts, 1.0) ** POWER
+        prior_log = np.log10(np.append(prior, RARE_PRIOR))
+        share_log = np.append(np.log10(prior / (m.head_counts + prior)), 0.0)
+        end = int(np.flatnonzero(m.head == END)[0])
         for batch in batches:
             for lo, hi, ids in _chunks(batch.text):
                 b = reader.read(ids)
@@ -408,6 +453,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 tail = b.column < 0
                 model_log[tail] += own[tail] - m.tail_log10[b.klass[tail] - HEAD_CLASSES]
                 total = lambda x: np.bincount(b.doc, x, minlength=n)
+                edges = np.searchsorted(b.doc, np.arange(n))
+                before = np.empty_like(b.rank)
+                before[1:] = b.rank[:-1]
+                before[edges] = end  # the start's count is the end's
+                prior_of = model_log + prior_log[before]
+                pair = pair_ids(ids)
+                at = find(pair)
+                often, seldom = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                model_log += share_log[b.rank]
+                model_log[often] += np.logaddexp(0, top_log[at[often]] - prior_of[often] * _LN10) / _LN10
+                pair, prior_of = pair[seldom].view(np.int64), prior_of[seldom].astype(np.float32)
+                cuts = np.append(np.searchsorted(seldom, edges), len(seldom))
                 rare = np.flatnonzero(b.rank < 0)
                 rare = rare[np.argsort(b.ids[rare])]
                 doc = b.doc[rare]
@@ -421,20 +478,34 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     n_tokens=np.bincount(b.doc, minlength=n), n_known=total(head_known[b.rank]).astype(np.int64),
                     base_score=total(own - m.floor), score=total(model_log),
                     rare=[token[first[x:y]] for x, y in zip(edges, edges[1:])],
-                    times=[times[x:y] for x, y in zip(edges, edges[1:])])
+                    times=[times[x:y] for x, y in zip(edges, edges[1:])],
+                    pairs=[pair[x:y] for x, y in zip(cuts, cuts[1:])],
+                    priors=[prior_of[x:y] for x, y in zip(cuts, cuts[1:])])
                 yield out[columns]
 
     scored = materialise(docs.mapInPandas(run, _SCORED), "lm-scores")
     rare = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("r")) \
         .select("row_id", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-    more = rare.join(counts, "token").groupBy("row_id").agg(
-        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
-    out = scored.drop("rare", "times").join(more, "row_id", "left")
+    share = F.log10(F.lit(RARE_PRIOR) / (F.col("n") + RARE_PRIOR))
+    words = rare.join(counts, "token").select(
+        "row_id", "times", (F.col("times") * F.log10(F.col("n") + 1)).alias("log"), (F.col("times") * share).alias("gain"))
+    # a pair's count by what its word's own count, which the task lacked, adds to the prior
+    lifts = pairs.where(known).select("pair", F.col("n").cast("double").alias("lift")).unionByName(
+        pairs.where(~known).join(counts.select("token", F.col("n").alias("own")), "token")
+        .select("pair", (F.col("n") / (F.col("own") + 1)).alias("lift")))
+    seen = scored.select("row_id", F.explode(F.arrays_zip("pairs", "priors")).alias("p")) \
+        .select("row_id", F.col("p.pairs").alias("pair"), F.col("p.priors").alias("prior")) \
+        .join(lifts.hint("shuffle_hash"), "pair") \
+        .select("row_id", F.lit(0).alias("times"), F.lit(0.0).alias("log"),
+                F.log10(F.col("lift") * F.pow(F.lit(10.0), -F.col("prior")) + 1).alias("gain"))
+    more = words.unionByName(seen).groupBy("row_id").agg(
+        F.sum("times").alias("more_known"), F.sum("log").alias("more_log"), F.sum("gain").alias("gain"))
+    out = scored.drop("rare", "times", "pairs", "priors").join(more, "row_id", "left")
     log = F.coalesce("more_log", F.lit(0.0))
     return restored(out).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"),
-        (F.col("score") + log).alias("score"))
+        (F.col("score") + log + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
 def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,4 +517,4 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     training = rows.where(~F.col("held_out"))
     counts = count_tokens(training)
     model = train(training, initial_model(counts))
-    return score(rows, model, counts)
+    return score(rows, model, counts, count_pairs(training, model))

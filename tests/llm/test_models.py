@@ -138,6 +138,48 @@ def test_probabilities_of_all_words_sum_to_one(spark, documents):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_mix_pair_counts_with_the_model(spark, monkeypatch):
+    """Brute force over all tokens; with a tiny head nearly all words and pairs come from the joins."""
+    given = [(i, t) for i, t in ODD if t is None or len(t) < 1000] + [(10 + i, "the fox and the dog ran") for i in range(5)]
+    rows = maxent_lm.identified(spark.createDataFrame(given, "doc_id long, text string")) \
+        .withColumn("held_out", F.lit(False))
+    ids = [maxent_lm.token_ids(t) for _, t in given]
+    words = Counter(w for t in ids for w in t.tolist())
+    pairs = Counter(p for t in ids for p in zip([maxent_lm.START, *t.tolist()], t.tolist()))
+    for head in (5, 1 << 16):
+        monkeypatch.setattr(maxent_lm, "HEAD", head)
+        monkeypatch.setattr(maxent_lm, "WORDS", 3)
+        counts = maxent_lm.count_tokens(rows)
+        model = maxent_lm.train(rows, maxent_lm.initial_model(counts))
+        reader, top = maxent_lm.Reader(model), set(model.head.tolist())
+        want = []
+        for (i, _), t in zip(given, ids):
+            b = reader.read([t])
+            log, score, before = maxent_lm.log_probabilities(model, b), 0.0, maxent_lm.START
+            for k, w in enumerate(t.tolist()):
+                if b.column[k] < 0:
+                    log[k] += math.log10(words[w] + 1) - model.tail_log10[b.klass[k] - maxent_lm.HEAD_CLASSES]
+                h = maxent_lm.END if before == maxent_lm.START else before
+                g = maxent_lm.PRIOR * words[h] ** maxent_lm.POWER if h in top else maxent_lm.RARE_PRIOR
+                score += math.log10((pairs[before, w] + g * 10 ** log[k]) / (words[h] + g))
+                before = w
+            want.append((-1 if i is None else i, score))
+        got = maxent_lm.score(rows, model, counts, maxent_lm.count_pairs(rows, model)).collect()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got)
+        assert [x for r in got for x in r] == pytest.approx([x for r in sorted(want) for x in r], rel=1e-5)
+
+
+def test_rare_context_words_have_pairs_of_their_own(spark):
+    """Words beyond the model's, all of one tail class: what followed one of them tells the others' texts apart."""
+    filler = " ".join(f"w{i}" for i in range(maxent_lm.HEAD + 10))
+    rows = [(i, filler) for i in range(6)] + [(10 + i, "zorkab blipab") for i in range(3)] \
+        + [(20 + i, "quuxab flamab") for i in range(3)] + [(100, "zorkab blipab"), (101, "zorkab flamab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r for r in maxent_lm.score_corpus(df, F.col("doc_id") >= 100).collect()}
+    assert by[100].base_score == pytest.approx(by[101].base_score)
+    assert by[100].score > by[101].score + 0.5
+
+
 def test_lookup():
     rng = np.random.default_rng(1)
     ids = np.unique(rng.integers(32, 2 ** 63, 5000, dtype=np.uint64))
