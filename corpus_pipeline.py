@@ -37,13 +37,15 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (operator 6): five-word shingles, similarity 0.8.
 
-    Rows without a doc_id stay; of rows that repeat a doc_id one stays.
+    Rows without a doc_id stay; of rows that repeat a doc_id and its text one
+    stays, and other texts of the id are judged by themselves.
     """
-    found = minhash.near_duplicates(docs, minhash.Similarity(words=5, percent=80))
-    gone = materialise(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "pipeline-gone")
-    (rank,) = spare_names(docs, "repeat")
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti") \
-        .withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))) \
+    tie, rank = spare_names(docs, "tie", "repeat")
+    found = minhash.repeats(docs, minhash.Similarity(words=5, percent=80))
+    gone = materialise(found.withColumnRenamed("tie", tie), "pipeline-gone")
+    named = docs.where("doc_id is not null").withColumn(tie, F.xxhash64("text")) \
+        .join(gone, ["doc_id", tie], "left_anti") \
+        .withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", tie).orderBy(tie))) \
         .where(F.col(rank) == 1)
     return named.select(*map(col, docs.columns)).unionByName(docs.where("doc_id is null"))
 

@@ -294,14 +294,8 @@ def _links(classes: DataFrame, texts: DataFrame, postings: DataFrame, s: Similar
     return links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(),
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    ``component_id`` is the smallest doc_id of the documents reachable over links
-    (itself included), ``kept`` whether it is this document's.
-    """
-    s = similarity
+def _members(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> DataFrame:
+    """Every row with its component (NULL: empty set) and the component's first (doc_id, tie)."""
     rows = _signatures(docs, s, id_col, text_col)
     # One class per distinct set, named by its first row.
     classes = materialise(rows.where("digest is not null").groupBy("digest", "sig")
@@ -317,12 +311,29 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(),
     of_class = classes.select("digest", "class_id") \
         .join(found.withColumnRenamed("node", "class_id"), "class_id", "left") \
         .select("digest", F.coalesce("component", "class_id").alias("component"))
-    members = rows.select("digest", "doc_id", "no_id", "row_id", "n_shingles").join(of_class, "digest", "left")
-    least = members.where("component is not null and not no_id").groupBy("component") \
-        .agg(F.min("doc_id").alias("least"))
-    out = members.join(least, "component", "left") \
+    members = rows.select("digest", "doc_id", "no_id", "row_id", "tie", "n_shingles").join(of_class, "digest", "left")
+    first = members.where("component is not null and not no_id").groupBy("component") \
+        .agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    return members.join(first, "component", "left")
+
+
+def repeats(docs: DataFrame, similarity: Similarity = Similarity(),
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie) of the texts, named by id and ``xxhash64``, that aren't their component's first."""
+    return _members(docs, similarity, id_col, text_col) \
+        .where(~F.col("no_id") & (F.struct("doc_id", "tie") != F.col("first"))).select("doc_id", "tie").distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(),
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    ``component_id`` is the smallest doc_id of the documents reachable over links
+    (itself included), ``kept`` whether it is this document's.
+    """
+    out = _members(docs, similarity, id_col, text_col) \
         .withColumn("component_id", F.when(F.col("component").isNull() & ~F.col("no_id"), F.col("doc_id"))
-                    .otherwise(F.col("least")))
+                    .otherwise(F.col("first.doc_id")))
     return restored(out).select(
         "row_id", "doc_id", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

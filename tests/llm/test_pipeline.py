@@ -53,6 +53,14 @@ def test_near_stage(stages):
     assert sorted(rows(stages[3])) == sorted((i, t) for i, t in before if i in want)
 
 
+def test_near_stage_judges_texts_of_one_id_by_themselves(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    given = [(1, a), (1, b), (2, a), (3, a + " end"), (3, c), (3, c), (4, ""), (4, b), (5, None)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    left = Counter(rows(corpus_pipeline.near_filter(spark, df, sf_dir)))
+    assert left == Counter([(1, a), (1, b), (3, c), (4, ""), (5, None)])
+
+
 def test_benchmark_stage(spark, sf_dir, stages):
     items = [decontam.normal(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     before, after = rows(stages[3]), set(rows(stages[4]))
