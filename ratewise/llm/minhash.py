@@ -5,7 +5,8 @@ A document's set holds its distinct word shingles; documents with
 class and travel once.
 
 1. Every class gets a MinHash signature.  A pair at the threshold agrees in
-   fewer than ``least_matches`` coordinates with a probability of about 1e-6.
+   fewer than ``least_matches`` coordinates with a probability of at most 1e-6
+   (the exact binomial tail).
 2. Inverted join: a class is posted under its (coordinate, value) pairs.  Two
    signatures with t of m coordinates in common meet in the first m - t + 1
    pairs of both when all order them by how many classes have them, rarest
@@ -32,7 +33,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import floor, sqrt
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,17 @@ from ratewise.llm.words import lowered, mix, shingle_set, word_hashes
 
 BLOCK = 1024
 SALTS = 16
+MISSED = 1e-6
+
+
+@lru_cache
+def _least_matches(coordinates: int, percent: int) -> int:
+    t, missed = percent / 100, 0.0
+    for k in range(coordinates):
+        missed += comb(coordinates, k) * t ** k * (1 - t) ** (coordinates - k)
+        if missed > MISSED:
+            return max(1, k)
+    return coordinates
 
 
 @dataclass(frozen=True)
@@ -58,9 +71,8 @@ class Similarity:
 
     @property
     def least_matches(self) -> int:
-        """Matches that a pair at the threshold misses with a probability of about 1e-6."""
-        t = self.percent / 100
-        return max(1, floor(self.coordinates * t - 4.7 * sqrt(self.coordinates * t * (1 - t))))
+        """Matches that a pair at the threshold misses with a probability of at most ``MISSED``."""
+        return _least_matches(self.coordinates, self.percent)
 
     @property
     def prefix(self) -> int:

@@ -101,6 +101,16 @@ def test_least_matches_misses_almost_nothing():
         assert missed < 1e-4
 
 
+def test_least_matches_keeps_the_exact_tail_at_what_is_stated():
+    from fractions import Fraction
+    from math import comb
+    for percent in (50, 80, 85, 95, 100):
+        s, t = minhash.Similarity(3, percent), Fraction(percent, 100)
+        tail = lambda m: sum(comb(40, k) * t ** k * (1 - t) ** (40 - k) for k in range(m))
+        assert tail(s.least_matches) <= 1e-6 or s.least_matches == 1
+        assert s.least_matches == 40 or tail(s.least_matches + 1) > 1e-6
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(500, 560)]
