@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratewise.llm import line_dedup, preference
+from ratewise.llm import divergence, line_dedup, preference
 
 #: Op 6: shingle sets as lists, links by counting common shingles, components by following links.
 NEAR_DEDUP = """
@@ -51,4 +51,5 @@ ORACLE_SQL = {
     "op3_preference_formatting": preference.ORACLE,
     "op6_minhash_near_dedup": NEAR_DEDUP,
     "op8_line_dedup": LINE_DEDUP,
+    "op13_source_divergence": divergence.ORACLE,
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.llm import (
-    decontam, edit_counts, line_dedup, maxent_lm, minhash, packing, preference, quality, token_output, winnowing)
+    alignment, decontam, divergence, edit_counts, guess_cost, line_dedup, maxent_lm, minhash, packing, preference,
+    quality, token_output, winnowing)
 from ratewise.llm.common import read_table, remainder
 from ratewise.llm.oracle_sql import ORACLE_SQL as ORACLE_SQL
 
@@ -76,6 +77,21 @@ def op10_packed_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("input_ids").alias("input_ids_crc32"), F.crc32("position_ids").alias("position_ids_crc32"))
 
 
+def op11_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: fixed patterns, and credential values by the cost of guessing them."""
+    return guess_cost.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents' tokens under two vocabularies."""
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each source apart."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_ranking,
     op2_maxent_language_model,
@@ -87,4 +103,7 @@ QUERIES = {f.__name__: f for f in (
     op8_line_dedup,
     op9_best_fit_packing,
     op10_packed_token_output,
+    op11_secret_guess_cost,
+    op12_tokenizer_alignment,
+    op13_source_divergence,
 )}
