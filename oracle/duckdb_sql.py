@@ -373,12 +373,12 @@ QUERIES["fill_forward"] = """
 SELECT event_id, user_id, event_type, (SELECT arg_max(p.value, p.event_id) FROM events AS p
   WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.event_id <= e.event_id) AS last_purchase_value
 FROM events AS e"""
-#: Codes a to h of the decode query: label 'a:3' for key 3 of column a, keys 7 and 8 without a label.
+#: Codes a to o of the decode query: label 'a:3' for key 3 of column a, keys 7 and 8 without a label.
 QUERIES["decode_dictionary"] = "SELECT " + ", ".join(
-    f"CASE WHEN code_{c} < 7 THEN '{c}:' || code_{c} END AS code_{c}_label" for c in "abcdefgh") + """, event_type,
+    f"CASE WHEN code_{c} < 7 THEN '{c}:' || code_{c} END AS code_{c}_label" for c in "abcdefghijklmno") + """, event_type,
   CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Page view' WHEN 'purchase' THEN 'Purchase' WHEN 'error' THEN 'Error'
   END AS event_type_label, count(*) AS events
-FROM (SELECT event_type, """ + ", ".join(f"(event_id // {k + 1}) % 9 AS code_{c}" for k, c in enumerate("abcdefgh")) + """ FROM events)
+FROM (SELECT event_type, """ + ", ".join(f"(event_id // {k + 1}) % 9 AS code_{c}" for k, c in enumerate("abcdefghijklmno")) + """ FROM events)
 GROUP BY ALL"""
 QUERIES["conform_codes"] = """
 SELECT lpad(o_orderpriority[1:1], 3, '0') AS priority_code,
@@ -489,6 +489,46 @@ QUERIES["build_diagnoses"] = """
 SELECT sub, sub_label, cat, cat_label, cat3 FROM diag_dim"""
 
 
+# ------------------------------------------------------------------ line numbers, ranks, batches, checks, bound SQL
+#: The sheet's rows in the order of its key, numbered from 1.
+VIEWS["numbered_sheet"] = "SELECT row_number() OVER (ORDER BY line) AS line, top, leaf, name FROM sheet"
+QUERIES["hierarchy_from_files"] = """
+SELECT s.line, (SELECT arg_max(u.top, u.line) FROM numbered_sheet AS u WHERE u.line <= s.line AND u.top <> 'Header') AS top, leaf, name
+FROM numbered_sheet AS s WHERE top IS DISTINCT FROM 'Header' AND leaf IS NOT NULL"""
+QUERIES["running_total"] = """
+SELECT supplier, day, quantity, (sum(quantity) OVER w)::BIGINT AS so_far, row_number() OVER w AS place,
+  (sum(quantity) OVER (PARTITION BY supplier))::BIGINT AS whole
+FROM (SELECT CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END AS supplier, l_shipdate::DATE AS day,
+        sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY supplier ORDER BY day ROWS UNBOUNDED PRECEDING)"""
+QUERIES["keep_last_stream"] = "SELECT * FROM last_lines"
+_RULES = {
+    ("rows_1", "*"): "CASE WHEN count(*) < 1 THEN 1 ELSE 0 END", ("not_null", "event_date"): "count(*) - count(day)",
+    ("not_null", "occupation"): "count(*) - count(occupation)", ("not_null", "diag_code"): "count(*) - count(mixed_code)",
+    ("filled", "kind"): "CASE WHEN count(kind) < 1 THEN 1 ELSE 0 END", ("filled", "never.filled"): "1",
+    ("max_width_5", "diag_raw"): "count(*) FILTER (length(diagnosis) > 5)",
+    ("max_width_7", "occupation"): "count(*) FILTER (length(occupation) > 7)",
+    ("fits_smallint", "event_id"): "count(*) FILTER (event_id > 32767)",
+    ("one_of", "sex"): "count(*) FILTER (sex NOT IN ('Male', 'Female'))", ("one_of", "death"): "count(*) FILTER (death NOT IN ('R', 'N'))"}
+QUERIES["constraint_suite"] = "SELECT *, violations = 0 AS passed FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"constraint\", '{c}' AS column_name, count(*) AS rows, ({e})::BIGINT AS violations FROM ev"
+    for (n, c), e in _RULES.items()) + ")"
+QUERIES["quarantine_batches"] = """
+SELECT (year(day) % 2)::INTEGER AS batch, CASE WHEN occupation IS NULL OR mixed_code IS NULL THEN 'rejected' ELSE 'accepted' END AS verdict,
+  count(*) AS rows, sum(event_id)::BIGINT AS key_sum FROM ev GROUP BY 1, 2"""
+QUERIES["group_median"] = """
+SELECT CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END AS supplier, count(l_extendedprice) FILTER (l_linenumber < 7) AS rows,
+  median(l_extendedprice) FILTER (l_linenumber < 7) AS median FROM lineitem GROUP BY 1"""
+QUERIES["catalog_counts"] = QUERIES["table_counts"]
+QUERIES["overall_rate_sql"] = QUERIES["overall_rate_by_year"]
+QUERIES["known_by_sector"] = """
+SELECT sector, occupation IS NOT NULL AND occupation IN (SELECT code FROM occ_dim) AS known, count(*) AS events
+FROM ev WHERE sector IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 1) GROUP BY 1, 2"""
+QUERIES["csv_latin1"] = """
+SELECT doc_id, concat('Construção; é "', lang, '" ÿ') AS label, lpad(doc_id::VARCHAR, 7, '0') AS code, NULL::VARCHAR AS _corrupt_record
+FROM documents"""
+
+
 def oracle_queries() -> dict[str, str]:
     """Name → SQL."""
     return {name: sql(body) for name, body in QUERIES.items()}

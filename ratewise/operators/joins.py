@@ -37,30 +37,46 @@ def or_join_labels(facts: DataFrame, dim: DataFrame, code: str = "code",
     return facts.join(keys, facts[code] == F.col("_key"), "left").drop("_key")
 
 
+#: Largest dictionary, by the planner's measure, that is turned into maps; past it, joins.
+MAP_BYTES = 64 << 10
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's measure of a frame's size, known without running it (very large where it knows nothing)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def decode_dictionary(df: DataFrame, dictionary: DataFrame, columns: dict[str, str],
                       suffix: str = "_label", name_col: str = "column_name",
-                      key_col: str = "key", value_col: str = "value",
-                      broadcast_rows: int = 200_000) -> DataFrame:
+                      key_col: str = "key", value_col: str = "value", map_bytes: int = MAP_BYTES) -> DataFrame:
     """CL15/JN11: decode code columns through an EAV dictionary.
 
-    ``columns`` maps a column of ``df`` to its name in the dictionary.  Each
-    column gets one left join with the dictionary rows of that name, made
-    distinct on the key first (JN12) so repeated dictionary rows cannot fan
-    out.  Unmatched codes decode to NULL.
+    ``columns`` maps a column of ``df`` to its name in the dictionary; the label of
+    a column is ``<column><suffix>``.  Repeated dictionary rows of a key decode to
+    the least value (JN12), unmatched and NULL codes to NULL.
 
-    A code column has few values, so shuffling the fact on it would make a few
-    hot tasks.  The dictionary's rows are counted (at most ``broadcast_rows`` + 1
-    of them are looked at); up to ``broadcast_rows`` it is broadcast and the fact
-    stays where it is.  A larger dictionary is joined without a hint, by a
-    shuffle with skew splitting.
+    A dictionary of up to ``map_bytes`` is pivoted once into a map per column, one
+    row in all (a scalar subquery), and every column is looked up in its map: no
+    join and no shuffle of ``df`` for any number of columns.  A larger one (or of
+    unknown size) is joined once per column without a hint, so the planner
+    broadcasts what its size allows and shuffles the rest with skew splitting.
+    Nothing runs while the plan is built.
     """
-    wanted = dictionary.where(F.col(name_col).isin(sorted(set(columns.values()))))
-    small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    names = sorted(set(columns.values()))
+    entries = dictionary.where(F.col(quoted(name_col)).isin(names)) \
+        .groupBy(F.col(quoted(name_col)).alias("_name"), F.col(quoted(key_col)).cast("string").alias("_key")) \
+        .agg(F.min(quoted(value_col)).alias("_value")).where(F.col("_key").isNotNull())
+    code = lambda c: F.col(quoted(c)).cast("string")
+    if plan_bytes(dictionary) <= map_bytes:
+        pair = F.struct("_key", "_value")
+        maps = entries.agg(F.struct(*[
+            F.map_from_entries(F.collect_list(F.when(F.col("_name") == n, pair))).alias(f"m{k}")
+            for k, n in enumerate(names)])).scalar()
+        out = df.withColumn("_maps", maps)
+        return out.withColumns({c + suffix: F.try_element_at(F.col(f"_maps.m{names.index(n)}"), code(c))
+                                for c, n in columns.items()}).drop("_maps")
     out = df
-    for col, name in columns.items():
-        d = (wanted.where(F.col(name_col) == name)
-                   .groupBy(F.col(key_col).alias("_key"))
-                   .agg(F.min(value_col).alias(col + suffix)))
-        out = out.join(F.broadcast(d) if small else d, out[quoted(col)].cast("string") == F.col("_key"), "left") \
-                 .drop("_key")
+    for c, n in columns.items():
+        d = entries.where(F.col("_name") == n).select("_key", F.col("_value").alias(c + suffix))
+        out = out.join(d, code(c) == F.col("_key"), "left").drop("_key")
     return out

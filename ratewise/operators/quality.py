@@ -6,9 +6,10 @@ check costs one scan and a small shuffle, and never brings rows to the driver.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.functions.exact import percent_half_up
@@ -31,6 +32,16 @@ def split_not_null(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame
     return df.where(~bad), df.where(bad)
 
 
+def with_verdict(df: DataFrame, cols: list[str], out: str = "verdict") -> DataFrame:
+    """DQ2 in one pass: 'rejected' for rows with a NULL in a required column, else 'accepted'.
+
+    Both sides stay in one frame, to be counted or landed together
+    (``land_batch(..., partition_by=[out])``).
+    """
+    bad = reduce(lambda a, b: a | b, [F.col(quoted(c)).isNull() for c in cols])
+    return df.withColumn(out, F.when(bad, F.lit("rejected")).otherwise(F.lit("accepted")))
+
+
 def not_null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """DQ2 summary: NULL count per required column."""
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in cols])
@@ -80,3 +91,76 @@ def one_to_one(df: DataFrame, short_key: str, long_key: str) -> DataFrame:
     per = df.groupBy(short_key).agg(F.count_distinct(long_key).alias("_k"))
     return per.agg(F.count(F.lit(1)).alias("short_keys"),
                    F.count_if(F.col("_k") > 1).alias("ambiguous_keys"))
+
+
+@dataclass(frozen=True)
+class Constraint:
+    """One rule of a table: ``metric`` is an aggregate that counts what breaks it.
+
+    For a rule that needs something to be there (``needs``), the metric counts
+    that, and fewer than ``needs`` of it is one violation.
+    """
+
+    name: str
+    column: str
+    metric: Column
+    needs: int = 0
+
+
+def not_null(column: str) -> Constraint:
+    """DQ2."""
+    return Constraint("not_null", column, F.count_if(F.col(quoted(column)).isNull()))
+
+
+def max_width(column: str, width: int) -> Constraint:
+    """DQ4."""
+    return Constraint(f"max_width_{width}", column, F.count_if(F.length(quoted(column)) > width))
+
+
+def fits(column: str, type_name: str) -> Constraint:
+    """DQ5: non-NULL values that the type can't hold."""
+    c = F.col(quoted(column))
+    return Constraint(f"fits_{type_name}", column, F.count_if(c.isNotNull() & c.try_cast(type_name).isNull()))
+
+
+def one_of(column: str, values: list) -> Constraint:
+    """Non-NULL values outside a fixed list."""
+    return Constraint("one_of", column, F.count_if(~F.col(quoted(column)).isin(list(values))))
+
+
+def filled(column: str) -> Constraint:
+    """DQ6: a column that nothing fills."""
+    return Constraint("filled", column, F.count(F.col(quoted(column))), needs=1)
+
+
+def has_rows(at_least: int = 1) -> Constraint:
+    """DQ8."""
+    return Constraint(f"rows_{at_least}", "*", F.count(F.lit(1)), needs=at_least)
+
+
+def watched(df: DataFrame, rules: list[Constraint], name: str | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` with the rules' metrics measured while it passes by, whatever is done with it.
+
+    All metrics are one mergeable aggregate beside the rows: no scan, shuffle or
+    pass of their own.  Put it right before the write, where each row passes once.
+    """
+    seen = Observation(name) if name else Observation()
+    metrics = [r.metric.alias(f"m{k}") for k, r in enumerate(rules)]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), seen
+
+
+def constraint_report(spark: SparkSession, rules: list[Constraint], seen: dict) -> DataFrame:
+    """One row per rule: (constraint, column_name, rows, violations, passed)."""
+    rows = []
+    for k, r in enumerate(rules):
+        n = seen[f"m{k}"]
+        broken = int(n < r.needs) if r.needs else n
+        rows.append((r.name, r.column, seen["rows"], broken, not broken))
+    return spark.createDataFrame(rows, "constraint string, column_name string, rows long, violations long, passed boolean")
+
+
+def write_checked(df: DataFrame, rules: list[Constraint], path: str) -> DataFrame:
+    """DQ2, DQ4-DQ6 and DQ8 in the scan that lands the table; the report is one row per rule."""
+    through, seen = watched(df, rules)
+    through.write.mode("overwrite").parquet(path)
+    return constraint_report(df.sparkSession, rules, seen.get)

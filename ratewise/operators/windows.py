@@ -12,17 +12,22 @@ does not end up sorted inside a single task:
   (``chunk``), fills inside each (group, chunk) with a window, then carries
   the last non-null value of earlier chunks through a second window over the
   per-chunk summary, which has one row per (group, chunk) only.
-* ``running_sum`` (cumulative share, ranking) range-partitions the rows on
-  the sort order, sums inside each range, and adds the total of all earlier
-  ranges from a one-row-per-range summary.
+* ``running_sum`` (cumulative share, ranking) deals the rows into ranges of
+  the sort order by splitters, sums inside each range, and adds the total of
+  all earlier ranges from a one-row-per-range summary.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratewise.functions.text import quoted
+from ratewise.plans.shared import shared
 
 
 def dedup_keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -66,7 +71,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
-                 chunk: int | None = None, levels: int = 1) -> DataFrame:
+                 chunk: int | None = None, levels: int = 1, ranges: int | None = None) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``order``
     within ``group`` (pandas ``ffill`` per group; a NULL group is a group).
     ``order`` must be unique within a group.
@@ -83,8 +88,16 @@ def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
 
     The summary takes whole rows of the local fill, so both uses have the same
     columns and the planner reuses one shuffle: the source is read once.
+
+    With ``ranges`` the pieces are ranges of (group, order) at quantiles of the
+    rows instead (``with_range``): balanced for any order, sparse ones, times and
+    texts too, where a width would make a range of every row.  A group has at most
+    ``ranges`` of them, so the carry is a window over that summary.  The quantiles
+    take one more read of the group and order columns.
     """
     c_ = lambda name: F.col(quoted(name))
+    if ranges is not None:
+        return _fill_ranges(df, group, order, cols, ranges)
     if chunk is None:
         w = Window.partitionBy(*map(c_, group)).orderBy(c_(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[F.last(c_(c), ignorenulls=True).over(w).alias(c) if c in cols else c_(c)
@@ -117,14 +130,56 @@ def fill_forward(df: DataFrame, group: list[str], order: str, cols: list[str],
                         else c_(c) for c in df.columns])
 
 
+def _fill_ranges(df: DataFrame, group: list[str], order: str, cols: list[str], ranges: int) -> DataFrame:
+    c_ = lambda name: F.col(quoted(name))
+    key = order_key(df, [*group, order])
+    own, carried = ([f"_fr_{x}{k}" for k in range(len(cols))] for x in ("own", "carried"))
+    inside = Window.partitionBy(*map(c_, group), "_fr_range").orderBy(c_(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = with_range(df, key, ranges, "_fr_range")
+    local = local.select("*", *[F.last(c_(c), ignorenulls=True).over(inside).alias(o) for c, o in zip(cols, own)],
+                         key.alias("_fr_key"))
+    last = local.groupBy(*map(c_, group), "_fr_range").agg(F.max_by(F.struct(*map(c_, local.columns)), "_fr_key").alias("_fr_last"))
+    earlier = Window.partitionBy(*map(c_, group)).orderBy("_fr_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*map(c_, group), "_fr_range", *[F.last(f"_fr_last.{o}", ignorenulls=True).over(earlier).alias(c)
+                                                     for o, c in zip(own, carried)])
+    out = null_safe_join(local, carry, [*group, "_fr_range"])
+    return out.select(*[F.coalesce(F.col(own[cols.index(c)]), F.col(carried[cols.index(c)])).alias(c) if c in cols
+                        else c_(c) for c in df.columns])
+
+
+def number_lines(df: DataFrame, out: str = "line") -> DataFrame:
+    """SC2: one dense line number from 1 on, in the order of files and of the rows in them.
+
+    ``df`` is a frame of ``scan_many_ordered``.  Rows are numbered inside their
+    split, the splits' counts are summed up in the order of paths and offsets
+    (``running_sum`` over one row per split), and each split starts from its sum:
+    the numbers are the same for any size of splits, and no task holds more than
+    a split.  Both uses of the rows read one shuffle, so a split is read once and
+    its bounds can't change between them.
+    """
+    own = ["_file", "_split", "_row"]
+    rows = df.repartition("_file", "_split")
+    at = Window.partitionBy("_file", "_split").orderBy("_row")
+    whole = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    # whole rows here too: the same columns, the same shuffle
+    sizes = rows.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.max_by(whole, "_row").alias("_last")) \
+        .select("_file", "_split", F.when(F.col("_last").isNotNull(), F.col("_n")).alias("_n")).repartition("_file")
+    starts = running_sum(shared(sizes), "_n", ["_file", "_split"], "_upto") \
+        .select("_file", "_split", (F.col("_upto") - F.col("_n")).alias("_start"))
+    numbered = rows.withColumn(out, F.row_number().over(at)).join(starts, ["_file", "_split"])
+    return numbered.withColumn(out, F.col("_start") + F.col(out)).drop("_start", *own)
+
+
 def fill_hierarchy(df: DataFrame, levels: list[str], order: str, header_col: str, header_value: str,
-                   leaf_col: str, group: list[str] | None = None, chunk: int | None = 10_000) -> DataFrame:
+                   leaf_col: str, group: list[str] | None = None, chunk: int | None = None,
+                   ranges: int | None = None) -> DataFrame:
     """CL9: drop repeated header rows (PF14, NULL kept), forward-fill the
-    hierarchy levels in file order, keep only leaf rows (PF13).  ``order`` is a
-    row number; ranges of ``chunk`` of it are filled apart, so a sheet of any
-    length is never one task's work."""
+    hierarchy levels in file order, keep only leaf rows (PF13).  ``order`` is one
+    column, such as the number of ``number_lines``; ranges of it (at quantiles, or
+    ``chunk`` wide) are filled apart, so a sheet of any length is never one task's
+    work."""
     body = df.where(~F.col(header_col).eqNullSafe(F.lit(header_value)))
-    filled = fill_forward(body, group or [], order, levels, chunk)
+    filled = fill_forward(body, group or [], order, levels, chunk, ranges=None if chunk else _ranges(df, ranges))
     return filled.where(F.col(leaf_col).isNotNull())
 
 
@@ -134,32 +189,112 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     return df.withColumn("ranking", F.row_number().over(w)).where(F.col("ranking") <= n)
 
 
-def running_sum(df: DataFrame, value, order: list[Column], out: str,
-                by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """WN3/WN5: cumulative sum of ``value`` in ``order`` (within ``by``),
-    ROWS frame; ``order`` must be a total order (end it with a unique key).
+def order_key(df: DataFrame, order: list) -> Column:
+    """``order`` as one struct whose natural order is the order asked for.
+
+    Items are names or sort orders of columns (``F.col(name).desc()`` and the
+    like).  Each becomes a flag that places NULL and a value that ascends:
+    integers are complemented for descending order, other numbers negated, dates
+    and times counted, texts written in complemented hexadecimal digits.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
+    for item in order:
+        text = item if isinstance(item, str) else str(item)[len("Column<'"):-len("'>")]
+        m = None if isinstance(item, str) else re.fullmatch(r"(.*) (ASC|DESC) NULLS (FIRST|LAST)", text)
+        name, down, last = (m[1], m[2] == "DESC", m[3] == "LAST") if m else (text, False, False)
+        name = name.strip("`").replace("``", "`")
+        if name not in kinds:
+            raise ValueError(f"order is by columns; {name!r} is none")
+        c, kind = F.col(quoted(name)), kinds[name]
+        if down:
+            c = _falling(c, kind)
+        parts += [F.when(F.col(quoted(name)).isNull(), int(last)).otherwise(int(not last)), c]
+    return F.struct(*[p.alias(f"k{k}") for k, p in enumerate(parts)])
+
+
+def _falling(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c.cast("bigint"))
+    if isinstance(kind, T.NumericType):
+        return -c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(c)
+    digits = "0123456789ABCDEF"  # G closes a text: the longer of two that begin alike comes first
+    return F.concat(F.translate(F.hex(c.cast("binary")), digits, digits[::-1]), F.lit("G"))
+
+
+#: Rows of the sample per range; its splitters are every so many-th of them.
+SAMPLED = 16
+
 
-    No group is sorted in one task: the rows are range-partitioned on
-    (by, order) (sampled bounds, so a large group is split across ranges), each
-    range computes a local running sum, and the offset of a range is the prefix
-    sum of the per-(group, range) totals of the earlier ranges, a summary of at
-    most #groups x #ranges rows.  NULL is a group like any other.  ``ranges``
-    defaults to the session's shuffle partitions, which the adaptive planner
-    coalesces to the data's size.
+def with_range(df: DataFrame, key: Column, ranges: int, name: str = "_range") -> DataFrame:
+    """``df`` with the range of each row, 0 to ``ranges``, a function of its ``key`` alone.
+
+    Splitters are quantiles of a sample: the ``SAMPLED * ranges`` rows whose keys
+    have the smallest hashes, a uniform sample of any table that is the same
+    whenever it is taken.  They are one bounded row, evaluated once per plan as a
+    scalar subquery.  Rows of equal keys share a range.
+    """
+    sample = df.select(key.alias("k"), F.xxhash64(key).alias("h")).orderBy("h", "k").limit(SAMPLED * ranges)
+    width = max(1, math.isqrt(ranges))
+    # a splitter for every SAMPLED rows of the sample: a small table has fewer ranges
+    splits = sample.agg(F.sort_array(F.collect_list("k")).alias("s")) \
+        .select(F.filter("s", lambda k, i: (i + 1) % SAMPLED == 0).alias("all")) \
+        .select(F.struct("all", F.filter("all", lambda k, i: i % width == width - 1).alias("heads")))
+    at = df.withColumn("_wr_splits", splits.scalar()).withColumn("_wr_key", key)
+    # the blocks of splitters that lie before the row, then the splitters of the block it falls into
+    at = at.withColumn("_wr_before", F.size(F.filter("_wr_splits.heads", lambda k: k <= F.col("_wr_key"))) * width)
+    inner = F.size(F.filter(F.slice("_wr_splits.all", F.col("_wr_before") + 1, width), lambda k: k <= F.col("_wr_key")))
+    return at.withColumn(name, F.col("_wr_before") + inner).drop("_wr_splits", "_wr_key", "_wr_before")
+
+
+def _ranges(df: DataFrame, ranges: int | None) -> int:
+    return ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running_sum(df: DataFrame, value, order: list, out: str, by: list[str] | None = None,
+                ranges: int | None = None, count: str | None = None, total: str | None = None) -> DataFrame:
+    """WN3/WN5: cumulative sum of ``value`` in ``order`` (within ``by``), ROWS frame.
+
+    ``order`` (names or sort orders of columns) must be a total order: end it with
+    a unique key.  ``count`` names a column for the row number in the same order,
+    ``total`` one for the group's whole sum, both from the same pass.
+
+    No group is sorted in one task: rows are dealt into ranges of (by, order) by
+    splitters (``with_range``), so a large group is split; each range computes its
+    sums, and a range starts from the prefix sum of the totals of the earlier
+    ranges, a summary of at most #groups + #ranges rows.  NULL is a group like
+    any other.  The range is a function of the row, so nothing is cached; the
+    summary takes whole rows of the local sums, so both have the same columns and
+    one shuffle serves them.  ``ranges`` defaults to the session's shuffle
+    partitions.  The splitters take another read of ``df``, of the order's columns
+    alone; an aggregate goes through ``shared`` first, to be computed once.
     """
-    from ratewise.plans.shared import shared
     by = list(by or [])
-    v = F.col(value) if isinstance(value, str) else value
+    c_ = lambda name: F.col(quoted(name))
+    v = c_(value) if isinstance(value, str) else value
     upto = (Window.unboundedPreceding, Window.currentRow)
-    keys = [*[F.col(b) for b in by], *order]
-    pieces = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
-    # the range id must be fixed once for both branches below
-    r = shared(pieces.withColumn("_range", F.spark_partition_id()).withColumn("_v", v))
-    local = r.withColumn("_local", F.sum("_v").over(
-        Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(*upto)))
-    per = r.groupBy(*by, "_range").agg(F.sum("_v").alias("_rt"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*by, "_range", F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_off"))
-    return (null_safe_join(local, offsets, [*by, "_range"])
-            .withColumn(out, F.col("_off") + F.col("_local"))
-            .drop("_range", "_v", "_local", "_off"))
+    key = order_key(df, [*by, *order])
+    dealt = with_range(df, key, _ranges(df, ranges), "_rs_range").withColumn("_rs_v", v)
+    inside = Window.partitionBy(*map(c_, by), "_rs_range").orderBy(*[c_(o) if isinstance(o, str) else o for o in order]) \
+        .rowsBetween(*upto)
+    local = dealt.withColumn("_rs_sum", F.sum("_rs_v").over(inside)).withColumn("_rs_n", F.count(F.lit(1)).over(inside)) \
+        .withColumn("_rs_key", key)
+    last = local.groupBy(*map(c_, by), "_rs_range").agg(F.max_by(F.struct(*map(c_, local.columns)), "_rs_key").alias("_rs_last"))
+    earlier = Window.partitionBy(*map(c_, by)).orderBy("_rs_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    offsets = last.select(*map(c_, by), "_rs_range",
+                          zero(F.sum("_rs_last._rs_sum").over(earlier)).alias("_rs_sum0"), zero(F.sum("_rs_last._rs_n").over(earlier)).alias("_rs_n0"),
+                          F.sum("_rs_last._rs_sum").over(Window.partitionBy(*map(c_, by))).alias("_rs_total"))
+    joined = null_safe_join(local, offsets, [*by, "_rs_range"])
+    more = {out: F.col("_rs_sum0") + F.col("_rs_sum")}
+    if count:
+        more[count] = F.col("_rs_n0") + F.col("_rs_n")
+    if total:
+        more[total] = F.col("_rs_total")
+    return joined.withColumns(more).drop("_rs_range", "_rs_v", "_rs_sum", "_rs_n", "_rs_key", "_rs_sum0", "_rs_n0", "_rs_total")

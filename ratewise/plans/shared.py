@@ -1,46 +1,27 @@
 """Reuse of one reduced fact inside a plan.
 
 Several operators read one aggregate of a large fact from several branches
-(coverage, totals, comparison-year shares).  Catalyst pushes a different
-filter into each branch, so the branches no longer match and exchange reuse
-does not happen: each branch would scan and join the fact again.  ``shared``
-marks the aggregate (months x codes rows, not fact rows) to be cached when the
-query that reads it runs: nothing runs while the plan is built, the fact is
-read once, and the adaptive planner coalesces the cached partitions to the
-aggregate's size.  Lost blocks are recomputed from lineage.
-
-A session keeps one entry per distinct aggregate, so calling a query again
-reuses it and adds none.  ``release()`` unpersists them and leaves the caller's
-own caches alone.
+(coverage, totals, comparison-year shares).  Catalyst pushes a different filter
+and another column set into each branch, so the branches no longer match and
+exchange reuse does not happen: each branch would scan and join the fact again.
+``shared`` puts an expression between the aggregate and its readers that neither
+filters nor column pruning pass: each row becomes an array of one struct that is
+taken apart again.  Below it the branches stay equal, the planner finds the
+equal exchanges and runs one of them, and the fact is read once.
+
+Nothing is cached: a plan reads the files that its own scans list, nothing
+outlives the query and nothing has to be released.  ``reduced`` must be an
+aggregate (its exchange is what is reused); on a bare scan there is none.
 """
 
 from __future__ import annotations
 
-import weakref
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_SHARED: "weakref.WeakKeyDictionary[SparkSession, dict[int, list[DataFrame]]]" = weakref.WeakKeyDictionary()
+from ratewise.functions.text import quoted
 
 
 def shared(reduced: DataFrame) -> DataFrame:
-    """``reduced``, cached on first use for all branches that read it."""
-    known = _SHARED.setdefault(reduced.sparkSession, {}).setdefault(reduced.semanticHash(), [])
-    for frame in known:
-        if frame.sameSemantics(reduced):
-            return frame if frame.columns == reduced.columns else reduced
-    known.append(reduced.persist(StorageLevel.MEMORY_AND_DISK))
-    return reduced
-
-
-def release() -> int:
-    """Unpersist every aggregate the library cached; returns how many.  Call it between analyses."""
-    n = 0
-    for entries in list(_SHARED.values()):
-        for frames in entries.values():
-            for frame in frames:
-                frame.unpersist(blocking=False)
-                n += 1
-        entries.clear()
-    return n
+    """``reduced`` for several branches of one plan, computed once when it runs."""
+    return reduced.select(F.inline(F.array(F.struct(*[F.col(quoted(c)) for c in reduced.columns]))))

@@ -93,7 +93,7 @@ def composition_share(spark: SparkSession, events: DataFrame, code: Column, dim:
                .withColumns({"T0": ytot.getField("T0"), "T1": ytot.getField("T1")}))
     # cumulative share (WN3)
     order = [F.col("n").desc(), F.col("code").asc_nulls_last()]
-    t = running_sum(with_total(total, "n", name="_tot"), "n", order, "run")
+    t = running_sum(total, "n", order, "run", total="_tot")
     t = t.join(pct, "code", "left").join(dim.select("code", "label"), "code", "left")
     c0 = F.coalesce(F.col("c0"), F.lit(0)).cast(DEC)
     c1 = F.coalesce(F.col("c1"), F.lit(0)).cast(DEC)
@@ -148,8 +148,7 @@ def composition_stacked_all(spark: SparkSession, events: DataFrame, occupations:
     # cumulative share (WN5) and ranking (WN6) per dimension; (n, code) is a
     # total order, so the running count of rows is the row number
     order = [F.col("n").desc(), F.col("code").asc()]
-    total = running_sum(with_total(total, "n", ["dimension"], "_tot"), "n", order, "run", ["dimension"])
-    total = running_sum(total, F.lit(1), order, "ranking", ["dimension"])
+    total = running_sum(total, "n", order, "run", ["dimension"], count="ranking", total="_tot")
     y0, y1 = s.compare_years
     comp = items.where("comparable").groupBy("dimension", "code", "year").agg(F.sum("n").alias("n"))
     comp = with_total(comp, "n", ["dimension", "year"], "Ty")

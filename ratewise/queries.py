@@ -269,7 +269,7 @@ ALL_TABLES = ("region nation customer supplier part orders lineitem events docum
               "embeddings pages benchmark labels conversations").split()
 
 # EAV dictionary of the decode query (fixed values: column, key, label); 'view' appears twice
-# on purpose (JN12) and 'signup' is left undecoded.  Columns a to h decode keys 0 to 6.
+# on purpose (JN12) and 'signup' is left undecoded.  Columns a to o decode keys 0 to 6.
 EVENT_DICTIONARY = [
     ("event_type", "click", "Click"),
     ("event_type", "view", "Page view"),
@@ -277,7 +277,7 @@ EVENT_DICTIONARY = [
     ("event_type", "purchase", "Purchase"),
     ("event_type", "error", "Error"),
 ]
-CODE_COLUMNS = [f"code_{c}" for c in "abcdefgh"]
+CODE_COLUMNS = [f"code_{c}" for c in "abcdefghijklmno"]
 
 
 def q_strip_text(spark, d):
@@ -308,9 +308,10 @@ def q_fill_forward(spark, d):
 
 
 def q_decode_dictionary(spark, d):
-    """Nine columns of the event fact through one dictionary."""
+    """Sixteen columns of the event fact through one dictionary."""
     entries = EVENT_DICTIONARY + [(c, str(k), f"{c[-1]}:{k}") for c in CODE_COLUMNS for k in range(7)]
-    dic = spark.createDataFrame(entries, "column_name string, key string, value string")
+    values = ", ".join(f"('{c}', '{k}', '{v}')" for c, k, v in entries)
+    dic = spark.sql(f"SELECT * FROM VALUES {values} AS d(column_name, key, value)")
     ev = tb.scan_table(spark, d, "events").select("event_type", *[
         F.expr(f"(event_id div {k + 1}) % 9").alias(c) for k, c in enumerate(CODE_COLUMNS)])
     names = ["event_type", *CODE_COLUMNS]
@@ -437,7 +438,7 @@ def q_csv_scan(spark, d):
         F.concat(F.lit('say "'), "lang", F.lit('"; \n'), "source").alias("note"), "text")
     path = _as_csv(docs, tb.scratch_path(spark, "csv-scan"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *_strings("code", "note", "text").fields])
-    back = tb.scan_csv(spark, path, schema, encoding="UTF-8")
+    back = tb.scan_csv(spark, path, schema, encoding="UTF-8", multi_line=True)
     return back.select("doc_id", "code", "note", F.md5(F.col("text").cast("binary")).alias("text_md5"), tb.CORRUPT)
 
 
@@ -581,11 +582,9 @@ def q_parse_iso_dates(spark, d):
 
 
 def q_quarantine_split(spark, d):
-    """DQ2: the rows that pass and those that don't."""
-    parts = dq.split_not_null(fx.events_fact(spark, d), ["occupation", "diag_code"])
-    return tb.union_all([f.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("rows"),
-                               F.sum("event_id").cast("bigint").alias("key_sum"))
-                         for n, f in zip(("accepted", "rejected"), parts)])
+    """DQ2: the rows that pass and those that don't, told apart in one pass."""
+    judged = dq.with_verdict(fx.events_fact(spark, d), ["occupation", "diag_code"], "part")
+    return judged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").cast("bigint").alias("key_sum"))
 
 
 def q_build_events(spark, d):
@@ -649,3 +648,96 @@ QUERIES.update({f.__name__[2:]: f for f in (
     q_rename_columns, q_place_filters, q_label_search, q_fill_hierarchy, q_build_sector_dim, q_unknown_member, q_stack_shapes,
     q_drop_identifiers, q_parse_iso_dates, q_quarantine_split, q_build_events, q_build_exposure, q_build_movements,
     q_build_notifications, q_build_notifications_two, q_build_diagnoses)})
+
+
+# ---------------------------------------------------------------- line numbers, ranks, batches, checks in one pass, bound SQL
+from ratewise.operators import ranks as rk  # noqa: E402
+from ratewise.plans import bound_sql as bq  # noqa: E402
+from ratewise.plans.shared import shared  # noqa: E402
+from ratewise.streaming import upsert as up  # noqa: E402
+
+
+def q_hierarchy_from_files(spark, d):
+    """SC2, CL9: the sheet in several CSV files; dense line numbers in file order, then the fill over them."""
+    root = tb.scratch_path(spark, "sheet")
+    _as_csv(_sheet(spark, d).repartitionByRange(6, "line").sortWithinPartitions("line").drop("line"), f"{root}/files")
+    sheet = tb.scan_many_ordered(spark, f"{root}/files", _strings("top", "leaf", "name"), encoding="UTF-8")
+    tb.land(wn.number_lines(sheet.drop(tb.CORRUPT)), f"{root}/numbered")
+    return wn.fill_hierarchy(spark.read.parquet(f"{root}/numbered"), ["top"], "line", "top", "Header", "leaf")
+
+
+def q_running_total(spark, d):
+    """WN3, WN5, WN6: quantity per supplier and day, summed up and numbered by day; a third of the suppliers are one NULL group."""
+    li = tb.scan_table(spark, d, "lineitem").select(
+        F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).alias("supplier"), F.col("l_shipdate").cast("date").alias("day"),
+        F.col("l_quantity").cast("bigint").alias("quantity"))
+    per = li.groupBy("supplier", "day").agg(F.sum("quantity").alias("quantity"))
+    return wn.running_sum(shared(per), "quantity", ["day"], "so_far", ["supplier"], count="place", total="whole")
+
+
+def q_keep_last_stream(spark, d):
+    """ST1, CL2: three overlapping batches of lines taken in as they land; the latest version of every key."""
+    li = tb.scan_table(spark, d, "lineitem")
+    root = tb.scratch_path(spark, "upsert")
+    for k in range(3):
+        li.where(F.col("l_orderkey") % 3 != k).write.mode("append").parquet(f"{root}/landing")
+        up.start_upsert(spark, f"{root}/landing", f"{root}/table", f"{root}/checkpoint", li.schema, LINE_KEY, LINE_ORDER).awaitTermination()
+    return up.current(spark, f"{root}/table", li.schema)
+
+
+def q_constraint_suite(spark, d):
+    """DQ2, DQ4-DQ6, DQ8: all row rules of the event fact, checked while it is written."""
+    ev = fx.events_fact(spark, d).withColumn("never.filled", F.lit(None).cast("string"))
+    rules = [dq.has_rows(), dq.not_null("event_date"), dq.not_null("occupation"), dq.not_null("diag_code"), dq.filled("kind"),
+             dq.filled("never.filled"), dq.max_width("diag_raw", 5), dq.max_width("occupation", 7), dq.fits("event_id", "smallint"),
+             dq.one_of("sex", ["Male", "Female"]), dq.one_of("death", ["R", "N"])]
+    return dq.write_checked(ev, rules, tb.scratch_path(spark, "checked"))
+
+
+def q_quarantine_batches(spark, d):
+    """DQ2, SK3: accepted and rejected rows landed together, batch by batch; the second batch is landed twice."""
+    ev = dq.with_verdict(fx.events_fact(spark, d), ["occupation", "diag_code"])
+    path = tb.scratch_path(spark, "quarantine")
+    for batch in (0, 1, 1):
+        tb.land_batch(ev.where(F.year("event_date") % 2 == batch), path, batch, ["verdict"])
+    return spark.read.parquet(path).groupBy("batch", "verdict").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("event_id").cast("bigint").alias("key_sum"))
+
+
+def q_group_median(spark, d):
+    """AG8: the exact median price per supplier; a third of the suppliers are one group, a seventh of the prices NULL."""
+    li = tb.scan_table(spark, d, "lineitem").select(
+        F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).alias("supplier"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice")).alias("price"))
+    return rk.group_median(li, ["supplier"], "price")
+
+
+def q_catalog_counts(spark, d):
+    """SC8, SO2, A34: the given tables as views, and the row count of whatever the catalog lists."""
+    tb.register_tables(spark, d, "given_")
+    return tb.catalog_counts(spark, "given_")
+
+
+def q_overall_rate_sql(spark, d):
+    """A5 as a text with bound parameters."""
+    return bq.overall_rate_by_year(spark, fx.events_fact(spark, d), fx.exposure(spark, d), S)
+
+
+def q_known_by_sector(spark, d):
+    """PF16, PF17: an IN filter and an EXISTS flag."""
+    return bq.known_by_sector(spark, fx.events_fact(spark, d), fx.occupations(spark, d), fx.sectors(spark, d), "B")
+
+
+def q_csv_latin1(spark, d):
+    """SC1 with its defaults: ISO-8859-1, ';', quoted, read in splits."""
+    docs = tb.scan_table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("Constru\u00e7\u00e3o; \u00e9 \""), "lang", F.lit("\" \u00ff")).alias("label"),
+        F.lpad(F.col("doc_id").cast("string"), 7, "0").alias("code"))
+    path = tb.scratch_path(spark, "latin1")
+    docs.write.option("header", "true").option("sep", ";").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    return tb.scan_csv(spark, path, T.StructType([T.StructField("doc_id", T.LongType()), *_strings("label", "code").fields]))
+
+
+QUERIES.update({f.__name__[2:]: f for f in (
+    q_hierarchy_from_files, q_running_total, q_keep_last_stream, q_constraint_suite, q_quarantine_batches, q_group_median,
+    q_catalog_counts, q_overall_rate_sql, q_known_by_sector, q_csv_latin1)})

@@ -20,15 +20,15 @@ CORRUPT = "_corrupt_record"
 
 
 def scan_csv(spark: SparkSession, path, schema: T.StructType, sep: str = ";",
-             encoding: str = "ISO-8859-1", header: bool = True, multi_line: bool = True,
+             encoding: str = "ISO-8859-1", header: bool = True, multi_line: bool = False,
              corrupt: str | None = CORRUPT) -> DataFrame:
     """SC1: delimited read with an explicit schema.
 
     Codes are declared as strings in ``schema`` so leading zeros survive; the
     schema is never inferred (integers with gaps would drift to double).  A
-    quoted field may hold the separator, doubled quotes and, with
-    ``multi_line``, line breaks (such files are not split; turn it off for
-    large files without line breaks in fields).  A row that doesn't fit the
+    quoted field may hold the separator and doubled quotes.  Files are split, so
+    a large one is the work of many tasks; where fields hold line breaks, ask for
+    ``multi_line`` (such files aren't split).  A row that doesn't fit the
     schema keeps its whole text in the ``corrupt`` column, which is NULL
     otherwise; ``corrupt=None`` makes such a row an error.
     """
@@ -92,6 +92,46 @@ def table_counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     return union_all(parts)
 
 
+def _files(spark: SparkSession, path: str):
+    """Spark's file system for ``path`` (any store it reads) and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+def list_tables(spark: SparkSession, root: str) -> list[str]:
+    """Names of the parquet tables of a data folder."""
+    fs, at = _files(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted(n[:-len(".parquet")] for n in names if n.endswith(".parquet"))
+
+
+def register_tables(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
+    """SC4/SC8: every table of a data folder as a view in the session's catalog, ``prefix`` before its name."""
+    names = list_tables(spark, root)
+    for n in names:
+        scan_table(spark, root, n).createOrReplaceTempView(prefix + n)
+    return names
+
+
+def catalog_counts(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """SC8/SO2/A34: row count of whatever the catalog lists under ``prefix``, one row per table."""
+    names = [t.name for t in spark.catalog.listTables(pattern=f"{prefix}*")]
+    empty = spark.range(0).select(F.lit("").alias("table_name"), F.col("id").alias("n_rows"))
+    return union_all([empty, *[spark.table(n).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(n[len(prefix):]).alias("table_name"), "n_rows") for n in sorted(names)]])
+
+
 def land(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """SK1: write a collected source (bronze).  CSV gets a header, no index."""
     w = df.write.mode("overwrite")
@@ -114,6 +154,16 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[st
     w.save(path)
 
 
+def land_batch(df: DataFrame, path: str, batch: int, partition_by: list[str] | None = None) -> None:
+    """SK3 with retries: a batch has a folder of its own, which landing it again replaces.
+
+    The table is read from ``path`` with ``batch`` as a column.  Everything a batch
+    wrote before goes, partitions that it no longer has too.
+    """
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/batch={batch}")
+
+
 def publish(tables: dict[str, DataFrame], root: str, depends_on: dict[str, list[str]],
             selected: list[str] | None = None) -> list[str]:
     """SK2: full refresh of the selected tables, dimensions before facts.

@@ -23,7 +23,7 @@ TEXT = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "c")])
 def test_csv_quotes_and_line_breaks(spark, tmp_path):
     body = 'a;b;c\n007;"say ""hi"" now";x\n1;"two\nlines; one field";y\n2;plain;z\n'
     (tmp_path / "f.csv").write_text(body, encoding="latin-1")
-    got = tb.scan_csv(spark, str(tmp_path / "f.csv"), TEXT).select("a", "b", "c").toPandas()
+    got = tb.scan_csv(spark, str(tmp_path / "f.csv"), TEXT, multi_line=True).select("a", "b", "c").toPandas()
     want = pd.read_csv(tmp_path / "f.csv", sep=";", dtype=str, encoding="latin-1")
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
@@ -80,9 +80,9 @@ def test_decode_hot_codes_and_large_dictionary(spark):
     facts = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("a"),
                                      (F.col("id") % 7).alias("b"))
     rows = [("a", "hot", "Hot"), ("a", "hot", "Hotter"), ("b", "1", "one")] + [("a", str(k), f"n{k}") for k in range(0, 40)]
-    dic = spark.createDataFrame(rows, "column_name string, key string, value string")
+    dic = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, rows)) + " AS d(column_name, key, value)")
     small = jn.decode_dictionary(facts, dic, {"a": "a", "b": "b"})
-    large = jn.decode_dictionary(facts, dic, {"a": "a", "b": "b"}, broadcast_rows=3)
+    large = jn.decode_dictionary(facts, dic, {"a": "a", "b": "b"}, map_bytes=3)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     assert small.where("a_label = 'Hot'").count() == facts.where("a = 'hot'").count() and small.count() == 2000
 

@@ -62,8 +62,6 @@ _PLANS: dict[str, object] = {}
 def executed(spark, name, sf_dir):
     """Run the query once through its own QueryExecution; its final adaptive plan."""
     if name not in _PLANS:
-        from ratewise.plans import shared
-        shared.release()
         df = QUERIES[name](spark, sf_dir)
         df.collect()                      # same QueryExecution as inspected below (sf0.001: small)
         plan = df._jdf.queryExecution().executedPlan()
@@ -117,7 +115,7 @@ def reads(node, seen: set) -> list[str]:
 
 
 # These write a table to files in parts first, or count a table next to its dedup.
-SEVERAL_READS = {"dedup_rate", "silver_rate_ranking", "quarantine_split"}
+SEVERAL_READS = {"dedup_rate", "silver_rate_ranking"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -148,26 +146,66 @@ def test_building_a_query_runs_nothing(spark, sf_dir):
     """Operators are lazy: building the plans of the composition queries starts no job."""
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("building", "")
-    for name in ("composition_stacked", "occupation_share", "expected_vs_observed", "fill_forward", "pareto_exact"):
+    for name in ("composition_stacked", "occupation_share", "expected_vs_observed", "fill_forward", "pareto_exact",
+                 "decode_dictionary", "running_total", "group_median", "overall_rate_sql", "known_by_sector"):
         QUERIES[name](spark, sf_dir).schema
     jobs = tracker.getJobIdsForGroup("building")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert len(jobs) <= 5 * 6     # footers of the input tables are read by jobs; no aggregate is
+    assert len(jobs) <= 10 * 6    # footers of the input tables are read by jobs; no aggregate is
 
 
-def test_release_drops_only_library_caches(spark, sf_dir):
-    """Aggregates cached by a query are released; a caller's own cache stays; calling again adds none."""
-    from ratewise.plans import shared
-    shared.release()
+def joins(plan) -> list[str]:
+    return [n.nodeName() for n in walk(plan) if n.nodeName().endswith("Join")]
+
+
+def test_decoding_sixteen_columns_takes_no_join(spark, sf_dir):
+    """The dictionary is one row of maps, whatever the number of columns."""
+    assert len([c for c in QUERIES["decode_dictionary"](spark, sf_dir).columns if c.endswith("_label")]) == 16
+    assert joins(executed(spark, "decode_dictionary", sf_dir)) == []
+
+
+def test_subqueries_become_semi_and_existence_joins(spark, sf_dir):
+    plan = executed(spark, "known_by_sector", sf_dir)
+    kinds = [n.joinType().toString() for n in walk(plan) if n.nodeName().endswith("Join")]
+    assert "LeftSemi" in kinds and any(k.startswith("ExistenceJoin") for k in kinds), kinds
+
+
+def test_running_sums_cache_nothing(spark, sf_dir):
+    for name in ("running_total", "group_median", "occupation_share"):
+        assert not [n for n in walk(executed(spark, name, sf_dir)) if n.nodeName().startswith("InMemory")], name
+
+
+def files_replaced(spark, sf_dir, root):
+    """A data folder whose facts are replaced, in place, by a part of their rows."""
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.mode("overwrite").parquet(f"{root}/{t}.parquet")
+
+    def replace():
+        for t, some in (("orders", "o_orderkey % 3 = 0"), ("lineitem", "l_orderkey % 3 = 0"), ("events", "event_id % 3 = 0")):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").where(some).write.mode("overwrite").parquet(f"{root}/{t}.parquet")
+    return replace
+
+
+#: One query for each place that reads an aggregate of a fact from several branches.
+REUSING = ("status_share", "occupation_share", "diagnosis_share", "composition_stacked", "pareto_cut", "sector_rate_table",
+           "overall_rate_by_year", "ratio_to_overall", "expected_vs_observed_table", "type_by_year", "profile_sex_age",
+           "sector_counts_by_type", "two_source_monthly", "exposure_by_area", "residence_share")
+
+
+def test_no_query_keeps_old_numbers(spark, sf_dir, tmp_path):
+    """Files replaced between two runs of one session: the second run has the new numbers, and nothing stays cached."""
+    replace = files_replaced(spark, sf_dir, str(tmp_path))
     own = spark.range(10).cache()
     own.count()
-    frames = lambda: [f for e in shared._SHARED.values() for v in e.values() for f in v]
-    QUERIES["occupation_share"](spark, sf_dir).collect()
-    cached = frames()
-    assert cached and all(df.storageLevel.useMemory for df in cached)
-    QUERIES["occupation_share"](spark, sf_dir).collect()
-    assert len(frames()) == len(cached)
-    assert shared.release() == len(cached) and not frames()
-    assert all(not df.storageLevel.useMemory for df in cached)
-    assert own.storageLevel.useMemory
+    before = {n: sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in REUSING}
+    replace()
+    after = {n: sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in REUSING}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 1 and own.storageLevel.useMemory
     own.unpersist()
+    changed = {n for n in REUSING if before[n] != after[n]}
+    assert changed >= {"status_share", "occupation_share", "composition_stacked", "sector_counts_by_type", "type_by_year"}
+    fresh = str(tmp_path / "fresh")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{fresh}/{t}.parquet")
+    for n in REUSING:
+        assert after[n] == sorted(map(str, QUERIES[n](spark, fresh).collect())), n
