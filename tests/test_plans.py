@@ -72,7 +72,7 @@ def executed(spark, name, sf_dir):
 
 
 # Queries whose result holds every column of a table (or that read their own scratch files).
-WHOLE_ROWS = {"dedup_keep_last", "dedup_rate", "build_events", "rename_columns"}
+WHOLE_ROWS = {"dedup_keep_last", "dedup_rate", "build_events", "rename_columns", "hierarchy_from_files", "keep_last_stream"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
