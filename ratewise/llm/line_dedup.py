@@ -1,16 +1,19 @@
 """Line dedup across documents by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least ``min_chars`` characters are compared.  A line goes when an
-earlier line equals it, or is within ``max_edits`` edits (Levenshtein) of it;
-earlier means by (doc_id, place in the document) of the first occurrence.
-Shorter lines and lines of blanks always stay.
+A line goes when an earlier line equals it, however short; a line of at least
+``min_chars`` characters also when an earlier one of that length is within
+``max_edits`` edits (Levenshtein) of it (a shorter one holds too few characters
+for its segments to tell).  Earlier means by (doc_id, place in the document) of the
+first occurrence.  Lines of blanks always stay.
 
 Near lines are found by the pigeonhole principle: a line of length l is split
 into max_edits + 1 segments, and a line within max_edits of it holds one of them
 unchanged, at a place that the edits left and right of it allow.  So a line is
 indexed under (segment number, segment), and probes, for each length from its
-own down to max_edits less, the few substrings that can match each segment.  Pairs that meet and whose letter counts differ by what so many edits
-can explain are confirmed with the banded distance ``levenshtein(a, b, max)``.
+own down to max_edits less, the few substrings that can match each segment.  Pairs
+that meet and whose letter counts differ by what so many edits can explain are
+confirmed with a banded bit-parallel edit distance: the 2 * max_edits + 1 cells of
+a column that matter are the bits of two whole numbers.
 
 What moves: the texts are written once, bucketed by document, so that line
 texts and verdicts meet without shuffling or sorting texts again (the flags of a
@@ -122,11 +125,61 @@ def _near(lines: DataFrame, max_edits: int) -> DataFrame:
     return index.join(probe, meet).select(F.col("i.h1").alias("a"), F.col("p.h1").alias("b")).distinct()
 
 
+def banded_distance(a: Column, b: Column, most: int) -> Column:
+    """Edit distance of two texts of at least ``most`` characters if it is up to ``most``, else more than that.
+
+    Column j of the distance table is kept for the rows j - most to j + most: bit d of
+    ``up`` (``down``) says that row j - most + d is one more (less) than the row before
+    it.  A step takes the bits where the next character of ``b`` equals one of those
+    rows' characters of ``a``, and the sum follows the lowest row of the band, then the
+    last row of ``a`` once the band has reached it.
+    """
+    width = 2 * most + 1
+    ones = (1 << width) - 1
+    bit = lambda x: F.lit(x).cast("long")
+    inside = lambda x: x.bitwiseAND(bit(ones))
+    shifted = lambda x: F.shiftright(x, 1)
+
+    def step(texts: Column, acc: Column, j: Column) -> Column:
+        equal = reduce(lambda m, d: m + F.when(F.get(texts["x"], j - most + d) == F.get(texts["y"], j), bit(1 << d)).otherwise(bit(0)),
+                       range(width), bit(0))
+        return F.struct(acc["up"].alias("up"), acc["down"].alias("down"), acc["sum"].alias("sum"), equal.alias("equal"), j.alias("j"))
+
+    def diagonal(s: Column) -> Column:
+        carried = inside(s["equal"].bitwiseAND(s["up"]) + s["up"]).bitwiseXOR(s["up"])
+        return F.struct(s["up"].alias("up"), s["down"].alias("down"), s["sum"].alias("sum"), s["j"].alias("j"),
+                        carried.bitwiseOR(s["equal"]).bitwiseOR(s["down"]).alias("zero"))
+
+    def across(s: Column) -> Column:
+        more = s["down"].bitwiseOR(inside(F.bitwise_not(s["zero"].bitwiseOR(s["up"]))))
+        return F.struct(s["sum"].alias("sum"), s["j"].alias("j"), s["zero"].alias("zero"), more.alias("more"),
+                        s["zero"].bitwiseAND(s["up"]).alias("less"))
+
+    def after(texts: Column, s: Column) -> Column:
+        enter = F.size(texts["x"]) - most  # the column from which the band holds the last row
+        last = F.call_function("shiftleft", bit(1), (2 * most - 1 - (s["j"] - enter)).cast("int"))
+        on = lambda m, at: (m.bitwiseAND(at) != 0).cast("int")
+        total = s["sum"] + F.when(s["j"] < enter, 1 - on(s["zero"], bit(1 << (width - 1)))) \
+            .otherwise(on(s["more"], last) - on(s["less"], last))
+        return F.struct(s["less"].bitwiseOR(inside(F.bitwise_not(shifted(s["zero"]).bitwiseOR(s["more"])))).alias("up"),
+                        shifted(s["zero"]).bitwiseAND(s["more"]).alias("down"), total.alias("sum"))
+
+    def once(s: Column, part) -> Column:
+        """``part`` of ``s``, which is worked out once however often the part names it."""
+        return F.get(F.transform(F.array(s), part), F.lit(0))
+
+    start = F.struct(bit(((1 << (most + 1)) - 1) << most).alias("up"), bit(0).alias("down"), F.lit(most).alias("sum"))
+    both = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
+    return once(both, lambda texts: F.aggregate(
+        F.sequence(F.lit(0), F.size(texts["y"]) - 1), start,
+        lambda acc, j: once(once(once(step(texts, acc, j), diagonal), across), lambda s: after(texts, s)))["sum"])
+
+
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and the columns ``n_lines``, ``n_kept``
-    (lines before and after) and ``n_new`` (lines, short ones too, that no earlier line equals or nearly
-    equals; NULL where there are only blank lines)."""
+    (lines before and after) and ``n_new`` (lines that no earlier line equals or nearly equals; NULL
+    where there are only blank lines)."""
     spark = docs.sparkSession
     if min_chars <= max_edits:
         raise ValueError("min_chars must be over max_edits")
@@ -148,14 +201,13 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     written = hashed.where("not blank")
     first = materialise(written.groupBy("h1", "h2").agg(F.min(F.struct(*place, "pos")).alias("first")), "line-firsts")
     at = F.struct(*place, "pos")
-    flagged = written.join(first, ["h1", "h2"]).select(*place, "pos", "h1", "short", (at == F.col("first")).alias("new")) \
-        .unionByName(hashed.where("blank").select(*place, "pos", "h1", F.lit(True).alias("short"),
-                                                  F.lit(None).cast("boolean").alias("new")))
+    flagged = written.join(first, ["h1", "h2"]).select(*place, "pos", "h1", (at == F.col("first")).alias("new")) \
+        .unionByName(hashed.where("blank").select(*place, "pos", "h1", F.lit(None).cast("boolean").alias("new")))
 
     def verdicts(rows: DataFrame) -> DataFrame:
         """Per document its lines' flags (keep, new) in their order."""
         return rows.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct(
-            "pos", (F.col("new") | F.col("short")).alias("keep"), "new"))).alias(keep))
+            "pos", F.coalesce("new", F.lit(True)).alias("keep"), "new"))).alias(keep))
 
     # Distinct long lines with their texts, where the texts lie.
     starts = written.where("not short").join(first, ["h1", "h2"]).where(at == F.col("first")).select(*place, "pos", "h1")
@@ -175,11 +227,11 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     known = materialise(texts(few).join(places, "h1"), "line-candidates")
     side = lambda x: known.select(F.col("h1").alias(x), F.col("line").alias(f"{x}_line"), F.col("first").alias(f"{x}_first"))
     near = pairs.join(side("a"), "a").join(side("b"), "b") \
-        .where(F.levenshtein("a_line", "b_line", max_edits) >= 0)
+        .where(banded_distance(F.col("a_line"), F.col("b_line"), max_edits) <= max_edits)
     late = materialise(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a"))
                                    .alias("h1")).distinct(), "line-late")
     judged = flagged.join(late.withColumn("late", F.lit(True)), "h1", "left") \
-        .select(*place, "pos", "short", (F.col("new") & F.col("late").isNull()).alias("new"))
+        .select(*place, "pos", (F.col("new") & F.col("late").isNull()).alias("new"))
 
     staying = F.filter(F.arrays_zip(split.alias("line"), F.col(keep).alias("flag")), lambda x: x["flag"]["keep"])
     out = stored.join(verdicts(judged).hint("shuffle_hash"), place, "left")

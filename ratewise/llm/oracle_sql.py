@@ -34,11 +34,11 @@ WITH lines AS (
   FROM documents WHERE text IS NOT NULL),
 firsts AS (
   SELECT line, min(row(doc_id, pos)) AS at, length(line) AS n FROM lines
-  WHERE length(line) >= {line_dedup.MIN_CHARS} AND trim(line) <> '' GROUP BY line),
+  WHERE trim(line) <> '' GROUP BY line),
 late AS (
   SELECT DISTINCT b.line FROM firsts a JOIN firsts b
     ON b.n IN ({", ".join(f"a.n + {k}" for k in range(-line_dedup.MAX_EDITS, line_dedup.MAX_EDITS + 1))})
-  WHERE a.at < b.at AND levenshtein(a.line, b.line) <= {line_dedup.MAX_EDITS}),
+  WHERE a.n >= {line_dedup.MIN_CHARS} AND b.n >= {line_dedup.MIN_CHARS} AND a.at < b.at AND levenshtein(a.line, b.line) <= {line_dedup.MAX_EDITS}),
 judged AS (
   SELECT l.doc_id, l.pos, l.line, f.at IS NULL OR f.at = row(l.doc_id, l.pos) AND late.line IS NULL AS keep
   FROM lines l LEFT JOIN firsts f ON f.line = l.line LEFT JOIN late ON late.line = l.line)

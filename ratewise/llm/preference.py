@@ -13,10 +13,11 @@ one side lacks is left out; extra columns are ignored; empty tables give no rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.llm.common import col
+from ratewise.llm.common import col, materialise, partitions
+from ratewise.operators.windows import order_key, with_range
 
 ASSISTANT = "assistant"
 _END = "<|end|>\n"
@@ -37,21 +38,20 @@ def _mask(turns: Column) -> Column:
                  (t["role"] == ASSISTANT).alias("trained")))))
 
 
-def _gathered(turns: DataFrame, side: str) -> DataFrame:
-    """A row per pair: the side's turns in order."""
-    return turns.groupBy(F.col("pair_id").alias("pair_id")).agg(F.sort_array(F.collect_list(F.struct(
-        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias(side))
+def _turns(turn: str = "turn") -> Column:
+    """A group's turns in order, NULL roles and texts as empty ones."""
+    return F.sort_array(F.collect_list(F.struct(
+        F.col(turn).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
 
 
-def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row per pair from the turns (pair_id, turn, role, text) of both sides."""
-    both = _gathered(chosen, "c").join(_gathered(rejected, "r"), "pair_id")
+def format_sides(pairs: DataFrame) -> DataFrame:
+    """One row per row (pair_id, c, r) of ``pairs``: the chosen and the rejected turns in order."""
     same = F.transform(F.arrays_zip("c", "r"), lambda z: (z["c"]["role"] == z["r"]["role"])
                        & (z["c"]["text"] == z["r"]["text"]))
     # the pair's first turn that differs; beyond the shorter side the comparison is NULL
     first = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
     n = F.when(first == 0, F.size("c")).otherwise(first - 1).cast("int")
-    both = both.withColumn("n", n)
+    both = pairs.select("pair_id", "c", "r").withColumn("n", n)
     tail = lambda side: F.slice(side, F.col("n") + 1, F.size(side) - F.col("n"))
     return both.select(
         "pair_id", F.col("n").alias("prompt_turns"),
@@ -61,28 +61,49 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         _render(tail("r")).alias("rejected"), _mask(tail("r")).alias("rejected_mask"))
 
 
-def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected turns from plain conversations (conv_id, turn, role, text).
+def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row per pair from the turns (pair_id, turn, role, text) of both sides."""
+    c, r = (side.groupBy("pair_id").agg(_turns().alias(name)) for side, name in ((chosen, "c"), (rejected, "r")))
+    return format_sides(c.join(r, "pair_id"))
+
+
+def _successors(replies: DataFrame) -> DataFrame:
+    """(pair_id, other): the reply of the next conversation that has one, by id; the last is followed by the first.
 
-    Chosen is a conversation up to its last assistant turn; rejected has, in that
-    turn's place, the last assistant turn of the conversation with the next
-    conv_id.  Conversations without an assistant turn, or whose next one lacks
-    one, make no pair.  Of several rows with the last turn's number the greatest
-    text stands.
+    Ids are dealt into ranges; inside a range the next row is at hand, and the last of a
+    range takes the first of the next one: one small row per range.
+    """
+    ranges = partitions(replies.sparkSession)
+    dealt = with_range(replies, order_key(replies, ["pair_id"]), ranges, "part")
+    inside = Window.partitionBy("part").orderBy("pair_id")
+    edges = dealt.groupBy("part").agg(F.min_by("own", "pair_id").alias("own"))
+    over = Window.orderBy("part")  # at most one row per range
+    edges = edges.select("part", F.coalesce(F.lead("own").over(over), F.first("own").over(over)).alias("edge"))
+    return dealt.withColumn("inner", F.lead("own").over(inside)).join(edges, "part") \
+        .select("pair_id", F.coalesce("inner", "edge").alias("other"))
+
+
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """(pair_id, c, r) from plain conversations (conv_id, turn, role, text), one row for each of them.
+
+    Chosen is the whole conversation.  Rejected is the conversation up to its last
+    assistant turn, with that turn's text replaced by the last assistant turn's of the
+    conversation that follows by conv_id among those that have one; the last is
+    followed by the first.  A conversation without an assistant turn is on both sides
+    as it is: all prompt, nothing to train.  NULL turn numbers come first; rows
+    without a conv_id are left out.
     """
     turns = conversations.select(*[col(c) for c in ("conv_id", "turn", "role", "text")]).where("conv_id is not null")
-    last = turns.where((F.col("role") == ASSISTANT) & F.col("turn").isNotNull()).groupBy("conv_id") \
-        .agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    reply = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    ends = last.join(reply, "conv_id").select("conv_id", F.col("last.turn").alias("end"), F.col("last.text").alias("own"),
-                                              "other")
-    before = turns.join(ends.select("conv_id", "end"), "conv_id").where(F.col("turn") < F.col("end")) \
-        .select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-
-    def with_last(text: str) -> DataFrame:
-        return before.unionByName(ends.select(F.col("conv_id").alias("pair_id"), F.col("end").alias("turn"),
-                                              F.lit(ASSISTANT).alias("role"), F.col(text).alias("text")))
-    return with_last("own"), with_last("other")
+    whole = materialise(turns.groupBy(F.col("conv_id").alias("pair_id")).agg(_turns().alias("c")), "preference-turns")
+    # the place of the last assistant turn, 0 without one
+    last = F.aggregate(F.sequence(F.lit(1), F.size("c")), F.lit(0), lambda at, k: F.when(
+        F.get("c", k - 1)["role"] == ASSISTANT, k).otherwise(at))
+    whole = whole.withColumn("last", last)
+    replies = whole.where("last > 0").select("pair_id", F.get("c", F.col("last") - 1)["text"].alias("own"))
+    swapped = F.transform(F.slice("c", 1, "last"), lambda t, k: F.when(
+        k == F.col("last") - 1, t.withField("text", F.col("other"))).otherwise(t))
+    return whole.join(_successors(replies), "pair_id", "left") \
+        .select("pair_id", "c", F.when(F.col("last") > 0, swapped).otherwise(F.col("c")).alias("r"))
 
 
 def mask_text(mask: str) -> Column:
@@ -91,30 +112,30 @@ def mask_text(mask: str) -> Column:
         m["characters"].cast("string"), F.when(m["trained"], "+").otherwise("-"))), " ")
 
 
-#: DuckDB SQL for ``op3``: the prefix by numbering the turns, texts by ordered aggregates.
+#: DuckDB SQL for ``op3``: turns numbered, the next reply by lead(), texts by ordered aggregates.
 ORACLE = """
-WITH replies AS (
-  SELECT conv_id, max(turn) AS stop FROM conversations
-  WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id),
-ends AS (
-  SELECT r.conv_id, r.stop, max(coalesce(c.text, '')) AS own
-  FROM replies r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.stop AND c.role = 'assistant'
-  GROUP BY ALL),
-pairs AS (
-  SELECT a.conv_id, a.stop, a.own, b.own AS other FROM ends a JOIN ends b ON b.conv_id = a.conv_id + 1),
-numbered AS (
-  SELECT p.conv_id, row_number() OVER (PARTITION BY p.conv_id
-           ORDER BY c.turn, coalesce(c.role, ''), coalesce(c.text, '')) AS k,
-         coalesce(c.role, '') AS role, coalesce(c.text, '') AS body
-  FROM pairs p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn < p.stop),
-rendered AS (
-  SELECT conv_id, count(*) AS n, string_agg('<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10), '' ORDER BY k) AS txt
-  FROM numbered GROUP BY conv_id)
-SELECT p.conv_id, CAST(coalesce(r.n, 0) + CASE WHEN p.own = p.other THEN 1 ELSE 0 END AS INTEGER) AS prompt_turns,
-  coalesce(r.txt, '') || CASE WHEN p.own = p.other THEN '<|assistant|>' || chr(10) || p.own || '<|end|>' || chr(10) ELSE '' END AS prompt,
-  CASE WHEN p.own = p.other THEN '' ELSE '<|assistant|>' || chr(10) || p.own || '<|end|>' || chr(10) END AS chosen,
-  CASE WHEN p.own = p.other THEN '' ELSE '14- ' || (length(p.own) + 8) || '+' END AS chosen_mask,
-  CASE WHEN p.own = p.other THEN '' ELSE '<|assistant|>' || chr(10) || p.other || '<|end|>' || chr(10) END AS rejected,
-  CASE WHEN p.own = p.other THEN '' ELSE '14- ' || (length(p.other) + 8) || '+' END AS rejected_mask
-FROM pairs p LEFT JOIN rendered r USING (conv_id)
+WITH numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT conv_id, count(*) AS n, max(k) FILTER (role = 'assistant') AS stop FROM numbered GROUP BY conv_id),
+replies AS (SELECT conv_id, stop, body AS own FROM ends JOIN numbered USING (conv_id) WHERE k = stop),
+swaps AS (
+  SELECT conv_id, own, coalesce(lead(own) OVER w, first_value(own) OVER w) AS other FROM replies WINDOW w AS (ORDER BY conv_id)),
+cuts AS (
+  SELECT conv_id, CASE WHEN stop IS NULL THEN n ELSE stop - (own <> other)::INT END AS shared, own <> other AS swapped, other
+  FROM ends LEFT JOIN swaps USING (conv_id)),
+written AS (
+  SELECT conv_id, k, k <= shared AS common, concat('<|', role, '|>', chr(10), body, '<|end|>', chr(10)) AS txt,
+    concat(length(role) + 5, '- ', length(body) + 8, CASE role WHEN 'assistant' THEN '+' ELSE '-' END) AS mask
+  FROM numbered JOIN cuts USING (conv_id)),
+sides AS (
+  SELECT conv_id, string_agg(txt, '' ORDER BY k) FILTER (common) AS prompt, string_agg(txt, '' ORDER BY k) FILTER (NOT common) AS chosen,
+    string_agg(mask, ' ' ORDER BY k) FILTER (NOT common) AS chosen_mask
+  FROM written GROUP BY conv_id)
+SELECT conv_id, shared::INTEGER AS prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
+  coalesce(chosen_mask, '') AS chosen_mask,
+  CASE WHEN swapped THEN concat('<|assistant|>', chr(10), other, '<|end|>', chr(10)) ELSE '' END AS rejected,
+  CASE WHEN swapped THEN concat('14- ', length(other) + 8, '+') ELSE '' END AS rejected_mask
+FROM cuts JOIN sides USING (conv_id)
 """

@@ -27,7 +27,7 @@ def op2_maxent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of every conversation against its reply-swapped twin."""
     turns = read_table(spark, sf_dir, "conversations")
-    return preference.format_pairs(*preference.swapped_replies(turns)).select(
+    return preference.format_sides(preference.swapped_replies(turns)).select(
         F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt",
         "chosen", preference.mask_text("chosen_mask").alias("chosen_mask"),
         "rejected", preference.mask_text("rejected_mask").alias("rejected_mask"))

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from ratewise.llm import components, decontam, line_dedup, minhash, queries, winnowing, words
 from tests.llm.conftest import LONG, ODD
 
@@ -224,7 +226,7 @@ def brute_lines(rows, max_edits, min_chars):
             continue
         lines = text.split("\n")
         new = [x not in late and first.get(x) == (doc_id is None, doc_id or 0, pos) for pos, x in enumerate(lines)]
-        kept = [x for x, n in zip(lines, new) if n or len(x) < min_chars or not x.strip(" ")]
+        kept = [x for x, n in zip(lines, new) if n or not x.strip(" ")]
         out[doc_id, "\n".join(kept), len(lines), len(kept), sum(new) if text.replace("\n", "").strip(" ") else None] += 1
     return out
 
@@ -269,11 +271,31 @@ def test_line_dedup_against_brute_force(spark):
         assert found_lines(line_dedup.dedup_lines(df, edits, 10)) == brute_lines(rows, edits, 10)
 
 
+def test_banded_distance(spark):
+    """The bit-parallel distance against the plain table, for bands of one, two and three edits."""
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(400):
+        a = b = "".join(rng.choices("abé漢\U0001f600", k=rng.randint(4, 40)))
+        for _ in range(rng.randint(0, 5)):
+            p = rng.randrange(len(b))
+            b = rng.choice([b[:p] + rng.choice("abx") + b[p + 1:], b[:p] + b[p + 1:] if len(b) > 4 else b, b[:p] + "z" + b[p:]])
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for most in (1, 2, 3):
+        rows = df.select("a", "b", line_dedup.banded_distance(F.col("a"), F.col("b"), most).alias("n")).collect()
+        for r in rows:
+            if abs(len(r.a) - len(r.b)) <= most:
+                want = distance(r.a, r.b)
+                assert (r.n == want) if want <= most else (r.n > most), (r, want)
+
+
 def test_line_dedup_query(spark, sf_dir, texts):
     got = {r.doc_id: r.text for r in queries.op8_line_dedup(spark, sf_dir).collect()}
-    lines = Counter(x for t in got.values() for x in t.split("\n") if len(x) >= line_dedup.MIN_CHARS)
+    lines = Counter(x for t in got.values() for x in t.split("\n") if x.strip(" "))
     assert set(got) == set(texts) and max(lines.values()) == 1
-    before = {x for t in texts.values() for x in t.split("\n") if len(x) >= line_dedup.MIN_CHARS}
+    before = {x for t in texts.values() for x in t.split("\n") if x.strip(" ")}
+    assert all(len(x) >= line_dedup.MIN_CHARS for x in before - set(lines))
     for gone in before - set(lines):
         assert any(distance(gone, x) <= line_dedup.MAX_EDITS for x in before
                    if x != gone and abs(len(x) - len(gone)) <= line_dedup.MAX_EDITS)

@@ -232,20 +232,64 @@ def test_preference_query_equals_sql(spark, folder):
     assert got == sorted(tuple(r) for r in con.execute(preference.ORACLE).fetchall()) and got
 
 
+def brute_swaps(rows):
+    """conv_id -> (chosen turns, rejected turns) of rows (conv_id, turn, role, text)."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    convs = {k: [t[2:] for t in sorted(v)] for k, v in sorted(convs.items())}
+    last = {k: max(i for i, t in enumerate(v) if t[0] == "assistant") for k, v in convs.items() if any(t[0] == "assistant" for t in v)}
+    order = list(last)
+    out = {}
+    for k, v in convs.items():
+        if k not in last:
+            out[k] = v, v
+            continue
+        after = order[(order.index(k) + 1) % len(order)]
+        out[k] = v, [*v[:last[k]], ("assistant", convs[after][last[after]][1])]
+    return out
+
+
+def check_swaps(df, rows):
+    got = {r.pair_id: r for r in preference.format_sides(preference.swapped_replies(df)).collect()}
+    want = brute_swaps(rows)
+    assert set(got) == set(want)
+    for k, (c, j) in want.items():
+        n = 0
+        while n < min(len(c), len(j)) and c[n] == j[n]:
+            n += 1
+        r = got[k]
+        assert (r.prompt_turns, r.chosen_turns, r.rejected_turns) == (n, len(c) - n, len(j) - n)
+        assert (r.prompt, r.chosen, r.rejected) == (render(c[:n]), render(c[n:]), render(j[n:]))
+        assert [tuple(x) for x in r.chosen_mask] == mask(c[n:]) and [tuple(x) for x in r.rejected_mask] == mask(j[n:])
+    return got
+
+
 def test_preference_odd_rows(spark):
     rows = [(1, 0, "user", "q", None), (1, 1, "assistant", None, None), (1, 2, "user", "more", None),
             (2, 0, "user", LONG, None), (2, 0, "user", LONG, None), (2, 1, "assistant", "b", None),
             (2, 1, "assistant", "a", None), (3, 0, "assistant", "b", None), (4, None, "assistant", "b", None),
-            (5, 0, None, None, None), (None, 0, "assistant", "x", None), (6, 0, "assistant", "", None)]
+            (5, 0, None, None, None), (None, 0, "assistant", "x", None), (6, 0, "assistant", "", None), (6, 0, "user", "z", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, last string")
-    got = {r.pair_id: r for r in preference.format_pairs(*preference.swapped_replies(df)).collect()}
-    assert set(got) == {1, 2}
-    assert got[1].prompt == render([("user", "q")]) and got[1].chosen == render([("assistant", "")])
-    assert got[1].rejected == render([("assistant", "b")])
-    # equal replies: all turns are the prompt
-    assert got[2].chosen == got[2].rejected == "" and got[2].prompt_turns == 3
-    none = df.limit(0)
-    assert preference.format_pairs(*preference.swapped_replies(none)).collect() == []
+    got = check_swaps(df, [r[:4] for r in rows])
+    # trailing turns stay on the chosen side; equal replies are prompt; no reply: all prompt
+    assert got[1].prompt == render([("user", "q")]) and got[1].chosen == render([("assistant", ""), ("user", "more")])
+    assert got[2].chosen == got[2].rejected == "" and got[2].prompt_turns == 4
+    assert got[5].prompt_turns == 1 and got[5].chosen == got[5].rejected == ""
+    assert preference.format_sides(preference.swapped_replies(df.limit(0))).collect() == []
+
+
+def test_preference_gives_every_conversation_a_row(spark):
+    """Sparse ids over several ranges, conversations without a reply between them, the last followed by the first."""
+    rng = random.Random(3)
+    rows = [(conv * 10 ** 6 + 7, turn, rng.choice(["user", "assistant", "assistant", "system"]), f"{conv}.{turn}")
+            for conv in range(400) for turn in range(rng.randint(1, 4))]
+    rows += [(10 ** 17, 0, "user", "no reply"), (10 ** 17 + 5, 0, "assistant", "the last")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    check_swaps(df, rows)
+    one = [(10, 0, "user", "a"), (10, 1, "assistant", "b")]
+    check_swaps(spark.createDataFrame(one, df.schema), one)
 
 
 def test_preference_is_native(spark):
