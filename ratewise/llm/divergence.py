@@ -13,7 +13,8 @@ N occurrences of the V kept terms in the column.  Exact for N + 5 V under
 
 One pass over the texts counts terms per task and sends the counts, no texts.
 A slice holds at most about ``SLICE`` terms and a task two blocks of ``BLOCK``
-sources of it, whatever the corpus; a pair's slices are added up afterwards.
+sources of it, whatever the corpus; a pair's slices are added up afterwards.  Joins
+on a language or a source spread its words by term first (``_spread_join``).
 
 Defined cases: NULL text, lang and source are ''; a document without terms makes
 its (lang, source) group known all the same; repeated rows and ids are documents
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.llm.common import col, materialise, schema, ship
+from ratewise.llm.common import col, materialise, partitions, schema, ship
 
 MIN_DOCS = 30
 TOP_TERMS = 50
@@ -180,20 +181,28 @@ def _groups(counts: DataFrame) -> DataFrame:
         .join(of_lang, "lang", "left").fillna(0, ["lang_total", "size_v"])
 
 
+def _spread_join(words: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``words`` with the columns of ``small``, whose keys may each stand for a large part of the words:
+    the words of a key are spread over the partitions by term, and ``small`` is repeated for each."""
+    n = partitions(words.sparkSession)
+    return words.withColumn("_spread", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")) \
+        .join(small.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), [*keys, "_spread"]).drop("_spread")
+
+
 def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value) for the places a < b of a language with kept terms."""
     like = F.length(F.bin("lang_n")).alias("like")  # terms of like total count share slices
     words = counts.where("term <> ''").withColumn("like", like)
     sizes = words.where("first").groupBy("lang", "like").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SLICE)).cast("long").alias("slices"))
-    dealt = words.join(sizes, ["lang", "like"]).withColumn("slice", F.pmod(F.xxhash64("term"), "slices"))
+    dealt = _spread_join(words, sizes, ["lang", "like"]).withColumn("slice", F.pmod(F.xxhash64("term"), "slices"))
     slices = dealt.where("first").groupBy("lang", "like", "slice").agg(F.count(F.lit(1)).alias("slice_terms"))
     last_block = F.floor((F.col("n_sources") - 1) / BLOCK)
     own = groups.where("size_v > 0").withColumn("block", F.floor(F.col("place") / BLOCK)) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last_block))) \
         .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     key = ["lang", "like", "slice", "lo", "hi"]
-    rows = dealt.where("n > 0").join(own.select("lang", "source", "place", "lo", "hi"), ["lang", "source"]).select(
+    rows = _spread_join(dealt.where("n > 0"), own.select("lang", "source", "place", "lo", "hi"), ["lang", "source"]).select(
         *key, "term", "place", "n", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("size_v"),
         F.lit(0).cast("long").alias("slice_terms"))
     heads = own.join(slices, "lang").select(
@@ -222,7 +231,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS,
     stats = groups.select("lang", "source", "total", "lang_total", "size_v")
     p = share(F.col("n"), F.col("total"), F.col("size_v"))
     q = share(F.col("lang_n"), F.col("lang_total"), F.col("size_v"))
-    term = counts.where("term <> '' and n > 0").join(stats, ["lang", "source"]) \
+    term = _spread_join(counts.where("term <> '' and n > 0"), stats, ["lang", "source"]) \
         .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (p - q).alias("value")) \
         .where("value > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return pair.unionByName(term)
