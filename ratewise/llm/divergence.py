@@ -12,7 +12,7 @@ N occurrences of the V kept terms in the column.  Exact for N + 5 V under
 9 * 10**15.
 
 One pass over the texts counts terms per task and sends the counts, no texts.
-A slice holds at most about ``SLICE`` terms and a task two blocks of ``BLOCK``
+A slice holds about ``SLICE`` entries and a task those of two blocks of ``BLOCK``
 sources of it, whatever the corpus; a pair's slices are added up afterwards.  Joins
 on a language or a source spread its words by term first (``_spread_join``).
 
@@ -39,7 +39,8 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 UNIT = 1_000_000_000
 PRIOR = 5
-SLICE = 4096
+#: Entries (terms and sources) of a slice, about: frequent terms are in many sources and make slices of fewer terms.
+SLICE = 8192
 BLOCK = 32
 #: Entries that a task counts up before it sends them on.
 HELD = 400_000
@@ -193,7 +194,7 @@ def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value) for the places a < b of a language with kept terms."""
     like = F.length(F.bin("lang_n")).alias("like")  # terms of like total count share slices
     words = counts.where("term <> ''").withColumn("like", like)
-    sizes = words.where("first").groupBy("lang", "like").agg(
+    sizes = words.where("n > 0").groupBy("lang", "like").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SLICE)).cast("long").alias("slices"))
     dealt = _spread_join(words, sizes, ["lang", "like"]).withColumn("slice", F.pmod(F.xxhash64("term"), "slices"))
     slices = dealt.where("first").groupBy("lang", "like", "slice").agg(F.count(F.lit(1)).alias("slice_terms"))
