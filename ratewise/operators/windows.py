@@ -235,12 +235,14 @@ SAMPLED = 16
 def with_range(df: DataFrame, key: Column, ranges: int, name: str = "_range") -> DataFrame:
     """``df`` with the range of each row, 0 to ``ranges``, a function of its ``key`` alone.
 
-    Splitters are quantiles of a sample: the ``SAMPLED * ranges`` rows whose keys
-    have the smallest hashes, a uniform sample of any table that is the same
-    whenever it is taken.  They are one bounded row, evaluated once per plan as a
-    scalar subquery.  Rows of equal keys share a range.
+    Splitters are quantiles of a sample: of each of ``SAMPLED * ranges`` classes of
+    keys by one hash, the key with the smallest other hash; a uniform sample of any
+    table that is the same whenever it is taken, and combined in the tasks before
+    it is shuffled by class.  The splitters are one bounded row, evaluated once per
+    plan as a scalar subquery.  Rows of equal keys share a range.
     """
-    sample = df.select(key.alias("k"), F.xxhash64(key).alias("h")).orderBy("h", "k").limit(SAMPLED * ranges)
+    sample = df.select(key.alias("k")).groupBy(F.pmod(F.xxhash64("k"), F.lit(SAMPLED * ranges)).alias("class")) \
+        .agg(F.min_by("k", F.xxhash64(F.lit(1), "k")).alias("k"))
     width = max(1, math.isqrt(ranges))
     # a splitter for every SAMPLED rows of the sample: a small table has fewer ranges
     splits = sample.agg(F.sort_array(F.collect_list("k")).alias("s")) \
