@@ -1,48 +1,53 @@
-"""A hashed maximum-entropy language model with a class-factored softmax, and pair counts of all words.
+"""A hashed maximum-entropy language model with a class-factored softmax over all words.
 
-P(word | context) = (c(before, word) + g(before) * Q(word | context)) / (c(before) + g(before)),
-
-with the counts c of the training texts and Q the maximum-entropy model, which
-has a fixed size and is the prior that the counts of the pairs, which grow with
-the corpus, are mixed with.  g, the prior's weight, is ``PRIOR`` * c ** ``POWER`` for the
-``HEAD`` most frequent words and ``RARE_PRIOR`` for all others.  The count of the
-place before a text's start is the number of texts, as the end's is.
-
-Q(word | context) = P(class | context) * P(word | class, context).
+P(word | context) = P(class | context) * P(node | class, context) * P(word | node).
 
 * Classes: the most frequent words, in order, are dealt to classes of near-equal
   weight; all other words, unseen ones too, belong to tail classes by a hash of
   their last two bytes; the end of a text is a class of its own.
 * P(class | context) is a softmax over hashed features of the context: the word
   before, the two words before together, and the words two and three places
-  before (skips).  A context word outside the ``CONTEXT`` most frequent ones is
-  replaced by its tail class.
-* P(word | class, context) is a softmax over the members of a class of frequent
-  words, with the word before and the skip as features.  In a tail class it is
-  the add-one estimate (c + 1) / (N_class + V_class + 1).
+  before (skips).  A context word outside the most frequent ones is replaced by
+  its tail class.
+* P(node | class, context) is a softmax with the word before and the skip as
+  hashed features.  The nodes of a class of frequent words are its words; those
+  of a tail class are its children, to which its words are dealt by their hash.
+* P(word | node) is 1 for a frequent word and the add-one estimate
+  (c + 1) / (N_child + V_child + 1) for a word of a tail class's child.
+
+Without training all weights are 0 and the model is a smoothed unigram model, so
+what it gains over the base score comes from the trained weights.
+
+The model grows with the vocabulary: ``sizes`` gives the numbers of classes,
+words, children, context words and hashed rows for V distinct words.  Up to
+``VOCABULARY`` words they are the constants below; beyond, the number of weights
+grows by a power of V below one half (13 MB at 5 * 10^5 words, 0.7 GB at 10^10);
+a task holds them, in training three times.
 
 Training: counts of all training words are summed on the cluster.  Then every
-scan task goes once through its training texts in small batches, updates its
-copy of the weights by the batch's gradient (AdaGrad), and sends its changes;
+task goes once through its training texts in small batches, updates its copy of
+the weights by the batch's gradient (AdaGrad), and sends the rows that it changed;
 the changes are averaged on the cluster, each feature's by how often a task met
-it.  The texts are dealt to ``ROUNDS`` rounds by a hash, each round starting
-from the average of the one before, so every training text is used once.
+it.  Scan partitions of less than ``TASK_TOKENS`` tokens share a task, so that what
+the tasks send stays in proportion to the texts.  The texts are dealt to
+``ROUNDS`` rounds by a hash, each round starting from the average of the one
+before, so every training text is used once.
 
-Scoring goes through the texts in batches of tokens; word and pair counts beyond
-the ``HEAD`` most frequent ones (whose tables are sent to the tasks, a fixed number
-of rows) come from joins of the rare words and pairs with the whole count tables.
-Words and pairs are named by 64-bit hashes.  A training text's own pairs count,
-as its own words do.
+Scoring goes through the texts in batches of tokens; word counts beyond the
+``HEAD`` most frequent ones (whose table is sent to the tasks, a fixed number of
+rows) come from a join of the rare words with the whole count table.  Words are
+named by 64-bit hashes.
 
 Defined cases: NULL and empty texts have the end token alone; repeated rows
 count and are scored row by row; a NULL doc_id counts as the text '' for the
-split; without training texts all counts are 0; an empty table gives no rows.
+split; without training texts all counts are 0; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,26 +58,56 @@ from ratewise.llm.common import identified, materialise, partitions, restored, s
 from ratewise.llm.words import lowered, mix, word_bounds, word_hashes
 
 HEAD = 65_536
-CONTEXT = 4_096
+VOCABULARY = 1 << 19
+CONTEXT = 16_384
 WORDS = 1_024
 HEAD_CLASSES = 15
 TAIL_CLASSES = 16
-CLASSES = HEAD_CLASSES + TAIL_CLASSES + 1
-ROWS = 1 << 14
-WORD_ROWS = 256
-MINIBATCH = 4_096
+CHILDREN = 64
+ROWS = 1 << 15
+WORD_ROWS = 1 << 10
+MINIBATCH = 1 << 15
 ROUNDS = 2
-RATE = 0.25
+RATE = 0.6
 CHUNK = 1 << 17
-PRIOR = 4.0
-POWER = 0.75
-RARE_PRIOR = 4.0
+TASK_TOKENS = 1 << 21
 
-_END_CLASS = CLASSES - 1
 #: Ids of the end of a text and of the places before its start (no word hash has 0 or 16).
 END, START = 0, 16
 _LN10 = np.log(10)
 _TAIL = np.uint64(TAIL_CLASSES - 1)
+_TAIL_BITS = np.uint64(TAIL_CLASSES.bit_length() - 1)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Sizes of a model; rows and children are powers of two."""
+
+    context: int
+    words: int
+    head_classes: int
+    children: int
+    rows: int
+    word_rows: int
+
+    @property
+    def classes(self) -> int:
+        return self.head_classes + TAIL_CLASSES + 1
+
+
+def sizes(distinct: int) -> Sizes:
+    """Sizes for a vocabulary of ``distinct`` words, without an upper limit but that the context words and the
+    softmax's own words are among the ``HEAD`` ones."""
+    times = max(1.0, distinct / VOCABULARY)
+
+    def grown(base: int, power: float) -> int:
+        return int(base * times ** power)
+
+    def doubled(base: int, power: float) -> int:
+        return base << round(np.log2(times) * power)
+
+    return Sizes(min(HEAD, grown(CONTEXT, 1 / 2)), min(HEAD, grown(WORDS, 1 / 3)), grown(HEAD_CLASSES, 1 / 6),
+                 doubled(CHILDREN, 1 / 6), doubled(ROWS, 1 / 4), doubled(WORD_ROWS, 1 / 6))
 
 
 def token_ids(text: str | None) -> np.ndarray:
@@ -90,15 +125,6 @@ def token_ids(text: str | None) -> np.ndarray:
     return out
 
 
-def pair_ids(texts: list[np.ndarray]) -> np.ndarray:
-    """64-bit names of every token with the one before it in its text."""
-    tokens = np.concatenate(texts)
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum([0] + [len(t) for t in texts[:-1]])] = START
-    return mix(mix(before) + tokens + np.uint64(0x54))
-
-
 class Lookup:
     """Ranks of known ids: open addressing in a sparse table, all probes of a batch together."""
 
@@ -138,18 +164,20 @@ class Lookup:
 class Model:
     """Counts of the head, class layout and weights."""
 
-    head: np.ndarray            # ids by falling count, the end among the first WORDS
+    sizes: Sizes
+    head: np.ndarray            # ids by falling count, the end among the model's words
     head_counts: np.ndarray
     total: int                  # N
     distinct: int               # V
     class_log: np.ndarray       # log of the classes' counts
-    tail_log10: np.ndarray      # log10(N_class + V_class + 1) of the tail classes
+    tail_log10: np.ndarray      # log10(N_child + V_child + 1) of the tail classes' children
     member_class: np.ndarray    # class of each of the model's words
     member_place: np.ndarray    # its column among the words ordered by class
-    edges: np.ndarray           # columns of each head class
-    word_log: np.ndarray        # log of the words' counts, by column
-    by_class: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES), np.float32))
-    by_word: np.ndarray = field(default_factory=lambda: np.zeros((WORD_ROWS, 0), np.float32))
+    lows: np.ndarray            # first node column of each class
+    highs: np.ndarray           # the one after its last
+    node_log: np.ndarray        # log of the nodes' counts, by column
+    by_class: np.ndarray
+    by_node: np.ndarray
 
     @property
     def floor(self) -> float:
@@ -164,9 +192,10 @@ class Batch:
     rank: np.ndarray
     doc: np.ndarray
     klass: np.ndarray
-    column: np.ndarray
+    column: np.ndarray      # node column
+    child: np.ndarray       # child of all tail classes' children, -1 for the model's words
     rows: np.ndarray        # (features, tokens) rows of the class weights
-    word_rows: np.ndarray   # (2, tokens) rows of the word weights
+    node_rows: np.ndarray   # (2, tokens) rows of the node weights
 
 
 class Reader:
@@ -183,11 +212,12 @@ class Reader:
         rank = self.lookup(ids)
         words = len(m.member_class)
         inside = (rank >= 0) & (rank < words)
-        klass = (HEAD_CLASSES + (ids & _TAIL)).astype(np.int64)
-        klass[inside] = m.member_class[rank[inside]]
-        column = np.full(len(ids), -1)
-        column[inside] = m.member_place[rank[inside]]
-        seen = np.where((rank >= 0) & (rank < CONTEXT), ids, np.uint64(2) + (ids & _TAIL))
+        tail = (ids & _TAIL).astype(np.int64)
+        child = tail * m.sizes.children + (ids >> _TAIL_BITS & np.uint64(m.sizes.children - 1)).astype(np.int64)
+        child[inside] = -1
+        klass, column = m.sizes.head_classes + tail, words + child
+        klass[inside], column[inside] = m.member_class[rank[inside]], m.member_place[rank[inside]]
+        seen = np.where((rank >= 0) & (rank < m.sizes.context), ids, np.uint64(2) + (ids & _TAIL))
         place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
         def back(k: int) -> np.ndarray:
@@ -199,9 +229,10 @@ class Reader:
         one, two, three = back(1), back(2), back(3)
         hashed = [mix(one + np.uint64(0x51)), mix(mix(one) + two + np.uint64(0x52)),
                   mix(two + np.uint64(0x5300)), mix(three + np.uint64(0x540000))]
-        rows = np.stack([(h & np.uint64(ROWS - 1)).astype(np.int64) for h in hashed])
-        word_rows = np.stack([(hashed[k] >> np.uint64(40) & np.uint64(WORD_ROWS - 1)).astype(np.int64) for k in (0, 2)])
-        return Batch(ids, rank, doc, klass, column, rows, word_rows)
+        rows = np.stack([(h & np.uint64(m.sizes.rows - 1)).astype(np.int64) for h in hashed])
+        node_rows = np.stack([(hashed[k] >> np.uint64(40) & np.uint64(m.sizes.word_rows - 1)).astype(np.int64)
+                              for k in (0, 2)])
+        return Batch(ids, rank, doc, klass, column, child, rows, node_rows)
 
 
 def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
@@ -213,12 +244,12 @@ def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _word_logits(m: Model, c: int, rows: np.ndarray) -> np.ndarray:
-    """Logits of the members of a class."""
-    lo, hi = m.edges[c], m.edges[c + 1]
-    logits = m.by_word[rows[0], lo:hi]
-    logits += m.by_word[rows[1], lo:hi]
-    logits += (m.word_log[lo:hi] - m.word_log[lo:hi].max()).astype(np.float32)
+def _node_logits(m: Model, c: int, rows: np.ndarray) -> np.ndarray:
+    """Logits of the nodes of a class."""
+    lo, hi = m.lows[c], m.highs[c]
+    logits = m.by_node[rows[0], lo:hi]
+    logits += m.by_node[rows[1], lo:hi]
+    logits += (m.node_log[lo:hi] - m.node_log[lo:hi].max()).astype(np.float32)
     return logits
 
 
@@ -241,18 +272,24 @@ def _error(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return logits
 
 
+def _by_class(m: Model, klass: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, its tokens) of the classes of several nodes."""
+    order = np.argsort(klass.astype(np.uint16), kind="stable")
+    edges = np.searchsorted(klass[order], np.arange(m.sizes.classes + 1))
+    for c in np.flatnonzero((np.diff(edges) > 0) & (m.highs - m.lows > 1)):
+        yield c, order[edges[c]:edges[c + 1]]
+
+
 def log_probabilities(m: Model, b: Batch) -> np.ndarray:
-    """log10 P(class | context) of every token, times P(word | class, context) of the model's words."""
+    """log10 P(class | context) * P(node | class, context) of every token."""
     out = np.empty(len(b.ids))
     for lo in range(0, len(b.ids), 1 << 13):
         s = slice(lo, lo + (1 << 13))
         out[s] = _log10_of(_class_logits(m, b.rows[:, s]), b.klass[s])
-    for c in range(HEAD_CLASSES):
-        if m.edges[c + 1] - m.edges[c] > 1:
-            at = np.flatnonzero(b.klass == c)
-            for lo in range(0, len(at), 1 << 12):
-                part = at[lo:lo + (1 << 12)]
-                out[part] += _log10_of(_word_logits(m, c, b.word_rows[:, part]), b.column[part] - m.edges[c])
+    for c, at in _by_class(m, b.klass):
+        for lo in range(0, len(at), 1 << 12):
+            part = at[lo:lo + (1 << 12)]
+            out[part] += _log10_of(_node_logits(m, c, b.node_rows[:, part]), b.column[part] - m.lows[c])
     return out
 
 
@@ -261,18 +298,19 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.start = model.by_class.copy(), model.by_word.copy()
-        self.squares = np.ones_like(model.by_class), np.ones_like(model.by_word)
-        self.used = np.zeros(ROWS), np.zeros(WORD_ROWS)
+        self.start = model.by_class.copy(), model.by_node.copy()
+        self.squares = np.ones_like(model.by_class), np.ones_like(model.by_node)
+        self.used = np.zeros(len(model.by_class)), np.zeros(len(model.by_node))
 
     def _update(self, k: int, rows: np.ndarray, gradient: np.ndarray, lo: int, hi: int) -> None:
         """Add the gradients of equal rows up and step against them; ``rows`` repeats the gradient's length."""
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # tables have at most 2**16 rows: a radix sort
+        small = len(self.used[k]) <= 1 << 16  # then a radix sort
+        order = np.argsort(rows.astype(np.uint16) if small else rows, kind="stable")
         ordered = rows[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         total = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
         row = ordered[first]
-        weights, squares = (self.m.by_class, self.m.by_word)[k], self.squares[k]
+        weights, squares = (self.m.by_class, self.m.by_node)[k], self.squares[k]
         squares[row, lo:hi] += total * total
         weights[row, lo:hi] -= RATE * total / np.sqrt(squares[row, lo:hi])
         self.used[k][row] += np.concatenate((first[1:], [len(rows)])) - first
@@ -282,20 +320,15 @@ class Trainer:
         for lo in range(0, len(b.ids), MINIBATCH):
             s = slice(lo, lo + MINIBATCH)
             rows, klass = b.rows[:, s], b.klass[s]
-            self._update(0, rows.ravel(), _error(_class_logits(m, rows), klass), 0, CLASSES)
-            order = np.argsort(klass.astype(np.uint8), kind="stable")
-            edges = np.searchsorted(klass[order], np.arange(HEAD_CLASSES + 1))
-            for c in range(HEAD_CLASSES):
-                at = order[edges[c]:edges[c + 1]]
-                if not len(at) or m.edges[c + 1] - m.edges[c] < 2:
-                    continue
-                word_rows = b.word_rows[:, s][:, at]
-                error = _error(_word_logits(m, c, word_rows), b.column[s][at] - m.edges[c])
-                self._update(1, word_rows.ravel(), error, m.edges[c], m.edges[c + 1])
+            self._update(0, rows.ravel(), _error(_class_logits(m, rows), klass), 0, m.sizes.classes)
+            for c, at in _by_class(m, klass):
+                node_rows = b.node_rows[:, s][:, at]
+                error = _error(_node_logits(m, c, node_rows), b.column[s][at] - m.lows[c])
+                self._update(1, node_rows.ravel(), error, m.lows[c], m.highs[c])
 
     def changes(self, block: int = 1 << 14) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(table, first row, changes times use, use) of blocks of rows that were used."""
-        for k, now in enumerate((self.m.by_class, self.m.by_word)):
+        for k, now in enumerate((self.m.by_class, self.m.by_node)):
             step = max(1, block // max(1, now.shape[1]))
             for lo in range(0, len(now), step):
                 use = self.used[k][lo:lo + step]
@@ -330,65 +363,64 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                        .groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def count_pairs(docs: DataFrame, model: Model) -> DataFrame:
-    """(pair, token, n) of the texts of ``docs``; token is the pair's word where the head lacks it, and ``END`` elsewhere."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = Lookup(model.head)
-        for batch in batches:
-            for _, _, ids in _chunks(batch.text):
-                pair, first, n = np.unique(pair_ids(ids), return_index=True, return_counts=True)
-                token = np.concatenate(ids)[first]
-                token[find(token) >= 0] = END
-                yield pd.DataFrame({"pair": pair.view(np.int64), "token": token.view(np.int64), "n": n})
-
-    return materialise(docs.select("text").mapInPandas(run, "pair long, token long, n long")
-                       .groupBy("pair", "token").agg(F.sum("n").alias("n")), "lm-pairs")
-
-
-def initial_model(counts: DataFrame) -> Model:
-    """Class layout and priors from the count table; ``HEAD`` rows come to the driver."""
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toPandas()
-    ids, n = top.token.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
+def layout(total: int, distinct: int, ids: np.ndarray, n: np.ndarray, ends: int, size: Sizes,
+           tails: np.ndarray) -> Model:
+    """The untrained model: ``ids`` and their counts ``n`` are the head's, by falling count; ``tails`` holds tokens
+    and words of each child of the tail classes, the model's own words included."""
     # the end is one of the model's words
     at = np.flatnonzero(ids == END)
-    ends = counts.where(F.col("token") == END).first()
     ids, n = np.delete(ids, at), np.delete(n, at)
-    where = min(WORDS - 1, len(ids))
-    if len(at) and at[0] < WORDS:
+    where = min(size.words - 1, len(ids))
+    if len(at) and at[0] < size.words:
         where = int(at[0])
-    ids = np.insert(ids, where, np.uint64(END))
-    n = np.insert(n, where, ends.n if ends else 0)
-    words = min(WORDS, len(ids))
+    ids, n = np.insert(ids, where, np.uint64(END)), np.insert(n, where, ends)
+    words = min(size.words, len(ids))
     # head classes: consecutive words of near-equal weight (square root of the count)
     weight = np.cumsum(np.sqrt(np.maximum(n[:words], 1)))
-    klass = np.minimum((weight - weight[0] / 2) / weight[-1] * HEAD_CLASSES, HEAD_CLASSES - 1).astype(np.int64)
-    klass[ids[:words] == END] = _END_CLASS
+    klass = (weight - weight[0] / 2) / weight[-1] * size.head_classes
+    klass = np.minimum(klass, size.head_classes - 1).astype(np.int64)
+    klass[ids[:words] == END] = size.classes - 1
     order = np.argsort(klass, kind="stable")
     column = np.empty(words, np.int64)
     column[order] = np.arange(words)
-    edges = np.searchsorted(klass[order], np.arange(HEAD_CLASSES + 1))
     # tail classes: all words but the model's
-    tails = np.zeros((TAIL_CLASSES, 2))
-    tail = F.col("token").bitwiseAND(F.lit(TAIL_CLASSES - 1))
-    for r in counts.groupBy(tail.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        tails[r.k] = r.n, r.v
-    for i, c in zip(ids[:words], n[:words]):
-        if c:
-            tails[int(i & _TAIL)] -= c, 1
-    in_class = np.zeros(CLASSES)
+    own = ids[:words][n[:words] > 0]
+    child = (own & _TAIL) * np.uint64(size.children) + (own >> _TAIL_BITS & np.uint64(size.children - 1))
+    tails = tails.copy()
+    np.subtract.at(tails, child.astype(np.int64), np.stack([n[:words][n[:words] > 0], np.ones(len(own))], axis=1))
+    in_class = np.zeros(size.classes)
     np.add.at(in_class, klass, n[:words])
-    in_class[HEAD_CLASSES:HEAD_CLASSES + TAIL_CLASSES] = tails.sum(axis=1)
-    model = Model(ids, n, int(total or 0), int(distinct), np.log(in_class + 1), np.log10(tails.sum(axis=1) + 1), klass,
-                  column, edges, np.log(np.maximum(n[:words][order], 1)))
-    model.by_word = np.zeros((WORD_ROWS, words), np.float32)
-    return model
+    of_tails = tails.sum(axis=1)
+    tail = slice(size.head_classes, size.head_classes + TAIL_CLASSES)
+    in_class[tail] = of_tails.reshape(TAIL_CLASSES, -1).sum(axis=1)
+    lows = np.searchsorted(klass[order], np.arange(size.classes))
+    highs = np.searchsorted(klass[order], np.arange(size.classes), side="right")
+    lows[tail] = words + np.arange(TAIL_CLASSES) * size.children
+    highs[tail] = lows[tail] + size.children
+    nodes = np.log(np.concatenate([np.maximum(n[:words][order], 1), of_tails + 1]))
+    return Model(size, ids, n, total, distinct, np.log(in_class + 1), np.log10(of_tails + 1), klass, column, lows,
+                 highs, nodes, np.zeros((size.rows, size.classes), np.float32),
+                 np.zeros((size.word_rows, len(nodes)), np.float32))
+
+
+def initial_model(counts: DataFrame) -> Model:
+    """Class layout and priors from the count table; ``HEAD`` rows and one per child come to the driver."""
+    total, distinct, ends = counts.agg(
+        F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("token") == END, F.col("n")))).first()
+    size = sizes(distinct)
+    top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toPandas()
+    tails = np.zeros((TAIL_CLASSES * size.children, 2))
+    low = F.col("token").bitwiseAND(F.lit(TAIL_CLASSES * size.children - 1))
+    for r in counts.groupBy(low.alias("low")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        tails[r.low % TAIL_CLASSES * size.children + r.low // TAIL_CLASSES] = r.n, r.v
+    return layout(int(total or 0), int(distinct), top.token.to_numpy(np.int64).view(np.uint64),
+                  top.n.to_numpy(np.int64), int(ends or 0), size, tails)
 
 
 def train(docs: DataFrame, model: Model) -> Model:
     """The model after a pass over ``docs`` (row_id, text)."""
     spark = docs.sparkSession
+    tasks = -(-max(1, model.total) // (ROUNDS * TASK_TOKENS))
     for turn in range(ROUNDS):
 
         def run(batches: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
@@ -413,11 +445,11 @@ def train(docs: DataFrame, model: Model) -> Model:
                 yield pd.DataFrame([(*key, moved.tobytes(), used.tobytes())], columns=["k", "first", "moved", "used"])
 
         form = "k int, first int, moved binary, used binary"
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).coalesce(tasks)
         sums = part.select("text").mapInPandas(run, form).repartition(partitions(spark), "k", "first") \
             .sortWithinPartitions("k", "first").mapInPandas(added, form)
         for r in sums.collect():  # as large as the model
-            table = (model.by_class, model.by_word)[r.k]
+            table = (model.by_class, model.by_node)[r.k]
             used = np.frombuffer(r.used)
             moved = np.frombuffer(r.moved).reshape(len(used), -1) / np.maximum(used, 1)[:, None]
             table[r.first:r.first + len(used)] += moved.astype(np.float32)
@@ -425,46 +457,26 @@ def train(docs: DataFrame, model: Model) -> Model:
 
 
 _SCORED = ("doc_id long, no_id boolean, row_id long, held_out boolean, n_tokens long, n_known long, "
-           "base_score double, score double, rare array<long>, times array<int>, pairs array<long>, "
-           "priors array<float>")
+           "base_score double, score double, rare array<long>, times array<int>")
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Scores of ``docs`` (doc_id, no_id, row_id, held_out, text)."""
     columns = [f.name for f in schema(_SCORED)]
-    known = F.col("token") == F.lit(END)
-    top = pairs.where(known).orderBy(F.desc("n"), "pair").limit(HEAD).toPandas()
-    top_ids, top_log = top.pair.to_numpy(np.int64).view(np.uint64), np.log(top.n.to_numpy(np.float64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, reader, find = model, Reader(model), Lookup(top_ids)
+        m, reader = model, Reader(model)
         # by rank; the last entry is read for words outside the head (rank -1)
         head_log, head_known = np.append(np.log10(m.head_counts + 1), 0.0), np.append(m.head_counts > 0, False)
-        prior = PRIOR * np.maximum(m.head_counts, 1.0) ** POWER
-        prior_log = np.log10(np.append(prior, RARE_PRIOR))
-        share_log = np.append(np.log10(prior / (m.head_counts + prior)), 0.0)
-        end = int(np.flatnonzero(m.head == END)[0])
         for batch in batches:
             for lo, hi, ids in _chunks(batch.text):
                 b = reader.read(ids)
                 n = hi - lo
                 own = head_log[b.rank]
                 model_log = log_probabilities(m, b)
-                tail = b.column < 0
-                model_log[tail] += own[tail] - m.tail_log10[b.klass[tail] - HEAD_CLASSES]
+                tail = b.child >= 0
+                model_log[tail] += own[tail] - m.tail_log10[b.child[tail]]
                 total = lambda x: np.bincount(b.doc, x, minlength=n)
-                edges = np.searchsorted(b.doc, np.arange(n))
-                before = np.empty_like(b.rank)
-                before[1:] = b.rank[:-1]
-                before[edges] = end  # the start's count is the end's
-                prior_of = model_log + prior_log[before]
-                pair = pair_ids(ids)
-                at = find(pair)
-                often, seldom = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-                model_log += share_log[b.rank]
-                model_log[often] += np.logaddexp(0, top_log[at[often]] - prior_of[often] * _LN10) / _LN10
-                pair, prior_of = pair[seldom].view(np.int64), prior_of[seldom].astype(np.float32)
-                cuts = np.append(np.searchsorted(seldom, edges), len(seldom))
                 rare = np.flatnonzero(b.rank < 0)
                 rare = rare[np.argsort(b.ids[rare])]
                 doc = b.doc[rare]
@@ -478,34 +490,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, pairs: DataFrame) ->
                     n_tokens=np.bincount(b.doc, minlength=n), n_known=total(head_known[b.rank]).astype(np.int64),
                     base_score=total(own - m.floor), score=total(model_log),
                     rare=[token[first[x:y]] for x, y in zip(edges, edges[1:])],
-                    times=[times[x:y] for x, y in zip(edges, edges[1:])],
-                    pairs=[pair[x:y] for x, y in zip(cuts, cuts[1:])],
-                    priors=[prior_of[x:y] for x, y in zip(cuts, cuts[1:])])
+                    times=[times[x:y] for x, y in zip(edges, edges[1:])])
                 yield out[columns]
 
     scored = materialise(docs.mapInPandas(run, _SCORED), "lm-scores")
-    rare = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("r")) \
-        .select("row_id", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-    share = F.log10(F.lit(RARE_PRIOR) / (F.col("n") + RARE_PRIOR))
-    words = rare.join(counts, "token").select(
-        "row_id", "times", (F.col("times") * F.log10(F.col("n") + 1)).alias("log"), (F.col("times") * share).alias("gain"))
-    # a pair's count by what its word's own count, which the task lacked, adds to the prior
-    lifts = pairs.where(known).select("pair", F.col("n").cast("double").alias("lift")).unionByName(
-        pairs.where(~known).join(counts.select("token", F.col("n").alias("own")), "token")
-        .select("pair", (F.col("n") / (F.col("own") + 1)).alias("lift")))
-    seen = scored.select("row_id", F.explode(F.arrays_zip("pairs", "priors")).alias("p")) \
-        .select("row_id", F.col("p.pairs").alias("pair"), F.col("p.priors").alias("prior")) \
-        .join(lifts.hint("shuffle_hash"), "pair") \
-        .select("row_id", F.lit(0).alias("times"), F.lit(0.0).alias("log"),
-                F.log10(F.col("lift") * F.pow(F.lit(10.0), -F.col("prior")) + 1).alias("gain"))
-    more = words.unionByName(seen).groupBy("row_id").agg(
-        F.sum("times").alias("more_known"), F.sum("log").alias("more_log"), F.sum("gain").alias("gain"))
-    out = scored.drop("rare", "times", "pairs", "priors").join(more, "row_id", "left")
+    more = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("r")) \
+        .select("row_id", F.col("r.rare").alias("token"), F.col("r.times").alias("times")) \
+        .join(counts, "token").groupBy("row_id").agg(
+            F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
+    out = scored.drop("rare", "times").join(more, "row_id", "left")
     log = F.coalesce("more_log", F.lit(0.0))
     return restored(out).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"),
-        (F.col("score") + log + F.coalesce("gain", F.lit(0.0))).alias("score"))
+        (F.col("score") + log).alias("score"))
 
 
 def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -517,4 +515,4 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     training = rows.where(~F.col("held_out"))
     counts = count_tokens(training)
     model = train(training, initial_model(counts))
-    return score(rows, model, counts, count_pairs(training, model))
+    return score(rows, model, counts)

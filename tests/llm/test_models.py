@@ -114,72 +114,111 @@ def test_rare_words_come_from_the_join(odd, monkeypatch):
 
 
 def test_probabilities_of_all_words_sum_to_one(spark, documents):
-    """Over the classes, over each class's members, and over all known words and one unknown of each tail class."""
+    """Over the classes, over each class's nodes, and over all known words and one unknown of each tail child."""
     rows = documents.select("text")
     counts = maxent_lm.count_tokens(rows)
     model = maxent_lm.train(rows, maxent_lm.initial_model(counts))
-    assert model.by_class.any() and model.by_word.any()
+    assert model.by_class.any() and model.by_node.any()
     known = np.array([r.token for r in counts.select("token").collect()], np.int64).view(np.uint64)
     number = {np.uint64(r.token & 0xFFFFFFFFFFFFFFFF).item(): r.n for r in counts.collect()}
     reader = maxent_lm.Reader(model)
     context = maxent_lm.token_ids("the and attion to")[:-1]
-    unknown = np.arange(16, dtype=np.uint64) + np.uint64(1 << 40)
+    unknown = np.arange(len(model.tail_log10), dtype=np.uint64) + np.uint64(1 << 40)
     total = 0.0
     last = np.concatenate([known, unknown])
     for lo in range(0, len(last), 20_000):
         part = last[lo:lo + 20_000]
         b = reader.read([np.append(context, w) for w in part])
         log = maxent_lm.log_probabilities(model, b)[len(context)::len(context) + 1]
-        klass, column = (x[len(context)::len(context) + 1] for x in (b.klass, b.column))
+        child = b.child[len(context)::len(context) + 1]
         own = np.array([number.get(w.item(), 0) for w in part])
-        tail = column < 0
-        log[tail] += np.log10(own[tail] + 1) - model.tail_log10[klass[tail] - maxent_lm.HEAD_CLASSES]
+        tail = child >= 0
+        log[tail] += np.log10(own[tail] + 1) - model.tail_log10[child[tail]]
         total += (10 ** log).sum()
     assert total == pytest.approx(1, abs=1e-4)
 
 
-def test_scores_mix_pair_counts_with_the_model(spark, monkeypatch):
-    """Brute force over all tokens; with a tiny head nearly all words and pairs come from the joins."""
+def softmax(logits):
+    odds = [math.exp(x) for x in logits]
+    return [x / sum(odds) for x in odds]
+
+
+def brute_log10(model, ids, words):
+    """log10 P of a text's tokens, one by one, from the tables of the trained model."""
+    size, top = model.sizes, {w: k for k, w in enumerate(model.head.tolist())}
+    mixed = lambda x: int(maxent_lm.mix(np.array([x % 2 ** 64], np.uint64))[0])
+    total, before = 0.0, [maxent_lm.START] * 3
+    for w in ids.tolist():
+        one, two, three = before
+        hashed = [mixed(one + 0x51), mixed(mixed(one) + two + 0x52), mixed(two + 0x5300), mixed(three + 0x540000)]
+        logits = [sum(float(model.by_class[h % size.rows, k]) for h in hashed) + float(model.class_log[k])
+                  for k in range(size.classes)]
+        child = None
+        if top.get(w, size.words) < len(model.member_class):
+            klass, column = int(model.member_class[top[w]]), int(model.member_place[top[w]])
+        else:
+            child = w % 16 * size.children + w // 16 % size.children
+            klass, column = size.head_classes + w % 16, len(model.member_class) + child
+        total += math.log10(softmax(logits)[klass])
+        nodes = range(model.lows[klass], model.highs[klass])
+        rows = [hashed[k] >> 40 & size.word_rows - 1 for k in (0, 2)]
+        logits = [sum(float(model.by_node[r, c]) for r in rows) + float(model.node_log[c]) for c in nodes]
+        total += math.log10(softmax(logits)[column - nodes[0]])
+        if child is not None:
+            total += math.log10(words[w] + 1) - float(model.tail_log10[child])
+        seen = w if top.get(w, size.context) < size.context else 2 + w % 16
+        before = [seen, one, two]
+    return total
+
+
+def test_scores_equal_brute_force_of_the_model(spark, monkeypatch):
+    """Token by token over all classes and nodes; with a tiny head nearly all counts come from the join."""
     given = [(i, t) for i, t in ODD if t is None or len(t) < 1000] + [(10 + i, "the fox and the dog ran") for i in range(5)]
     rows = maxent_lm.identified(spark.createDataFrame(given, "doc_id long, text string")) \
         .withColumn("held_out", F.lit(False))
     ids = [maxent_lm.token_ids(t) for _, t in given]
     words = Counter(w for t in ids for w in t.tolist())
-    pairs = Counter(p for t in ids for p in zip([maxent_lm.START, *t.tolist()], t.tolist()))
-    for head in (5, 1 << 16):
+    for head, own in ((5, 3), (1 << 16, 3), (1 << 16, 1024)):
         monkeypatch.setattr(maxent_lm, "HEAD", head)
-        monkeypatch.setattr(maxent_lm, "WORDS", 3)
+        monkeypatch.setattr(maxent_lm, "WORDS", own)
         counts = maxent_lm.count_tokens(rows)
         model = maxent_lm.train(rows, maxent_lm.initial_model(counts))
-        reader, top = maxent_lm.Reader(model), set(model.head.tolist())
-        want = []
-        for (i, _), t in zip(given, ids):
-            b = reader.read([t])
-            log, score, before = maxent_lm.log_probabilities(model, b), 0.0, maxent_lm.START
-            for k, w in enumerate(t.tolist()):
-                if b.column[k] < 0:
-                    log[k] += math.log10(words[w] + 1) - model.tail_log10[b.klass[k] - maxent_lm.HEAD_CLASSES]
-                h = maxent_lm.END if before == maxent_lm.START else before
-                g = maxent_lm.PRIOR * words[h] ** maxent_lm.POWER if h in top else maxent_lm.RARE_PRIOR
-                score += math.log10((pairs[before, w] + g * 10 ** log[k]) / (words[h] + g))
-                before = w
-            want.append((-1 if i is None else i, score))
-        got = maxent_lm.score(rows, model, counts, maxent_lm.count_pairs(rows, model)).collect()
-        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got)
-        assert [x for r in got for x in r] == pytest.approx([x for r in sorted(want) for x in r], rel=1e-5)
-
-
-def test_rare_context_words_have_pairs_of_their_own(spark):
-    """Words beyond the model's, all of one tail class: what followed one of them tells the others' texts apart."""
-    filler = " ".join(f"w{i}" for i in range(maxent_lm.HEAD + 10))
-    rows = [(i, filler) for i in range(6)] + [(10 + i, "zorkab blipab") for i in range(3)] \
-        + [(20 + i, "quuxab flamab") for i in range(3)] + [(100, "zorkab blipab"), (101, "zorkab flamab")]
+        assert model.by_class.any()
+        want = sorted((-1 if i is None else i, brute_log10(model, t, words)) for (i, _), t in zip(given, ids))
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in maxent_lm.score(rows, model, counts).collect())
+        assert [x for r in got for x in r] == pytest.approx([x for r in want for x in r], rel=1e-4)
+
+
+def test_model_grows_with_the_vocabulary():
+    small, large, huge = (maxent_lm.sizes(n) for n in (0, 1 << 23, 10 ** 10))
+    assert small == maxent_lm.sizes(maxent_lm.VOCABULARY)
+    for a, b in ((small, large), (large, huge)):
+        assert b.context >= a.context and b.words > a.words and b.rows > a.rows and b.children > a.children
+        assert b.classes > a.classes and b.word_rows >= a.word_rows
+    weights = huge.rows * huge.classes + huge.word_rows * (huge.words + 16 * huge.children)
+    assert weights * 4 < 2 ** 30
+
+
+def test_gain_comes_from_the_trained_weights(spark):
+    """With zero weights the model is a unigram model; the weights tell texts of equal words apart by their order."""
+    rows = [(i, "zorkab blipab quuxab flamab") for i in range(40)] + [(100, "zorkab blipab quuxab flamab"),
+                                                                      (101, "blipab zorkab flamab quuxab")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     by = {r.doc_id: r for r in maxent_lm.score_corpus(df, F.col("doc_id") >= 100).collect()}
     assert by[100].base_score == pytest.approx(by[101].base_score)
     assert by[100].score > by[101].score + 0.5
 
 
+def test_language_model_ignores_extra_columns(spark, documents):
+    condition = remainder(F.col("doc_id"), 7) == 2
+    clash = documents.select("doc_id", "text", F.lit("x").alias("rare"), F.lit(1).alias("row_id"),
+                             F.lit("y").alias("token"), F.lit(2).alias("n"), F.lit(None).alias("no_id"))
+    got, want = (sorted(tuple(r)[:6] for r in maxent_lm.score_corpus(d, condition).collect())
+                 for d in (clash, documents.select("doc_id", "text")))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want])
+
+
 def test_lookup():
     rng = np.random.default_rng(1)
     ids = np.unique(rng.integers(32, 2 ** 63, 5000, dtype=np.uint64))
