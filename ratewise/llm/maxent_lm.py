@@ -26,7 +26,7 @@ a task holds them, in training three times.
 
 Training: counts of all training words are summed on the cluster.  Then every
 task goes once through its training texts in small batches, updates its copy of
-the weights by the batch's gradient (AdaGrad), and sends the rows that it changed;
+the weights by the batch's gradient (AdaGrad), and sends its changes;
 the changes are averaged on the cluster, each feature's by how often a task met
 it.  Scan partitions of less than ``TASK_TOKENS`` tokens share a task, so that what
 the tasks send stays in proportion to the texts.  The texts are dealt to
@@ -70,7 +70,7 @@ MINIBATCH = 1 << 15
 ROUNDS = 2
 RATE = 0.6
 CHUNK = 1 << 17
-TASK_TOKENS = 1 << 21
+TASK_TOKENS = 1 << 23
 
 #: Ids of the end of a text and of the places before its start (no word hash has 0 or 16).
 END, START = 0, 16
@@ -293,6 +293,20 @@ def log_probabilities(m: Model, b: Batch) -> np.ndarray:
     return out
 
 
+def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray, short: int = 16) -> np.ndarray:
+    """Sums of ``values[order[first:first + times]]`` by falling ``times``: the few long runs one by one, the short
+    ones together, a place of all of them at a time."""
+    total = values[order[first]]
+    long = int(np.searchsorted(-times, -short))  # runs of more than ``short``
+    for k in range(long):
+        total[k] = values[order[first[k]:first[k] + times[k]]].sum(axis=0)
+    for j in range(1, short):
+        end = int(np.searchsorted(-times, -j))
+        if end > long:
+            total[long:end] += values[order[first[long:end] + j]]
+    return total
+
+
 class Trainer:
     """A task's copy of the weights, with AdaGrad sums and the use of each row."""
 
@@ -308,12 +322,17 @@ class Trainer:
         order = np.argsort(rows.astype(np.uint16) if small else rows, kind="stable")
         ordered = rows[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        total = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
-        row = ordered[first]
+        times = np.diff(first, append=len(rows))
+        by_times = np.argsort(-times, kind="stable")
+        row, times = ordered[first[by_times]], times[by_times]
+        total = _sums(gradient, order % len(gradient), first[by_times], times)
         weights, squares = (self.m.by_class, self.m.by_node)[k], self.squares[k]
-        squares[row, lo:hi] += total * total
-        weights[row, lo:hi] -= RATE * total / np.sqrt(squares[row, lo:hi])
-        self.used[k][row] += np.concatenate((first[1:], [len(rows)])) - first
+        grown = squares[row, lo:hi]
+        grown += total * total
+        squares[row, lo:hi] = grown
+        total *= RATE / np.sqrt(grown)
+        weights[row, lo:hi] -= total
+        self.used[k][row] += times
 
     def learn(self, b: Batch) -> None:
         m = self.m
@@ -327,14 +346,14 @@ class Trainer:
                 self._update(1, node_rows.ravel(), error, m.lows[c], m.highs[c])
 
     def changes(self, block: int = 1 << 14) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(table, first row, changes times use, use) of blocks of rows that were used."""
+        """(table, first row, changes as 16-bit floats, use) of blocks of rows that were used."""
         for k, now in enumerate((self.m.by_class, self.m.by_node)):
             step = max(1, block // max(1, now.shape[1]))
             for lo in range(0, len(now), step):
                 use = self.used[k][lo:lo + step]
                 if use.any():
-                    moved = (now[lo:lo + step] - self.start[k][lo:lo + step]) * use[:, None]
-                    yield k, lo, moved.astype(np.float32).tobytes(), use.tobytes()
+                    moved = now[lo:lo + step] - self.start[k][lo:lo + step]
+                    yield k, lo, moved.astype(np.float16).tobytes(), use.tobytes()
 
 
 def _chunks(texts: pd.Series) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -434,7 +453,8 @@ def train(docs: DataFrame, model: Model) -> Model:
             key, moved, used = None, None, None
             for batch in batches:
                 for k, first, m, u in zip(batch.k, batch["first"], batch.moved, batch.used):
-                    m, u = np.frombuffer(m, np.float32).astype(np.float64), np.frombuffer(u)
+                    u = np.frombuffer(u)
+                    m = np.frombuffer(m, np.float16).reshape(len(u), -1) * u[:, None]
                     if (k, first) == key:
                         moved, used = moved + m, used + u
                         continue
