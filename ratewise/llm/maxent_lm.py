@@ -66,7 +66,7 @@ TAIL_CLASSES = 16
 CHILDREN = 64
 ROWS = 1 << 15
 WORD_ROWS = 1 << 10
-MINIBATCH = 1 << 15
+MINIBATCH = 1 << 16
 ROUNDS = 2
 RATE = 0.6
 CHUNK = 1 << 17
@@ -237,9 +237,9 @@ class Reader:
 
 def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
     """Logits of the classes; the priors are at most 0, which keeps exp() in range."""
-    logits = m.by_class[rows[0]]
+    logits = np.take(m.by_class, rows[0], axis=0)
     for r in rows[1:]:
-        logits += m.by_class[r]
+        logits += np.take(m.by_class, r, axis=0)
     logits += (m.class_log - m.class_log.max()).astype(np.float32)
     return logits
 
@@ -247,8 +247,9 @@ def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
 def _node_logits(m: Model, c: int, rows: np.ndarray) -> np.ndarray:
     """Logits of the nodes of a class."""
     lo, hi = m.lows[c], m.highs[c]
-    logits = m.by_node[rows[0], lo:hi]
-    logits += m.by_node[rows[1], lo:hi]
+    table = m.by_node[:, lo:hi]
+    logits = table[rows[0]]
+    logits += table[rows[1]]
     logits += (m.node_log[lo:hi] - m.node_log[lo:hi].max()).astype(np.float32)
     return logits
 
@@ -293,17 +294,17 @@ def log_probabilities(m: Model, b: Batch) -> np.ndarray:
     return out
 
 
-def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray, short: int = 16) -> np.ndarray:
+def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray, short: int = 64) -> np.ndarray:
     """Sums of ``values[order[first:first + times]]`` by falling ``times``: the few long runs one by one, the short
     ones together, a place of all of them at a time."""
-    total = values[order[first]]
+    total = np.take(values, order[first], axis=0)
     long = int(np.searchsorted(-times, -short))  # runs of more than ``short``
     for k in range(long):
-        total[k] = values[order[first[k]:first[k] + times[k]]].sum(axis=0)
+        total[k] = np.take(values, order[first[k]:first[k] + times[k]], axis=0).sum(axis=0)
     for j in range(1, short):
         end = int(np.searchsorted(-times, -j))
         if end > long:
-            total[long:end] += values[order[first[long:end] + j]]
+            total[long:end] += np.take(values, order[first[long:end] + j], axis=0)
     return total
 
 
