@@ -9,15 +9,18 @@ quantile of the labelled scores is the threshold, and scores are mapped to 0..1
 so that this threshold is ``DECISION``.
 
 Training covers every labelled row.  The labelled documents are dealt to blocks
-of about ``BLOCK`` by a hash of their id; in a block each good document meets
-``OPPONENTS`` bad ones and each bad one as many good ones (spread evenly, the
-rarer side repeats).  Gradients and Hessians are summed on the cluster; only
+of about ``BLOCK`` by a hash of their id; documents of a label that a block would
+hold fewer than ``SPREAD`` of are dealt to several blocks each, so that a block
+holds ``SPREAD`` of them on average (none with a chance of e^-SPREAD) and at most
+SPREAD / BLOCK of all labelled rows is added.  In a block each good document
+meets ``OPPONENTS`` bad ones and each bad one as many good ones (spread evenly,
+the rarer side repeats).  Gradients and Hessians are summed on the cluster; only
 sums of the size of the model come to the driver.
 
 Defined cases: NULL and empty texts have the features of an empty text; without
 labels of both kinds all weights are 0 and every document scores ``NEUTRAL``;
-repeated labels of a document count each, NULL labels don't count; extra columns
-are ignored.
+repeated labels of a document count each, NULL labels don't count; very long
+texts are read whole; extra columns are ignored; empty ``documents`` give no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from ratewise.llm.words import mix, word_bounds
 DECISION = 0.3
 NEUTRAL = 0.5
 BLOCK = 512
+SPREAD = 64
 OPPONENTS = 8
 STEPS = 12
 RIDGE = 1e-3
@@ -169,6 +173,18 @@ def _vector(values: np.ndarray) -> pd.DataFrame:
 _SUM = "at long, value double"
 
 
+def deal(rows: DataFrame, blocks: int, bad: int, good: int) -> DataFrame:
+    """``rows`` (doc_id, row_id, label, x) with their ``block``, the rarer label's repeated over several blocks."""
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    if blocks < 2:
+        return rows.withColumn("block", first)
+    times = [max(1, -(-SPREAD * blocks // n)) for n in (bad, good)]
+    copies = F.when(F.col("label") == 0, F.lit(times[0])).otherwise(F.lit(times[1]))
+    again = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(blocks))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))) \
+        .withColumn("block", F.when(F.col("copy") == 1, first).otherwise(again)).drop("copy")
+
+
 def fit(table: DataFrame, labels: DataFrame) -> Ranking:
     """The ranking learnt from ``labels`` (doc_id, label 0/1) over a feature table."""
     marked = labels.where("doc_id is not null and label in (0, 1)")
@@ -193,7 +209,7 @@ def fit(table: DataFrame, labels: DataFrame) -> Ranking:
     model = Ranking(mean, np.where(deviation > 1e-6, deviation, 1.0), np.zeros(FEATURES), 0.0)
 
     blocks = -(-n // BLOCK)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    dealt = deal(rows, blocks, bad, n - bad)
 
     def gathered(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["row_id", "label"])

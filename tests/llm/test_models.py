@@ -70,6 +70,67 @@ def test_block_pairs_meet_every_row():
     assert len(quality.block_pairs(np.ones(5))[0]) == 0
 
 
+@pytest.fixture(scope="module")
+def rare_bad(spark):
+    """Features and labels of sf0.01 documents of which 2 in 1,000 are bad."""
+    table = quality.feature_table(spark.read.parquet(f"{MEDIUM}/documents.parquet"))
+    marked = spark.read.parquet(f"{MEDIUM}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    bad = sorted(r.doc_id for r in marked.where("label = 0").collect())[:2]
+    return table, marked.where((F.col("label") == 1) | F.col("doc_id").isin(bad))
+
+
+def test_every_labelled_row_is_compared(spark, rare_bad, monkeypatch):
+    """Several blocks, hardly any bad rows: each block holds both kinds, and few rows are added."""
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    monkeypatch.setattr(quality, "SPREAD", 8)
+    table, labels = rare_bad
+    rows = table.join(labels, "doc_id").select("doc_id", "row_id", "label", "x")
+    n, bad = rows.count(), rows.where("label = 0").count()
+    blocks = -(-n // quality.BLOCK)
+    assert bad == 2 and blocks > 10
+    got = quality.deal(rows, blocks, bad, n - bad).collect()
+    assert {(r.doc_id, r.label) for r in got} == {(r.doc_id, r.label) for r in rows.collect()}
+    assert len(got) <= n + 8 * blocks + bad
+    for block in range(blocks):
+        own = [r for r in got if r.block == block]
+        assert {r.label for r in own} == {0, 1}
+        a, b = quality.block_pairs(np.array([r.label for r in own]))
+        assert set(a) | set(b) == set(range(len(own)))
+
+
+def test_ranking_equals_brute_force(spark, rare_bad, monkeypatch):
+    """Loss, gradient, Newton steps and threshold in plain numpy, pair by pair."""
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    table, labels = rare_bad
+    model = quality.fit(table, labels)
+    rows = table.join(labels, "doc_id").select("doc_id", "row_id", "label", "x")
+    n = rows.count()
+    one = {r.doc_id: (np.frombuffer(r.x, np.float32).astype(float), r.label) for r in rows.collect()}
+    x = np.array([v for v, _ in one.values()])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0)
+    scale = np.where(scale > 1e-6, scale, 1.0)
+    pairs = []
+    dealt = quality.deal(rows, -(-n // quality.BLOCK), 2, n - 2).select("block", "row_id", "doc_id", "label").collect()
+    for block in sorted({r.block for r in dealt}):
+        own = sorted((r.row_id, r.label, r.doc_id) for r in dealt if r.block == block)
+        for a, b in zip(*quality.block_pairs(np.array([label for _, label, _ in own]))):
+            pairs.append((one[own[a][2]][0] - one[own[b][2]][0]) / scale)
+    weights = np.zeros(x.shape[1])
+    for _ in range(quality.STEPS):
+        gradient, curve = -quality.RIDGE * weights, quality.RIDGE * np.eye(len(weights))
+        for d in pairs:
+            lost = 1 / (1 + math.exp(min(500, d @ weights)))
+            gradient = gradient + d * lost / len(pairs)
+            curve += np.outer(d, d) * (lost * (1 - lost) / len(pairs))
+        step = np.linalg.solve(curve, gradient)
+        weights = weights + step
+        if np.abs(step).max() < 1e-4:
+            break
+    assert model.weights == pytest.approx(weights, abs=1e-4)
+    raw = sorted(((x - mean) / scale) @ weights)
+    assert raw[1] - 1e-3 <= model.threshold <= raw[2] + 1e-3  # two bad ones: between the second and the third
+
+
 def tokens(text):
     return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split() + [None]
 
