@@ -5,8 +5,9 @@ packs its pieces best-fit decreasing (segment tree over remaining capacities)
 and writes one row per sequence: the id row, the cumulative segment lengths and
 the positions, which restart at every segment.  A task packs its pieces in
 rounds of a bounded number of tokens; the fullest bins leave at the end of a
-round, and bins that still have room are carried to the next, so memory stays
-bounded and almost no place is lost.  Ids cross no shuffle, and a task that is
+round, and bins that still have room are carried to the next, up to half a
+round's tokens, so memory stays bounded, every round takes in as much again, and
+almost no place is lost.  Ids cross no shuffle, and a task that is
 run again writes the same rows.
 
 Defined cases: NULL and empty texts are one segment with the end id alone;
@@ -44,7 +45,8 @@ class _Packer:
         self.tokens += len(piece[3])
 
     def sequences(self, last: bool) -> Iterator[list[tuple]]:
-        """Bins of the pieces held; unless ``last``, bins under 98 % stay for the next round."""
+        """Bins of the pieces held; unless ``last``, bins under 98 % stay for the next round, the emptiest first,
+        up to half of ``ROUND_TOKENS``."""
         lengths = np.array([len(p[3]) for p in self.pieces], np.int64)
         runs = fit_tree.pack_counts(np.bincount(lengths, minlength=self.capacity + 1), self.capacity)
         order = np.argsort(lengths, kind="stable")
@@ -54,13 +56,19 @@ class _Packer:
         bins, offsets = fit_tree.place(runs, lengths, ranks)
         by_bin = np.lexsort((offsets, bins))
         edges = np.flatnonzero(np.diff(bins[by_bin], prepend=-1, append=-1))
+        filled = np.add.reduceat(lengths[by_bin], edges[:-1])
+        stay = np.zeros(len(filled), bool)
+        if not last:
+            emptiest = np.argsort(filled, kind="stable")
+            fits = np.cumsum(filled[emptiest]) <= ROUND_TOKENS // 2
+            stay[emptiest] = fits & (filled[emptiest] < 0.98 * self.capacity)
         held: list[tuple] = []
-        for lo, hi in zip(edges, edges[1:]):
+        for lo, hi, kept in zip(edges, edges[1:], stay):
             row = [self.pieces[i] for i in by_bin[lo:hi]]
-            if last or sum(len(p[3]) for p in row) >= 0.98 * self.capacity:
-                yield row
-            else:
+            if kept:
                 held += row
+            else:
+                yield row
         self.pieces, self.tokens = held, sum(len(p[3]) for p in held)
 
     def row(self, sequence_id: int, pieces: list[tuple]) -> tuple:
