@@ -17,7 +17,8 @@ it stays.
 Defined cases: NULL texts are empty; edits beyond the text are moved to its end,
 negative starts to its beginning, NULL replacements are empty, NULL edits are
 skipped; without edits both counts are equal; repeated rows and ids are counted
-row by row; an empty table gives no rows.
+row by row; very long texts are one tree; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

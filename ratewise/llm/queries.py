@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratewise.llm import (
     alignment, decontam, divergence, edit_counts, guess_cost, line_dedup, maxent_lm, minhash, packing, preference,
     quality, token_output, winnowing)
-from ratewise.llm.common import read_table, remainder
+from ratewise.llm.common import read_table, remainder, spare_names
 from ratewise.llm.oracle_sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -41,8 +41,9 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after three edits each."""
-    docs = read_table(spark, sf_dir, "documents").withColumn("edits", edit_counts.sample_edits())
-    return edit_counts.count_edits(docs)
+    docs = read_table(spark, sf_dir, "documents")
+    edits, = spare_names(docs, "edits")
+    return edit_counts.count_edits(docs.withColumn(edits, edit_counts.sample_edits()), edits_col=edits)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

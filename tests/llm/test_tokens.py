@@ -132,6 +132,27 @@ def test_matrices_round_trip(documents, texts, odd, none, enc, monkeypatch):
     assert token_output.write_packed(none).collect() == []
 
 
+def test_matrices_of_one_hot_length_hold_half_a_round(monkeypatch):
+    """700-token pieces fill no bin: a round leaves at most half of it, so pieces are packed once or twice each."""
+    monkeypatch.setattr(token_output, "ROUND_TOKENS", 70_000)
+    packer, rounds, seen = token_output._Packer(1024, 0, "<u2"), 0, []
+    for k in range(2000):
+        packer.add((k, 0, 0, np.arange(700, dtype="<u2")))
+        if packer.tokens >= token_output.ROUND_TOKENS:
+            rounds += 1
+            seen += [p[0] for row in packer.sequences(False) for p in row]
+            assert packer.tokens <= token_output.ROUND_TOKENS // 2
+    seen += [p[0] for row in packer.sequences(True) for p in row]
+    assert sorted(seen) == list(range(2000)) and rounds <= 2 * 2000 * 700 // token_output.ROUND_TOKENS
+
+
+def test_edits_keep_a_clashing_column(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.withColumn("edits", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = (sorted(map(tuple, queries.op5_edit_aware_counts(spark, str(d)).collect())) for d in (tmp_path, sf_dir))
+    assert got == want
+
+
 def test_matrices_in_rounds(texts, enc):
     packer = token_output._Packer(64, 0, "<u2")
     rows = []
