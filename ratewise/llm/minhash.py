@@ -13,15 +13,24 @@ class and travel once.
    first; so only that prefix is posted, and pairs that no other class has
    take places in it but are skipped.
 3. Links are searched until no list can add one.  First the least class of a
-   list is compared with all others of it.  Then lists that still hold several
-   components are gone through in blocks of bounded size: the collisions of
-   two signatures are counted, a pair is looked at in the first list that both
-   share only, and members of one component are skipped, as they are joined.
+   list is compared with all others of it.  A list that still holds several
+   components is closed if it is short: the collisions of two signatures are
+   counted, a pair is looked at in the first list that both share only, and
+   members of one component are skipped, as they are joined.  A long one is
+   split: its members agree in d coordinates, so those with t in common agree in
+   t - d of the other m - d, and meet again in the first m - t + 1 of these, in
+   the order of how many members of the list have them.  The parts are lists
+   like any other: first the least class, then closed or split again, as long as
+   that leaves at most a quarter of the comparisons.
 4. Whoever has enough collisions is confirmed on the full sets.
 
 A list that a third of all classes share is thus a row per class for the first
-comparison, and block pairs for the second, dealt to as many tasks as needed;
-nothing is cut off and no list of all its pairs is made.
+comparison, and then falls apart: what a member shares with no other member of
+the list is skipped.  Lists whose members agree in so much that splitting saves
+little (copies of one text, most of which the least class has joined) are gone
+through in pairs of blocks, which many tasks share.  Nothing is cut off.
+Joins of a list's or a hub's row with its members are dealt to shares of like
+size, whose number follows from the length of the list.
 
 Defined cases: NULL, empty and word-less texts have an empty set and link with
 nothing; repeated rows share a class; a NULL doc_id can't name a component but
@@ -46,8 +55,12 @@ from ratewise.llm.common import identified, materialise, partitions, restored, r
 from ratewise.llm.components import components
 from ratewise.llm.words import lowered, mix, shingle_set, word_hashes
 
+#: Members of a list that one task compares with each other; longer lists are split.
 BLOCK = 1024
-SALTS = 16
+#: Members of a list (pairs of a hub) that one copy of the list's (hub's) own row serves.
+SHARE = 64
+#: Members of a long list that tell whether it is worth splitting (whole results either way).
+SAMPLE = 256
 MISSED = 1e-6
 
 
@@ -118,34 +131,63 @@ def _signatures(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> D
     return materialise(_rows(docs, id_col, text_col).mapInPandas(run, out), "minhash-signatures")
 
 
-def _postings(classes: DataFrame, s: Similarity) -> DataFrame:
-    """(key, class_id, prefix): prefix has a bit for each coordinate that is posted for the class."""
-    n = s.coordinates
+def _postings(members: DataFrame, s: Similarity, depth: int) -> DataFrame:
+    """(list, key, class_id, used, prefix, n) from members (list, class_id, used, sig) of lists.
+
+    ``used`` has a bit for each of the ``depth`` coordinates that the members of a list agree
+    in, ``prefix`` for each other one that is posted; n members of the list have the key.
+    """
+    m = s.coordinates
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.sig), np.uint32).reshape(-1, n).astype(np.int64)
-            keys = sig | (np.arange(n, dtype=np.int64) << 32)
-            yield pd.DataFrame({"key": keys.ravel(), "class_id": np.repeat(batch.class_id.to_numpy(), n)})
-
-    pairs = classes.mapInPandas(spread, schema("key long, class_id long"))
-    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # classes' shared pairs, rarest first; the pairs no other class has come before them
-    mine = pairs.join(shared, "key").groupBy("class_id") \
+            sig = np.frombuffer(b"".join(batch.sig), np.uint32).reshape(-1, m).astype(np.int64)
+            free = (batch.used.to_numpy(np.int64)[:, None] >> np.arange(m) & 1) == 0
+            row = np.nonzero(free)[0]
+            yield batch[["list", "class_id", "used"]].iloc[row] \
+                .assign(key=(sig | (np.arange(m, dtype=np.int64) << 32))[free])
+
+    out = schema("list long, class_id long, used long, key long")
+    pairs = members.select("list", "class_id", "used", "sig").mapInPandas(spread, out)
+    shared = pairs.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # members' shared pairs, rarest first; the pairs no other member has come before them
+    mine = pairs.join(shared, ["list", "key"]).groupBy("list", "class_id", "used") \
         .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("p"))  # at most ``coordinates`` entries
-    kept = F.slice("p", 1, F.greatest(F.lit(0), F.lit(s.prefix - n) + F.size("p")))
-    mine = mine.select("class_id", kept.alias("p")).where(F.size("p") > 0)
+    posted = F.slice("p", 1, F.greatest(F.lit(0), F.lit(s.prefix - (m - depth)) + F.size("p")))
+    mine = mine.select("list", "class_id", "used", posted.alias("p")).where(F.size("p") > 0)
     bits = F.expr("aggregate(p, 0L, (acc, x) -> acc | shiftleft(1L, cast(shiftright(x.key, 32) as int)))")
-    return materialise(mine.select(F.explode("p.key").alias("key"), "class_id", bits.alias("prefix")),
-                       "minhash-postings")
+    return materialise(
+        mine.select("list", "class_id", "used", bits.alias("prefix"), F.explode("p").alias("p"))
+        .select("list", "p.key", "class_id", "used", "prefix", "p.n"), "minhash-postings")
+
+
+def _shares(n: F.Column) -> F.Column:
+    """How many shares the members of a list (the pairs of a hub) are dealt to."""
+    return F.ceil(n / SHARE).cast("int")
+
+
+def _share(n: F.Column) -> F.Column:
+    """A member's share."""
+    return F.pmod(F.xxhash64("class_id"), _shares(n)).cast("int")
+
+
+def _back(members: DataFrame, own: DataFrame) -> DataFrame:
+    """``members`` of lists with their list's row in ``own`` (list, key, n, ...), which is repeated for each share."""
+    each = own.withColumn("share", F.explode(F.sequence(F.lit(0), _shares(F.col("n")) - 1))).drop("n")
+    return members.withColumn("share", _share(F.col("n"))).join(each, ["list", "key", "share"]).drop("share")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, s: Similarity) -> DataFrame:
     """Links (u, v) among ``pairs`` (hub, class_id), confirmed on the full sets.
 
-    A hub's text goes once to each of ``SALTS`` shares of its pairs, the others' texts once.
+    A hub's text goes once to each share of its pairs, the others' texts once.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int"))
+    # a hub's pairs are counted in parts, so that the count comes back to a part and not to a hub
+    part = F.pmod(F.xxhash64(F.lit(0), "class_id"), F.lit(partitions(pairs.sparkSession))).cast("int")
+    parts = pairs.groupBy("hub", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    counts = parts.select("hub", "part").join(parts.groupBy("hub").agg(F.sum("n").alias("n")), "hub")
+    pairs = pairs.withColumn("part", part).join(counts, ["hub", "part"]) \
+        .select("hub", "class_id", _share(F.col("n")).alias("salt"))
     hubs = pairs.select("hub", "salt").distinct().withColumn("class_id", F.col("hub")).withColumn("role", F.lit(0))
     rows = hubs.unionByName(pairs.withColumn("role", F.lit(1))).join(texts, "class_id")
 
@@ -205,18 +247,23 @@ def _candidates(group: pd.DataFrame, s: Similarity) -> tuple[np.ndarray, np.ndar
     return a[~earlier], b[~earlier]
 
 
-def _blocks(lists: DataFrame, size: int) -> DataFrame:
-    """Rows of lists dealt to block pairs (bi <= bj) of about ``size`` rows a block; ``n`` is a list's length."""
-    count = F.ceil(F.col("n") / size).cast("int")
-    dealt = lists.withColumn("block", F.pmod(F.xxhash64("class_id", "key"), count).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+_GROUP = ["list", "key", "bi", "bj"]
+
+
+def _block() -> F.Column:
+    return F.pmod(F.xxhash64("class_id", "key"), F.ceil(F.col("n") / BLOCK)).cast("int")
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    """Rows of lists dealt to block pairs (bi <= bj) of about ``BLOCK`` rows a block; ``n`` is a list's length."""
+    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
+    dealt = lists.withColumn("block", _block()).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")) \
         .drop("other")
 
 
 def _dealt(blocks: DataFrame) -> DataFrame:
-    keys = ["key", "bi", "bj"]
-    return blocks.repartition(partitions(blocks.sparkSession), *keys).sortWithinPartitions(*keys)
+    return blocks.repartition(partitions(blocks.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP)
 
 
 def _confirm_group(group: pd.DataFrame, s: Similarity) -> list[tuple[int, int]]:
@@ -252,58 +299,104 @@ def _confirm_group(group: pd.DataFrame, s: Similarity) -> list[tuple[int, int]]:
     return out
 
 
-def _links(classes: DataFrame, texts: DataFrame, postings: DataFrame, s: Similarity) -> DataFrame:
-    """Links that join all classes which the threshold joins."""
-    n = s.coordinates
-    # The least class of each list against the others.
-    hub = postings.groupBy("key").agg(F.min("class_id").alias("hub"))
-    pairs = postings.join(hub, "key").where("class_id <> hub").select("hub", "class_id").distinct()
-    sigs = classes.select("class_id", "sig")
+def _hub_links(postings: DataFrame, sigs: DataFrame, texts: DataFrame, s: Similarity) -> DataFrame:
+    """Links of the least class of each list with the others of it."""
+    hub = postings.groupBy("list", "key", "n").agg(F.min("class_id").alias("hub"))
+    pairs = _back(postings, hub).where("class_id <> hub").select("hub", "class_id").distinct()
     pairs = pairs.join(sigs, "class_id") \
         .join(sigs.select(F.col("class_id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
 
     def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(-1, n) for c in ("sig", "hub_sig"))
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(-1, s.coordinates) for c in ("sig", "hub_sig"))
             yield batch.loc[(x == y).sum(axis=1) >= s.least_matches, ["hub", "class_id"]]
 
     likely = materialise(pairs.mapInPandas(enough, schema("hub long, class_id long")), "minhash-likely")
-    links = materialise(_confirm(likely, texts, s), "minhash-links")
-    # Lists that still hold several components.
+    return materialise(_confirm(likely, texts, s), "minhash-links")
+
+
+def _open(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with their ``component``, of the lists that hold several; ``n`` is a list's number of members."""
     found = materialise(components(links), "minhash-components")
     own = postings.join(found.withColumnRenamed("node", "class_id"), "class_id", "left") \
         .withColumn("component", F.coalesce("component", "class_id"))
-    open_ = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
-                                   F.max("component").alias("hi")).where("n > 2 and lo <> hi").select("key", "n")
-    lists = own.join(open_, "key").join(sigs, "class_id")
-    kept = schema("key long, class_id long, bi int, bj int")
+    several = own.groupBy("list", "key", "n").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"),
+                                                  F.max("component").alias("hi")) \
+        .where("members > 2 and lo <> hi").select("list", "key", "n", "members")
+    return materialise(_back(own, several).drop("n").withColumnRenamed("members", "n"), "minhash-open")
+
+
+def _block_links(lists: DataFrame, sigs: DataFrame, texts: DataFrame, s: Similarity) -> DataFrame:
+    """Links that join the components of open lists, in block pairs."""
+    kept = schema("list long, key long, class_id long, bi int, bj int")
 
     def busy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for (key, bi, bj), group in row_groups(batches, ["key", "bi", "bj"]):
+        for place, group in row_groups(batches, _GROUP):
             a, b = _candidates(group, s)
             for i in np.union1d(a, b).tolist():
-                out.append((key, int(group["class_id"].iat[i]), bi, bj))
+                out.append((*place[:2], int(group["class_id"].iat[i]), *place[2:]))
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=kept.names)
                 out = []
         yield pd.DataFrame(out, columns=kept.names)
 
     # Counting collisions needs no text; texts go only to block pairs with something to confirm.
-    blocks = materialise(_dealt(_blocks(lists, BLOCK)).mapInPandas(busy, kept), "minhash-open")
-    size = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("class_id", "key"), size).cast("int").alias("block")
-    again = blocks.join(own, ["key", "class_id"]).join(open_, "key") \
-        .select(*blocks.columns, "prefix", "component", block).join(sigs, "class_id").join(texts, "class_id")
+    blocks = materialise(_dealt(_blocks(lists.join(sigs, "class_id"))).mapInPandas(busy, kept), "minhash-busy")
+    again = blocks.join(lists, ["list", "key", "class_id"]) \
+        .select(*blocks.columns, "prefix", "component", _block().alias("block")) \
+        .join(sigs, "class_id").join(texts, "class_id")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, group in row_groups(batches, ["key", "bi", "bj"]):
+        for _, group in row_groups(batches, _GROUP):
             found = _confirm_group(group, s)
             if found:
                 yield pd.DataFrame(found, columns=["u", "v"])
 
-    more = materialise(_dealt(again).mapInPandas(confirm, schema("u long, v long")), "minhash-more-links")
-    return links.unionByName(more)
+    return materialise(_dealt(again).mapInPandas(confirm, schema("u long, v long")), "minhash-more-links")
+
+
+def _split(lists: DataFrame, sigs: DataFrame, s: Similarity, depth: int) -> DataFrame:
+    """(list, key, n) of the long lists whose parts would take at most a quarter of their comparisons,
+    measured on about ``SAMPLE`` members of each."""
+    some = lists.where(F.col("n") > BLOCK) \
+        .where(F.pmod(F.xxhash64(F.lit(2), "class_id", "key"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    some = materialise(some.select("list", "key", "n", "class_id", "used"), "minhash-sample")
+    parts = _postings(_parts(some).join(sigs, "class_id"), s, depth).groupBy("list", "key") \
+        .agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+    own = some.groupBy("list", "key", "n").agg(F.count(F.lit(1)).alias("taken"))
+    return own.withColumn("part", _part()).join(parts.withColumnRenamed("list", "part"), "part", "left") \
+        .where(4 * F.coalesce("work", F.lit(0)) <= F.col("taken") * F.col("taken")).select("list", "key", "n")
+
+
+def _part() -> F.Column:
+    return F.xxhash64("list", "key")
+
+
+def _parts(lists: DataFrame) -> DataFrame:
+    """The members of each list as those of a list of their own, which agree in its key too."""
+    place = F.shiftright("key", 32).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    return lists.select(_part().alias("list"), "class_id", F.col("used").bitwiseOR(bit).alias("used"))
+
+
+def _links(classes: DataFrame, texts: DataFrame, postings: DataFrame, s: Similarity) -> DataFrame:
+    """Links that join all classes which the threshold joins; ``postings`` are those of the whole corpus."""
+    sigs = classes.select("class_id", "sig")
+    links = _hub_links(postings, sigs, texts, s)
+    for depth in range(1, s.least_matches + 1):
+        lists = _open(postings, links)
+        # members of a list agree in ``depth`` coordinates: from the least matches on it can't be split
+        if depth == s.least_matches or lists.where(F.col("n") > BLOCK).isEmpty():
+            return links.unionByName(_block_links(lists, sigs, texts, s))
+        split = materialise(_split(lists, sigs, s, depth), "minhash-split")
+        if split.isEmpty():
+            return links.unionByName(_block_links(lists, sigs, texts, s))
+        links = links.unionByName(_block_links(lists.join(split, ["list", "key"], "left_anti"), sigs, texts, s))
+        members = _back(lists, split).select(*lists.columns)
+        postings = _postings(_parts(members).join(sigs, "class_id"), s, depth)
+        links = links.unionByName(_hub_links(postings, sigs, texts, s))
+    return links
 
 
 def _members(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> DataFrame:
@@ -314,7 +407,8 @@ def _members(docs: DataFrame, s: Similarity, id_col: str, text_col: str) -> Data
                           .agg(F.min(F.struct("row_id", "doc_id", "no_id", "tie")).alias("first"))
                           .select("digest", "sig", F.col("first.row_id").alias("class_id"), "first.doc_id",
                                   "first.no_id", "first.tie"), "minhash-classes")
-    postings = _postings(classes, s)
+    whole = F.lit(0).cast("long")
+    postings = _postings(classes.withColumns({"list": whole, "used": whole}), s, 0)
     place = ["doc_id", "no_id", "tie"]
     wanted = classes.join(postings.select("class_id").distinct(), "class_id").select(*place, "class_id")
     texts = materialise(_rows(docs, id_col, text_col).select(*place, "text").join(wanted, place)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.llm.common import identified, materialise, pick, restored, schema
+from ratewise.llm.common import col, identified, materialise, pick, restored, schema, spare_names
 from ratewise.llm.words import mix, word_bounds
 
 DECISION = 0.3
@@ -279,13 +279,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier accepts; nothing but features is shuffled."""
-    model = fit(feature_table(docs, id_col, text_col), labels)
+    """The rows of ``docs``, all columns, that the classifier accepts.
+
+    The rows are written once with their features beside them, so that no text is
+    looked at again for the verdict; nothing but features is shuffled.
+    """
+    (x,) = spare_names(docs, "features")
+
+    @F.pandas_udf("binary")
+    def featured(text: pd.Series) -> pd.Series:
+        return pd.Series([features(t).astype(np.float32).tobytes() for t in text], dtype=object)
+
+    stored = materialise(docs.withColumn(x, featured(col(text_col))), "quality-documents")
+    table = identified(pick(stored, doc_id=id_col, x=x), "doc_id", "x").withColumnRenamed("text", "x")
+    model = fit(table, labels)
 
     @F.pandas_udf("boolean")
-    def accepts(text: pd.Series) -> pd.Series:
-        if not len(text):
+    def accepts(cells: pd.Series) -> pd.Series:
+        if not len(cells):
             return pd.Series([], dtype=bool)
-        return pd.Series(model.score(np.array([features(t) for t in text])) >= DECISION)
+        return pd.Series(model.score(_unpack(cells)) >= DECISION)
 
-    return docs.where(accepts(F.col(f"`{text_col}`")))
+    return stored.where(accepts(col(x))).select(*map(col, docs.columns))

@@ -88,6 +88,44 @@ def test_near_duplicates_of_a_large_varied_group(spark):
     assert 1 < len({c for _, _, c in got}) < len(rows)
 
 
+def test_long_lists_are_split(documents, texts, monkeypatch):
+    want = brute_components(list(texts.items()), 3, 85)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SHARE", 2)
+    monkeypatch.setattr(minhash, "SAMPLE", 3)
+    assert found_components(minhash.near_duplicates(documents, minhash.Similarity(words=3, percent=85))) == want
+
+
+def test_lists_of_common_passages_are_split(spark, monkeypatch):
+    """Texts of three passages each, which many others have too, and a few near copies."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(300)]
+    rows = []
+    for i in range(3000):
+        text = " ".join(passages[k] for k in rng.sample(range(300), 3))
+        rows.append((2 * i, text))
+        if i % 50 == 0:
+            rows.append((2 * i + 1, text.replace(f"w{i % 30}", "x", 1)))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    s = minhash.Similarity(words=5, percent=80)
+    seen = []
+    real, open_ = minhash._block_links, minhash._open
+    longest = lambda lists: lists.agg(F.max("n")).first()[0] or 0
+    monkeypatch.setattr(minhash, "_block_links", lambda lists, *rest: seen.append(longest(lists)) or real(lists, *rest))
+    before = []
+
+    def opened(*given):
+        out = open_(*given)
+        before.append(longest(out))
+        return out
+
+    monkeypatch.setattr(minhash, "_open", opened)
+    found = found_components(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), s))
+    assert found == brute_components(rows, 5, 80)
+    # long lists were there, some were split, and their parts are short
+    assert max(before) > 2 * 8 and len(seen) > 1 and max(seen[1:]) <= 8
+
+
 def test_near_duplicates_odd_rows(odd, none):
     s = minhash.Similarity(words=5, percent=80)
     assert found_components(minhash.near_duplicates(odd, s)) == brute_components(ODD, 5, 80)
