@@ -15,7 +15,9 @@ overwrites its own folders, so running it twice changes nothing.  Keep-last is
 associative, so the result is that of one pass over all batches together.
 
 Work and memory follow the batch and the buckets it touches; the driver sees one
-number per bucket.
+number per bucket.  Rows are shuffled once and sorted once per batch: they are dealt
+by bucket and part of a bucket, which serves keep-last and the writing alike, and a
+task holds a few parts, not whole buckets.
 """
 
 from __future__ import annotations
@@ -29,10 +31,21 @@ from ratewise.operators.windows import dedup_keep_last
 from ratewise.sources.tables import exists, remove
 
 BUCKETS = 64
+#: Parts that a bucket's rows are dealt to, and files that it has at most.
+PARTS = 16
+
+
+def _hash(key: list[str]):
+    return F.xxhash64(*[F.col(quoted(k)) for k in key])
 
 
 def _bucket(key: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(quoted(k)) for k in key]), F.lit(buckets)).cast("int")
+    return F.pmod(_hash(key), F.lit(buckets)).cast("int")
+
+
+def _part(key: list[str]):
+    """The part of its bucket, by other bits of the hash."""
+    return F.pmod(F.shiftright(_hash(key), 32), F.lit(PARTS)).cast("int")
 
 
 def heads(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
@@ -61,8 +74,10 @@ def apply_batch(batch: DataFrame, number: int, root: str, key: list[str], order:
         return []
     latest = {b: v for b, v in heads(spark, root, number).items() if b in set(touched)}
     both = batch.unionByName(_read(spark, root, latest, schema)) if latest else batch
-    kept = dedup_keep_last(both, key, order).withColumn("bucket", _bucket(key, buckets))
-    kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/rows/batch={number}")
+    place = ["bucket", "_part"]
+    placed = both.withColumns({"bucket": _bucket(key, buckets), "_part": _part(key)}).repartition(*place)
+    kept = dedup_keep_last(placed, place + key, order).drop("_part")
+    kept.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/rows/batch={number}")
     spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1) \
         .write.mode("overwrite").parquet(f"{root}/heads/batch={number}")
     return touched

@@ -6,6 +6,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from ratewise import queries as q
@@ -15,7 +16,7 @@ from ratewise.operators.windows import dedup_keep_last
 from ratewise.plans import bound_sql as bq
 from ratewise.sources import tables as tb
 from ratewise.streaming import upsert as up
-from tests.test_plans import joins, reads
+from tests.test_plans import joins, reads, walk
 
 KIND = "k int, s string, at int, v string"
 
@@ -86,6 +87,37 @@ def test_stream_takes_new_files_only(spark, tmp_path):
     assert rows(up.current(spark, root, b.schema)) == rows(dedup_keep_last(batches[0].unionByName(batches[1]), ["k", "s"], ["at"]))
 
 
+def test_a_batch_is_shuffled_and_sorted_once(spark, tmp_path, monkeypatch):
+    """One exchange serves keep-last and the writing; no task sorts before it, and the writer needs no order of its own."""
+    root, plans, write = str(tmp_path / "table"), [], DataFrameWriter.parquet
+
+    def parquet(writer, path, *args, **options):
+        if "/rows/" in path:
+            writer._df.collect()
+            plans.append([n.nodeName() for n in walk(writer._df._jdf.queryExecution().executedPlan())])
+        write(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    for number in range(2):
+        up.apply_batch(some(spark, number, range(60)), number, root, ["k", "s"], ["at"], buckets=8)
+    assert [(p.count("Exchange"), p.count("Sort")) for p in plans] == [(1, 1), (1, 1)]
+    buckets = [f.parent.name for f in Path(root, "rows", "batch=1").rglob("*.parquet")]
+    assert len(set(buckets)) > 1 and max(map(buckets.count, buckets)) <= up.PARTS
+
+
+def test_a_large_bucket_is_shared_out(spark, tmp_path):
+    """All rows in one bucket: several tasks sort and write it, and each key stays in one of them."""
+    batch = spark.range(8000).selectExpr("cast(id % 4000 AS int) AS k", "'x' AS s", "cast(id AS int) AS at", "'v' AS v")
+    root = str(tmp_path / "table")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        up.apply_batch(batch, 0, root, ["k", "s"], ["at"], buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 < len(files(f"{root}/rows")) <= up.PARTS
+    assert rows(up.current(spark, root, batch.schema)) == rows(dedup_keep_last(batch, ["k", "s"], ["at"]))
+
+
 def test_landing_a_batch_again_replaces_it(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None), (None, None)], "`x.y` int, v string")
