@@ -63,8 +63,8 @@ def probes(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _key(line: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), F.substring(line, start + 1, size))
+def _key(line: Column, segment: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(segment, F.substring(line, start + 1, size))
 
 
 def _letters(line: Column) -> Column:
@@ -93,29 +93,28 @@ def _near(lines: DataFrame, max_edits: int) -> DataFrame:
     characters, so a substring that serves several lengths is sent once.
     """
     parts = max_edits + 1
-    line, n = F.col("line"), F.col("n")
-    size = F.length("line").cast("int")
-    base = lines.select("h1", "line", _letters(line).alias("letters"), size.alias("n")).select(
-        "*", *[F.expr(f"(n - {less}) * {i} div {parts}").cast("int").alias(f"e{less}_{i}")
-               for less in range(parts) for i in range(parts + 1)])
-    combos = probes(max_edits)
-    places: list[tuple[int, Column, Column]] = []
-    keys = []
-    for less, i, shift in combos:
-        start = F.col(f"e{less}_{i}") + shift
-        size = F.col(f"e{less}_{i + 1}") - F.col(f"e{less}_{i}")
-        again = [(s == start) & (z == size) for k, s, z in places if k == i]
-        key = _key(line, i, start, size)
-        keys.append(F.when(~reduce(lambda x, y: x | y, again), key) if again else key)
-        places.append((i, start, size))
+    base = lines.select("h1", "line", _letters(F.col("line")).alias("letters"), F.length("line").cast("int").alias("n"))
+    # One code for all places, run per place: written out for each of them it is a method too long for the JVM to compile.
+    combos = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+                       for less, i, shift in probes(max_edits)])
+    begin = lambda less, i: F.expr(f"cast((n - ({less})) * ({i}) div {parts} as int)")
+    placed = base.select("h1", "letters", "n", "line", F.explode(combos).alias("c")) \
+        .select("h1", "letters", "n", "line", "c.*") \
+        .select("*", (begin("less", "i") + F.col("shift")).alias("start"), (begin("less", "i + 1") - begin("less", "i")).alias("size"))
+    i = F.col("i")
+
+    def before(d: int) -> Column:
+        """Whether the probes of a length ``d`` characters longer have this substring too."""
+        less, shift = F.col("less") - d, F.col("start") - begin(f"less - {d}", "i")
+        return (less >= 0) & (F.col("size") == begin(f"less - {d}", "i + 1") - begin(f"less - {d}", "i")) \
+            & (shift >= F.greatest(-i, less - max_edits + i)) & (shift <= F.least(i, less + max_edits - i))
+
+    once = placed.where(~reduce(lambda x, y: x | y, [before(d) for d in range(1, parts)], F.lit(False)))
     # A line's own segments serve as index and as probe; ``reach`` is its length, and out of reach in
     # rows that only probe.  Both sides of the join are thus the same rows, shuffled once.
-    names = [f"k{k}" for k in range(len(combos))]
-    own = [k for k, (less, _, shift) in enumerate(combos) if (less, shift) == (0, 0)]
-    reach = n.cast("long") + F.when(F.col("k").isin(own), F.lit(0)).otherwise(F.lit(_PROBE_ONLY))
-    rows = base.select("h1", "letters", "n", *[k.alias(c) for c, k in zip(names, keys)]) \
-        .select("h1", "letters", "n", F.posexplode(F.array(*names)).alias("k", "key")).where("key is not null") \
-        .select("h1", "letters", "key", reach.alias("reach"))
+    own = (F.col("less") == 0) & (F.col("shift") == 0)
+    reach = F.col("n").cast("long") + F.when(own, F.lit(0)).otherwise(F.lit(_PROBE_ONLY))
+    rows = once.select("h1", "letters", _key(F.col("line"), i, F.col("start"), F.col("size")).alias("key"), reach.alias("reach"))
     index, probe = rows.alias("i"), rows.alias("p")
     length = F.col("p.reach").bitwiseAND(F.lit(_PROBE_ONLY - 1))
     meet = (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1")) \
@@ -132,7 +131,9 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     ``up`` (``down``) says that row j - most + d is one more (less) than the row before
     it.  A step takes the bits where the next character of ``b`` equals one of those
     rows' characters of ``a``, and the sum follows the lowest row of the band, then the
-    last row of ``a`` once the band has reached it.
+    last row of ``a`` once the band has reached it.  Where the distance is up to ``most``,
+    a path of so many edits crosses each column at most 2 * most rows above that row, so
+    the sum is never over 3 * most; once it is, the columns left are passed over.
     """
     width = 2 * most + 1
     ones = (1 << width) - 1
@@ -172,7 +173,8 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     both = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
     return once(both, lambda texts: F.aggregate(
         F.sequence(F.lit(0), F.size(texts["y"]) - 1), start,
-        lambda acc, j: once(once(once(step(texts, acc, j), diagonal), across), lambda s: after(texts, s)))["sum"])
+        lambda acc, j: F.when(acc["sum"] > 3 * most, acc).otherwise(
+            once(once(once(step(texts, acc, j), diagonal), across), lambda s: after(texts, s))))["sum"])
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -328,6 +329,18 @@ def test_banded_distance(spark):
                 assert (r.n == want) if want <= most else (r.n > most), (r, want)
 
 
+def test_line_index_code_is_compiled(spark, tmp_path, capsys):
+    """No generated method of the segment index is over the 8,000 bytes beyond which the JVM interprets it."""
+    spark.range(8).select(F.col("id").alias("h1"), F.repeat(F.lit("ab"), 20).alias("line")).write.parquet(str(tmp_path / "lines"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup._near(spark.read.parquet(str(tmp_path / "lines")), line_dedup.MAX_EDITS).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_line_dedup_query(spark, sf_dir, texts):
     got = {r.doc_id: r.text for r in queries.op8_line_dedup(spark, sf_dir).collect()}
     lines = Counter(x for t in got.values() for x in t.split("\n") if x.strip(" "))
