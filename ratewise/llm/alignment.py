@@ -9,9 +9,14 @@ too: the components are the groups, and the two last tokens of a group are a lin
 
 How often a pair of ids is linked is a count over the corpus.  A block of texts is
 tokenized once; its groups' digests and its links, as places in the block's list
-of distinct pairs, are written.  Only distinct pairs with their numbers per block
-are shuffled; their corpus-wide counts come back to the block, which adds them up
-per document.  No table of the size of the vocabularies is broadcast or collected.
+of distinct pairs, are written.  Distinct pairs are counted with their numbers per
+block; their corpus-wide counts come back to the block, which adds them up per
+document.  No table of the size of the vocabularies is broadcast or collected.
+
+Memory: a Python worker holds the arrays of one block.  A block is written as many
+rows, each of a few of its documents or of a part of its list of pairs, in short row
+groups, so that Parquet's writer and reader, which count rows before they look at
+bytes, hold a few MB of them at once.  A row exceeds its limit only by its last document.
 
 Defined cases: NULL and empty texts, and texts that one of the tokenizers can't
 give back byte by byte, have no tokens (zeros, empty digest); strings of special
@@ -35,15 +40,26 @@ from pyspark.sql import functions as F
 from ratewise.llm import bpe
 from ratewise.llm.common import identified, materialise, restored, schema
 
-#: Bytes of text after which a block is closed.
-BLOCK_BYTES = 4 << 20
+#: Size of text, and of what is kept of each document, after which a block is closed.
+BLOCK_BYTES = 1 << 20
+#: Bytes after which a row of a block is closed.
+ROW_BYTES = 1 << 16
+#: Bytes that a row keeps of a document besides its links.
+_DOC_BYTES = 128
+#: Row groups of a few MB, whose size is looked at from the first row on (else from the hundredth).
+_FILES = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _SHIFT = 32
 _BLOCK = ("block long, doc_ids array<long>, no_ids array<boolean>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-          "digests array<string>, pairs binary, times binary, links binary")
+          "digests array<string>, links binary, pairs binary, times binary")
 _OUT = ("doc_id long, no_id boolean, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
         "groups_sha256 string")
 
 
+def _names(columns: str) -> list[str]:
+    """The names in a list of columns with their types; Python tasks have no session that parses it."""
+    return [c.split()[0] for c in columns.split(", ")]
+
+
 def default_pieces() -> str:
     """The installed public piece vocabulary."""
     import public_tokenizers
@@ -147,17 +163,42 @@ class Aligned:
         return np.diff(before)
 
 
+def _places(n_pairs: int) -> str:
+    """The type of a place in a list of so many pairs."""
+    return "<u2" if n_pairs <= 1 << 16 else "<u4"
+
+
+def _block_rows(both: Tokenizers, held: list[tuple]) -> pd.DataFrame:
+    """The rows of a block of (doc_id, no_id, row_id, text): its documents', then those of its distinct pairs."""
+    found = Aligned(both, [r[3] for r in held])
+    pairs, links, times = np.unique((found.link_a << _SHIFT) | found.link_b, return_inverse=True, return_counts=True)
+    links = links.astype(_places(len(pairs)))
+    edges = np.append(0, np.cumsum(found.n_groups))
+    # a row ends with the document that brings it over the limit
+    before = edges[:-1] * links.itemsize + np.arange(len(held)) * _DOC_BYTES
+    starts = np.flatnonzero(np.diff(before // ROW_BYTES, prepend=-1))
+    block, rows = held[0][2], []
+    for lo, hi in zip(starts, np.append(starts[1:], len(held))):
+        rows.append((block, [r[0] for r in held[lo:hi]], [r[1] for r in held[lo:hi]], found.n_a[lo:hi], found.n_b[lo:hi],
+                     found.n_groups[lo:hi], found.digests[lo:hi], links[edges[lo]:edges[hi]].tobytes(), None, None))
+    step = ROW_BYTES // 16
+    for lo in range(0, len(pairs), step):
+        rows.append((block, [], [], [], [], [], [], None,
+                     *(x[lo:lo + step].astype("<i8").tobytes() for x in (pairs, times))))
+    return pd.DataFrame(rows, columns=_names(_BLOCK))
+
+
 def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """One row per block of texts: the documents' numbers, and the links over the block's distinct pairs."""
-    columns = [f.name for f in schema(_BLOCK)]
+    """The rows of all blocks of texts: some documents' numbers and their links as places in the
+    block's list of distinct pairs, or (no documents, no links) a part of that list."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         held, size = [], 0
         for batch in batches:
             for row in zip(batch.doc_id, batch.no_id, batch.row_id, batch.text):
                 held.append(row)
-                size += len(row[3] or "")
+                size += len(row[3] or "") + _DOC_BYTES
                 if size > BLOCK_BYTES:
                     yield held
                     held, size = [], 0
@@ -167,11 +208,8 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = tokenizers(a_path, b_path)
         for held in blocks(batches):
-            found = Aligned(both, [r[3] for r in held])
-            pairs, links, times = np.unique((found.link_a << _SHIFT) | found.link_b, return_inverse=True, return_counts=True)
-            yield pd.DataFrame([(held[0][2], [r[0] for r in held], [r[1] for r in held], found.n_a, found.n_b,
-                                 found.n_groups, found.digests, pairs.astype("<i8").tobytes(),
-                                 times.astype("<i8").tobytes(), links.astype("<u4").tobytes())], columns=columns)
+            yield _block_rows(both, held)
+            held.clear()
 
     return identified(docs, id_col, text_col).mapInPandas(run, schema(_BLOCK))
 
@@ -184,7 +222,8 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
             for block, pairs, times in zip(batch.block, batch.pairs, batch.times):
                 yield pd.DataFrame({"block": block, "pair": np.frombuffer(pairs, "<i8"), "n": np.frombuffer(times, "<i8")})
 
-    return blocks.select("block", "pairs", "times").mapInPandas(run, schema("block long, pair long, n long"))
+    return blocks.where("pairs IS NOT NULL").select("block", "pairs", "times") \
+        .mapInPandas(run, schema("block long, pair long, n long"))
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -196,15 +235,15 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 def _score(blocks: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     """Sums of one block's documents from the counts of its distinct pairs."""
-    row = blocks.iloc[0]
     counts = counts.sort_values("pair")  # as the block's own list is
-    links = np.frombuffer(row.links, "<u4")
-    edges = np.append(0, np.cumsum(np.array(row.n_groups, np.int64)))
-    n_best, count_sum = (np.diff(np.append(0, np.cumsum(counts[c].to_numpy(np.int64)[links]))[edges])
-                         for c in ("best", "n"))
-    return pd.DataFrame({"doc_id": row.doc_ids, "no_id": row.no_ids, "n_a": row.n_a, "n_b": row.n_b,
-                         "n_groups": row.n_groups, "n_links": row.n_groups, "n_best": n_best, "count_sum": count_sum,
-                         "groups_sha256": row.digests})
+    n, best = (counts[c].to_numpy(np.int64) for c in ("n", "best"))
+    columns = {c: np.concatenate(blocks[many].tolist())
+               for c, many in (("doc_id", "doc_ids"), ("no_id", "no_ids"), ("n_a", "n_a"), ("n_b", "n_b"),
+                               ("n_groups", "n_groups"), ("groups_sha256", "digests"))}
+    links = np.frombuffer(b"".join(blocks.links), _places(len(counts)))
+    edges = np.append(0, np.cumsum(columns["n_groups"].astype(np.int64)))
+    sums = {c: np.diff(np.append(0, np.cumsum(x[links]))[edges]) for c, x in (("n_best", best), ("count_sum", n))}
+    return pd.DataFrame(columns | sums | {"n_links": columns["n_groups"]})[_names(_OUT)]
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id",
@@ -214,11 +253,11 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     ``a_path``: a byte-level BPE file; ``b_path``: a piece model that puts a blank before a text.
     """
     blocks = materialise(aligned_blocks(docs, a_path or bpe.default_path(), b_path or default_pieces(), id_col, text_col),
-                         "alignment-blocks")
+                         "alignment-blocks", **_FILES)
     pairs = block_pairs(blocks)
     counts = materialise(pair_counts(pairs), "alignment-pairs")
     known = pairs.select("block", "pair").join(counts, "pair")
-    scored = blocks.drop("pairs", "times").groupBy("block").cogroup(known.groupBy("block")) \
+    scored = blocks.where("links IS NOT NULL").drop("pairs", "times").groupBy("block").cogroup(known.groupBy("block")) \
         .applyInPandas(_score, schema(_OUT))
     return restored(scored)
 

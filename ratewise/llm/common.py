@@ -72,12 +72,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, evaluates once."""
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, evaluates once.
+
+    ``options``: further ones of the Parquet writer.
+    """
     spark = df.sparkSession
     ship(spark)
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,10 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ratewise.llm import alignment, bpe
+from ratewise.llm.common import materialise
 from tests.llm.conftest import ODD
 
 
@@ -96,6 +98,40 @@ def test_counts_are_corpus_wide_over_blocks(documents, texts, monkeypatch):
     assert blocks.agg(F.sum(F.size("doc_ids"))).first()[0] == len(texts)
 
 
+def test_blocks_are_bounded(spark, documents, texts):
+    """No row of a block is longer than the limit and its last document; rows without text fill blocks too."""
+    paths = bpe.default_path(), alignment.default_pieces()
+    b = library()[1]
+    most = max(len(b.encode(t)) for t in texts.values() if t) * 4
+    rows = alignment.aligned_blocks(documents, *paths).toPandas()
+    held = [sum(len(r[c] or b"") for c in ("links", "pairs", "times")) + alignment._DOC_BYTES * len(r.doc_ids)
+            for _, r in rows.iterrows()]
+    assert max(held) <= alignment.ROW_BYTES + alignment._DOC_BYTES + most and max(held) >= alignment.ROW_BYTES // 2
+    blank = spark.createDataFrame([(i, None) for i in range(20_000)], "doc_id long, text string").coalesce(1)
+    found = alignment.aligned_blocks(blank, *paths).groupBy("block").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(found) > 1 and sum(r.n for r in found) == 20_000
+    assert {tuple(r)[1:] for r in alignment.align(blank).collect()} == {(0, 0, 0, 0, 0, 0, "")}
+
+
+def test_blocks_are_written_in_short_row_groups(spark):
+    """The writer and the reader of blocks hold a few MB of long rows at once."""
+    import pyarrow.dataset as ds
+    long = spark.range(0, 48, 1, 1).select("id", F.expr("unhex(repeat(sha2(CAST(id AS string), 256), 1 << 15))").alias("links"))
+    written = materialise(long.withColumn("links", F.expr("aes_encrypt(links, '0123456789abcdef')")), "test-rows", **alignment._FILES)
+    sizes = [g.total_byte_size for f in written.inputFiles() for d in ds.dataset(f.removeprefix("file://")).get_fragments()
+             for g in d.row_groups]
+    assert written.count() == 48 and max(sizes) < 16 << 20
+
+
+def test_wide_places(spark, documents, texts, monkeypatch):
+    """Blocks whose lists of pairs are longer than two bytes can count; rows of one document each."""
+    monkeypatch.setattr(alignment, "_places", lambda n_pairs: "<u4")
+    monkeypatch.setattr(alignment, "ROW_BYTES", 64)
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 5000)
+    some = documents.limit(40)
+    assert result(some) == brute([(r.doc_id, r.text) for r in some.collect()])
+
+
 def test_terminals_on_random_splits():
     """Doubling reaches the last token of each component; a long chain without a common end too."""
     rng = np.random.default_rng(5)
